@@ -7,15 +7,16 @@ hold a third of all rows.  Instead the rows are range-partitioned on
 1. ``repartitionByRange(n, key, *order)``; each slice is sorted and scanned
    locally (Arrow batches, vectorised cumulative sums) giving a local rank and
    local running sums.
-2. Per ``(slice, key)`` block totals are a small partial aggregate.  Only a key
+2. The sliced scan is checkpointed (range bounds are sampled, so the
+   exchange must not be evaluated twice).  Per ``(slice, key)`` block totals
+   are a small partial aggregate of it.  Only a key
    that continues from an earlier slice needs an offset, and each slice
    starts with at most one such key, so the offset table has at most ``n - 1``
    rows: that bound is what makes it safe to broadcast.
 3. Local values plus offsets are the global rank and running sums.
 
-The explicit partition count keeps AQE from coalescing the range exchange, so
-slice ids are stable between the two reads of that (reused) exchange and on
-task retry.  The order must be total within a key.
+The explicit partition count keeps AQE from coalescing the range exchange.
+The order must be total within a key.
 """
 from __future__ import annotations
 
@@ -76,19 +77,22 @@ def ordered_scan(df: DataFrame, key: str, order: Sequence[Column], sums: Sequenc
     n = num_slices or _num_slices(df)
     cum_cols = [cum_prefix + c for c in sums]
     sliced = df.repartitionByRange(n, F.col(key), *order).withColumn(_BLK, F.spark_partition_id())
+    out_schema = T.StructType(sliced.schema.fields + [T.StructField(pos_col, T.LongType())]
+                              + [T.StructField(c, T.LongType()) for c in cum_cols])
+    local = (sliced.sortWithinPartitions(F.col(key), *order)
+             .mapInPandas(_local_scan(key, list(sums), pos_col, cum_cols), out_schema))
+    # Range bounds come from sampling, so two evaluations of the exchange may
+    # slice differently: the local scan is written once and both the block
+    # totals and the final rows read that one copy.
+    local = _materialize(local)
 
-    blocks = sliced.groupBy(_BLK, key).agg(
+    blocks = local.groupBy(_BLK, key).agg(
         F.count(F.lit(1)).alias("_q_bn"), *[F.sum(c).cast("long").alias(f"_q_bs_{c}") for c in sums])
     w = Window.partitionBy(key).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (blocks
                .select(_BLK, F.col(key).alias("_q_key"), F.sum("_q_bn").over(w).alias("_q_on"),
                        *[F.sum(f"_q_bs_{c}").over(w).alias(f"_q_os_{c}") for c in sums])
                .where(F.col("_q_on").isNotNull()))
-
-    out_schema = T.StructType(sliced.schema.fields + [T.StructField(pos_col, T.LongType())]
-                              + [T.StructField(c, T.LongType()) for c in cum_cols])
-    local = (sliced.sortWithinPartitions(F.col(key), *order)
-             .mapInPandas(_local_scan(key, list(sums), pos_col, cum_cols), out_schema))
     joined = local.join(F.broadcast(offsets),
                         (local[_BLK] == offsets[_BLK]) & local[key].eqNullSafe(offsets["_q_key"]),
                         "left")
@@ -99,6 +103,12 @@ def ordered_scan(df: DataFrame, key: str, order: Sequence[Column], sums: Sequenc
     return joined.select(*cols)
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def window_scan(df: DataFrame, key: str, order: Sequence[Column], sums: Sequence[str] = (),
                 pos_col: str = "pos", cum_prefix: str = "cum_") -> DataFrame:
     """Reference formulation with a per-key window (one task per key); used by

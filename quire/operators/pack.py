@@ -5,7 +5,6 @@ priority``); ``content`` is only touched again where a result needs it.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -66,13 +65,24 @@ def totals(flagged: DataFrame) -> DataFrame:
     ).withColumn("tokens_joined", joined_tokens("total_chars", "total_files"))
 
 
-@dataclass
 class Packed:
-    """Result of :func:`pack`: ordered narrow rows (``files``), the per-corpus
-    ``summary``, and the ``source`` rows to re-attach content from."""
-    files: DataFrame
-    summary: DataFrame
-    source: DataFrame
+    """Result of :func:`pack`.
+
+    ``files``: ordered narrow rows of the kept files (``pos`` 1-based per
+    corpus).  They are written once to the checkpoint folder on first use, so
+    several reports over one pack do not repeat the scan, the filters and the
+    ordering (and lineage stays short).  ``summary``: one row per corpus.
+    ``source``: the input rows, to re-attach content from."""
+
+    def __init__(self, files_plan: DataFrame, summary: DataFrame, source: DataFrame, materialize: bool = True):
+        self._plan, self.summary, self.source, self._materialize = files_plan, summary, source, materialize
+        self._files = None
+
+    @property
+    def files(self) -> DataFrame:
+        if self._files is None:
+            self._files = checkpoint(self._plan) if self._materialize else self._plan
+        return self._files
 
     def with_content(self, columns: Sequence[str] = ("content",)) -> DataFrame:
         """Join content back by (corpus_id, path) for the surviving rows."""
@@ -80,11 +90,18 @@ class Packed:
         return self.files.join(src, ["corpus_id", "path"])
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the folder named by ``spark.checkpoint.dir``."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
          max_file_size: int | None = K.DEFAULT_MAX_FILE_SIZE, rules: DataFrame | None = None,
          use_rule_files: bool = True, custom_priority: Sequence[str] | None = None,
          max_files: int | None = None, max_total_size: int | None = None,
-         tokenizer=None, utf16: bool = False) -> Packed:
+         tokenizer=None, utf16: bool = False, materialize: bool = False) -> Packed:
     """Select, rank, order and limit files per corpus."""
     from .filters import select_files
     sel = select_files(files, ignore=ignore, extensions=extensions, max_file_size=max_file_size,
@@ -96,12 +113,11 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
         flagged = limit_flags(ordered, max_files, max_total_size)
         summary = totals(flagged)
         kept = flagged.where("kept").drop("kept")
-    else:
-        # Without limits every selected file is kept: the totals are a plain
-        # partial aggregate and need no ordering.
-        summary = totals(narrow.withColumn("kept", F.lit(True)))
-        kept = ordered
-    return Packed(kept, summary, files)
+        return Packed(kept, summary, files, materialize=False)
+    # Without limits every selected file is kept: the totals are a plain
+    # partial aggregate and need no ordering.
+    summary = totals(narrow.withColumn("kept", F.lit(True)))
+    return Packed(ordered, summary, files, materialize=materialize)
 
 
 def count_summary(summary: DataFrame, model_table: DataFrame, model: str) -> DataFrame:

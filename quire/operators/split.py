@@ -72,8 +72,13 @@ class _NextFit:
 def _next_fit_fn(limit: int):
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nf = _NextFit(limit)
+        last = 0
         for pdf in batches:
             if len(pdf):
+                pos = pdf["pos"].to_numpy(dtype=np.int64)
+                if pos[0] <= last or (len(pos) > 1 and np.any(np.diff(pos) <= 0)):
+                    raise RuntimeError("next-fit input is not in pos order")
+                last = int(pos[-1])
                 yield pd.DataFrame({"corpus_id": pdf["corpus_id"], "pos": pdf["pos"],
                                     "chunk": nf.batch(pdf["tokens"].to_numpy(dtype=np.int64))})
     return run
