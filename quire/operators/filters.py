@@ -25,27 +25,56 @@ from ..functions.paths import basename, ext_name, segments
 from ..functions.text import col
 
 
+def _segment_regex(patterns: Sequence[str], binary: bool) -> str | None:
+    """One regex over the whole path for the segment tests, or None when a
+    glob contains '/' (then segments are tested one by one).
+
+    * binary: a segment ``X.ext`` with ``X`` non-empty and ``ext`` listed
+      (case-insensitive): ``(^|/)[^/]+\\.(ext|...)(/|$)``;
+    * ``*x``: a segment ends with ``x``: ``x(/|$)``;
+    * ``x*``: a segment starts with ``x``: ``(^|/)x``.
+    """
+    import re
+    alts = []
+    if binary:
+        alts.append(r"(?i:(?:^|/)[^/]+\.(?:" + "|".join(re.escape(e) for e in K.BINARY_EXTENSIONS) + r")(?:/|$))")
+    for x in patterns:
+        if x.startswith("*"):
+            if "/" in x[1:]:
+                return None
+            alts.append(re.escape(x[1:]) + r"(?:/|$)")
+        if x.endswith("*"):
+            if "/" in x[:-1]:
+                return None
+            alts.append(r"(?:^|/)" + re.escape(x[:-1]))
+    return "|".join(alts) if alts else None
+
+
 def ignored(path="path", patterns: Sequence[str] = K.DEFAULT_IGNORE, binary: bool = True) -> Column:
     """True when a literal pattern list (or a binary extension) ignores the
-    file or one of its ancestor directories."""
+    file or one of its ancestor directories.  Built from one regex and plain
+    ``contains`` tests, so it stays inside generated code."""
     p = col(path)
-    suffixes = [x[1:] for x in patterns if x.startswith("*")]
-    prefixes = [x[:-1] for x in patterns if x.endswith("*")]
-
-    def seg_hit(s):
-        c = ext_name(s).isin(K.BINARY_EXTENSIONS) if binary else F.lit(False)
-        for x in suffixes:
-            c = c | s.endswith(x)
-        for x in prefixes:
-            c = c | s.startswith(x)
-        return c
-
-    cond = F.exists(segments(p), seg_hit)
+    rx = _segment_regex(patterns, binary)
+    if rx is not None or not (binary or any(x.startswith("*") or x.endswith("*") for x in patterns)):
+        cond = p.rlike(rx) if rx else F.lit(False)
+    else:
+        cond = F.exists(segments(p), lambda s: _segment_hit(s, patterns, binary))
     for x in dict.fromkeys(patterns):
         cond = cond | p.contains(x)
     return cond
 
 
+def _segment_hit(s, patterns, binary):
+    c = ext_name(s).isin(K.BINARY_EXTENSIONS) if binary else F.lit(False)
+    for x in patterns:
+        if x.startswith("*"):
+            c = c | s.endswith(x[1:])
+        if x.endswith("*"):
+            c = c | s.startswith(x[:-1])
+    return c
+
+
 def rule_matches(path: Column, pattern: Column) -> Column:
     """The same test with the pattern as a column (per-corpus rules)."""
     segs = segments(path)
