@@ -52,14 +52,18 @@ def _segment_regex(patterns: Sequence[str], binary: bool) -> str | None:
 
 def ignored(path="path", patterns: Sequence[str] = K.DEFAULT_IGNORE, binary: bool = True) -> Column:
     """True when a literal pattern list (or a binary extension) ignores the
-    file or one of its ancestor directories.  Built from one regex and plain
-    ``contains`` tests, so it stays inside generated code."""
+    file or one of its ancestor directories.  The segment tests and the
+    substring tests form one regex, so the path is read once and the test
+    stays inside generated code (also when a filter is pushed below a
+    projection that computes the path)."""
+    import re
     p = col(path)
     rx = _segment_regex(patterns, binary)
+    literals = [re.escape(x) for x in dict.fromkeys(patterns)]
     if rx is not None or not (binary or any(x.startswith("*") or x.endswith("*") for x in patterns)):
-        cond = p.rlike(rx) if rx else F.lit(False)
-    else:
-        cond = F.exists(segments(p), lambda s: _segment_hit(s, patterns, binary))
+        alts = ([rx] if rx else []) + literals
+        return p.rlike("|".join(alts)) if alts else F.lit(False)
+    cond = F.exists(segments(p), lambda s: _segment_hit(s, patterns, binary))
     for x in dict.fromkeys(patterns):
         cond = cond | p.contains(x)
     return cond
