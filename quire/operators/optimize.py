@@ -161,18 +161,30 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
                      remove_comments_=remove_comments_, remove_empty_lines_=remove_empty_lines_,
                      minify_=minify_, utf16=utf16)
     p1 = clean_steps(p1, "_p1_content", "_p2", **rc, utf16=utf16)
-    tot = p1.groupBy("corpus_id").agg(
-        (F.sum("_p1_len") + F.greatest(F.count(F.lit(1)) - 1, F.lit(0))).cast("long").alias("_L0"))
-    cand = (p1.where(F.col("priority") > preserve_priority).join(tot, "corpus_id")
-            .select("corpus_id", "pos", "priority", "_L0", F.col("_p1_len").alias("_len1"),
-                    F.col("_p2_len").alias("_len2"),
-                    F.transform(F.split("_p2_content", "\n", -1), lambda l: len_chars(l, utf16)).alias("_lines"))
+    # Narrow copy of both passes (lengths, line lengths, priority, pos): the
+    # fold and the drop step read it; content is cleaned once more at the end.
+    narrow = p1.select("corpus_id", "pos", "priority", F.col("_p1_len").alias("_len1"),
+                       F.col("_p2_len").alias("_len2"),
+                       F.when(F.col("priority") > preserve_priority,
+                              F.transform(F.split("_p2_content", "\n", -1), lambda l: len_chars(l, utf16)))
+                       .alias("_lines"))
+    from .pack import checkpoint
+    narrow = checkpoint(narrow)
+    tot = narrow.groupBy("corpus_id").agg(
+        (F.sum("_len1") + F.greatest(F.count(F.lit(1)) - 1, F.lit(0))).cast("long").alias("_L0"))
+    cand = (narrow.where(F.col("priority") > preserve_priority).join(tot, "corpus_id")
             .repartition("corpus_id").sortWithinPartitions("corpus_id", F.col("priority").desc(), "pos"))
     fold = cand.groupBy("corpus_id").applyInPandas(
         _truncate_fold_fn(float(max_tokens), int(preserve_priority)),
         "corpus_id string, pos long, visited boolean, allowance long, keep_lines long, new_len long")
     fold = fold.where("visited")
-    df = p1.join(fold, ["corpus_id", "pos"], "left")
+    final_len = (narrow.join(fold, ["corpus_id", "pos"], "left")
+                 .select("corpus_id", "pos", "priority",
+                         F.when(F.coalesce("visited", F.lit(False)), F.col("new_len")).otherwise(F.col("_len1"))
+                         .cast("long").alias("len")))
+    decisions = drop_low_priority(final_len, max_tokens, "len").drop("len", "priority")
+    decisions = decisions.join(fold, ["corpus_id", "pos"], "left")
+    df = p1.join(decisions, ["corpus_id", "pos"])
     truncated = F.col("keep_lines") >= 0
     visited = F.coalesce(F.col("visited"), F.lit(False))
     content2 = F.when(truncated, truncate_lines("_p2_content", F.col("keep_lines"))).otherwise(F.col("_p2_content"))
@@ -185,8 +197,8 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
           .withColumn("optimized_size", F.col("len"))
           .withColumn("truncated", visited & truncated))
     df = df.drop(*[c for c in df.columns if c.startswith("_p1_") or c.startswith("_p2_")],
-                 "visited", "new_len")
-    return drop_low_priority(df, max_tokens, "len").withColumn("target_tokens", F.lit(float(max_tokens)))
+                 "visited", "new_len", "allowance", "keep_lines")
+    return df.withColumn("target_tokens", F.lit(float(max_tokens)))
 
 
 def strategies_used(optimized: DataFrame) -> DataFrame:

@@ -51,10 +51,40 @@ def scan_files(spark: SparkSession, root: str, max_file_size: int | None = None,
     segs = F.split(rel, "/", -1)
     corpus = F.array_join(F.slice(segs, 1, corpus_depth), "/")
     inner = F.array_join(F.slice(segs, corpus_depth + 1, 1 << 20), "/")
-    return (df.select(corpus.alias("corpus_id"), inner.alias("path"),
-                      F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-                      F.col("length").cast("long").alias("size"))
-            .where(F.col("path") != ""))
+    files = (df.select(corpus.alias("corpus_id"), inner.alias("path"),
+                       F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+                       F.col("length").cast("long").alias("size"))
+             .where(F.col("path") != ""))
+    # Spark's file listing skips names starting with '.', so the rule files
+    # at each corpus root are read by a small distributed job instead.
+    return files.unionByName(read_rule_files(files.select("corpus_id").distinct(), root))
+
+
+def read_rule_files(corpora: DataFrame, root: str, names=K.RULE_FILES) -> DataFrame:
+    """Rule files (``.gitignore``, ``.ctxignore``) at each corpus root, read by
+    Spark tasks through ``pyarrow.fs`` (local, NFS, HDFS or object stores);
+    one row per file found, in the ``files`` schema."""
+    import pandas as pd
+
+    def run(batches):
+        from pyarrow import fs as pafs
+        try:
+            fsys, base = pafs.FileSystem.from_uri(root)
+        except Exception:
+            fsys, base = pafs.LocalFileSystem(), root
+        base = base.rstrip("/")
+        for pdf in batches:
+            out = []
+            for c in pdf["corpus_id"]:
+                for n in names:
+                    try:
+                        with fsys.open_input_stream(f"{base}/{c}/{n}") as f:
+                            data = f.read()
+                    except (FileNotFoundError, OSError):
+                        continue
+                    out.append((c, n, data.decode("utf-8", "replace"), len(data)))
+            yield pd.DataFrame(out, columns=["corpus_id", "path", "content", "size"])
+    return corpora.mapInPandas(run, FILES_SCHEMA)
 
 
 def _regex_escape(s: str) -> str:
