@@ -74,14 +74,17 @@ class Packed:
     ordering (and lineage stays short).  ``summary``: one row per corpus.
     ``source``: the input rows, to re-attach content from."""
 
-    def __init__(self, files_plan: DataFrame, summary: DataFrame, source: DataFrame, materialize: bool = True):
+    def __init__(self, files_plan, summary: DataFrame, source: DataFrame, materialize: bool = False):
         self._plan, self.summary, self.source, self._materialize = files_plan, summary, source, materialize
         self._files = None
 
     @property
     def files(self) -> DataFrame:
+        """Built on first use (ordering runs jobs), so summary-only callers
+        never pay for it."""
         if self._files is None:
-            self._files = checkpoint(self._plan) if self._materialize else self._plan
+            plan = self._plan() if callable(self._plan) else self._plan
+            self._files = checkpoint(plan) if self._materialize else plan
         return self._files
 
     def with_content(self, columns: Sequence[str] = ("content",)) -> DataFrame:
@@ -108,8 +111,17 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
                        rules=rules, use_rule_files=use_rule_files)
     ann = annotate(sel, tokenizer, utf16)
     narrow = ann.select(*NARROW)
-    ordered = order_files(narrow, custom_priority)
+    # Range partitioning samples its input in a separate job; ordering reads
+    # a written narrow copy so the scan, filters and regexes run once.
+    written = {}
+
+    def narrow_copy():
+        if "n" not in written:
+            written["n"] = checkpoint(narrow)
+        return written["n"]
+
     if max_files or max_total_size:
+        ordered = order_files(narrow_copy(), custom_priority)
         flagged = limit_flags(ordered, max_files, max_total_size)
         summary = totals(flagged)
         kept = flagged.where("kept").drop("kept")
@@ -117,7 +129,7 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
     # Without limits every selected file is kept: the totals are a plain
     # partial aggregate and need no ordering.
     summary = totals(narrow.withColumn("kept", F.lit(True)))
-    return Packed(ordered, summary, files, materialize=materialize)
+    return Packed(lambda: order_files(narrow_copy(), custom_priority), summary, files, materialize=materialize)
 
 
 def count_summary(summary: DataFrame, model_table: DataFrame, model: str) -> DataFrame:
