@@ -191,23 +191,43 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
     return doc.select(*g, text.alias("document"))
 
 
-def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree: DataFrame | None = None,
+def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree_rows: DataFrame | None = None,
                   include_tree: bool = True, include_stats: bool = True, file_headers: bool = True,
-                  order: str = "pos") -> DataFrame:
-    """Whole-corpus rendering as rows ``(corpus_id, pos, block)``: the header is
-    ``pos = 0``, the footer ``pos = +inf``; no corpus becomes one value.
-    Writing them in order reproduces the document (up to the final trim)."""
+                  group: Sequence[str] = ("corpus_id",), order: str = "pos") -> DataFrame:
+    """Documents as ordered rows ``group + [part, seq, block]`` instead of one
+    string: part 0 is the header up to the tree, part 1 the tree lines (from
+    ``tree_lines`` rows, in depth-first order), part 2 the text between tree
+    and files, part 3 the file blocks, part 4 the footer.  Concatenating the
+    blocks in ``(part, seq)`` order is the document (before the final trim of
+    markdown/plain).  Nothing is aggregated, so neither a huge corpus nor a huge
+    tree becomes one value; ``sinks.write_blocks`` writes them in order."""
     kind = resolve_format(fmt)
     if kind not in ("markdown", "xml", "plain"):
         raise ValueError("block output supports markdown, xml and plain")
-    blocks = files.select("corpus_id", F.col(order).cast("long").alias("pos"),
+    g = list(group)
+    st = stats.select(*g, "total_files", "total_size", "tokens").withColumn("directory", F.col("corpus_id"))
+    has_tree = include_tree and tree_rows is not None
+    # header split around the tree: render the header with an empty marker tree
+    marker = "\u0000TREE\u0000"
+    head = header(kind, has_tree, include_stats)
+    st = st.withColumn("tree", F.lit(marker) if has_tree else F.lit(None).cast("string"))
+    parts = st.select(*g, F.split(head, marker, 2).alias("_h"))
+    out = parts.select(*g, F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.col("_h")[0].alias("block"))
+    if has_tree:
+        rows = tree_rows.select("corpus_id", "segs", "line")
+        if g != ["corpus_id"]:
+            rows = rows.join(stats.select(*g), "corpus_id")
+        out = out.unionByName(rows.select(*g, F.lit(1).alias("part"),
+                                          F.lit(0).cast("long").alias("seq"), F.col("line").alias("block"),
+                                          "segs"), allowMissingColumns=True)
+        out = out.unionByName(parts.select(*g, F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"),
+                                           F.col("_h")[1].alias("block")), allowMissingColumns=True)
+    blocks = files.select(*g, F.lit(3).alias("part"), F.col(order).cast("long").alias("seq"),
                           file_block(kind, file_headers).alias("block"))
-    st = stats.select("corpus_id", "total_files", "total_size", "tokens")
-    st = st.join(tree, "corpus_id", "left") if tree is not None else st.withColumn("tree", F.lit(None).cast("string"))
-    heads = st.withColumn("directory", F.col("corpus_id")).select(
-        "corpus_id", F.lit(0).cast("long").alias("pos"), header(kind, include_tree, include_stats).alias("block"))
-    out = heads.unionByName(blocks)
+    out = out.unionByName(blocks, allowMissingColumns=True)
     if footer(kind):
-        out = out.unionByName(stats.select("corpus_id", F.lit((1 << 62)).cast("long").alias("pos"),
-                                           F.lit(footer(kind)).alias("block")))
+        out = out.unionByName(stats.select(*g, F.lit(4).alias("part"), F.lit(0).cast("long").alias("seq"),
+                                           F.lit(footer(kind)).alias("block")), allowMissingColumns=True)
+    if "segs" not in out.columns:
+        out = out.withColumn("segs", F.lit(None).cast("array<string>"))
     return out

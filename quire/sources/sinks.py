@@ -24,15 +24,17 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "markdown", mode: str
         .partitionBy("corpus_id", "file").option("lineSep", "\n").text(path))
 
 
-def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Whole-corpus output from block rows, in order, one folder per corpus.
-    Rows are range-partitioned by ``(corpus_id, pos)`` so a large corpus is
-    written by many tasks in consecutive part files."""
+def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite", group=("corpus_id",)) -> None:
+    """Write documents from block rows (``render_blocks``), in order, one
+    folder per document.  Rows are range-partitioned on the full order key so
+    a large document is written by many tasks as consecutive part files."""
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.select("corpus_id", "pos", F.regexp_replace("block", r"\n\z", "").alias("value"))
-    (rows.repartitionByRange(n, "corpus_id", "pos").sortWithinPartitions("corpus_id", "pos")
-         .select("corpus_id", "value").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-         .partitionBy("corpus_id").text(path))
+    g = list(group)
+    order = [*g, "part", "segs", "seq"]
+    rows = blocks.select(*g, "part", "segs", "seq", F.regexp_replace("block", r"\n\z", "").alias("value"))
+    (rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .select(*g, "value").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*g).text(path))
 
 
 def write_table(df: DataFrame, path: str, partition_by=("corpus_id",), mode: str = "overwrite") -> None:

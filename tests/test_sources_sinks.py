@@ -46,9 +46,14 @@ def test_sinks(spark):
     files = spark.createDataFrame([("c1", 1, "a.js", "x\n", 2), ("c1", 2, "b.js", "y", 1)],
                                   "corpus_id string, pos long, path string, content string, size long")
     stats = spark.createDataFrame([("c1", 2, 3, 2)], "corpus_id string, total_files long, total_size long, tokens long")
-    blocks = render_blocks(files, stats, "plain")
-    write_blocks(blocks, f"{out}/blocks")
-    text = "".join(r.value + "\n" for r in spark.read.text(f"{out}/blocks/corpus_id=c1").collect())
-    whole = render_documents(files.withColumn("chunk", F.lit(1)).withColumnRenamed("pos", "q"),
-                             stats.withColumn("chunk", F.lit(1)), "plain").first().document
-    assert text.rstrip() == whole
+    from quire.operators.tree import tree_lines, tree_text
+    tl = tree_lines(files.select("corpus_id", "path", "content", "size"))
+    for fmt in ("plain", "markdown", "xml"):
+        blocks = render_blocks(files, stats, fmt, tree_rows=tl)
+        write_blocks(blocks, f"{out}/blocks-{fmt}")
+        d = f"{out}/blocks-{fmt}/corpus_id=c1"
+        text = "".join(open(os.path.join(d, n), encoding="utf-8").read()
+                       for n in sorted(os.listdir(d)) if n.startswith("part-"))
+        whole = render_documents(files.withColumn("chunk", F.lit(1)).withColumnRenamed("pos", "q"),
+                                 stats.withColumn("chunk", F.lit(1)), fmt, tree=tree_text(tl)).first().document
+        assert text.rstrip() == whole.rstrip(), fmt
