@@ -85,10 +85,17 @@ def _next_fit_fn(limit: int):
 
 
 def chunks_by_tokens(files: DataFrame, limit: int) -> DataFrame:
-    """next-fit chunk ids.  The fold is sequential per corpus, so it runs as
-    a grouped iterator (``applyInPandas``, Spark >= 4.1) over narrow
-    ``(corpus_id, pos, tokens)`` rows arriving in ``pos`` order: memory per
-    task is one Arrow batch, whatever the corpus size."""
+    """next-fit chunk ids, split across tasks so a hot corpus is not one
+    task (see :mod:`quire.operators.nextfit`)."""
+    from .nextfit import chunks_by_tokens_sliced
+    return chunks_by_tokens_sliced(files, limit)
+
+
+def chunks_by_tokens_grouped(files: DataFrame, limit: int) -> DataFrame:
+    """F4 as one streamed fold per corpus: a grouped iterator
+    (``applyInPandas``, Spark >= 4.1) over narrow ``(corpus_id, pos, tokens)``
+    rows in ``pos`` order; memory per task is one Arrow batch, but a corpus is
+    one task.  Kept as a cross-check of the sliced form."""
     narrow = (files.select("corpus_id", "pos", "tokens")
               .repartition("corpus_id").sortWithinPartitions("corpus_id", "pos"))
     ids = narrow.groupBy("corpus_id").applyInPandas(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.optimize import drop_low_priority
 from quire.operators.ordered import ordered_scan, window_scan
-from quire.operators.split import chunks_by_files, chunks_by_key, chunks_by_tokens, with_overlap, split_stats, chunk_stats
+from quire.operators.split import chunks_by_files, chunks_by_key, chunks_by_tokens, chunks_by_tokens_grouped, with_overlap, split_stats, chunk_stats
 
 
 def test_ordered_scan_hot_key(spark):
@@ -52,6 +52,8 @@ def test_next_fit(spark):
     df = spark.createDataFrame(rows, "corpus_id string, pos long, tokens long")
     got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens(df, 100).collect()}
     assert got == expect
+    got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens_grouped(df, 100).collect()}
+    assert got == expect
 
 
 def model_overlap(chunks, k):
@@ -122,3 +124,21 @@ def test_split_stats_by_files(spark):
     st = split_stats(chunk_stats(ch), summary).first()
     assert (st.total_chunks, st.total_tokens, st.max_tokens_in_chunk, st.min_tokens_in_chunk) == (3, 10350, 6100, 2100)
     assert st.avg_tokens_per_chunk == 3450
+
+
+def test_next_fit_sliced_hot_corpus(spark):
+    from quire.operators.nextfit import chunks_by_tokens_sliced
+    rnd = random.Random(12)
+    for trial in range(4):
+        rows, expect = [], {}
+        limit = rnd.choice([1, 10, 100, 1000])
+        for c in range(5):
+            n = 3000 if c == 0 else rnd.randint(1, 200)          # corpus 0 is hot
+            toks = [rnd.choice([0, 0, 1, 3, limit // 3 + 1, limit // 2, limit, limit + 1, 7 * limit]) for _ in range(n)]
+            m = model_next_fit(toks, limit)
+            for i, t in enumerate(toks):
+                rows.append((f"c{c}", i + 1, t))
+                expect[(f"c{c}", i + 1)] = m[i]
+        df = spark.createDataFrame(rows, "corpus_id string, pos long, tokens long")
+        got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens_sliced(df, limit, num_slices=17).collect()}
+        assert got == expect, trial

@@ -104,3 +104,26 @@ def test_changes_batch_and_stream(spark):
     q.awaitTermination()
     out = {r.corpus_id: r.files for r in W.current_output(spark, f"{d}/out").collect()}
     assert out == {"u1": 1, "u2": 2}
+
+
+def test_debounce_stream_equals_batch(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(300):
+        sec = rnd.randint(0, 3000)
+        rows.append((f"u{rnd.randint(0, 5)}", f"src/f{rnd.randint(0, 9)}.js", rnd.choice(["add", "change", "unlink"]),
+                     f"2024-01-01 00:{sec // 60:02d}:{sec % 60:02d}", i, "c"))
+    rows.append(("flush", "src/z.js", "add", "2024-01-02 00:00:00", 10_000, "c"))   # moves the watermark past all bursts
+    ch = spark.createDataFrame(rows, "corpus_id string, path string, op string, ts string, seq long, content string") \
+        .withColumn("ts", F.to_timestamp("ts")).withColumn("size", F.octet_length("content").cast("long"))
+    want = {tuple(r) for r in W.debounce(ch, 30000).where("corpus_id <> 'flush'").collect()}
+    d = tempfile.mkdtemp(prefix="quire-deb-")
+    ch.repartition(4).write.parquet(f"{d}/in")
+    stream = spark.readStream.schema(ch.schema).parquet(f"{d}/in")
+    q = (W.debounce(stream, 30000, watermark="1 minute").writeStream.outputMode("append")
+         .format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{d}/out").where("corpus_id <> 'flush'")
+           .select(*W.debounce(ch, 30000).columns).collect()}
+    assert got == want
