@@ -35,36 +35,55 @@ def _num_slices(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _local_scan(key: str, sums: Sequence[str], pos_col: str, cum_cols: Sequence[str]):
-    def run(batches: Iterable[pd.DataFrame]):
+def _key_changes(k) -> np.ndarray:
+    """``k[i] != k[i-1]`` for i >= 1 on an Arrow array, NULL equal to NULL."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    a, b = k.slice(1), k.slice(0, len(k) - 1)
+    ne = pc.fill_null(pc.not_equal(a, b), True)
+    both_null = pc.and_(pc.is_null(a), pc.is_null(b))
+    return pc.if_else(both_null, pa.scalar(False), ne).to_numpy(zero_copy_only=False)
+
+
+def _local_scan(key: str, sums: Sequence[str], pos_col: str, cum_cols: Sequence[str], out_schema):
+    """Per slice: local rank and running sums, restarting at each key.
+    Arrow batches in and out; only the key and the summed columns are
+    converted, other columns pass through untouched."""
+    def run(batches):
+        import pyarrow as pa
+        arrow_schema = None
         last_key, carry_n, carry = object(), 0, np.zeros(len(sums), dtype=np.int64)
-        for pdf in batches:
-            m = len(pdf)
+        for rb in batches:
+            m = rb.num_rows
             if m == 0:
                 continue
-            k = pdf[key].to_numpy(dtype=object)
+            if arrow_schema is None:
+                from pyspark.sql.pandas.types import to_arrow_schema
+                arrow_schema = to_arrow_schema(out_schema)
+            k = rb.column(rb.schema.get_field_index(key))
             new = np.empty(m, dtype=bool)
-            new[0] = not (k[0] == last_key or (k[0] is None and last_key is None))
+            k0 = k[0].as_py()
+            new[0] = not (k0 == last_key)
             if m > 1:
-                new[1:] = k[1:] != k[:-1]
-            seg = np.cumsum(new)                      # 0 = continues the previous batch's key
+                new[1:] = _key_changes(k)
+            seg = np.cumsum(new)
             idx = np.arange(m, dtype=np.int64)
             start = np.maximum.accumulate(np.where(new, idx, 0))
             rn = idx - start + 1
             cont = seg == 0
             rn[cont] += carry_n
-            out = {pos_col: rn}
-            for j, (c, cc) in enumerate(zip(sums, cum_cols)):
-                v = pdf[c].to_numpy(dtype=np.int64)
+            cols = list(rb.columns) + [pa.array(rn, type=pa.int64())]
+            for j, c in enumerate(sums):
+                v = rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
                 cs = np.cumsum(v)
                 base = np.where(start > 0, cs[start - 1], 0)
                 loc = cs - base
                 loc[cont] += carry[j]
-                out[cc] = loc
                 carry[j] = loc[-1]
+                cols.append(pa.array(loc, type=pa.int64()))
             carry_n = int(rn[-1])
-            last_key = k[-1]
-            yield pdf.assign(**out)
+            last_key = k[m - 1].as_py()
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
     return run
 
 
@@ -80,7 +99,7 @@ def ordered_scan(df: DataFrame, key: str, order: Sequence[Column], sums: Sequenc
     out_schema = T.StructType(sliced.schema.fields + [T.StructField(pos_col, T.LongType())]
                               + [T.StructField(c, T.LongType()) for c in cum_cols])
     local = (sliced.sortWithinPartitions(F.col(key), *order)
-             .mapInPandas(_local_scan(key, list(sums), pos_col, cum_cols), out_schema))
+             .mapInArrow(_local_scan(key, list(sums), pos_col, cum_cols, out_schema), out_schema))
     # Range bounds come from sampling, so two evaluations of the exchange may
     # slice differently: the local scan is written once and both the block
     # totals and the final rows read that one copy.

@@ -356,6 +356,11 @@ def q_watch_filter(spark, sf):
 
 
 def q_debounced_changes(spark, sf):
+    return W.debounce_batch(fx.changes_events(spark, sf), DEBOUNCE_MS)
+
+
+def q_debounced_changes_session(spark, sf):
+    """The same bursts with a session window (the streaming formulation)."""
     return W.debounce(fx.changes_events(spark, sf), DEBOUNCE_MS)
 
 

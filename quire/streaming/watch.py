@@ -51,6 +51,32 @@ def debounce(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
                     F.col("burst.end").alias("repack_at")))
 
 
+def debounce_batch(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
+                   stability_ms: int = 0) -> DataFrame:
+    """Batch twin of :func:`debounce` that does not put a corpus in one task:
+    events are ranked per corpus by ``(ts, seq)`` with the sliced ordered scan,
+    each event meets its predecessor through an equi-join on ``(corpus_id,
+    pos - 1)``, a burst starts where the gap exceeds the debounce time, burst
+    ids are a running sum of those starts, and bursts are a partial aggregate."""
+    from ..operators.ordered import ordered_scan
+    gap_us = (int(debounce_ms) + int(stability_ms)) * 1000
+    ranked = ordered_scan(changes.select("corpus_id", "path", "op", "ts", "seq"), "corpus_id",
+                          [F.col("ts"), F.col("seq")])
+    prev = ranked.select("corpus_id", (F.col("pos") + 1).alias("pos"), F.col("ts").alias("_prev_ts"))
+    flagged = ranked.join(prev, ["corpus_id", "pos"], "left").withColumn(
+        "_brk", F.when(F.col("_prev_ts").isNull() |
+                       (F.expr("timestampdiff(MICROSECOND, _prev_ts, ts)") > F.lit(gap_us)), 1).otherwise(0)
+        .cast("long"))
+    bursts = ordered_scan(flagged.drop("_prev_ts"), "corpus_id", [F.col("pos")], sums=["_brk"], pos_col="_p2")
+    last = F.struct("ts", "seq")
+    return (bursts.groupBy("corpus_id", F.col("cum__brk").alias("burst"))
+            .agg(F.count(F.lit(1)).cast("long").alias("events"), F.min("ts").alias("first_ts"),
+                 F.max("ts").alias("last_ts"), F.max_by("op", last).alias("last_op"),
+                 F.max_by("path", last).alias("last_path"))
+            .select("corpus_id", "first_ts", "last_ts", "events", "last_op", "last_path",
+                    (F.col("last_ts") + F.expr(f"INTERVAL {gap_us} MICROSECONDS")).alias("repack_at")))
+
+
 def latest_state(changes: DataFrame) -> DataFrame:
     """The current file set: the last event per (corpus, path) by
     ``(ts, seq)``, unlinked files removed.  Later-arriving old events cannot
