@@ -249,3 +249,16 @@ def get_suggestions(summary: DataFrame, model: str = K.DEFAULT_MODEL) -> DataFra
     arr = F.filter(F.array(*rows), lambda x: x.isNotNull())
     return summary.select("corpus_id", F.posexplode(arr).alias("n", "s")).select(
         "corpus_id", F.col("n").cast("int").alias("n"), "s.severity", "s.message", "s.action")
+
+
+def dropped_preview(optimized: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` dropped paths in drop order, and how many more."""
+    from pyspark.sql import Window
+    d = optimized.where("dropped")
+    w = Window.partitionBy("corpus_id").orderBy("drop_rank")
+    head = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    first = head.groupBy("corpus_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), "\n")
+        .alias("first_dropped"))
+    cnt = d.groupBy("corpus_id").agg(F.count(F.lit(1)).cast("long").alias("dropped_files"))
+    return first.join(cnt, "corpus_id").withColumn("more", F.greatest(F.col("dropped_files") - n, F.lit(0)))

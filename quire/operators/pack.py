@@ -162,3 +162,21 @@ def top_files_by_tokens(files: DataFrame, summary: DataFrame, k: int = 20) -> Da
             .select("corpus_id", "rank", "path", "tokens",
                     F.try_divide(F.col("tokens") * 100.0, F.col("_total")).alias("pct"),
                     F.greatest(F.col("_n") - k, F.lit(0)).cast("long").alias("more_files")))
+
+
+def single_file(files: DataFrame, path: str, corpus_id: str | None = None, model_table: DataFrame | None = None,
+                model: str = K.DEFAULT_MODEL) -> DataFrame:
+    """A2: one named file, counted without ignore rules, size cap or NUL check:
+    size, tokens, line breakdown and, for a known model, usage and remaining."""
+    from ..functions.tokens import estimate_tokens, line_breakdown
+    f = files.where(F.col("path") == F.lit(path))
+    if corpus_id is not None:
+        f = f.where(F.col("corpus_id") == F.lit(corpus_id))
+    out = f.select("corpus_id", "path", "size", estimate_tokens("content").alias("tokens"),
+                   line_breakdown("content").alias("lines"))
+    if model_table is not None:
+        m = model_table.where(F.col("model") == F.lit(model)).select("context")
+        out = (out.join(F.broadcast(m), F.lit(True), "left")
+               .withColumn("usage_pct", F.col("tokens") / F.col("context") * 100)
+               .withColumn("remaining", (F.col("context") - F.col("tokens")).cast("long")))
+    return out
