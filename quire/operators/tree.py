@@ -19,9 +19,14 @@ from .filters import ignored, rule_matches
 
 
 def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
-               rules: DataFrame | None = None) -> DataFrame:
+               rules: DataFrame | None = None, use_rule_files: bool = True) -> DataFrame:
     """``(corpus_id, path, segs, depth, is_dir, line)``; sort by ``segs`` for
-    the depth-first order with sorted siblings."""
+    the depth-first order with sorted siblings.  Like file selection, the
+    rule files at each corpus root add per-corpus patterns."""
+    if use_rule_files:
+        from ..sources.files import read_ignore_rules
+        rf = read_ignore_rules(files).select("corpus_id", "pattern")
+        rules = rf if rules is None else rules.select("corpus_id", "pattern").unionByName(rf)
     segs = F.split("path", "/", -1)
     ex = files.select("corpus_id", segs.alias("_s")).select(
         "corpus_id", "_s", F.explode(F.sequence(F.lit(1), F.size("_s"))).alias("depth"))

@@ -127,3 +127,9 @@ def test_debounce_stream_equals_batch(spark):
     got = {tuple(r) for r in spark.read.parquet(f"{d}/out").where("corpus_id <> 'flush'")
            .select(*W.debounce(ch, 30000).columns).collect()}
     assert got == want
+
+
+def test_tree_uses_rule_files(spark):
+    rows = [("p", ".gitignore", "secret\n"), ("p", "secret/a.txt", "x"), ("p", "src/b.js", "y"), ("p", ".ctxignore", "*.js\n")]
+    got = tree_text(tree_lines(files_df(spark, rows))).first().tree
+    assert got == "├── .ctxignore\n└── src/\n"
