@@ -103,22 +103,24 @@ def _truncate_fold_fn(max_tokens: float, preserve: int):
             visited = np.zeros(m, dtype=bool)
             allow = np.zeros(m, dtype=np.int64)
             keep = np.full(m, -1, dtype=np.int64)
+            pri = pdf["priority"].to_numpy(dtype=np.int64)
+            len1s = pdf["_len1"].to_numpy(dtype=np.int64)
             new_len = pdf["_len2"].to_numpy(dtype=np.int64).copy()
+            lines = pdf["_lines"].to_numpy()
             for i in range(m):
                 if done:
                     break
-                if int(pdf["priority"].iat[i]) <= preserve or math.ceil(L / 4) <= max_tokens:
+                if pri[i] <= preserve or math.ceil(L / 4) <= max_tokens:
                     done = True
                     break
-                len1 = int(pdf["_len1"].iat[i])
-                len2 = int(pdf["_len2"].iat[i])
+                len1, len2 = int(len1s[i]), int(new_len[i])
                 a = math.floor((len1 / L) * max_tokens * 0.5)
                 visited[i], allow[i] = True, a
                 nl = len2
                 tok2 = math.ceil(len2 / 4)
                 if a and tok2 > a:
                     target = math.floor(a * (len2 / tok2) * 0.95)
-                    c = np.cumsum(np.asarray(pdf["_lines"].iat[i], dtype=np.int64) + 1)
+                    c = np.cumsum(np.asarray(lines[i], dtype=np.int64) + 1)
                     k = int(np.searchsorted(c - 1, target, side="right"))
                     keep[i] = k
                     nl = (int(c[k - 1]) if k > 0 else 0) + MARKER_LEN
@@ -178,12 +180,13 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
         _truncate_fold_fn(float(max_tokens), int(preserve_priority)),
         "corpus_id string, pos long, visited boolean, allowance long, keep_lines long, new_len long")
     fold = fold.where("visited")
+    # The fold's columns ride through the drop step (its ordered scan keeps
+    # every column), so the fold runs once.
     final_len = (narrow.join(fold, ["corpus_id", "pos"], "left")
-                 .select("corpus_id", "pos", "priority",
+                 .select("corpus_id", "pos", "priority", "visited", "keep_lines", "new_len",
                          F.when(F.coalesce("visited", F.lit(False)), F.col("new_len")).otherwise(F.col("_len1"))
                          .cast("long").alias("len")))
     decisions = drop_low_priority(final_len, max_tokens, "len").drop("len", "priority")
-    decisions = decisions.join(fold, ["corpus_id", "pos"], "left")
     df = p1.join(decisions, ["corpus_id", "pos"])
     truncated = F.col("keep_lines") >= 0
     visited = F.coalesce(F.col("visited"), F.lit(False))
