@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .paths import ext_last
 from .text import LINE_END, WS, col, lines
 from .tokens import len_chars, tokens_from_len
 

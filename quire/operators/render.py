@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.paths import language_of
-from ..functions.text import ensure_trailing_newline, format_size, rtrim_ws, trim_ws, xml_escape
+from ..functions.text import ensure_trailing_newline, format_size, trim_ws, xml_escape
 
 FORMATS = ["markdown", "xml", "plain", "json"]
 ALIASES = {"markdown": "markdown", "md": "markdown", "xml": "xml", "plain": "plain", "text": "plain",

@@ -3,9 +3,6 @@ command's defaults and returns its reports as named DataFrames.  Rendering
 and writing are separate steps (``quire.sources.sinks``)."""
 from __future__ import annotations
 
-import math
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

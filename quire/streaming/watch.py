@@ -7,8 +7,6 @@ with identical semantics (used for checks).
 """
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
