@@ -3,8 +3,7 @@ operator over the driver's tables (via the views of ``quire.sources.fixtures``).
 Parameters are fixed here and repeated verbatim in the oracle SQL."""
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -372,7 +371,7 @@ def q_stream_repack(spark, sf):
     """J1 + J5: events streamed from the parquet folder, per-batch repack of
     the touched corpora, final state read back."""
     from ..sources.fixtures import changes_from_events
-    base = work_path(spark, f"stream-{os.getpid()}-{next(tempfile._get_candidate_names())}")
+    base = work_path(spark, f"stream-{uuid.uuid4().hex}")
     ev_schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
     stream = W.stream_changes(spark, sf, ev_schema.simpleString()[7:-1].replace(":", " "), glob="events.parquet")
     changes = changes_from_events(stream)
