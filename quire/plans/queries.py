@@ -385,4 +385,4 @@ def q_stream_repack(spark, sf):
 
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
-ROWS_ONLY = {"optimize_context", "optimize_summary", "stream_repack"}
+ROWS_ONLY = {"stream_repack"}
