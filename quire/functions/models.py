@@ -94,6 +94,27 @@ def remove_profile(custom: DataFrame, name) -> DataFrame:
     return custom.filter(F.col("model") != F.lit(name))
 
 
+MAX_MODEL_ROWS = 10000
+
+
+def model_literals(model_table: DataFrame, columns=("model", "context", "input", "output", "ord")) -> Column:
+    """The model table (configuration: built-ins plus custom profiles) as a
+    literal array of structs, so pairing it with every corpus is a
+    projection (``explode``), not a join.  Its size is checked."""
+    rows = model_table.select(*columns).limit(MAX_MODEL_ROWS + 1).collect()
+    if len(rows) > MAX_MODEL_ROWS:
+        raise ValueError(f"model table has more than {MAX_MODEL_ROWS} rows")
+    types = {f.name: f.dataType for f in model_table.schema.fields}
+    return F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in columns]) for r in rows]) if rows \
+        else F.array().cast(T.ArrayType(T.StructType([T.StructField(c, types[c]) for c in columns])))
+
+
+def with_models(df: DataFrame, model_table: DataFrame, columns=("model", "context", "input", "output", "ord")) -> DataFrame:
+    """Each row once per model (columns of the model table appended)."""
+    return df.withColumn("_m", F.explode(model_literals(model_table, columns))).select(
+        *df.columns, *[F.col("_m")[c].alias(c) for c in columns])
+
+
 def cost_columns(input_tokens, output_tokens, context, input_price, output_price) -> dict:
     """Cost arithmetic in the same double operation order everywhere."""
     it, ot = col(input_tokens), col(output_tokens)
@@ -105,9 +126,10 @@ def cost_columns(input_tokens, output_tokens, context, input_price, output_price
 
 def example_costs(model_table: DataFrame) -> DataFrame:
     """Price of 1K/10K/50K/100K tokens each way, for counts within context."""
-    spark = model_table.sparkSession
-    ex = spark.createDataFrame(K.EXAMPLE_TOKEN_COUNTS, "tokens long, label string")
-    out = model_table.crossJoin(F.broadcast(ex)).where(F.col("tokens") <= F.col("context"))
+    ex = F.array(*[F.struct(F.lit(t).cast("long").alias("tokens"), F.lit(l).alias("label"))
+                   for t, l in K.EXAMPLE_TOKEN_COUNTS])
+    out = (model_table.withColumn("_e", F.explode(ex)).select("*", "_e.tokens", "_e.label").drop("_e")
+           .where(F.col("tokens") <= F.col("context")))
     ic = (F.col("tokens") / F.lit(1000000.0)) * F.col("input")
     oc = (F.col("tokens") / F.lit(1000000.0)) * F.col("output")
     return out.select("model", "tokens", "label", ic.alias("input_cost"), oc.alias("output_cost"),

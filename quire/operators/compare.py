@@ -1,8 +1,9 @@
 """Corpora against the model table.
 
-Token totals are computed once per corpus, then crossed with the model table.
-That table holds the built-in models plus any custom profiles, a few dozen
-rows: its size is fixed by configuration, not by data, so it is broadcast.
+Token totals are computed once per corpus, then each corpus row is expanded
+once per model.  The model table is configuration (built-ins plus custom
+profiles, a few dozen rows, size-checked), so it becomes a literal array and
+the expansion is an ``explode`` in a projection: no join, no exchange.
 """
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.models import cost_columns
+from ..functions.models import cost_columns, with_models
 
 
 def _models(model_table: DataFrame, names: Sequence[str] | None) -> DataFrame:
@@ -26,8 +27,7 @@ def _models(model_table: DataFrame, names: Sequence[str] | None) -> DataFrame:
 def compare_models(summary: DataFrame, model_table: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Per corpus and model, usage = tokens / context, ranked ascending
     (ties by declaration order)."""
-    m = _models(model_table, names).select("model", "context", "ord")
-    x = summary.select("corpus_id", "tokens").crossJoin(F.broadcast(m))
+    x = with_models(summary.select("corpus_id", "tokens"), _models(model_table, names), ("model", "context", "ord"))
     usage = F.col("tokens") / F.col("context")
     x = x.withColumn("usage", usage).withColumn("fits", usage <= 1) \
          .withColumn("remaining", (F.col("context") - F.col("tokens")).cast("long"))
@@ -53,8 +53,7 @@ def fitting_models(compared: DataFrame, n_fit: int = 5, n_over: int = 3) -> Data
 def cost_comparison(summary: DataFrame, model_table: DataFrame, output_tokens: int = K.DEFAULT_OUTPUT_TOKENS,
                     names: Sequence[str] | None = None) -> DataFrame:
     """Cost of each corpus on each model, ranked by total cost."""
-    m = _models(model_table, names)
-    x = summary.select("corpus_id", F.col("tokens").alias("input_tokens")).crossJoin(F.broadcast(m))
+    x = with_models(summary.select("corpus_id", F.col("tokens").alias("input_tokens")), _models(model_table, names))
     x = x.withColumn("output_tokens", F.lit(int(output_tokens)).cast("long"))
     c = cost_columns("input_tokens", "output_tokens", "context", "input", "output")
     x = x.select("corpus_id", "model", "ord", "input_tokens", "output_tokens",
@@ -69,8 +68,10 @@ def cost_comparison(summary: DataFrame, model_table: DataFrame, output_tokens: i
 def single_cost(summary: DataFrame, model_table: DataFrame, model: str,
                 output_tokens: int = K.DEFAULT_OUTPUT_TOKENS) -> DataFrame:
     """C16 for one model; an unknown model gives NULL costs and an ``error``."""
-    m = model_table.where(F.col("model") == F.lit(model))
-    x = summary.select("corpus_id", F.col("tokens").alias("input_tokens")).join(F.broadcast(m), F.lit(True), "left")
+    m = model_table.where(F.col("model") == F.lit(model)).select("context", "input", "output").limit(1).collect()
+    ctx, pin, pout = (m[0]["context"], m[0]["input"], m[0]["output"]) if m else (None, None, None)
+    x = summary.select("corpus_id", F.col("tokens").alias("input_tokens"), F.lit(ctx).cast("long").alias("context"),
+                       F.lit(pin).cast("double").alias("input"), F.lit(pout).cast("double").alias("output"))
     x = x.withColumn("output_tokens", F.lit(int(output_tokens)).cast("long"))
     c = cost_columns("input_tokens", "output_tokens", "context", "input", "output")
     return x.select("corpus_id", F.lit(model).alias("model"), "input_tokens", "output_tokens",

@@ -29,15 +29,24 @@ MARKER_LEN = len(K.TRUNCATION_MARKER)
 
 
 def clean_steps(df: DataFrame, src: str, prefix: str, *, remove_comments_: bool, remove_empty_lines_: bool,
-                minify_: bool, utf16: bool = False) -> DataFrame:
+                minify_: bool, utf16: bool = False, only_where=None) -> DataFrame:
     """One cleaning pass as separate columns ``<prefix>_content`` and
-    ``<prefix>_strategies``; each step is its own column so no regex runs twice."""
+    ``<prefix>_strategies``; each step is its own column so no regex runs twice.
+    With ``only_where`` the pass runs only on rows meeting it (NULL elsewhere)."""
     cur, cur_len = src, f"{prefix}_l0"
     df = df.withColumn(cur_len, len_chars(src, utf16))
     flags = []
-    steps = [(remove_comments_, K.STRATEGY_REMOVE_COMMENTS, lambda c: remove_comments(c, ext_last("path"))),
-             (remove_empty_lines_, K.STRATEGY_REMOVE_EMPTY_LINES, remove_empty_lines),
-             (minify_, K.STRATEGY_MINIFY, minify)]
+    if only_where is not None:
+        orig = {"c": remove_comments, "e": remove_empty_lines, "m": minify}
+
+        def gate(fn):
+            return lambda c: F.when(only_where, fn(c))
+        steps_fns = (gate(lambda c: orig["c"](c, ext_last("path"))), gate(orig["e"]), gate(orig["m"]))
+    else:
+        steps_fns = (lambda c: remove_comments(c, ext_last("path")), remove_empty_lines, minify)
+    steps = [(remove_comments_, K.STRATEGY_REMOVE_COMMENTS, steps_fns[0]),
+             (remove_empty_lines_, K.STRATEGY_REMOVE_EMPTY_LINES, steps_fns[1]),
+             (minify_, K.STRATEGY_MINIFY, steps_fns[2])]
     for i, (on, name, fn) in enumerate(steps):
         if not on:
             continue
@@ -162,7 +171,9 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
     p1 = clean_steps(files.withColumn("original_size", size0.cast("long")), "content", "_p1",
                      remove_comments_=remove_comments_, remove_empty_lines_=remove_empty_lines_,
                      minify_=minify_, utf16=utf16)
-    p1 = clean_steps(p1, "_p1_content", "_p2", **rc, utf16=utf16)
+    base_p1 = p1
+    cand_rows = F.col("priority") > preserve_priority
+    p1 = clean_steps(p1, "_p1_content", "_p2", **rc, utf16=utf16, only_where=cand_rows)
     # Narrow copy of both passes (lengths, line lengths, priority, pos): the
     # fold and the drop step read it; content is cleaned once more at the end.
     narrow = p1.select("corpus_id", "pos", "priority", F.col("_p1_len").alias("_len1"),
@@ -187,9 +198,12 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
                          F.when(F.coalesce("visited", F.lit(False)), F.col("new_len")).otherwise(F.col("_len1"))
                          .cast("long").alias("len")))
     decisions = drop_low_priority(final_len, max_tokens, "len").drop("len", "priority")
-    df = p1.join(decisions, ["corpus_id", "pos"])
-    truncated = F.col("keep_lines") >= 0
+    # Final content: phase 1 for every kept row, the second pass only where
+    # the fold visited the file.
     visited = F.coalesce(F.col("visited"), F.lit(False))
+    df = clean_steps(base_p1.join(decisions, ["corpus_id", "pos"]), "_p1_content", "_p2", **rc, utf16=utf16,
+                     only_where=visited)
+    truncated = F.col("keep_lines") >= 0
     content2 = F.when(truncated, truncate_lines("_p2_content", F.col("keep_lines"))).otherwise(F.col("_p2_content"))
     strat2 = F.when(truncated & (F.col("new_len") < F.col("_p2_len")),
                     F.array_append(F.col("_p2_strategies"), F.lit(K.STRATEGY_TRUNCATE_LARGE))) \

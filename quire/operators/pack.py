@@ -134,8 +134,9 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
 
 def count_summary(summary: DataFrame, model_table: DataFrame, model: str) -> DataFrame:
     """Totals against one model's context (unknown model: NULL context)."""
-    m = model_table.where(F.col("model") == F.lit(model)).select("context")
-    return (summary.join(F.broadcast(m), F.lit(True), "left")
+    m = model_table.where(F.col("model") == F.lit(model)).select("context").limit(1).collect()
+    ctx = m[0]["context"] if m else None
+    return (summary.withColumn("context", F.lit(ctx).cast("long"))
             .select("corpus_id", "total_files", "total_size", "tokens",
                     F.lit(model).alias("model"), F.col("context").cast("long").alias("context"),
                     (F.col("tokens") / F.col("context") * 100).alias("usage_pct"),
@@ -175,8 +176,8 @@ def single_file(files: DataFrame, path: str, corpus_id: str | None = None, model
     out = f.select("corpus_id", "path", "size", estimate_tokens("content").alias("tokens"),
                    line_breakdown("content").alias("lines"))
     if model_table is not None:
-        m = model_table.where(F.col("model") == F.lit(model)).select("context")
-        out = (out.join(F.broadcast(m), F.lit(True), "left")
+        m = model_table.where(F.col("model") == F.lit(model)).select("context").limit(1).collect()
+        out = (out.withColumn("context", F.lit(m[0]["context"] if m else None).cast("long"))
                .withColumn("usage_pct", F.col("tokens") / F.col("context") * 100)
                .withColumn("remaining", (F.col("context") - F.col("tokens")).cast("long")))
     return out

@@ -270,11 +270,10 @@ def q_profile_costs(spark, sf):
 
 def q_resolve_model(spark, sf):
     names = spark.createDataFrame([(n,) for n in RESOLVE_NAMES] + [(None,)], "requested string")
-    resolved = M.resolve_model(names, "requested")
-    x = _packed(spark, sf).summary.select("corpus_id", "tokens").crossJoin(F.broadcast(resolved))
-    m = M.models(spark).select("model", "context")
-    return x.join(F.broadcast(m), "model").select(
-        "corpus_id", "requested", "model", (F.col("tokens") / F.col("context")).alias("usage"))
+    resolved = M.resolve_model(names, "requested").join(M.models(spark).select("model", "context"), "model")
+    x = M.with_models(_packed(spark, sf).summary.select("corpus_id", "tokens"), resolved,
+                      ("requested", "model", "context"))
+    return x.select("corpus_id", "requested", "model", (F.col("tokens") / F.col("context")).alias("usage"))
 
 
 def q_ignore_rules_per_corpus(spark, sf):
