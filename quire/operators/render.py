@@ -217,6 +217,8 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
         rows = tree_rows.select("corpus_id", "segs", "line")
         if g != ["corpus_id"]:
             rows = rows.join(stats.select(*g), "corpus_id")
+        else:                                    # only documents that exist
+            rows = rows.join(stats.select("corpus_id"), "corpus_id", "left_semi")
         out = out.unionByName(rows.select(*g, F.lit(1).alias("part"),
                                           F.lit(0).cast("long").alias("seq"), F.col("line").alias("block"),
                                           "segs"), allowMissingColumns=True)

@@ -318,6 +318,15 @@ def q_render_json(spark, sf):
     return _render_pack(spark, sf, "json")
 
 
+def q_render_markdown_blocks(spark, sf):
+    """The markdown document of each corpus as ordered block rows (the scale
+    path: no corpus or tree becomes one value)."""
+    p = _packed(spark, sf)
+    b = R.render_blocks(p.with_content(), p.summary, "markdown", tree_rows=T.tree_lines(_files(spark, sf)))
+    return b.select("corpus_id", "part", "seq", F.array_join("segs", "/").alias("node"),
+                    F.length("block").cast("long").alias("block_len"), F.md5("block").alias("block_md5"))
+
+
 def q_render_chunks(spark, sf):
     p, s = _split(spark, sf, "by_tokens", max_tokens_per_chunk=CHUNK_TOKENS)
     files = s.join(p.source.select("corpus_id", "path", "content"), ["corpus_id", "path"])
