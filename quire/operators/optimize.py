@@ -99,7 +99,85 @@ def drop_low_priority(files: DataFrame, max_tokens, len_col: str = "len") -> Dat
             .drop("_T", "_n", "cum__dl", "_dl"))
 
 
-def _truncate_fold_fn(max_tokens: float, preserve: int):
+def _fold_scalar(L: int, pri, len1s, len2s, lines, max_tokens: float, preserve: int):
+    """Reference loop for one batch: returns (visited, allowance, keep, new_len, L, done)."""
+    m = len(len1s)
+    visited = np.zeros(m, dtype=bool)
+    allow = np.zeros(m, dtype=np.int64)
+    keep = np.full(m, -1, dtype=np.int64)
+    new_len = np.asarray(len2s, dtype=np.int64).copy()
+    for i in range(m):
+        if pri[i] <= preserve or math.ceil(L / 4) <= max_tokens:
+            return visited, allow, keep, new_len, L, True
+        len1, len2 = int(len1s[i]), int(new_len[i])
+        a = math.floor((len1 / L) * max_tokens * 0.5)
+        visited[i], allow[i] = True, a
+        nl = len2
+        tok2 = math.ceil(len2 / 4)
+        if a and tok2 > a:
+            target = math.floor(a * (len2 / tok2) * 0.95)
+            c = np.cumsum(np.asarray(lines[i], dtype=np.int64) + 1)
+            k = int(np.searchsorted(c - 1, target, side="right"))
+            keep[i] = k
+            nl = (int(c[k - 1]) if k > 0 else 0) + MARKER_LEN
+        new_len[i] = nl
+        L = L - len1 + nl
+    return visited, allow, keep, new_len, L, False
+
+
+def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float):
+    """Vectorised exact fold over one block of candidate rows (no stop inside
+    the caller's checks): the running total ``L_i`` before each row is guessed,
+    every allowance and new length is computed at once, ``L_i`` is rebuilt by a
+    cumulative sum, and this repeats until nothing changes.  Row i is exact
+    once rows < i are, so at most ``len(block)`` rounds; usually a few."""
+    m = len(len1)
+    Ls = np.full(m, L, dtype=np.int64)
+    tok2 = -(-len2 // 4)
+    for _ in range(m + 1):
+        stop = np.flatnonzero(-(-Ls // 4) <= max_tokens)
+        n = int(stop[0]) if len(stop) else m
+        a = np.floor((len1[:n] / Ls[:n]) * max_tokens * 0.5).astype(np.int64)
+        trunc = (a > 0) & (tok2[:n] > a)
+        nl = len2[:n].copy()
+        keep = np.full(n, -1, dtype=np.int64)
+        if trunc.any():
+            idx = np.flatnonzero(trunc)
+            target = np.floor(a[idx] * (len2[idx] / tok2[idx]) * 0.95).astype(np.int64)
+            # lines of row r are cum[offs[r]:offs[r+1]] (running length incl. newline)
+            lo, hi = offs[idx], offs[idx + 1]
+            k = np.array([int(np.searchsorted(cum[l:h] - 1, t, side="right")) for l, h, t in zip(lo, hi, target)],
+                         dtype=np.int64) if len(idx) < 64 else \
+                _segmented_count(cum, lo, hi, target)
+            kept = np.where(k > 0, cum[np.maximum(lo + k - 1, 0)], 0)
+            keep[idx] = k
+            nl[idx] = kept + MARKER_LEN
+        newLs = np.empty(m, dtype=np.int64)
+        newLs[0] = L
+        if m > 1:
+            delta = np.concatenate([nl - len1[:n], np.zeros(m - n, dtype=np.int64)])
+            newLs[1:] = L + np.cumsum(delta)[:-1]
+        if np.array_equal(newLs[:n + 1 if n < m else m], Ls[:n + 1 if n < m else m]):
+            Lend = int(Ls[n - 1] - len1[n - 1] + nl[n - 1]) if n > 0 else L
+            return n, a, keep, nl, Lend
+        Ls = newLs
+    raise RuntimeError("fold did not converge")
+
+
+def _segmented_count(cum, lo, hi, target):
+    """For each row r: how many of cum[lo_r:hi_r] satisfy cum - 1 <= target_r
+    (each segment is increasing), in one searchsorted over a shifted key."""
+    lens = hi - lo
+    rows = np.repeat(np.arange(len(lo)), lens)
+    pos = np.concatenate([np.arange(l, h) for l, h in zip(lo, hi)]) if len(lo) else np.zeros(0, dtype=np.int64)
+    big = int(max(int(cum.max()) if len(cum) else 0, int(target.max()) if len(target) else 0)) + 2
+    key = rows.astype(np.int64) * big + (cum[pos] - 1)
+    q = np.arange(len(lo), dtype=np.int64) * big + target
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else lens
+    return np.searchsorted(key, q, side="right") - starts
+
+
+def _truncate_fold_fn(max_tokens: float, preserve: int, block: int = 4096):
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         L = None
         done = False
@@ -112,29 +190,28 @@ def _truncate_fold_fn(max_tokens: float, preserve: int):
             visited = np.zeros(m, dtype=bool)
             allow = np.zeros(m, dtype=np.int64)
             keep = np.full(m, -1, dtype=np.int64)
+            new_len = pdf["_len2"].to_numpy(dtype=np.int64).copy()
             pri = pdf["priority"].to_numpy(dtype=np.int64)
             len1s = pdf["_len1"].to_numpy(dtype=np.int64)
-            new_len = pdf["_len2"].to_numpy(dtype=np.int64).copy()
             lines = pdf["_lines"].to_numpy()
-            for i in range(m):
-                if done:
-                    break
-                if pri[i] <= preserve or math.ceil(L / 4) <= max_tokens:
+            i = 0
+            while i < m and not done:
+                j = min(i + block, m)
+                # rows at or below the preserve level end the phase
+                low = np.flatnonzero(pri[i:j] <= preserve)
+                j_eff = i + int(low[0]) if len(low) else j
+                if j_eff > i:
+                    ls = [np.asarray(x, dtype=np.int64) for x in lines[i:j_eff]]
+                    offs = np.concatenate([[0], np.cumsum([len(x) for x in ls])]).astype(np.int64)
+                    cum = np.concatenate([np.cumsum(x + 1) for x in ls]) if offs[-1] else np.zeros(0, np.int64)
+                    n, a, kp, nl, Lend = _fold_block(L, len1s[i:j_eff], new_len[i:j_eff], offs, cum, max_tokens)
+                    visited[i:i + n], allow[i:i + n], keep[i:i + n], new_len[i:i + n] = True, a, kp, nl
+                    L = Lend
+                    if n < j_eff - i:
+                        done = True
+                if j_eff < j:
                     done = True
-                    break
-                len1, len2 = int(len1s[i]), int(new_len[i])
-                a = math.floor((len1 / L) * max_tokens * 0.5)
-                visited[i], allow[i] = True, a
-                nl = len2
-                tok2 = math.ceil(len2 / 4)
-                if a and tok2 > a:
-                    target = math.floor(a * (len2 / tok2) * 0.95)
-                    c = np.cumsum(np.asarray(lines[i], dtype=np.int64) + 1)
-                    k = int(np.searchsorted(c - 1, target, side="right"))
-                    keep[i] = k
-                    nl = (int(c[k - 1]) if k > 0 else 0) + MARKER_LEN
-                new_len[i] = nl
-                L = L - len1 + nl
+                i = j
             yield pd.DataFrame({"corpus_id": pdf["corpus_id"], "pos": pdf["pos"], "visited": visited,
                                 "allowance": allow, "keep_lines": keep, "new_len": new_len})
     return run
