@@ -125,16 +125,17 @@ def _fold_scalar(L: int, pri, len1s, len2s, lines, max_tokens: float, preserve:
     return visited, allow, keep, new_len, L, False
 
 
-def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float):
-    """Vectorised exact fold over one block of candidate rows (no stop inside
-    the caller's checks): the running total ``L_i`` before each row is guessed,
-    every allowance and new length is computed at once, ``L_i`` is rebuilt by a
-    cumulative sum, and this repeats until nothing changes.  Row i is exact
-    once rows < i are, so at most ``len(block)`` rounds; usually a few."""
+def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float, max_rounds: int | None = None):
+    """Vectorised exact fold over one block of candidate rows: the running
+    total ``L_i`` before each row is guessed, every allowance and new length is
+    computed at once, ``L_i`` is rebuilt by a cumulative sum, and this repeats
+    until nothing changes.  Row i is exact once rows < i are.  Converges in a
+    few rounds when truncations barely move the allowances; when they keep
+    moving, ``max_rounds`` gives up (None) and the caller uses the loop."""
     m = len(len1)
     Ls = np.full(m, L, dtype=np.int64)
     tok2 = -(-len2 // 4)
-    for _ in range(m + 1):
+    for _ in range(m + 1 if max_rounds is None else max_rounds):
         stop = np.flatnonzero(-(-Ls // 4) <= max_tokens)
         n = int(stop[0]) if len(stop) else m
         a = np.floor((len1[:n] / Ls[:n]) * max_tokens * 0.5).astype(np.int64)
@@ -161,6 +162,8 @@ def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float):
             Lend = int(Ls[n - 1] - len1[n - 1] + nl[n - 1]) if n > 0 else L
             return n, a, keep, nl, Lend
         Ls = newLs
+    if max_rounds is not None:
+        return None                               # caller falls back to the loop
     raise RuntimeError("fold did not converge")
 
 
@@ -181,6 +184,7 @@ def _truncate_fold_fn(max_tokens: float, preserve: int, block: int = 4096):
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         L = None
         done = False
+        vectorise = True
         for pdf in batches:
             m = len(pdf)
             if m == 0:
@@ -204,10 +208,19 @@ def _truncate_fold_fn(max_tokens: float, preserve: int, block: int = 4096):
                     ls = [np.asarray(x, dtype=np.int64) for x in lines[i:j_eff]]
                     offs = np.concatenate([[0], np.cumsum([len(x) for x in ls])]).astype(np.int64)
                     cum = np.concatenate([np.cumsum(x + 1) for x in ls]) if offs[-1] else np.zeros(0, np.int64)
-                    n, a, kp, nl, Lend = _fold_block(L, len1s[i:j_eff], new_len[i:j_eff], offs, cum, max_tokens)
-                    visited[i:i + n], allow[i:i + n], keep[i:i + n], new_len[i:i + n] = True, a, kp, nl
-                    L = Lend
-                    if n < j_eff - i:
+                    res = _fold_block(L, len1s[i:j_eff], new_len[i:j_eff], offs, cum, max_tokens,
+                                      max_rounds=4) if vectorise else None
+                    if res is not None:
+                        n, a, kp, nl, Lend = res
+                        visited[i:i + n], allow[i:i + n], keep[i:i + n], new_len[i:i + n] = True, a, kp, nl
+                        L = Lend
+                        stopped = n < j_eff - i
+                    else:                         # allowances keep moving: plain loop from here on
+                        vectorise = False
+                        v, a, kp, nl, L, stopped = _fold_scalar(L, pri[i:j_eff], len1s[i:j_eff], new_len[i:j_eff],
+                                                                lines[i:j_eff], max_tokens, preserve)
+                        visited[i:j_eff], allow[i:j_eff], keep[i:j_eff], new_len[i:j_eff] = v, a, kp, nl
+                    if stopped:
                         done = True
                 if j_eff < j:
                     done = True
