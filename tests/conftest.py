@@ -19,6 +19,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quire-test-ckpt-"))
+    from quire.session import ship_package
+    ship_package(s)
     yield s
 
 
