@@ -79,27 +79,36 @@ def _segment_hit(s, patterns, binary):
     return c
 
 
-def rule_matches(path: Column, pattern: Column) -> Column:
-    """The same test with the pattern as a column (per-corpus rules)."""
-    segs = segments(path)
-    star_head = pattern.startswith("*") & F.exists(segs, lambda s: s.endswith(F.substring(pattern, 2, 1 << 30)))
-    star_tail = pattern.endswith("*") & F.exists(
-        segs, lambda s: s.startswith(F.substring(pattern, 1, F.length(pattern) - 1)))
-    return path.contains(pattern) | star_head | star_tail
+def _quote(c: Column) -> Column:
+    """A column's text as a literal inside a Java regex (``\\Q...\\E``)."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def rules_regex(rules: DataFrame) -> DataFrame:
+    """One regex per corpus from its patterns (same closed form as
+    :func:`ignored`): ``(corpus_id, _rx)``.  A partial aggregate; a corpus's
+    rule list is the size of its rule files."""
+    p = F.col("pattern")
+    piece = F.concat_ws("|", _quote(p),
+                        F.when(p.startswith("*"), F.concat(_quote(F.substring(p, 2, 1 << 30)), F.lit("(?:/|$)"))),
+                        F.when(p.endswith("*"), F.concat(F.lit("(?:^|/)"), _quote(F.substring(p, 1, F.length(p) - 1)))))
+    return (rules.where(p.isNotNull() & (p != "")).select("corpus_id", piece.alias("_piece"))
+            .groupBy("corpus_id").agg(F.concat_ws("|", F.array_sort(F.collect_set("_piece"))).alias("_rx")))
 
 
 def filter_ignored(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
                    rules: DataFrame | None = None) -> DataFrame:
     """Drop ignored files: literal ``patterns`` for every corpus, plus optional
-    per-corpus ``rules(corpus_id, pattern)``.  The rules join is an equi-join
-    on ``corpus_id`` with the pattern test as residual; AQE broadcasts the
-    rules side when its measured size is small and splits a skewed corpus
-    otherwise."""
+    per-corpus ``rules(corpus_id, pattern)``.  Each corpus's rules become one
+    regex, joined on ``corpus_id`` (one row per corpus; AQE broadcasts it when
+    small and splits a skewed corpus otherwise), so every file is tested once
+    rather than against each rule."""
     out = files.where(~ignored("path", patterns))
     if rules is not None:
-        r = rules.select(F.col("corpus_id").alias("_r_corpus"), F.col("pattern").alias("_r_pattern"))
-        out = out.join(r, (out["corpus_id"] == r["_r_corpus"]) & rule_matches(out["path"], r["_r_pattern"]),
-                       "left_anti")
+        rx = rules_regex(rules).withColumnRenamed("corpus_id", "_r_corpus")
+        out = (out.join(rx, out["corpus_id"] == rx["_r_corpus"], "left")
+               .where(~F.coalesce(F.regexp(F.col("path"), F.col("_rx")), F.lit(False)))
+               .drop("_r_corpus", "_rx"))
     return out
 
 

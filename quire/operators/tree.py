@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .filters import ignored, rule_matches
+from .filters import ignored, rules_regex
 
 
 def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
@@ -39,9 +39,10 @@ def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
                  .withColumn("parent", F.array_join(F.slice("segs", 1, F.col("depth") - 1), "/"))
     nodes = nodes.where(~ignored("path", list(patterns)))
     if rules is not None:
-        r = rules.select(F.col("corpus_id").alias("_r_corpus"), F.col("pattern").alias("_r_pattern"))
-        nodes = nodes.join(r, (nodes["corpus_id"] == r["_r_corpus"]) & rule_matches(nodes["path"], r["_r_pattern"]),
-                           "left_anti")
+        rx = rules_regex(rules).withColumnRenamed("corpus_id", "_r_corpus")
+        nodes = (nodes.join(rx, nodes["corpus_id"] == rx["_r_corpus"], "left")
+                 .where(~F.coalesce(F.regexp(F.col("path"), F.col("_rx")), F.lit(False)))
+                 .drop("_r_corpus", "_rx"))
     # A node whose ancestor is ignored is dropped below: it finds fewer
     # ancestor rows than its depth requires.
     last = nodes.groupBy("corpus_id", "parent").agg(F.max("name").alias("_last"))

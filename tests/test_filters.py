@@ -75,3 +75,21 @@ def test_extensions_not_lowercased(spark):
     assert kept == {"a.JS", "b.js"}
     kept = {r.path for r in select_files(files_df(spark, rows), extensions=["JS"]).collect()}
     assert kept == set()
+
+
+def test_rule_regex_matches_level_walk(spark):
+    from quire.operators.filters import filter_ignored
+    rnd = random.Random(17)
+    parts = ["src", "a.b", "x*y", "f(1)", "dist", "[z]", "b.tmp", "q+", "we\\Eird", "lib"]
+    pats = ["*.tmp", "x*", "a.b", "f(1)", "[z]", "q+", "we\\Eird", "*", "lib*"]
+    rows, rules, expect = [], [], set()
+    for c in range(6):
+        mine = rnd.sample(pats, rnd.randint(1, 3))
+        rules += [(f"c{c}", p) for p in mine]
+        for p in {"/".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(60)}:
+            rows.append((f"c{c}", p, "x"))
+            if not model_ignored(p, list(K.DEFAULT_IGNORE)) and not model_ignored(p, mine):
+                expect.add((f"c{c}", p))
+    r = spark.createDataFrame(rules, "corpus_id string, pattern string")
+    got = {(x.corpus_id, x.path) for x in filter_ignored(files_df(spark, rows), K.DEFAULT_IGNORE, r).collect()}
+    assert got == expect
