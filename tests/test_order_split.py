@@ -142,3 +142,11 @@ def test_next_fit_sliced_hot_corpus(spark):
         df = spark.createDataFrame(rows, "corpus_id string, pos long, tokens long")
         got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens_sliced(df, limit, num_slices=17).collect()}
         assert got == expect, trial
+
+
+def test_ordered_scan_null_key(spark):
+    rows = [(None if i % 2 else "k", i, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    a = {(r.k, r.o): (r.pos, r.cum_v) for r in ordered_scan(df, "k", [F.col("o")], ["v"], num_slices=7).collect()}
+    b = {(r.k, r.o): (r.pos, r.cum_v) for r in window_scan(df, "k", [F.col("o")], ["v"]).collect()}
+    assert a == b
