@@ -97,20 +97,27 @@ def stream_changes(spark: SparkSession, folder: str, schema: str, glob: str | No
 
 
 def incremental_repack(stream: DataFrame, log_path: str, out_path: str, checkpoint: str,
-                       summarize, trigger_once: bool = True):
-    """Per micro-batch, append the batch's changes to a log partitioned by
-    corpus (idempotent: the batch id is a partition value and is overwritten
-    on replay), then recompute only the touched corpora from the log and
+                       summarize, trigger_once: bool = True, log_buckets: int = 64):
+    """Per micro-batch, append the batch's changes to a log partitioned by a
+    hash bucket of the corpus and the batch id (idempotent: a replay overwrites
+    its own partitions), then recompute only the touched corpora from the log
+    (pruned to their buckets) and
     overwrite their rows of the output.  ``summarize(state) -> DataFrame``
     maps the latest file state of the touched corpora to output rows keyed by
     ``corpus_id``."""
     def each(batch: DataFrame, batch_id: int):
-        b = batch.withColumn("batch_id", F.lit(int(batch_id)))
+        b = (batch.withColumn("bucket", F.pmod(F.xxhash64("corpus_id"), F.lit(int(log_buckets))).cast("int"))
+             .withColumn("batch_id", F.lit(int(batch_id))))
+        # (bucket, batch_id) partitions: a replay overwrites only its own
+        # partitions, a batch writes at most `log_buckets` folders, and reading
+        # the touched corpora prunes to their buckets.
         (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("batch_id").parquet(log_path))
-        touched = b.select("corpus_id").distinct()
+          .partitionBy("bucket", "batch_id").parquet(log_path))
+        touched = b.select("corpus_id", "bucket").distinct()
         spark = batch.sparkSession
-        log = spark.read.parquet(log_path).join(touched, "corpus_id", "left_semi")
+        log = (spark.read.schema(b.schema).parquet(log_path)
+               .join(touched.select("bucket").distinct(), "bucket", "left_semi")
+               .join(touched.select("corpus_id"), "corpus_id", "left_semi").drop("bucket"))
         res = summarize(latest_state(log)).withColumn("batch_id", F.lit(int(batch_id)))
         (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(out_path))
