@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, harmonic
+from . import decontamination, harmonic, jaccard_join
 from .common import prepare, table
 
 #: Vocabulary file of the packing query, by name in the public vocabularies.
@@ -24,6 +24,11 @@ def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by 5-word shingles at 0.75."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents into sequences of 4096 tokens."""
     out = harmonic.pack(table(spark, sf_dir, "documents"), vocabulary(PACK_VOCABULARY), PACK_END_ID)
@@ -32,6 +37,7 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_prefix_decontamination": op3_prefix_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_harmonic_packing": op8_harmonic_packing,
 }
 
