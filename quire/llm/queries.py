@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, harmonic, jaccard_join
-from .common import prepare, table
+from . import decontamination, harmonic, jaccard_join, quality
+from .common import cut, table
 
 #: Vocabulary file of the packing query, by name in the public vocabularies.
 PACK_VOCABULARY = "word_bpe_49k.json"
@@ -35,10 +35,18 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt outside the held-out fold."""
+    stats = cut(quality.document_statistics(table(spark, sf_dir, "documents")).withColumn("held_out", quality.held_out()))
+    model = quality.fit(stats.where("not held_out"), table(spark, sf_dir, "labels"))
+    return quality.score_statistics(stats, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_kernel_quality": op9_kernel_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
