@@ -56,12 +56,12 @@ def utf8_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``limit`` bytes (a longer row alone)."""
+def row_blocks(offsets: np.ndarray, limit: int, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``rows`` rows and ``limit`` bytes (a longer row alone)."""
     n = len(offsets) - 1
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, hi
         lo = hi

@@ -6,15 +6,16 @@ Jaccard similarity of at least ``percent`` / 100.  An overlap of at least
 of a set's shingles and probes its long ones by binary search.
 
 1. One scan gives every document's set size and class key (a 64-bit hash of
-   its set; copies share a key and are searched once) and counts shingles into
-   a table of ``2 ** bits`` cells.  The table has a fixed size whatever the
-   data; it orders shingles from rare to frequent, so the lists a search must
-   merge are the short ones.  Any order gives the same links.
-2. Sets that link share one of their ``n - ceil(percent * n / 100) + 1`` first
-   shingles in that order.  Each task reduces the lists of these shingles to
-   stars around one member and sends one row per list; lists that meet again
-   give stars of stars.  Components of these stars are search groups: linked
-   sets are always in one group.
+   its set; copies share a key and are searched once).  Another sends half of
+   all shingles, packed to a few bytes each, to find those that only one class
+   has.  A class with so many of these that ``T`` shared ones cannot be left
+   has no link and is done; the others' sets are gathered.
+2. Exact document frequencies of the gathered sets' shingles give an order
+   from rare to frequent, so the lists a search must merge are the short ones.
+   Sets that link share one of their ``n - ceil(percent * n / 100) + 1`` first
+   shingles in that order.  The lists of these are reduced to stars around one
+   member; components of the stars are search groups: linked sets are always
+   in one group.
 3. Groups are cut into parts of at most ``part`` shingles.  Each task streams
    its parts, builds the inverted lists of one part at a time and searches
    every set in it.  Sets already connected need no further test, and what
@@ -48,11 +49,12 @@ from .words import SPACED, blocks, distinct, mix, shingles
 
 SIZE = 5
 PERCENT = 75
-BITS = 18
 MU = 0.01            # weight of a probe against a merge when the long lists are chosen
 PART = 1 << 20       # shingles in one part
-_CELLS = 1024        # cells per row in which counts travel
-_HELD = 1 << 21      # postings a task holds before it reduces them
+OFTEN = 64           # frequencies from here on count as equal in the order
+_HELD = 1 << 21      # shingles a task holds before it packs them
+_BUCKET = 1 << 21    # shingles in a bucket of the packed exchange, on average
+_NONE = 0xFFFF
 
 
 def _ceil(percent: int, n):
@@ -71,60 +73,126 @@ def _sets(data, offsets, size: int):
         yield lo, hi, h, owner, n, key.view(np.int64)
 
 
-def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Rows of documents (``doc_id, n, key``) and rows of counts (``cell, counts``)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
-                           T.StructField("cell", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+def _half(h: np.ndarray) -> np.ndarray:
+    """The half of all shingles that is looked through for unshared ones."""
+    return (h & np.uint64(1)) == 0
+
+
+def _scan(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n, half`` (shingles of the set in the half) and ``key`` of every row."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()),
+                           T.StructField("half", T.LongType()), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        arrow = to_arrow_schema(schema)
-        seen = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            ns, keys = [], []
-            for _, _, h, _, n, key in _sets(*utf8_buffers(b.column(1)), size):
-                seen += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                ns.append(n)
-                keys.append(key)
-            m = b.num_rows
-            if m:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(ns), pa.int64()),
-                                                  pa.array(np.concatenate(keys), pa.int64()), pa.nulls(m, pa.int32()),
-                                                  pa.nulls(m, arrow.field(4).type)], schema=arrow)
-        rows = seen.reshape(-1, min(_CELLS, 1 << bits))
-        at = np.flatnonzero(rows.any(axis=1))
-        if len(at):
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), arrow.field(0).type), none, none, pa.array(at, pa.int32()),
-                 pa.array([rows[i].astype("<i4" if rows[i].max() < 1 << 31 else "<i8").tobytes() for i in at],
-                          arrow.field(4).type)], schema=arrow)
+            parts = [(n, np.bincount(owner[_half(h)], minlength=len(n)), key)
+                     for _, _, h, owner, n, key in _sets(*utf8_buffers(b.column(1)), size)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts))],
+                                                 names=["doc_id", "n", "half", "key"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _frequencies(scan: DataFrame, bits: int) -> np.ndarray:
-    """The table of counts, summed in tasks; ``2 ** bits`` values reach the driver."""
-    width = min(_CELLS, 1 << bits)
+def _heads(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), dtype=bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
+def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
 
-    def add(batches: Iterator) -> Iterator:
+
+def _shared_counts(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """``(key, c)``: of each class, shingles in the half that another class has
+    too (rows of one key add up; a count may be too high, never too low).
+
+    A task packs what it holds: shingles that two of its classes have are
+    settled there and go out once, without a class, so a shingle that a third
+    of all documents have is one entry per pack.  The others go out as 32 bits
+    of their hash, dealt to buckets by the other bits, and a 16-bit number of
+    their class."""
+
+    def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        total: dict[int, np.ndarray] = {}
+        held: list[tuple] = []
+        total = classes = packs = 0
+
+        def flush():
+            h, key = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held.clear()
+            names, own = np.unique(key, return_inverse=True)
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            new = _heads(h) | _heads(own)
+            h, own = h[new], own[new]
+            head = _heads(h)
+            run = np.diff(np.append(np.flatnonzero(head), len(h)))
+            many = np.repeat(run > 1, run)
+            k, c = np.unique(own[many], return_counts=True)
+            h, own = h[head], np.where(many[head], _NONE, own[head])
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            at = np.searchsorted(bucket, np.arange(buckets + 1))        # h is sorted, so its buckets are
+            out = [(packs % buckets, b"", c.astype("<u4").tobytes(), names[k].tobytes())] if len(k) else []
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                x = own[at[i]:at[i + 1]]
+                used, x = np.unique(x, return_inverse=True)
+                has = len(used) and used[-1] == _NONE
+                x = np.where(x == len(used) - 1, _NONE, x) if has else x
+                out.append((i, h[at[i]:at[i + 1]].astype("<u4").tobytes(), x.astype("<u2").tobytes(),
+                            names[used[:-1] if has else used].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))],
+                                              names=["bucket", "hashes", "owner", "keys"])
+
         for b in batches:
-            for cell, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(raw, "<i4" if len(raw) == 4 * width else "<i8").astype(np.int64)
-                total[cell] = total[cell] + x if cell in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array([x.tobytes() for x in total.values()], pa.binary())],
-                                         names=["cell", "counts"])
+            for _, _, h, owner, n, key in _sets(*utf8_buffers(b.column(0)), size):
+                mine = _half(h)
+                held.append((h[mine], key[owner[mine]]))
+                total, classes = total + len(held[-1][0]), classes + len(n)
+                if total >= _HELD or classes + len(n) * 2 >= _NONE:
+                    if total:
+                        yield flush()
+                    held.clear()
+                    total, classes, packs = 0, 0, packs + 1
+        if total:
+            yield flush()
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        at, held = None, []
 
-    out = np.zeros((1 << bits) // width * width, dtype=np.int64).reshape(-1, width)
-    parts = scan.where("cell is not null").select("cell", "counts").repartition("cell").mapInArrow(add, "cell int, counts binary")
-    for r in parts.collect():
-        out[r.cell] = np.frombuffer(r.counts, "<i8")
-    return out.reshape(-1)
+        def close():
+            h = np.concatenate([x for x, _ in held])
+            key = np.concatenate([y for _, y in held])              # 0 stands for several classes
+            order = np.lexsort((key, h))
+            h, key = h[order], key[order]
+            new = _heads(h) | _heads(key) | (key == 0)
+            h, key = h[new], key[new]
+            head = np.flatnonzero(_heads(h))
+            run = np.diff(np.append(head, len(h)))
+            several = np.add.reduceat((key == 0).astype(np.int64), head) > 0 if len(h) else head > 0
+            k, c = _summed(key[np.repeat((run > 1) | several, run) & (key != 0)])
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], names=["key", "c"])
+
+        for b in batches:
+            for bucket, h, owner, keys in zip(*(c.to_pylist() for c in b.columns)):
+                names = np.frombuffer(keys, "<i8")
+                if not h:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.frombuffer(owner, "<u4"), pa.int64())],
+                                                     names=["key", "c"])
+                    continue
+                if bucket != at and held:
+                    yield close()
+                    held.clear()
+                at = bucket
+                held.append((np.frombuffer(h, "<u4"), np.append(names, np.zeros(1, np.int64))[np.minimum(np.frombuffer(owner, "<u2"), len(names))]))
+        if held:
+            yield close()
+
+    packed = docs.select("text").mapInArrow(pack, "bucket int, hashes binary, owner binary, keys binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, c long")
 
 
 def _stars(list_of: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,67 +200,97 @@ def _stars(list_of: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarra
     the distinct links of other members to those."""
     order = np.lexsort((node, list_of))
     list_of, node = list_of[order], node[order]
-    head = np.ones(len(node), dtype=bool)
-    head[1:] = list_of[1:] != list_of[:-1]
+    head = _heads(list_of)
     lead = node[head][np.cumsum(head) - 1]
     off = lead != node
     links = np.unique(np.stack([lead[off], node[off]], axis=1), axis=0) if off.any() else np.zeros((0, 2), node.dtype)
     return list_of[head], node[head], links[:, 0], links[:, 1]
 
 
-def _candidate_links(docs: DataFrame, size: int, percent: int, bits: int, seen: np.ndarray) -> DataFrame:
-    """Stars ``(u, v)`` over class keys that share a prefix shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(seen)
+def _longs(**columns):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], names=list(columns))
 
-    def post(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        rare = shared.value
-        held: list[tuple] = []
 
-        def flush():
-            lists, lead, a, b = _stars(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-            held.clear()
-            other = pa.concat_arrays([pa.nulls(len(lists), pa.int64()), pa.array(b, pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([lists.view(np.int64), a]), pa.int64()),
-                                               pa.array(np.concatenate([lead, a]), pa.int64()), other],
-                                              names=["list", "u", "v"])
+def _candidate_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Stars ``(u, v)`` over the keys of ``sets`` that share a prefix shingle."""
 
-        count = 0
+    def post(batches: Iterator) -> Iterator:
         for b in batches:
-            for _, _, h, owner, n, key in _sets(*utf8_buffers(b.column(0)), size):
-                freq = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((h, freq, owner))
-                rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                first = rank < np.repeat(n - _ceil(percent, n) + 1, n)
-                own = owner[first]
-                held.append((h[order][first], key[own]))
-                count += len(own)
-                if count >= _HELD:
-                    yield flush()
-                    count = 0
-        if count:
-            yield flush()
+            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at, rows = 0, 0
+            while at < len(key):
+                end = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 19)) + at)
+                h = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in b.column(2).slice(at, end - at)])
+                yield _longs(list=h, node=np.repeat(key[at:end], n[at:end]), n=np.repeat(n[at:end], n[at:end]))
+                at = end
+
+    def often(batches: Iterator) -> Iterator:
+        """From pairs ordered by list: those of lists of two or more, with
+        their frequency (``OFTEN`` stands for more).  At most ``OFTEN`` pairs
+        of an unfinished list are held."""
+        held, known = None, None
+        for b in batches:
+            x = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                x = [np.concatenate(y) for y in zip(held, x)]
+            if not len(x[0]):
+                continue
+            head = np.flatnonzero(_heads(x[0]))
+            run = np.diff(np.append(head, len(x[0])))
+            df = np.minimum(run, OFTEN)
+            if known is not None and x[0][0] == known:
+                df[0] = OFTEN
+            tail = head[-1]
+            if df[-1] >= OFTEN:
+                known, held, keep = x[0][-1], None, len(x[0])
+            else:
+                known, held, keep = None, [c[tail:] for c in x], tail
+            df = np.repeat(df, run)[:keep]
+            ok = df > 1
+            yield _longs(node=x[1][:keep][ok], n=x[2][:keep][ok], often=df[ok], list=x[0][:keep][ok])
+        if held is not None and len(held[0]) > 1:
+            m = len(held[0])
+            yield _longs(node=held[1], n=held[2], often=np.full(m, m), list=held[0])
+
+    def prefix(batches: Iterator) -> Iterator:
+        """From shared shingles ordered by class and frequency: those among
+        the class's first, its unshared ones coming before them."""
+        def firsts(x):
+            head = np.flatnonzero(_heads(x[0]))
+            run = np.diff(np.append(head, len(x[0])))
+            rank = np.arange(len(x[0])) - np.repeat(head, run)
+            ok = x[1] - np.repeat(run, run) + rank < x[1] - _ceil(percent, x[1]) + 1
+            return _longs(list=x[3][ok], node=x[0][ok])
+
+        held = None
+        for b in batches:
+            x = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                x = [np.concatenate(y) for y in zip(held, x)]
+            if len(x[0]):
+                tail = int(np.flatnonzero(_heads(x[0]))[-1])
+                held = [c[tail:] for c in x]
+                if tail:
+                    yield firsts([c[:tail] for c in x])
+        if held is not None:
+            yield firsts(held)
 
     def meet(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         last = None
         for b in batches:
-            lists, u = b.column(0).to_numpy(), b.column(1).to_numpy()
-            linked = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            v = b.column(2).fill_null(0).to_numpy()
-            x, y = lists[~linked], u[~linked]
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
             if last is not None:
                 x, y = np.concatenate([last[0], x]), np.concatenate([last[1], y])
-            out_u, out_v = u[linked], v[linked]
             if len(x):
-                heads, lead, a, c = _stars(x, y)
+                heads, lead, u, v = _stars(x, y)
                 last = heads[-1:], lead[-1:]
-                out_u, out_v = np.concatenate([out_u, a]), np.concatenate([out_v, c])
-            if len(out_u):
-                yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+                yield _longs(u=u, v=v)
 
-    return (docs.select("text").mapInArrow(post, "list long, u long, v long")
-            .repartition("list").sortWithinPartitions("list", "u").mapInArrow(meet, "u long, v long"))
+    pairs = (sets.select("key", "n", "hashes").mapInArrow(post, "list long, node long, n long")
+             .repartition("list").sortWithinPartitions("list").mapInArrow(often, "node long, n long, often long, list long"))
+    first = (pairs.repartition("node").sortWithinPartitions("node", "often", "list").mapInArrow(prefix, "list long, node long"))
+    return first.repartition("list").sortWithinPartitions("list", "node").mapInArrow(meet, "u long, v long")
 
 
 def _bitmap(keys: DataFrame, bits: int = 22) -> np.ndarray:
@@ -226,10 +324,11 @@ def _bitmap(keys: DataFrame, bits: int = 22) -> np.ndarray:
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
-def _gathered(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """``(key, n, hashes, group)`` once for each class in ``groups(node, component)``."""
+def _gathered(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """``(key, n, hashes)`` once for each class in ``keys(key)``.  A table of
+    flags keeps most of the others from being sent; the join does the rest."""
     bits = 22
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("node"), bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, bits))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,8 +348,7 @@ def _gathered(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
                          pa.array([h[at[i]:at[i] + n[i]].tobytes() for i in rows], pa.binary())], names=["key", "n", "hashes"])
 
     sets = docs.select("text").mapInArrow(run, "key long, n long, hashes binary")
-    sets = sets.join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key")
-    return sets.groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("grp").alias("grp"))
+    return sets.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 class Part:
@@ -402,11 +500,17 @@ def _parts(sets: DataFrame, part: int) -> DataFrame:
             .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
 
 
-def linked_classes(docs: DataFrame, scan: DataFrame, size: int, percent: int, bits: int, part: int) -> DataFrame:
-    """``(node, component)`` of classes with a link to another class."""
-    stars = cut(_candidate_links(docs, size, percent, bits, _frequencies(scan, bits)).distinct())
-    groups = connected_components(stars)
-    sets = cut(_parts(_gathered(docs, groups, size), part))
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, part: int) -> DataFrame:
+    """``(node, component)`` of classes with a link to another class;
+    ``classes`` has ``key, n, half`` once for each."""
+    total = classes.agg(F.sum("half").alias("s")).first().s or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _BUCKET))
+    shared = _shared_counts(docs, size, int(buckets)).groupBy("key").agg(F.sum("c").alias("c"))
+    left = F.col("n") - F.ceil(F.col("n") * percent / 100)            # unshared shingles a linked set can have
+    open_ = classes.join(shared, "key", "left").where(F.col("half") - F.coalesce("c", F.lit(0)) <= left).select("key")
+    sets = cut(_gathered(docs, cut(open_), size))
+    groups = connected_components(_candidate_links(sets, percent)).withColumnRenamed("node", "key").withColumnRenamed("component", "grp")
+    sets = cut(_parts(sets.join(groups, "key"), part))
     alone = sets.withColumn("query", F.lit(0)).withColumn("label", F.col("key"))
     links = cut(_searched(alone, percent))
     if sets.where("parts > 1").limit(1).count():
@@ -432,15 +536,16 @@ def linked_classes(docs: DataFrame, scan: DataFrame, size: int, percent: int, bi
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                       percent: int = PERCENT, bits: int = BITS, part: int = PART) -> DataFrame:
+                       percent: int = PERCENT, part: int = PART) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``;
     ``component_id`` is the smallest id reachable by links, its own included."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scan = cut(_scan(src, size, bits))
-    rows = scan.where("cell is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    linked = linked_classes(src.select("text"), scan, size, percent, bits, part)
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    rows = cut(_scan(src, size)).withColumn("key", F.when(F.col("n") > 0, F.col("key")))
+    classes = cut(rows.where("key is not null").groupBy("key")
+                  .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("half").alias("half")))
+    linked = linked_classes(src.select("text"), classes.drop("least"), size, percent, part)
+    classes = classes.select("key", "least")
     known = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = known.select("key", "component").join(least, "component").select("key", "component_id")

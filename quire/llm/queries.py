@@ -1,10 +1,13 @@
 """One registered query per operator, over its whole table."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, harmonic, jaccard_join, quality
+from . import decontamination, harmonic, jaccard_join, quality, warc
+from ..session import work_path
 from .common import cut, table
 
 #: Vocabulary file of the packing query, by name in the public vocabularies.
@@ -17,6 +20,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back and reassembled."""
+    path = work_path(spark, f"warc-{uuid.uuid4().hex}")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    rows = cut(warc.read_payloads(spark, path)
+               .select(F.col("row_id").cast("long").alias("page_id"), "record_id", "refers_to",
+                       F.col("refers_to_row").cast("long").alias("first"), F.length("payload").cast("long").alias("size"),
+                       F.substring_index("digest", ":", -1).alias("payload_digest"), "type", "status"))
+    sizes = (rows.where("type = 'response'").groupBy("record_id").agg(F.max("size").alias("first_size"))
+             .withColumnRenamed("record_id", "refers_to"))
+    return (rows.join(sizes, "refers_to", "left")
+            .select("page_id", F.coalesce("size", "first_size").alias("payload_bytes"), "payload_digest",
+                    F.col("type").alias("record_type"), F.col("first").alias("refers_to"), "status"))
+
+
 def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of all documents."""
     out = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -43,6 +61,7 @@ def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_segments": op2_warc_segments,
     "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_harmonic_packing": op8_harmonic_packing,

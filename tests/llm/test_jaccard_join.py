@@ -68,7 +68,7 @@ def test_edge_cases(spark):
 @pytest.mark.parametrize("part", [1 << 20, 150])
 def test_families_against_brute_force(spark, part):
     docs = family_docs(1)
-    assert got(spark, docs, part=part, bits=10) == brute(docs)
+    assert got(spark, docs, part=part) == brute(docs)
 
 
 def test_empty_table(spark):
