@@ -167,15 +167,16 @@ def _summed(rows: DataFrame, size: int, terms) -> np.ndarray:
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        total = np.zeros(size)
+        total = None
         for b in batches:
             for raw in b.column(1).to_pylist():
-                total += np.frombuffer(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "s"])
+                total = np.frombuffer(raw) + (0 if total is None else total)
+        if total is not None:              # tasks without a group send nothing
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "s"])
 
     kind = "g int, s binary"
     groups = rows.select("stats", "y").mapInArrow(part, kind).repartition(GROUPS, "g").mapInArrow(add, kind)
-    return np.sum([np.frombuffer(r.s) for r in groups.collect()], axis=0)
+    return sum((np.frombuffer(r.s) for r in groups.collect()), np.zeros(size))
 
 
 def isotonic(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:

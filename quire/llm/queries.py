@@ -1,12 +1,13 @@
 """One registered query per operator, over its whole table."""
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, harmonic, jaccard_join, quality, warc
+from . import chat, decontamination, harmonic, jaccard_join, quality, ring, warc
 from ..session import work_path
 from .common import cut, table
 
@@ -47,6 +48,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = {"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}
+    records = chat.rows_as_records(table(spark, sf_dir, "conversations")).unionByName(
+        spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps(extra)).alias("record")))
+    turns = chat.canonical_turns(records).where("layout is not null")
+    return chat.digests(chat.formatted(turns))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents into sequences of 4096 tokens."""
     out = harmonic.pack(table(spark, sf_dir, "documents"), vocabulary(PACK_VOCABULARY), PACK_END_ID)
@@ -60,12 +71,25 @@ def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_statistics(stats, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to eight shards of equal counts."""
+    text = F.coalesce("text", F.lit(""))
+    narrow = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    out = ring.shard(narrow, ["text_hash", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op2_warc_segments": op2_warc_segments,
     "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_fingerprint_chat": op5_fingerprint_chat,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_kernel_quality": op9_kernel_quality,
+    "op10_bounded_ring": op10_bounded_ring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
