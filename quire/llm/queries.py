@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, harmonic, jaccard_join, quality, ring, warc
+from . import chat, decontamination, harmonic, jaccard_join, quality, ring, url_rules, warc
 from ..session import work_path
 from .common import cut, table
 
@@ -58,6 +58,12 @@ def op5_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns))
 
 
+def op6_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    out = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents into sequences of 4096 tokens."""
     out = harmonic.pack(table(spark, sf_dir, "documents"), vocabulary(PACK_VOCABULARY), PACK_END_ID)
@@ -87,6 +93,7 @@ QUERIES = {
     "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fingerprint_chat": op5_fingerprint_chat,
+    "op6_association_urls": op6_association_urls,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bounded_ring": op10_bounded_ring,
