@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, harmonic, jaccard_join, quality, ring, url_rules, warc
+from . import chat, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, url_rules, warc
 from ..session import work_path
 from .common import cut, table
 
@@ -64,6 +64,15 @@ def op6_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    rows = scaled_sketch.fingerprints_of_edits(table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("own"), F.col("edited_own"), F.col("next_own")
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       scaled_sketch.printed(own).alias("fingerprint"), scaled_sketch.printed(edited).alias("edited_fingerprint"),
+                       scaled_sketch.likeness(own, edited).alias("near_edited"), scaled_sketch.likeness(own, following).alias("near_next"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents into sequences of 4096 tokens."""
     out = harmonic.pack(table(spark, sf_dir, "documents"), vocabulary(PACK_VOCABULARY), PACK_END_ID)
@@ -94,6 +103,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fingerprint_chat": op5_fingerprint_chat,
     "op6_association_urls": op6_association_urls,
+    "op7_scaled_sketch": op7_scaled_sketch,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bounded_ring": op10_bounded_ring,
