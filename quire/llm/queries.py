@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, url_rules, warc
+from . import chat, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, token_attribution, url_rules, warc
 from ..session import work_path
 from .common import cut, table
 
-#: Vocabulary file of the packing query, by name in the public vocabularies.
+#: Vocabulary files of the queries, by name in the public vocabularies.
+COUNT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PACK_VOCABULARY = "word_bpe_49k.json"
 PACK_END_ID = 2
+SECTION_CHARS = 500
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +23,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every section (500 characters, the last one the rest) of all
+    documents; a token over a border counts for the section with most of it."""
+    import public_tokenizers
+    n = F.length("text")
+    sections = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(SECTION_CHARS)), lambda at: F.struct(
+        (at / SECTION_CHARS).cast("int").alias("name"), at.alias("start"), F.least(at + SECTION_CHARS, n).alias("end"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sections.alias("sections"))
+    return token_attribution.attribute(docs, vocabulary(COUNT_VOCABULARY), public_tokenizers.PATTERN, "sections")
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records, read back and reassembled."""
     path = work_path(spark, f"warc-{uuid.uuid4().hex}")
@@ -98,6 +111,7 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_offset_attribution": op1_offset_attribution,
     "op2_warc_segments": op2_warc_segments,
     "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
