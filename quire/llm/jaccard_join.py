@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, prepare, utf8_buffers
-from .graph import connected_components
+from .graph import connected_components, smallest_linked
 from .words import SPACED, blocks, distinct, mix, shingles
 
 SIZE = 5
@@ -101,19 +101,27 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
 def _shared_counts(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """``(key, c)``: of each class, shingles in the half that another class has
-    too (rows of one key add up; a count may be too high, never too low).
+    too (a count may be too high, never too low).
 
     A task packs what it holds: shingles that two of its classes have are
     settled there and go out once, without a class, so a shingle that a third
     of all documents have is one entry per pack.  The others go out as 32 bits
     of their hash, dealt to buckets by the other bits, and a 16-bit number of
-    their class."""
+    their class.  Counts travel packed, too, dealt by their class."""
+    import pyarrow as pa
+    counted = "bucket int, keys binary, counts binary"
+
+    def dealt(key: np.ndarray, c: np.ndarray):
+        """Counts packed by the bucket of their class."""
+        to = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        key, c, to = key[order], c[order], to[order]
+        at = np.append(np.flatnonzero(_heads(to)), len(to))
+        rows = [(int(to[a]), key[a:z].tobytes(), c[a:z].astype("<u4").tobytes()) for a, z in zip(at[:-1], at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
+                                          names=["bucket", "keys", "counts"])
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,26 +181,47 @@ def _shared_counts(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             head = np.flatnonzero(_heads(h))
             run = np.diff(np.append(head, len(h)))
             several = np.add.reduceat((key == 0).astype(np.int64), head) > 0 if len(h) else head > 0
-            k, c = _summed(key[np.repeat((run > 1) | several, run) & (key != 0)])
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], names=["key", "c"])
+            k, c = np.unique(key[np.repeat((run > 1) | several, run) & (key != 0)], return_counts=True)
+            return dealt(k, c) if len(k) else None
 
         for b in batches:
             for bucket, h, owner, keys in zip(*(c.to_pylist() for c in b.columns)):
                 names = np.frombuffer(keys, "<i8")
                 if not h:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.frombuffer(owner, "<u4"), pa.int64())],
-                                                     names=["key", "c"])
+                    yield dealt(names, np.frombuffer(owner, "<u4"))
                     continue
                 if bucket != at and held:
-                    yield close()
+                    out = close()
                     held.clear()
+                    if out is not None:
+                        yield out
                 at = bucket
                 held.append((np.frombuffer(h, "<u4"), np.append(names, np.zeros(1, np.int64))[np.minimum(np.frombuffer(owner, "<u2"), len(names))]))
+        out = close() if held else None
+        if out is not None:
+            yield out
+
+    def add(batches: Iterator) -> Iterator:
+        at, held = None, []
+
+        def close():
+            key, c = (np.concatenate(x) for x in zip(*held))
+            k, own = np.unique(key, return_inverse=True)
+            return _longs(key=k, c=np.bincount(own, weights=c).astype(np.int64))
+
+        for b in batches:
+            for bucket, keys, c in zip(*(x.to_pylist() for x in b.columns)):
+                if bucket != at and held:
+                    yield close()
+                    held.clear()
+                at = bucket
+                held.append((np.frombuffer(keys, "<i8"), np.frombuffer(c, "<u4")))
         if held:
             yield close()
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, hashes binary, owner binary, keys binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, c long")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, counted)
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "key long, c long")
 
 
 def _stars(list_of: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -442,8 +471,8 @@ class Part:
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``(u, v)`` found in the parts of ``rows(grp, part, query, key,
-    label, n, hashes)``: sets with ``query = 0`` are the part's index and, if
+    """Links found in the parts of ``rows(grp, part, query, key, label, n,
+    hashes)``, as stars ``(u, v)`` around the smallest key linked: sets with ``query = 0`` are the part's index and, if
     the part has no queries, are searched against each other."""
 
     def run(batches: Iterator) -> Iterator:
@@ -467,7 +496,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
                 part.search_all()
             if not part.links:
                 return None
-            u, v = zip(*part.links)
+            u, v = smallest_linked(*(np.array(x, dtype=np.int64) for x in zip(*part.links)))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for b in batches:
@@ -505,34 +534,36 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int,
     ``classes`` has ``key, n, half`` once for each."""
     total = classes.agg(F.sum("half").alias("s")).first().s or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _BUCKET))
-    shared = _shared_counts(docs, size, int(buckets)).groupBy("key").agg(F.sum("c").alias("c"))
+    shared = _shared_counts(docs, size, int(buckets))
     left = F.col("n") - F.ceil(F.col("n") * percent / 100)            # unshared shingles a linked set can have
     open_ = classes.join(shared, "key", "left").where(F.col("half") - F.coalesce("c", F.lit(0)) <= left).select("key")
     sets = cut(_gathered(docs, cut(open_), size))
     groups = connected_components(_candidate_links(sets, percent)).withColumnRenamed("node", "key").withColumnRenamed("component", "grp")
     sets = cut(_parts(sets.join(groups, "key"), part))
     alone = sets.withColumn("query", F.lit(0)).withColumn("label", F.col("key"))
-    links = cut(_searched(alone, percent))
-    if sets.where("parts > 1").limit(1).count():
-        big = sets.where("parts > 1")
-
-        def labelled(links: DataFrame) -> DataFrame:
-            c = connected_components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "label")
-            return big.join(c, "key", "left").withColumn("label", F.coalesce("label", "key"))
-
-        heads = _parts(labelled(links).where("label = key").drop("label", "parts", "part"), part)
-        links = cut(links.unionByName(_searched(heads.withColumn("query", F.lit(0)).withColumn("label", F.col("key")), percent)))
-        now = cut(labelled(links))
-        most = (now.groupBy("grp", "label").count().groupBy("grp")
-                .agg(F.max(F.struct("count", "label")).getField("label").alias("most")))
-        rest = now.join(most, "grp").where("label <> most").drop("most")
-        queries = (rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                   .withColumn("query", F.lit(1)))
-        index = now.join(most, "grp").drop("most").withColumn("query", F.lit(0))
-        # A group with a single component has no queries and is searched no more.
-        index = index.join(rest.select("grp").distinct(), "grp", "left_semi")
-        links = cut(links.unionByName(_searched(index.unionByName(queries.select(*index.columns)), percent)))
-    return connected_components(links)
+    one = cut(_searched(alone.where("parts = 1"), percent))          # a group of one part is searched in full
+    stars = one.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    big = sets.where("parts > 1")
+    if not big.limit(1).count():
+        return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+    def labelled(links: DataFrame) -> DataFrame:
+        c = connected_components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "label")
+        return big.join(c, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+    links = cut(_searched(alone.where("parts > 1"), percent))
+    heads = _parts(labelled(links).where("label = key").drop("label", "parts", "part"), part)
+    links = cut(links.unionByName(_searched(heads.withColumn("query", F.lit(0)).withColumn("label", F.col("key")), percent)))
+    now = cut(labelled(links))
+    most = (now.groupBy("grp", "label").count().groupBy("grp")
+            .agg(F.max(F.struct("count", "label")).getField("label").alias("most")))
+    rest = now.join(most, "grp").where("label <> most").drop("most")
+    queries = (rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+               .withColumn("query", F.lit(1)))
+    # A group with a single component has no queries and is searched no more.
+    index = now.withColumn("query", F.lit(0)).join(rest.select("grp").distinct(), "grp", "left_semi")
+    links = links.unionByName(_searched(index.unionByName(queries.select(*index.columns)), percent))
+    return connected_components(links).unionByName(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
