@@ -2,7 +2,8 @@
 
 Each takes a ``files`` DataFrame (``corpus_id, path, content, size``) or the
 result of an earlier step; all return DataFrames (one row per corpus, file or
-chunk).  Nothing is computed until an action runs.
+chunk).  Ordering, next-fit splitting and optimizing run jobs while they build their
+result; everything else is computed when an action runs.
 """
 from __future__ import annotations
 
@@ -97,7 +98,10 @@ def format(packed: _pack.Packed, fmt: str = "markdown", *, include_tree: bool =
     """One document per corpus: ``(corpus_id, chunk, document)``."""
     files = packed.with_content().withColumn("chunk", F.lit(1).cast("long"))
     stats = packed.summary.withColumn("chunk", F.lit(1).cast("long"))
-    tree = get_file_tree(packed.source) if include_tree else None
+    tree = None
+    if include_tree:                     # the tree shows what the pack's own ignore list and rules leave
+        tree = _tree.tree_text(_tree.tree_lines(packed.source, list(K.DEFAULT_IGNORE) + packed.ignore, packed.rules,
+                                                packed.use_rule_files))
     return _render.render_documents(files, stats, fmt, tree=tree, include_tree=include_tree, order="pos", **options)
 
 

@@ -210,3 +210,8 @@ RULE_FILES = [".gitignore", ".ctxignore"]
 PLAIN_SEPARATOR = "=" * 60
 XML_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
 # -------------------------------------------------------------- END FIXED VALUES
+
+# Advice texts on splitting, and the strategies it names.
+SPLIT_UNKNOWN = "Use --max-tokens flag to specify limit"
+SPLIT_FITS = "Content fits within context limit"
+SPLIT_STRATEGIES = ["by_tokens", "by_directory", "by_type"]

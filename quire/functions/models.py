@@ -1,7 +1,7 @@
 """Model dimension: models, aliases, profiles, cost arithmetic."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,9 +72,10 @@ def profiles(builtin: DataFrame, custom: DataFrame) -> DataFrame:
                              else F.lit(None).cast(f.dataType).alias(f.name) for f in PROFILE_SCHEMA.fields])
     base = builtin.withColumn("created_at", F.lit(None).cast("timestamp"))
     base = base.join(custom.select("model"), "model", "left_anti")
-    n = MODEL_COUNT
-    custom = custom.withColumn("ord", F.coalesce("ord", F.lit(n)))
-    return (base.unionByName(custom).withColumn("custom", F.col("created_at").isNotNull()))
+    # Custom profiles come after the built-ins, in order of creation and name.
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("created_at").asc_nulls_first(), "model"))
+    custom = custom.withColumn("ord", (F.lit(MODEL_COUNT - 1) + place).cast("int"))
+    return base.withColumn("custom", F.lit(False)).unionByName(custom.withColumn("custom", F.lit(True)))
 
 
 def add_profile(custom: DataFrame, name, context, input_price=0.0, output_price=0.0,
@@ -83,7 +84,7 @@ def add_profile(custom: DataFrame, name, context, input_price=0.0, output_price=
     spark = custom.sparkSession
     row = spark.createDataFrame(
         [(name, int(context), float(input_price or 0), float(output_price or 0), tokenizer, None, None,
-          created_at)], PROFILE_SCHEMA)
+          created_at)], PROFILE_SCHEMA).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
     return custom.filter(F.col("model") != F.lit(name)).unionByName(row)
 
 
@@ -94,24 +95,15 @@ def remove_profile(custom: DataFrame, name) -> DataFrame:
     return custom.filter(F.col("model") != F.lit(name))
 
 
-MAX_MODEL_ROWS = 10000
+MODEL_COLUMNS = ("model", "context", "input", "output", "ord")
 
 
-def model_literals(model_table: DataFrame, columns=("model", "context", "input", "output", "ord")) -> Column:
-    """The model table (configuration: built-ins plus custom profiles) as a
-    literal array of structs, so pairing it with every corpus is a
-    projection (``explode``), not a join.  Its size is checked."""
-    rows = model_table.select(*columns).limit(MAX_MODEL_ROWS + 1).collect()
-    if len(rows) > MAX_MODEL_ROWS:
-        raise ValueError(f"model table has more than {MAX_MODEL_ROWS} rows")
-    types = {f.name: f.dataType for f in model_table.schema.fields}
-    return F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in columns]) for r in rows]) if rows \
-        else F.array().cast(T.ArrayType(T.StructType([T.StructField(c, types[c]) for c in columns])))
-
-
-def with_models(df: DataFrame, model_table: DataFrame, columns=("model", "context", "input", "output", "ord")) -> DataFrame:
-    """Each row once per model (columns of the model table appended)."""
-    return df.withColumn("_m", F.explode(model_literals(model_table, columns))).select(
+def with_models(df: DataFrame, model_table: DataFrame, columns=MODEL_COLUMNS) -> DataFrame:
+    """Each row once per model (columns of the model table appended).  The
+    model table is configuration: a scalar subquery gathers it into one array
+    value, so the expansion is an ``explode``, not a join."""
+    table = model_table.agg(F.collect_list(F.struct(*columns)).alias("m")).scalar()
+    return df.withColumn("_ms", table).select(*df.columns, F.explode("_ms").alias("_m")).select(
         *df.columns, *[F.col("_m")[c].alias(c) for c in columns])
 
 

@@ -1,9 +1,9 @@
 """Corpora against the model table.
 
 Token totals are computed once per corpus, then each corpus row is expanded
-once per model.  The model table is configuration (built-ins plus custom
-profiles, a few dozen rows, size-checked), so it becomes a literal array and
-the expansion is an ``explode`` in a projection: no join, no exchange.
+once per model.  The model table (built-ins plus custom profiles) becomes one
+array, read by a scalar subquery, and the expansion is an ``explode`` in a
+projection: no join, no exchange, nothing collected while planning.
 """
 from __future__ import annotations
 
@@ -19,14 +19,19 @@ from ..functions.models import cost_columns, with_models
 def _models(model_table: DataFrame, names: Sequence[str] | None) -> DataFrame:
     if not names:
         return model_table
-    spark = model_table.sparkSession
-    req = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "model string")
-    return model_table.join(F.broadcast(req), "model")          # B8: unknown names drop out
+    return known_models(names, model_table)
+
+
+def known_models(names: Sequence[str], model_table: DataFrame) -> DataFrame:
+    """The user list restricted to known models.  ``ord`` becomes the place
+    in the list, which is kept with its duplicates."""
+    req = model_table.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "model string, _place int")
+    return model_table.join(req, "model").withColumn("ord", F.col("_place")).drop("_place")
 
 
 def compare_models(summary: DataFrame, model_table: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Per corpus and model, usage = tokens / context, ranked ascending
-    (ties by declaration order)."""
+    (ties by declaration order, or by the place in ``names``)."""
     x = with_models(summary.select("corpus_id", "tokens"), _models(model_table, names), ("model", "context", "ord"))
     usage = F.col("tokens") / F.col("context")
     x = x.withColumn("usage", usage).withColumn("fits", usage <= 1) \
@@ -93,5 +98,5 @@ def recommend_model(costs: DataFrame) -> DataFrame:
 def model_info(names: DataFrame, model_table: DataFrame, name_col: str = "model") -> DataFrame:
     """C17: known flag, context, prices and tokenizer for each requested name."""
     m = model_table.select(F.col("model").alias("_m"), "context", "input", "output", "tokenizer")
-    return (names.join(F.broadcast(m), F.col(name_col) == F.col("_m"), "left").drop("_m")
+    return (names.join(m, F.col(name_col) == F.col("_m"), "left").drop("_m")
             .withColumn("known", F.col("context").isNotNull()))

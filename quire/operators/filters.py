@@ -79,74 +79,91 @@ def _segment_hit(s, patterns, binary):
     return c
 
 
-def _quote(c: Column) -> Column:
-    """A column's text as a literal inside a Java regex (``\\Q...\\E``)."""
-    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def rules_regex(rules: DataFrame) -> DataFrame:
-    """One regex per corpus from its patterns (same closed form as
-    :func:`ignored`): ``(corpus_id, _rx)``.  A partial aggregate; a corpus's
-    rule list is the size of its rule files."""
+def rule_tests(rules: DataFrame) -> DataFrame:
+    """``(corpus_id, _has, _ends, _begins)``: a corpus's patterns as the texts
+    of its three tests (same closed form as :func:`ignored`).  A partial
+    aggregate; a corpus's rule list is the size of its rule files."""
     p = F.col("pattern")
-    piece = F.concat_ws("|", _quote(p),
-                        F.when(p.startswith("*"), F.concat(_quote(F.substring(p, 2, 1 << 30)), F.lit("(?:/|$)"))),
-                        F.when(p.endswith("*"), F.concat(F.lit("(?:^|/)"), _quote(F.substring(p, 1, F.length(p) - 1)))))
-    return (rules.where(p.isNotNull() & (p != "")).select("corpus_id", piece.alias("_piece"))
-            .groupBy("corpus_id").agg(F.concat_ws("|", F.array_sort(F.collect_set("_piece"))).alias("_rx")))
+    return (rules.where(p.isNotNull() & (p != "")).groupBy("corpus_id").agg(
+        F.collect_set(p).alias("_has"),
+        F.collect_set(F.when(p.startswith("*"), F.substring(p, F.lit(2), F.length(p)))).alias("_ends"),
+        F.collect_set(F.when(p.endswith("*"), F.substring(p, F.lit(1), F.length(p) - 1))).alias("_begins")))
+
+
+def without_ruled_out(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """``rows(corpus_id, path, ...)`` that their corpus's rules do not ignore.
+    Callers pass narrow rows: beyond the broadcast threshold this join
+    shuffles them on ``corpus_id`` (AQE splits a skewed corpus)."""
+    if rules is None:
+        return rows
+    tests = rule_tests(rules).withColumnRenamed("corpus_id", "_r_corpus")
+    path = F.col("path")
+    hit = (F.exists("_has", lambda x: F.contains(path, x))
+           | F.exists(segments("path"), lambda s: F.exists("_ends", lambda x: F.endswith(s, x)) | F.exists("_begins", lambda x: F.startswith(s, x))))
+    return (rows.join(tests, rows["corpus_id"] == tests["_r_corpus"], "left")
+            .where(~F.coalesce(hit, F.lit(False))).drop("_r_corpus", "_has", "_ends", "_begins"))
+
+
+def corpus_rules(files: DataFrame, rules: DataFrame | None, use_rule_files: bool) -> DataFrame | None:
+    """``rules`` plus those of the rule files at the corpus roots, or None.
+    Whether there are such files is looked up first by path alone, so texts
+    are read a second time only where a corpus has one."""
+    from ..sources.files import read_ignore_rules
+    out = None if rules is None else rules.select("corpus_id", "pattern")
+    if use_rule_files and files.where(F.col("path").isin(K.RULE_FILES)).select("path").limit(1).count():
+        found = read_ignore_rules(files).select("corpus_id", "pattern")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def filter_ignored(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
                    rules: DataFrame | None = None) -> DataFrame:
     """Drop ignored files: literal ``patterns`` for every corpus, plus optional
-    per-corpus ``rules(corpus_id, pattern)``.  Each corpus's rules become one
-    regex, joined on ``corpus_id`` (one row per corpus; AQE broadcasts it when
-    small and splits a skewed corpus otherwise), so every file is tested once
-    rather than against each rule."""
-    out = files.where(~ignored("path", patterns))
-    if rules is not None:
-        rx = rules_regex(rules).withColumnRenamed("corpus_id", "_r_corpus")
-        out = (out.join(rx, out["corpus_id"] == rx["_r_corpus"], "left")
-               .where(~F.coalesce(F.regexp(F.col("path"), F.col("_rx")), F.lit(False)))
-               .drop("_r_corpus", "_rx"))
-    return out
+    per-corpus ``rules(corpus_id, pattern)``."""
+    return without_ruled_out(files.where(~ignored("path", patterns)), rules)
+
+
+def _extension_ok(extensions: Iterable[str] | None) -> Column:
+    return ext_name(basename("path")).isin(list(extensions)) if extensions else F.lit(True)
+
+
+def _size_ok(max_file_size: int | None) -> Column:
+    """No cap for None and 0; a file of unknown size is within any cap."""
+    return F.coalesce(F.col("size") <= F.lit(int(max_file_size)), F.lit(True)) if max_file_size else F.lit(True)
+
+
+def _no_nul() -> Column:
+    return ~F.coalesce(F.col("content").contains("\x00"), F.lit(False))
 
 
 def filter_extensions(files: DataFrame, extensions: Iterable[str] | None) -> DataFrame:
     """Allow-list on the lower-cased extension; the list itself is used as given."""
-    if not extensions:
-        return files
-    return files.where(ext_name(basename("path")).isin(list(extensions)))
+    return files.where(_extension_ok(extensions)) if extensions else files
 
 
-def filter_max_file_size(files: DataFrame, max_file_size: int | None = K.DEFAULT_MAX_FILE_SIZE) -> DataFrame:
-    cap = max_file_size or K.DEFAULT_MAX_FILE_SIZE
-    return files.where(F.col("size") <= F.lit(int(cap)))
+def filter_max_file_size(files: DataFrame, max_file_size: int | None = None) -> DataFrame:
+    """B4, an explicit option (``K.DEFAULT_MAX_FILE_SIZE`` is the usual cap)."""
+    return files.where(_size_ok(max_file_size)) if max_file_size else files
 
 
 def filter_nul(files: DataFrame) -> DataFrame:
-    return files.where(~F.coalesce(F.col("content").contains("\x00"), F.lit(False)))
+    return files.where(_no_nul())
+
+
+def selected(ignore: Sequence[str] = (), extensions=None, max_file_size: int | None = None) -> Column:
+    """B1-B5 and B7 on one row: default ignore list + ``ignore``, extension
+    allow-list, size cap, NUL check (per-corpus rules come on top)."""
+    return (~ignored("path", list(K.DEFAULT_IGNORE) + list(ignore or [])) & _extension_ok(extensions)
+            & _size_ok(max_file_size) & _no_nul())
 
 
 def select_files(files: DataFrame, ignore: Sequence[str] = (), extensions=None,
-                 max_file_size: int | None = K.DEFAULT_MAX_FILE_SIZE,
+                 max_file_size: int | None = None,
                  rules: DataFrame | None = None, use_rule_files: bool = True) -> DataFrame:
-    """Default ignore list + ``ignore`` (+ rule files found at
-    each corpus root, + ``rules``), extension allow-list, size cap, NUL check."""
-    from ..sources.files import read_ignore_rules
-    patterns = list(K.DEFAULT_IGNORE) + list(ignore or [])
-    all_rules = rules
-    if use_rule_files:
-        rf = read_ignore_rules(files).select("corpus_id", "pattern")
-        all_rules = rf if all_rules is None else all_rules.select("corpus_id", "pattern").unionByName(rf)
-    out = filter_ignored(files, patterns, all_rules)
-    out = filter_extensions(out, extensions)
-    out = filter_max_file_size(out, max_file_size)
-    return filter_nul(out)
-
-
-def known_models(names: Sequence[str], model_table: DataFrame) -> DataFrame:
-    """The user list restricted to known models, list order kept."""
-    spark = model_table.sparkSession
-    req = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "model string, req_ord int")
-    return model_table.join(F.broadcast(req), "model")
+    """Selected files with their content.  With per-corpus rules the kept paths
+    are found on narrow rows and the content is joined to them by key."""
+    out = files.where(selected(ignore, extensions, max_file_size))
+    found = corpus_rules(files, rules, use_rule_files)
+    if found is None:
+        return out
+    return out.join(without_ruled_out(out.select("corpus_id", "path"), found).distinct(), ["corpus_id", "path"], "left_semi")

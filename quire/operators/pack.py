@@ -51,14 +51,16 @@ def limit_flags(ordered: DataFrame, max_files: int | None = None,
     return ordered.withColumn("kept", kept)
 
 
-def totals(flagged: DataFrame) -> DataFrame:
-    """E1 + E2 + E3 per corpus over rows flagged ``kept``."""
-    k = F.col("kept")
-    return flagged.groupBy("corpus_id").agg(
+def totals(rows: DataFrame, kept="kept", selected=None) -> DataFrame:
+    """E1 + E2 + E3 per corpus over the rows flagged ``kept``; ``selected``
+    flags the rows before limits (all rows without it)."""
+    k = F.col(kept)
+    sel = F.lit(True) if selected is None else F.col(selected)
+    return rows.groupBy("corpus_id").agg(
         F.count_if(k).cast("long").alias("total_files"),
         F.coalesce(F.sum(F.when(k, F.col("size"))), F.lit(0)).cast("long").alias("total_size"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("original_size"),
-        (F.count_if(~k) > 0).alias("truncated"),
+        F.coalesce(F.sum(F.when(sel, F.col("size"))), F.lit(0)).cast("long").alias("original_size"),
+        (F.count_if(sel & ~k) > 0).alias("truncated"),
         F.coalesce(F.sum(F.when(k, F.col("tokens"))), F.lit(0)).cast("long").alias("tokens"),
         F.coalesce(F.sum(F.when(k, F.col("len"))), F.lit(0)).cast("long").alias("total_chars"),
         F.count_if(k & (F.col("size") > K.LARGE_FILE_BYTES)).cast("long").alias("large_files"),
@@ -72,10 +74,14 @@ class Packed:
     corpus).  They are written once to the checkpoint folder on first use, so
     several reports over one pack do not repeat the scan, the filters and the
     ordering (and lineage stays short).  ``summary``: one row per corpus.
-    ``source``: the input rows, to re-attach content from."""
+    ``source``: the input rows, to re-attach content from.  ``ignore``,
+    ``rules`` and ``use_rule_files``: what the selection was asked for, so a
+    tree of the same pack shows the same files."""
 
-    def __init__(self, files_plan, summary: DataFrame, source: DataFrame, materialize: bool = False):
+    def __init__(self, files_plan, summary: DataFrame, source: DataFrame, materialize: bool = False,
+                 ignore: Sequence[str] = (), rules: DataFrame | None = None, use_rule_files: bool = True):
         self._plan, self.summary, self.source, self._materialize = files_plan, summary, source, materialize
+        self.ignore, self.rules, self.use_rule_files = list(ignore or ()), rules, use_rule_files
         self._files = None
 
     @property
@@ -101,16 +107,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
-         max_file_size: int | None = K.DEFAULT_MAX_FILE_SIZE, rules: DataFrame | None = None,
+         max_file_size: int | None = None, rules: DataFrame | None = None,
          use_rule_files: bool = True, custom_priority: Sequence[str] | None = None,
          max_files: int | None = None, max_total_size: int | None = None,
          tokenizer=None, utf16: bool = False, materialize: bool = False) -> Packed:
-    """Select, rank, order and limit files per corpus."""
-    from .filters import select_files
-    sel = select_files(files, ignore=ignore, extensions=extensions, max_file_size=max_file_size,
-                       rules=rules, use_rule_files=use_rule_files)
-    ann = annotate(sel, tokenizer, utf16)
-    narrow = ann.select(*NARROW)
+    """Select, rank, order and limit files per corpus.  There is no size cap
+    unless ``max_file_size`` gives one.  Every corpus has a summary row, also
+    one whose files are all ignored.
+
+    Contents are read by one scan that turns them into narrow rows; the
+    per-corpus rules, the ordering and the totals work on those."""
+    from .filters import corpus_rules, selected, without_ruled_out
+    found = corpus_rules(files, rules, use_rule_files)
+    flagged = annotate(files, tokenizer, utf16).select(*NARROW, selected(ignore, extensions, max_file_size).alias("kept"))
+    narrow = without_ruled_out(flagged.where("kept").drop("kept"), found)
     # Range partitioning samples its input in a separate job; ordering reads
     # a written narrow copy so the scan, filters and regexes run once.
     written = {}
@@ -122,14 +132,27 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
 
     if max_files or max_total_size:
         ordered = order_files(narrow_copy(), custom_priority)
-        flagged = limit_flags(ordered, max_files, max_total_size)
-        summary = totals(flagged)
-        kept = flagged.where("kept").drop("kept")
-        return Packed(kept, summary, files, materialize=False)
+        limited = limit_flags(ordered, max_files, max_total_size)
+        summary = _every_corpus(totals(limited), files)
+        kept = limited.where("kept").drop("kept")
+        return Packed(kept, summary, files, materialize=False, ignore=ignore, rules=rules, use_rule_files=use_rule_files)
     # Without limits every selected file is kept: the totals are a plain
     # partial aggregate and need no ordering.
-    summary = totals(narrow.withColumn("kept", F.lit(True)))
-    return Packed(lambda: order_files(narrow_copy(), custom_priority), summary, files, materialize=materialize)
+    if found is None:
+        summary = totals(flagged, "kept", "kept")
+    else:
+        summary = _every_corpus(totals(narrow.withColumn("kept", F.lit(True))), files)
+    return Packed(lambda: order_files(narrow_copy(), custom_priority), summary, files, materialize=materialize,
+                  ignore=ignore, rules=rules, use_rule_files=use_rule_files)
+
+
+def _every_corpus(summary: DataFrame, files: DataFrame) -> DataFrame:
+    """``summary`` with a row of zeros for each corpus of ``files`` it lacks (a
+    scan of the corpus column alone)."""
+    zero = {f.name: (False if f.dataType.typeName() == "boolean" else 0) for f in summary.schema.fields if f.name != "corpus_id"}
+    s = summary.withColumnRenamed("corpus_id", "_c")
+    corpora = files.select("corpus_id").distinct()
+    return corpora.join(s, corpora["corpus_id"].eqNullSafe(s["_c"]), "left").drop("_c").fillna(zero)
 
 
 def count_summary(summary: DataFrame, model_table: DataFrame, model: str) -> DataFrame:

@@ -32,9 +32,15 @@ def _size_or_len() -> Column:
 
 
 def json_string(c) -> Column:
-    """A JSON string literal for a column (NULL stays NULL)."""
+    """A JSON string literal for a column (NULL stays NULL).  Control
+    characters without a short form are escaped in lower-case hexadecimal."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":([\s\S]*)\}$', 1)
+    text = F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":([\s\S]*)\}$', 1)
+    low = text
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        # An even number of backslashes before the escape belongs to the text.
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.when(c.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), low).otherwise(text)
 
 
 def _json_value(c) -> Column:
@@ -65,7 +71,7 @@ def file_block(fmt: str, file_headers: bool = True, include_content: bool = True
         return F.concat(*parts)
     if fmt == "template":
         cols = {"path": F.col("path"), "content": F.col("content"), "language": lang,
-                "size": _size_or_len().cast("string")}
+                "size": _size_or_len().cast("string"), **_global_columns()}
         return F.concat(*[F.lit(s) if kind == "lit" else cols[s] for kind, s in template_segments])
     raise ValueError(fmt)
 
@@ -136,12 +142,16 @@ def parse_template(template: str):
         if pos < len(text):
             out.append(("lit", text[pos:]))
         return out
-    return segs(before, _GLOBAL), (segs(body, _PER_FILE) if body is not None else None), segs(after, _GLOBAL)
+    return segs(before, _GLOBAL), (segs(body, _PER_FILE + _GLOBAL) if body is not None else None), segs(after, _GLOBAL)
 
 
-def _global_concat(segments) -> Column:
-    cols = {"directory": F.col("directory"), "totalFiles": F.col("total_files").cast("string"),
+def _global_columns() -> dict[str, Column]:
+    return {"directory": F.col("directory"), "totalFiles": F.col("total_files").cast("string"),
             "totalSize": format_size("total_size"), "tree": F.coalesce(F.col("tree"), F.lit(""))}
+
+
+def _global_concat(segments) -> Column:
+    cols = _global_columns()
     if not segments:
         return F.lit("")
     return F.concat(*[F.lit(v) if k == "lit" else cols[v] for k, v in segments])
@@ -164,17 +174,20 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
         blk = file_block("template", template_segments=body) if body is not None else F.lit("")
     else:
         blk = file_block(kind, file_headers, include_content)
-    blocks = files.select(*g, F.col(order).alias("_o"), blk.alias("_b"))
-    sep = ",\n" if kind == "json" else ""
-    bodies = blocks.groupBy(*g).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_b"))), lambda x: x["_b"]), sep)
-        .alias("_body"))
     st = stats.select(*g, "total_files", "total_size", "tokens")
     if tree is not None and (include_tree or kind in ("json", "template")):
         st = st.join(tree.select("corpus_id", "tree"), "corpus_id", "left")
     else:
         st = st.withColumn("tree", F.lit(None).cast("string"))
     st = st.withColumn("directory", F.col("corpus_id"))
+    if kind == "template" and body is not None and any(k == "col" and v in _GLOBAL for k, v in body):
+        # The loop's body names values of the document: they are joined to its files.
+        files = files.select(*g, order, "path", "content", "size").join(st.drop("tokens"), g)
+    blocks = files.select(*g, F.col(order).alias("_o"), blk.alias("_b"))
+    sep = ",\n" if kind == "json" else ""
+    bodies = blocks.groupBy(*g).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_b"))), lambda x: x["_b"]), sep)
+        .alias("_body"))
     doc = st.join(bodies, g, "left").withColumn("_body", F.coalesce("_body", F.lit("")))
     if kind == "template":
         text = F.concat(_global_concat(pre), F.col("_body") if body is not None else F.lit(""), _global_concat(post))
@@ -182,8 +195,10 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
         files_part = F.when(F.col("_body") == "", F.lit("]")).otherwise(F.concat(F.lit("\n"), F.col("_body"), F.lit("\n  ]")))
         text = F.concat(header("json", include_tree, include_stats), files_part, F.lit("\n}"))
         if not pretty:
+            content = ",content:string" if include_content else ""
             text = F.to_json(F.from_json(text, "directory string, stats struct<totalFiles:long,totalSize:long,tokens:long>, "
-                                               "tree string, files array<struct<path:string,size:long,language:string,content:string>>"))
+                                               f"tree string, files array<struct<path:string,size:long,language:string{content}>>"),
+                             {"ignoreNullFields": "false"})
     else:
         text = F.concat(header(kind, include_tree, include_stats), F.col("_body"), F.lit(footer(kind)))
         if kind in ("markdown", "plain"):

@@ -212,7 +212,8 @@ def suggest_split(summary: DataFrame, model: str = K.DEFAULT_MODEL) -> DataFrame
             "corpus_id", F.lit(model).alias("model"), (t > K.UNKNOWN_MODEL_CHUNK_TOKENS).alias("needs_split"),
             F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("long").alias("context_limit"),
             F.ceil(t / K.UNKNOWN_MODEL_CHUNK_TOKENS).cast("long").alias("suggested_chunks"),
-            F.lit(None).cast("long").alias("tokens_per_chunk"), F.lit(None).cast("double").alias("context_usage"))
+            F.lit(None).cast("long").alias("tokens_per_chunk"), F.lit(None).cast("double").alias("context_usage"),
+            F.lit(K.SPLIT_UNKNOWN).alias("recommendation"), F.lit(None).cast("array<string>").alias("strategies"))
     safe = F.lit(float(ctx)) * F.lit(0.85)
     needs = t > safe
     chunks = F.ceil(t / safe).cast("long")
@@ -221,4 +222,8 @@ def suggest_split(summary: DataFrame, model: str = K.DEFAULT_MODEL) -> DataFrame
         F.when(needs, F.lit(ctx)).cast("long").alias("context_limit"),
         F.when(needs, chunks).alias("suggested_chunks"),
         F.when(needs, F.ceil(t / chunks)).cast("long").alias("tokens_per_chunk"),
-        F.when(~needs, t / F.lit(ctx)).alias("context_usage"))
+        F.when(~needs, t / F.lit(ctx)).alias("context_usage"),
+        F.when(needs, F.concat(F.lit("Split into "), chunks.cast("string"), F.lit(" chunks of ~"),
+                               F.format_number(F.ceil(t / chunks).cast("long"), 0), F.lit(" tokens each")))
+        .otherwise(F.lit(K.SPLIT_FITS)).alias("recommendation"),
+        F.when(needs, F.array(*[F.lit(x) for x in K.SPLIT_STRATEGIES])).alias("strategies"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .filters import ignored, rules_regex
+from .filters import corpus_rules, ignored, without_ruled_out
 
 
 def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
@@ -23,10 +23,7 @@ def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
     """``(corpus_id, path, segs, depth, is_dir, line)``; sort by ``segs`` for
     the depth-first order with sorted siblings.  Like file selection, the
     rule files at each corpus root add per-corpus patterns."""
-    if use_rule_files:
-        from ..sources.files import read_ignore_rules
-        rf = read_ignore_rules(files).select("corpus_id", "pattern")
-        rules = rf if rules is None else rules.select("corpus_id", "pattern").unionByName(rf)
+    rules = corpus_rules(files, rules, use_rule_files)
     segs = F.split("path", "/", -1)
     ex = files.select("corpus_id", segs.alias("_s")).select(
         "corpus_id", "_s", F.explode(F.sequence(F.lit(1), F.size("_s"))).alias("depth"))
@@ -38,11 +35,7 @@ def tree_lines(files: DataFrame, patterns: Sequence[str] = K.DEFAULT_IGNORE,
                  .withColumn("name", F.element_at("segs", -1)) \
                  .withColumn("parent", F.array_join(F.slice("segs", 1, F.col("depth") - 1), "/"))
     nodes = nodes.where(~ignored("path", list(patterns)))
-    if rules is not None:
-        rx = rules_regex(rules).withColumnRenamed("corpus_id", "_r_corpus")
-        nodes = (nodes.join(rx, nodes["corpus_id"] == rx["_r_corpus"], "left")
-                 .where(~F.coalesce(F.regexp(F.col("path"), F.col("_rx")), F.lit(False)))
-                 .drop("_r_corpus", "_rx"))
+    nodes = without_ruled_out(nodes, rules)
     # A node whose ancestor is ignored is dropped below: it finds fewer
     # ancestor rows than its depth requires.
     last = nodes.groupBy("corpus_id", "parent").agg(F.max("name").alias("_last"))

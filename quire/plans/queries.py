@@ -12,6 +12,7 @@ from ..functions import constants as K
 from ..functions import models as M
 from ..functions.clean import minify, remove_comments, remove_empty_lines, truncate_to_tokens
 from ..functions.paths import basename, ext_last, ext_name, file_priority, language_of, top_dir, type_of
+from ..functions.text import format_bytes, format_money, format_number, format_size
 from ..functions.tokens import estimate_tokens, line_breakdown
 from ..operators import compare as C
 from ..operators import optimize as O
@@ -36,8 +37,13 @@ FILES_PER_CHUNK = 20
 OVERLAP = 2
 SUGGEST_MODEL = "codestral"
 DEBOUNCE_MS = 3600 * 1000
+STABILITY_MS = 1800 * 1000
+SIZE_CAP = 2000
+EXTENSIONS = ["js", "md", "py", "JSON"]
+LISTED_MODELS = ["command-r", "gpt-4o", "mistral-large-3", "nope-1", "gpt-4o"]
+INFO_NAMES = [m[0] for m in K.MODELS] + ["nope-1", "GPT-4O", ""]
 WATCH_OUTPUT = "view_3.js"
-RESOLVE_NAMES = [a for a, _ in K.MODEL_ALIASES] + [m[0] for m in K.MODELS[:5]] + ["GPT-4O", "Opus", "nope-1"]
+RESOLVE_NAMES = [a for a, _ in K.MODEL_ALIASES] + [m[0] for m in K.MODELS] + ["GPT-4O", "Opus", "nope-1"]
 CUSTOM_PROFILES = [("in-house-8k", 8000, 0.05, 0.10), ("gpt-4o", 128000, 2.00, 8.00)]
 
 
@@ -116,14 +122,12 @@ def q_top_files_by_tokens(spark, sf):
 
 
 def q_line_breakdown(spark, sf):
-    k = _kept_with_content(spark, sf)
-    return k.select("corpus_id", "path", line_breakdown("content").alias("b")).select("corpus_id", "path", "b.*")
+    return _files(spark, sf).select("corpus_id", "path", line_breakdown("content").alias("b")).select("corpus_id", "path", "b.*")
 
 
 def _clean_digest(spark, sf, fn):
-    k = select_files(_files(spark, sf))
     c = fn(F.col("content"))
-    return k.select("corpus_id", "path", F.length(c).cast("long").alias("out_len"), F.md5(c).alias("out_md5"))
+    return _files(spark, sf).select("corpus_id", "path", F.length(c).cast("long").alias("out_len"), F.md5(c).alias("out_md5"))
 
 
 def q_strip_comments(spark, sf):
@@ -143,7 +147,7 @@ def q_truncate_to_tokens(spark, sf):
 
 
 def _phase1(spark, sf):
-    return O.optimize_files(select_files(_files(spark, sf)), remove_comments_=True, remove_empty_lines_=True,
+    return O.optimize_files(_files(spark, sf), remove_comments_=True, remove_empty_lines_=True,
                             minify_=True)
 
 
@@ -231,7 +235,7 @@ def q_split_stats(spark, sf):
 
 
 def q_suggest_split(spark, sf):
-    return S.suggest_split(_packed(spark, sf).summary, SUGGEST_MODEL)
+    return S.suggest_split(_packed(spark, sf).summary, SUGGEST_MODEL).withColumn("strategies", F.array_join("strategies", ","))
 
 
 def q_get_suggestions(spark, sf):
@@ -375,22 +379,70 @@ def q_latest_file_state(spark, sf):
     return W.latest_state(fx.changes_events(spark, sf)).select("corpus_id", "path", "op", "ts", "seq", "size")
 
 
+def q_debounced_changes_stable(spark, sf):
+    """Bursts with the wait for a write to settle added to the debounce time."""
+    return W.debounce_batch(fx.changes_events(spark, sf), DEBOUNCE_MS, STABILITY_MS)
+
+
 def q_stream_repack(spark, sf):
-    """J1 + J5: events streamed from the parquet folder, per-batch repack of
-    the touched corpora, final state read back."""
-    from ..sources.fixtures import changes_from_events
+    """J1 + J5: events streamed from the parquet folder, per-batch packing of
+    the touched corpora, final totals read back."""
     base = work_path(spark, f"stream-{uuid.uuid4().hex}")
-    ev_schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
-    stream = W.stream_changes(spark, sf, ev_schema.simpleString()[7:-1].replace(":", " "), glob="events.parquet")
-    changes = changes_from_events(stream)
-
-    def summarize(state):
-        return state.groupBy("corpus_id").agg(F.count(F.lit(1)).cast("long").alias("files"),
-                                              F.sum("size").cast("long").alias("total_size"))
-    q = W.incremental_repack(changes, f"{base}/log", f"{base}/out", f"{base}/ckpt", summarize)
+    stream = W.stream_changes(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+
+    def summarize(files):
+        return P.pack(files).summary.select("corpus_id", "total_files", "total_size", "tokens")
+    q = W.incremental_repack(fx.changes_from_events(stream), f"{base}/state", f"{base}/out", f"{base}/ckpt", summarize)
     q.awaitTermination()
     return W.current_output(spark, f"{base}/out")
 
 
+def q_pack_empty_corpora(spark, sf):
+    """Totals of corpora of which some have only ignored files."""
+    return P.pack(fx.files_docs_by_folder(spark, sf)).summary.select(
+        "corpus_id", "total_files", "total_size", "tokens", "tokens_joined", "truncated")
+
+
+def q_pack_empty_corpora_limited(spark, sf):
+    return P.pack(fx.files_docs_by_folder(spark, sf), max_files=3).summary.select(
+        "corpus_id", "total_files", "total_size", "original_size", "truncated")
+
+
+def q_filter_max_file_size(spark, sf):
+    return select_files(_files(spark, sf), max_file_size=SIZE_CAP).select("corpus_id", "path", "size")
+
+
+def q_filter_extensions(spark, sf):
+    return select_files(_files(spark, sf), extensions=EXTENSIONS).select("corpus_id", "path", "size")
+
+
+def q_filter_nul(spark, sf):
+    """Every seventh document has a NUL in its text."""
+    nul = F.when(F.col("doc_id") % 7 == 0, F.lit("\x00")).otherwise(F.lit(""))
+    files = _files(spark, sf).withColumn("content", F.concat("content", nul))
+    return select_files(files).select("corpus_id", "path", "size")
+
+
+def q_ignore_rules_two_files(spark, sf):
+    return P.pack(fx.files_docs_with_both_rule_files(spark, sf)).files.select("corpus_id", "path", "pos")
+
+
+def q_compare_listed_models(spark, sf):
+    """A list of models with equal contexts, a repeated and an unknown one."""
+    return C.compare_models(_packed(spark, sf).summary, M.models(spark), LISTED_MODELS)
+
+
+def q_model_info(spark, sf):
+    """One requested name per document."""
+    names = F.element_at(F.array(*[F.lit(n) for n in INFO_NAMES]), (F.col("doc_id") % len(INFO_NAMES) + 1).cast("int"))
+    return C.model_info(fx.table(spark, sf, "documents").select("doc_id", names.alias("model")), M.models(spark))
+
+
+def q_format_values(spark, sf):
+    s = F.col("size")
+    return _files(spark, sf).select("corpus_id", "path", format_bytes(s * 37).alias("bytes"), format_size(s * 37).alias("size_text"),
+                                    format_number(s * 1001).alias("number"), format_money(s / 1024).alias("money"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
-ROWS_ONLY = {"stream_repack"}
+ROWS_ONLY: set[str] = set()

@@ -100,5 +100,5 @@ def read_ignore_rules(files: DataFrame) -> DataFrame:
     rf = rf.withColumn("_f", F.array_position(F.array(*[F.lit(x) for x in K.RULE_FILES]), F.col("path")))
     ex = rf.select("corpus_id", "_f", F.posexplode(F.split("content", "\n", -1)).alias("_l", "line"))
     pat = F.regexp_replace("line", rf"^{WS}+|{WS}+\z", "")
-    return (ex.select("corpus_id", pat.alias("pattern"), (F.col("_f") * F.lit(1 << 30) + F.col("_l")).alias("rule_no"))
+    return (ex.select("corpus_id", pat.alias("pattern"), F.struct("_f", "_l").alias("rule_no"))
             .where((F.col("pattern") != "") & ~F.col("pattern").startswith("#")))

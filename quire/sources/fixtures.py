@@ -39,6 +39,10 @@ RULES_CONTENT_SQL = """concat('# rules', chr(10),
   chr(10), 'f', CAST(min(doc_id) % 10 AS VARCHAR(5)), '*', chr(10))"""
 
 
+# A second rule file, with patterns of its own.
+MORE_RULES_SQL = "concat('assets', chr(10), '# note', chr(10), '*.js', chr(10), CAST(max(doc_id) % 7 AS VARCHAR(5)), '1', chr(10))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -51,12 +55,26 @@ def files_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_docs_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files_docs`` plus one ``.gitignore`` per corpus derived from its rows."""
-    d = table(spark, sf_dir, "documents")
-    rules = (d.groupBy(F.col("source").alias("corpus_id"))
-             .agg(F.expr(RULES_CONTENT_SQL).alias("content"))
-             .select("corpus_id", F.lit(None).cast("long").alias("doc_id"), F.lit(".gitignore").alias("path"),
-                     "content", F.octet_length("content").cast("long").alias("size")))
-    return files_docs(spark, sf_dir).unionByName(rules)
+    return files_docs(spark, sf_dir).unionByName(_rule_file(spark, sf_dir, ".gitignore", RULES_CONTENT_SQL))
+
+
+def files_docs_with_both_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a ``.ctxignore`` beside it."""
+    return files_docs_with_rules(spark, sf_dir).unionByName(_rule_file(spark, sf_dir, ".ctxignore", MORE_RULES_SQL))
+
+
+def _rule_file(spark: SparkSession, sf_dir: str, name: str, content_sql: str) -> DataFrame:
+    return (table(spark, sf_dir, "documents").groupBy(F.col("source").alias("corpus_id"))
+            .agg(F.expr(content_sql).alias("content"))
+            .select("corpus_id", F.lit(None).cast("long").alias("doc_id"), F.lit(name).alias("path"),
+                    "content", F.octet_length("content").cast("long").alias("size")))
+
+
+def files_docs_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each top folder of a source as a corpus of its own, so that some
+    corpora hold ignored files alone."""
+    d = files_docs(spark, sf_dir)
+    return d.withColumn("corpus_id", F.concat("corpus_id", F.lit(":"), F.regexp_extract("path", "^([^/]*)", 1)))
 
 
 def files_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +93,6 @@ def files_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("size", F.octet_length("content").cast("long")))
 
 
-def files_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return (b.selectExpr("'benchmark' AS corpus_id", "concat('items/', CAST(item_id AS VARCHAR(20)), '.txt') AS path",
-                         "text AS content")
-            .withColumn("size", F.octet_length("content").cast("long")))
-
-
 def changes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return changes_from_events(e)

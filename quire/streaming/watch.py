@@ -51,38 +51,96 @@ def debounce(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
 
 def debounce_batch(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
                    stability_ms: int = 0) -> DataFrame:
-    """Batch twin of :func:`debounce` that does not put a corpus in one task:
-    events are ranked per corpus by ``(ts, seq)`` with the sliced ordered scan,
-    each event meets its predecessor through an equi-join on ``(corpus_id,
-    pos - 1)``, a burst starts where the gap exceeds the debounce time, burst
-    ids are a running sum of those starts, and bursts are a partial aggregate."""
-    from ..operators.ordered import ordered_scan
+    """Batch twin of :func:`debounce` that does not put a corpus in one task.
+    Events are range-partitioned by ``(corpus, ts, seq)``; each slice folds its
+    sorted events into bursts in one streamed pass, so what leaves it is one
+    row per burst.  Only a burst at a slice's edge can go on in the next
+    slice; those (at most two per slice and corpus run) are merged by the same
+    fold over the burst rows, whose number the events no longer determine."""
+    from ..operators.ordered import _materialize
     gap_us = (int(debounce_ms) + int(stability_ms)) * 1000
-    ranked = ordered_scan(changes.select("corpus_id", "path", "op", "ts", "seq"), "corpus_id",
-                          [F.col("ts"), F.col("seq")])
-    prev = ranked.select("corpus_id", (F.col("pos") + 1).alias("pos"), F.col("ts").alias("_prev_ts"))
-    flagged = ranked.join(prev, ["corpus_id", "pos"], "left").withColumn(
-        "_brk", F.when(F.col("_prev_ts").isNull() |
-                       (F.expr("timestampdiff(MICROSECOND, _prev_ts, ts)") > F.lit(gap_us)), 1).otherwise(0)
-        .cast("long"))
-    bursts = ordered_scan(flagged.drop("_prev_ts"), "corpus_id", [F.col("pos")], sums=["_brk"], pos_col="_p2")
-    last = F.struct("ts", "seq")
-    return (bursts.groupBy("corpus_id", F.col("cum__brk").alias("burst"))
-            .agg(F.count(F.lit(1)).cast("long").alias("events"), F.min("ts").alias("first_ts"),
-                 F.max("ts").alias("last_ts"), F.max_by("op", last).alias("last_op"),
-                 F.max_by("path", last).alias("last_path"))
-            .select("corpus_id", "first_ts", "last_ts", "events", "last_op", "last_path",
-                    (F.col("last_ts") + F.expr(f"INTERVAL {gap_us} MICROSECONDS")).alias("repack_at")))
+    spark = changes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = changes.where(F.col("ts").isNotNull()).select("corpus_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "seq", "op", "path")
+    schema = "corpus_id string, first_us long, last_us long, seq long, events long, op string, path string, slice int"
+
+    def fold(batches):
+        import pyarrow as pa
+        import numpy as np
+        from pyspark import TaskContext
+        piece, held = TaskContext.get().partitionId(), None
+
+        def out(rows):
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows = list(rows)
+            return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(zip(*rows), kinds)], pa.array([piece] * len(rows), pa.int32())],
+                                              names=["corpus_id", "first_us", "last_us", "seq", "events", "op", "path", "slice"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            us, key = b.column(1).to_numpy(), b.column(0)
+            first = np.ones(len(us), dtype=bool)
+            codes = key.dictionary_encode().indices.fill_null(-1).to_numpy()
+            first[1:] = (codes[1:] != codes[:-1]) | (us[1:] - us[:-1] > gap_us)
+            start = np.flatnonzero(first)
+            end = np.append(start[1:], len(us)) - 1
+            take = lambda c, i: b.column(c).take(pa.array(i)).to_pylist()
+            rows = [list(r) for r in zip(take(0, start), us[start].tolist(), us[end].tolist(), take(2, end), (end - start + 1).tolist(),
+                                         take(3, end), take(4, end))]
+            if held is not None:
+                if rows[0][0] == held[0] and rows[0][1] - held[2] <= gap_us:
+                    rows[0][1], rows[0][4] = held[1], rows[0][4] + held[4]
+                else:
+                    rows.insert(0, held)
+            held = rows.pop()
+            if rows:
+                yield out(rows)
+        if held is not None:
+            yield out([held])
+
+    sliced = (cols.repartitionByRange(n, "corpus_id", "us", "seq").sortWithinPartitions("corpus_id", "us", "seq")
+              .mapInArrow(fold, schema))
+    # The slices' bounds come from a sample, so the fold is evaluated once.
+    bursts = _materialize(sliced)
+    # First and last burst of each corpus in each slice; those that meet the next slice's are one.
+    edge = (bursts.groupBy("corpus_id", "slice").agg(F.min("first_us").alias("a"), F.max("last_us").alias("z"), F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("corpus_id").orderBy("slice")
+    edge = edge.withColumn("joins", F.coalesce(F.col("a") - F.lag("z").over(w) <= F.lit(gap_us), F.lit(False)))
+    # A chain ends where a slice does not join the one before, or holds several bursts.
+    start = F.when(F.col("joins"), F.lit(0)).otherwise(F.lit(1))
+    split = F.when(F.lag("n").over(w) > 1, F.lit(1)).otherwise(F.lit(0))
+    edge = edge.withColumn("chain", F.sum(F.greatest(start, split)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = bursts.join(edge.select("corpus_id", "slice", "a", "z", "joins", "n", "chain",
+                                      F.lead("joins").over(w).alias("goes_on")), ["corpus_id", "slice"])
+    # A burst belongs to the chain before it (its slice's first), after it (the last), or stands alone.
+    first, last = F.col("first_us") == F.col("a"), F.col("last_us") == F.col("z")
+    group = (F.when(first & F.col("joins"), F.struct(F.col("chain").alias("c"), F.lit(0).cast("long").alias("u")))
+             .when(last & F.coalesce("goes_on", F.lit(False)), F.struct((F.col("chain") + F.when(F.col("n") > 1, 1).otherwise(0)).alias("c"), F.lit(0).cast("long").alias("u")))
+             .otherwise(F.struct(F.lit(-1).cast("long").alias("c"), F.col("first_us").alias("u"))))
+    at = F.struct("last_us", "seq")
+    out = chained.withColumn("g", group).groupBy("corpus_id", "g").agg(
+        F.sum("events").alias("events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        F.max_by("op", at).alias("last_op"), F.max_by("path", at).alias("last_path"))
+    kind = changes.schema["ts"].dataType
+    stamp = lambda c: F.timestamp_micros(c).cast(kind)
+    return out.select("corpus_id", stamp(F.col("first_us")).alias("first_ts"), stamp(F.col("last_us")).alias("last_ts"),
+                      F.col("events").cast("long").alias("events"), "last_op", "last_path",
+                      stamp(F.col("last_us") + F.lit(gap_us)).alias("repack_at"))
+
+
+def _last_events(changes: DataFrame) -> DataFrame:
+    key = F.struct("ts", "seq")
+    last = changes.groupBy("corpus_id", "path").agg(
+        F.max_by(F.struct("op", "ts", "seq", "content", "size"), key).alias("e"))
+    return last.select("corpus_id", "path", "e.*")
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
     """The current file set: the last event per (corpus, path) by
     ``(ts, seq)``, unlinked files removed.  Later-arriving old events cannot
     regress a path because the order is by event time, not arrival."""
-    key = F.struct("ts", "seq")
-    last = changes.groupBy("corpus_id", "path").agg(
-        F.max_by(F.struct("op", "ts", "seq", "content", "size"), key).alias("e"))
-    return (last.select("corpus_id", "path", "e.*").where(F.col("op") != "unlink"))
+    return _last_events(changes).where(F.col("op") != "unlink")
 
 
 def stream_changes(spark: SparkSession, folder: str, schema: str, glob: str | None = None,
@@ -96,31 +154,50 @@ def stream_changes(spark: SparkSession, folder: str, schema: str, glob: str | No
     return r.parquet(folder)
 
 
-def incremental_repack(stream: DataFrame, log_path: str, out_path: str, checkpoint: str,
-                       summarize, trigger_once: bool = True, log_buckets: int = 64):
-    """Per micro-batch, append the batch's changes to a log partitioned by a
-    hash bucket of the corpus and the batch id (idempotent: a replay overwrites
-    its own partitions), then recompute only the touched corpora from the log
-    (pruned to their buckets) and
-    overwrite their rows of the output.  ``summarize(state) -> DataFrame``
-    maps the latest file state of the touched corpora to output rows keyed by
-    ``corpus_id``."""
+def incremental_repack(stream: DataFrame, state_path: str, out_path: str, checkpoint: str,
+                       summarize, trigger_once: bool = True, buckets: int = 64):
+    """Per micro-batch, recompute the corpora it touched.
+
+    The state is the last event of every (corpus, path), unlinks included (a
+    late older event must not bring a file back), in hash buckets of the
+    corpus.  A batch reads the folders of the buckets it touches, merges its
+    own events and writes those buckets anew under its batch id; a table of
+    the current version of each bucket (``buckets`` rows) is written beside.
+    So a batch costs what its buckets hold, not the history, and a replay
+    overwrites only its own folders.
+
+    ``summarize(files) -> DataFrame`` maps the current files of the touched
+    corpora to rows keyed by ``corpus_id``.  A corpus that has no file left
+    gets a row flagged ``emptied`` that hides its older ones."""
     def each(batch: DataFrame, batch_id: int):
-        b = (batch.withColumn("bucket", F.pmod(F.xxhash64("corpus_id"), F.lit(int(log_buckets))).cast("int"))
-             .withColumn("batch_id", F.lit(int(batch_id))))
-        # (bucket, batch_id) partitions: a replay overwrites only its own
-        # partitions, a batch writes at most `log_buckets` folders, and reading
-        # the touched corpora prunes to their buckets.
-        (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("bucket", "batch_id").parquet(log_path))
-        touched = b.select("corpus_id", "bucket").distinct()
         spark = batch.sparkSession
-        log = (spark.read.schema(b.schema).parquet(log_path)
-               .join(touched.select("bucket").distinct(), "bucket", "left_semi")
-               .join(touched.select("corpus_id"), "corpus_id", "left_semi").drop("bucket"))
-        res = summarize(latest_state(log)).withColumn("batch_id", F.lit(int(batch_id)))
-        (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(out_path))
+        own = batch.persist()
+        try:
+            b = _last_events(own).withColumn("bucket", F.pmod(F.xxhash64("corpus_id"), F.lit(int(buckets))).cast("int"))
+            touched = sorted(r.bucket for r in b.select("bucket").distinct().collect())      # at most `buckets`
+            if not touched:
+                b = b.limit(0)
+            version = {r.bucket: r.batch for r in spark.read.parquet(f"{state_path}/versions/{batch_id - 1}").collect()} if batch_id else {}
+            old = [f"{state_path}/rows/{version[k]}/bucket={k}" for k in touched if k in version]
+            events = b.drop("bucket")
+            if old:
+                events = events.unionByName(spark.read.schema(events.schema).parquet(*old))
+            bucket = F.pmod(F.xxhash64("corpus_id"), F.lit(int(buckets))).cast("int")
+            rows = f"{state_path}/rows/{batch_id}"
+            (_last_events(events).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8)))
+             .write.mode("overwrite").partitionBy("bucket").parquet(rows))
+            version.update({k: int(batch_id) for k in touched})
+            spark.createDataFrame(list(version.items()), "bucket int, batch int").coalesce(1) \
+                .write.mode("overwrite").parquet(f"{state_path}/versions/{batch_id}")
+            corpora = own.select("corpus_id").distinct()
+            now = (spark.read.schema(events.schema).parquet(rows).join(corpora, "corpus_id", "left_semi")
+                   .where(F.col("op") != "unlink"))
+            res = summarize(now).withColumn("emptied", F.lit(False))
+            gone = corpora.join(now.select("corpus_id").distinct(), "corpus_id", "left_anti").withColumn("emptied", F.lit(True))
+            (res.unionByName(gone, allowMissingColumns=True).withColumn("batch_id", F.lit(int(batch_id)))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
+        finally:
+            own.unpersist()
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
@@ -128,7 +205,9 @@ def incremental_repack(stream: DataFrame, log_path: str, out_path: str, checkpoi
 
 
 def current_output(spark: SparkSession, out_path: str) -> DataFrame:
-    """The newest recomputed row per corpus across micro-batches."""
+    """The newest recomputed row per corpus across micro-batches; corpora that
+    were emptied have none.  A partial aggregate, no window per corpus."""
     res = spark.read.parquet(out_path)
-    w = Window.partitionBy("corpus_id").orderBy(F.col("batch_id").desc())
-    return res.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch_id")
+    cols = [c for c in res.columns if c != "batch_id"]
+    last = res.groupBy(F.col("corpus_id").alias("_c")).agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
+    return last.select("r.*").where(~F.col("emptied")).drop("emptied")
