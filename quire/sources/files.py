@@ -30,66 +30,105 @@ def from_table(df: DataFrame, corpus_id="corpus_id", path="path", content="conte
                      F.col(path).cast("string").alias("path"), c.alias("content"), sz.alias("size"))
 
 
+def _filesystem(uri: str):
+    """Filesystem and path of a URI (local paths too)."""
+    from pyarrow import fs as pafs
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        return pafs.LocalFileSystem(), uri[len("file:"):]
+    return pafs.FileSystem.from_uri(uri)
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length)`` of every file under ``root``, relative to it, names
+    that begin with a dot or an underscore included.
+
+    Spark's own listing leaves those out, so folders are listed here, level by
+    level: the folders of a level are spread over tasks, each lists its own
+    (one folder's entries at a time), and the next level is what they found.
+    Levels are written to the checkpoint folder; rounds are the tree's depth."""
+    from ..operators.pack import checkpoint
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+        fsys, base = _filesystem(root)
+        base = base.rstrip("/")
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                at = f"{base}/{folder}" if folder else base
+                found = fsys.get_file_info(pafs.FileSelector(at, recursive=False))
+                for i in range(0, len(found), 50_000):
+                    part = found[i:i + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{folder}/{x.base_name}" if folder else x.base_name for x in part], pa.string()),
+                         pa.array([x.size for x in part], pa.int64()),
+                         pa.array([x.type == pafs.FileType.Directory for x in part], pa.bool_())],
+                        names=["path", "length", "folder"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([("",)], "path string")
+    files = None
+    while True:
+        level = checkpoint(folders.repartition(n, "path").mapInArrow(run, "path string, length long, folder boolean"))
+        here = level.where("not folder").select("path", "length")
+        files = here if files is None else files.unionByName(here)
+        folders = level.where("folder").select("path")
+        if not folders.limit(1).count():
+            return files
+
+
 def scan_files(spark: SparkSession, root: str, max_file_size: int | None = None,
                path_glob: str | None = None, corpus_depth: int = 1) -> DataFrame:
-    """Recursive read of a directory tree with ``binaryFile``.
+    """Recursive read of a directory tree.
 
     The first ``corpus_depth`` directory levels under ``root`` name the
-    corpus.  ``max_file_size`` becomes a ``length`` predicate that the source
-    evaluates before reading bytes; bad UTF-8 decodes to U+FFFD, and corrupt
-    or vanished files are skipped by the session's ``ignoreCorrupt/MissingFiles``
-    settings.  Files outside any corpus directory are not read.
+    corpus.  Names beginning with a dot or an underscore are files like others.
+    ``max_file_size`` and ``path_glob`` (on the file's name) are tested on the
+    listing, before anything is read; bad UTF-8 decodes to U+FFFD.  A file that
+    vanished since the listing is skipped; any other failure to read ends the
+    job, so no file is lost silently.  Files outside any corpus directory are
+    not read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    df = reader.load(root)
+    import fnmatch
+    import re
+    listed = list_files(spark, root)
     if max_file_size:
-        df = df.where(F.col("length") <= F.lit(int(max_file_size)))
-    root_uri = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?" + _regex_escape(root_uri.split(":", 1)[-1]) + "/", "")
-    segs = F.split(rel, "/", -1)
-    corpus = F.array_join(F.slice(segs, 1, corpus_depth), "/")
-    inner = F.array_join(F.slice(segs, corpus_depth + 1, 1 << 20), "/")
-    files = (df.select(corpus.alias("corpus_id"), inner.alias("path"),
-                       F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-                       F.col("length").cast("long").alias("size"))
-             .where(F.col("path") != ""))
-    # Spark's file listing skips names starting with '.', so the rule files
-    # at each corpus root are read by a small distributed job instead.
-    return files.unionByName(read_rule_files(files.select("corpus_id").distinct(), root))
-
-
-def read_rule_files(corpora: DataFrame, root: str, names=K.RULE_FILES) -> DataFrame:
-    """Rule files (``.gitignore``, ``.ctxignore``) at each corpus root, read by
-    Spark tasks through ``pyarrow.fs`` (local, NFS, HDFS or object stores);
-    one row per file found, in the ``files`` schema."""
-    import pandas as pd
+        listed = listed.where(F.col("length") <= F.lit(int(max_file_size)))
+    if path_glob:
+        listed = listed.where(F.substring_index("path", "/", -1).rlike("^" + fnmatch.translate(path_glob).replace(r"\Z", r"\z")))
+    segs = F.split("path", "/", -1)
+    depth = int(corpus_depth)
+    listed = listed.where(F.size(segs) > depth).select(
+        F.array_join(F.slice(segs, 1, depth), "/").alias("corpus_id"),
+        F.array_join(F.slice(segs, F.lit(depth + 1), F.size(segs)), "/").alias("path"), F.col("path").alias("at"))
 
     def run(batches):
-        from pyarrow import fs as pafs
-        try:
-            fsys, base = pafs.FileSystem.from_uri(root)
-        except Exception:
-            fsys, base = pafs.LocalFileSystem(), root
+        import pyarrow as pa
+        fsys, base = _filesystem(root)
         base = base.rstrip("/")
-        for pdf in batches:
-            out = []
-            for c in pdf["corpus_id"]:
-                for n in names:
-                    try:
-                        with fsys.open_input_stream(f"{base}/{c}/{n}") as f:
-                            data = f.read()
-                    except (FileNotFoundError, OSError):
-                        continue
-                    out.append((c, n, data.decode("utf-8", "replace"), len(data)))
-            yield pd.DataFrame(out, columns=["corpus_id", "path", "content", "size"])
-    return corpora.mapInPandas(run, FILES_SCHEMA)
-
-
-def _regex_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+        for b in batches:
+            rows, held = [], 0
+            for corpus, path, at in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    with fsys.open_input_stream(f"{base}/{at}") as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                rows.append((corpus, path, data.decode("utf-8", "replace"), len(data)))
+                held += len(data)
+                if held >= 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(),) * 3 + (pa.int64(),))],
+                                                     names=["corpus_id", "path", "content", "size"])
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(),) * 3 + (pa.int64(),))],
+                                                 names=["corpus_id", "path", "content", "size"])
+
+    # One hot corpus is spread as well: files are dealt by their whole path.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(n, "at").mapInArrow(run, FILES_SCHEMA)
 
 
 def read_ignore_rules(files: DataFrame) -> DataFrame:

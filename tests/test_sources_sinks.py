@@ -35,6 +35,36 @@ def test_scan_and_pack_directory(spark):
     assert bad.content.startswith("ok ") and "�" in bad.content and bad.size == 10
 
 
+def test_scan_reads_names_with_dots_and_underscores(spark):
+    root = tempfile.mkdtemp(prefix="quire-scan-")
+    names = ["pkg/__init__.py", "pkg/a.py", "_config.yml", ".eslintrc.js", "_app/x.ts", "_app/.deep/_y.ts", "empty.txt", "naïve é.md", "a b.txt"]
+    for n in names:
+        _write(root, f"proj/{n}", b"" if n == "empty.txt" else n.encode())
+    _write(root, "proj/.gitignore", b"# none\n")
+    _write(root, "proj/.ctxignore", b"_app\n")
+    _write(root, "top.txt", b"outside any corpus")
+    os.makedirs(f"{root}/void/inner")
+    files = scan_files(spark, root)
+    assert {(r.corpus_id, r.path, r.content) for r in files.collect() if r.path[:2] not in (".g", ".c")} == \
+        {("proj", n, "" if n == "empty.txt" else n) for n in names}
+    assert {r.path for r in pack(files).files.collect()} == set(names) - {"_app/x.ts", "_app/.deep/_y.ts"} | {".ctxignore"}
+    assert {r.path for r in scan_files(spark, "file://" + root, path_glob="*.py").collect()} == {"pkg/__init__.py", "pkg/a.py"}
+    deep = {(r.corpus_id, r.path) for r in scan_files(spark, root, corpus_depth=2).collect()}
+    assert ("proj/pkg", "a.py") in deep and ("proj/_app", ".deep/_y.ts") in deep
+
+
+def test_a_file_that_cannot_be_read_ends_the_job(spark):
+    import pytest
+    root = tempfile.mkdtemp(prefix="quire-scan-")
+    _write(root, "p/a.txt", b"a")
+    got = scan_files(spark, root)
+    os.remove(os.path.join(root, "p", "a.txt"))
+    assert got.collect() == []                      # vanished: skipped
+    os.makedirs(os.path.join(root, "p", "a.txt"))
+    with pytest.raises(Exception):
+        got.collect()                               # no longer a file: fails
+
+
 def test_sinks(spark):
     out = tempfile.mkdtemp(prefix="quire-out-")
     docs = spark.createDataFrame([("c1", 1, "doc one"), ("c1", 12, "doc\ntwelve"), ("c2", 100, "x")],
