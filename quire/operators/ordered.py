@@ -125,15 +125,3 @@ def _materialize(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def window_scan(df: DataFrame, key: str, order: Sequence[Column], sums: Sequence[str] = (),
-                pos_col: str = "pos", cum_prefix: str = "cum_") -> DataFrame:
-    """Reference formulation with a per-key window (one task per key); used by
-    tests to cross-check :func:`ordered_scan`."""
-    w = Window.partitionBy(key).orderBy(*order)
-    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
-    for c in sums:
-        out = out.withColumn(cum_prefix + c, F.sum(c).over(wr).cast("long"))
-    return out

@@ -8,10 +8,7 @@ value unless a caller asks for a rendered document.
 """
 from __future__ import annotations
 
-from typing import Any, Iterator, Tuple
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,61 +26,6 @@ def default_chunk_tokens(model: str | None, max_tokens: int | None = None) -> in
     return int(np.floor(ctx * 0.85)) if ctx is not None else K.UNKNOWN_MODEL_CHUNK_TOKENS
 
 
-class _NextFit:
-    """Streaming next-fit over one corpus: a new chunk starts when the running
-    total would exceed ``limit``; a file above ``limit`` is a chunk of its own.
-    Boundaries are found with ``searchsorted`` on prefix sums, so the Python
-    loop runs once per chunk, not once per file."""
-
-    def __init__(self, limit: int):
-        self.limit, self.cid, self.cur, self.open = limit, 1, 0, False
-
-    def batch(self, t: np.ndarray) -> np.ndarray:
-        m, M = len(t), self.limit
-        out = np.empty(m, dtype=np.int64)
-        P = np.cumsum(t, dtype=np.int64)
-        over_idx = np.flatnonzero(t > M)
-        i = 0
-        while i < m:
-            if t[i] > M:
-                if self.open:
-                    self.cid += 1
-                out[i] = self.cid
-                self.cid += 1
-                self.open, self.cur = False, 0
-                i += 1
-                continue
-            base = P[i - 1] if i > 0 else 0
-            cap = (M - self.cur) if self.open else M
-            j = int(np.searchsorted(P, base + cap, side="right"))
-            k = over_idx[np.searchsorted(over_idx, i)] if len(over_idx) and over_idx[-1] >= i else m
-            end = min(j, int(k), m)
-            if end == i:                      # does not fit the open chunk
-                self.cid += 1
-                self.open, self.cur = False, 0
-                continue
-            out[i:end] = self.cid
-            self.cur += int(P[end - 1] - base)
-            self.open = True
-            i = end
-        return out
-
-
-def _next_fit_fn(limit: int):
-    def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nf = _NextFit(limit)
-        last = 0
-        for pdf in batches:
-            if len(pdf):
-                pos = pdf["pos"].to_numpy(dtype=np.int64)
-                if pos[0] <= last or (len(pos) > 1 and np.any(np.diff(pos) <= 0)):
-                    raise RuntimeError("next-fit input is not in pos order")
-                last = int(pos[-1])
-                yield pd.DataFrame({"corpus_id": pdf["corpus_id"], "pos": pdf["pos"],
-                                    "chunk": nf.batch(pdf["tokens"].to_numpy(dtype=np.int64))})
-    return run
-
-
 def chunks_by_tokens(files: DataFrame, limit: int) -> DataFrame:
     """next-fit chunk ids, split across tasks so a hot corpus is not one
     task (see :mod:`quire.operators.nextfit`)."""
@@ -91,18 +33,6 @@ def chunks_by_tokens(files: DataFrame, limit: int) -> DataFrame:
     return chunks_by_tokens_sliced(files, limit)
 
 
-def chunks_by_tokens_grouped(files: DataFrame, limit: int) -> DataFrame:
-    """F4 as one streamed fold per corpus: a grouped iterator
-    (``applyInPandas``, Spark >= 4.1) over narrow ``(corpus_id, pos, tokens)``
-    rows in ``pos`` order; memory per task is one Arrow batch, but a corpus is
-    one task.  Kept as a cross-check of the sliced form."""
-    narrow = (files.select("corpus_id", "pos", "tokens")
-              .repartition("corpus_id").sortWithinPartitions("corpus_id", "pos"))
-    ids = narrow.groupBy("corpus_id").applyInPandas(
-        _next_fit_fn(int(limit)), "corpus_id string, pos long, chunk long")
-    return files.join(ids, ["corpus_id", "pos"])
-
-
 def chunks_by_files(files: DataFrame, per_chunk: int | None = None) -> DataFrame:
     """``ceil(pos / n)``."""
     n = int(per_chunk or K.DEFAULT_FILES_PER_CHUNK)

@@ -1,4 +1,4 @@
-"""Ignore rules: the closed form equals testing every ancestor level."""
+"""Ignore rules: literal cases, and sets of ignored nodes."""
 import random
 
 from pyspark.sql import functions as F
@@ -9,33 +9,33 @@ from quire.operators.pack import pack
 from tests.conftest import files_df
 
 
-def _ext(name):
-    i = name.rfind(".")
-    return name[i + 1:].lower() if i > 0 else ""
+def ignored_nodes(nodes, patterns):
+    """The nodes (files and folders, by path) that a pattern or a binary extension names."""
+    last = {n: n.rsplit("/", 1)[-1] for n in nodes}
+    named = {n for n in nodes for p in patterns if p in n}
+    tails = {n for n in nodes for p in patterns if p[:1] == "*" and last[n].endswith(p[1:])}
+    heads = {n for n in nodes for p in patterns if p[-1:] == "*" and last[n].startswith(p[:-1])}
+    binary = {n for n in nodes if "." in last[n][1:] and last[n].lower().rsplit(".", 1)[1] in K.BINARY_EXTENSIONS}
+    return named | tails | heads | binary
 
 
-def _level_ignored(rel, patterns):
-    name = rel.split("/")[-1]
-    if _ext(name) in K.BINARY_EXTENSIONS:
-        return True
-    for p in patterns:
-        if name == p or rel == p or rel.startswith(p + "/") or ("/" + p + "/") in rel:
-            return True
-        if p.startswith("*") and name.endswith(p[1:]):
-            return True
-        if p.endswith("*") and name.startswith(p[:-1]):
-            return True
-        if p in rel:
-            return True
-    return False
+def ancestry(path):
+    parts = path.split("/")
+    return {"/".join(parts[:i + 1]) for i in range(len(parts))}
 
 
 def model_ignored(path, patterns):
-    segs = path.split("/")
-    return any(_level_ignored("/".join(segs[:i]), patterns) for i in range(1, len(segs) + 1))
+    return bool(ignored_nodes(ancestry(path), patterns))
 
 
-def test_closed_form_matches_level_walk(spark):
+def test_literal_cases(spark):
+    cases = {"src/a.js": False, "dist/a.js": True, "distance.js": True, ".env.example": True, "x.png/inner.txt": True, "x.PNG": True,
+             ".png": False, "a.b/c": False, "lib/node_modules/z": True, "node_modules": True, "src/Makefile": False}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert dict(df.select("path", ignored("path", list(K.DEFAULT_IGNORE)).alias("i")).collect()) == cases
+
+
+def test_closed_form_matches_sets_of_nodes(spark):
     rnd = random.Random(7)
     parts = ["src", "dist", "distance.js", "x.png", "a.b", ".env.example", "build", "lib", "node_modules",
              "f.log", "main.min.js", "ok.txt", "Thumbs.db", "venv2", "a", ".gitignore", "cache", "READ.ME"]

@@ -1,11 +1,19 @@
-"""Ordered scan under skew, next-fit, overlap and drop, against loop models."""
+"""Ordered scan under skew against a window; next-fit and drop by their defining properties."""
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators.optimize import drop_low_priority
-from quire.operators.ordered import ordered_scan, window_scan
-from quire.operators.split import chunks_by_files, chunks_by_key, chunks_by_tokens, chunks_by_tokens_grouped, with_overlap, split_stats, chunk_stats
+from quire.operators.ordered import ordered_scan
+from quire.operators.split import chunks_by_files, chunks_by_key, chunks_by_tokens, with_overlap, split_stats, chunk_stats
+
+
+def window_scan(df, key, order, sums):
+    """The same ranks and sums with one window per key."""
+    w = Window.partitionBy(key).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", F.row_number().over(w).alias("pos"), *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums])
 
 
 def test_ordered_scan_hot_key(spark):
@@ -17,43 +25,34 @@ def test_ordered_scan_hot_key(spark):
     assert a == b
 
 
-def model_next_fit(tokens, limit):
-    chunks, cur, cur_t = [], [], 0
-    for i, t in enumerate(tokens):
-        if t > limit:
-            if cur:
-                chunks.append(cur)
-                cur, cur_t = [], 0
-            chunks.append([i])
-            continue
-        if cur_t + t > limit and cur:
-            chunks.append(cur)
-            cur, cur_t = [], 0
-        cur.append(i)
-        cur_t += t
-    if cur:
-        chunks.append(cur)
-    out = {}
-    for c, idx in enumerate(chunks, 1):
-        for i in idx:
-            out[i] = c
-    return out
+def assert_next_fit(rows, limit):
+    """``rows`` of ``(corpus, pos, tokens, chunk)``: the properties that fix the
+    chunks.  Chunks are numbered runs in order; a file over the limit is alone;
+    other chunks keep the limit; and no chunk could have taken the file that
+    follows it."""
+    by = {}
+    for corpus, pos, tokens, chunk in sorted(rows):
+        by.setdefault(corpus, {}).setdefault(chunk, []).append((pos, tokens))
+    for chunks in by.values():
+        assert list(chunks) == list(range(1, len(chunks) + 1))
+        flat = [x for c in chunks.values() for x in c]
+        assert [p for p, _ in flat] == list(range(1, len(flat) + 1))
+        runs = list(chunks.values())
+        for run, after in zip(runs, runs[1:] + [None]):
+            total = sum(t for _, t in run)
+            alone = len(run) == 1 and total > limit
+            assert alone or total <= limit
+            if after is not None:
+                assert alone or after[0][1] > limit or total + after[0][1] > limit
 
 
 def test_next_fit(spark):
     rnd = random.Random(5)
-    rows, expect = [], {}
-    for c in range(6):
-        toks = [rnd.choice([0, 1, 5, 20, 40, 95, 120]) for _ in range(rnd.randint(1, 400))]
-        m = model_next_fit(toks, 100)
-        for i, t in enumerate(toks):
-            rows.append((f"c{c}", i + 1, t))
-            expect[(f"c{c}", i + 1)] = m[i]
+    rows = [(f"c{c}", i + 1, rnd.choice([0, 1, 5, 20, 40, 95, 120])) for c in range(6) for i in range(rnd.randint(1, 400))]
     df = spark.createDataFrame(rows, "corpus_id string, pos long, tokens long")
-    got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens(df, 100).collect()}
-    assert got == expect
-    got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens_grouped(df, 100).collect()}
-    assert got == expect
+    got = [(r.corpus_id, r.pos, r.tokens, r.chunk) for r in chunks_by_tokens(df, 100).collect()]
+    assert sorted(g[:3] for g in got) == sorted(rows)
+    assert_next_fit(got, 100)
 
 
 def model_overlap(chunks, k):
@@ -88,32 +87,22 @@ def test_overlap_closed_form(spark):
                 assert [p for _, _, p in sorted(got[(c, i)], key=lambda x: (x[0], not x[1]))] == files
 
 
-def model_drop(files, limit):
-    files = list(files)
-    dropped = []
-    def tok(fs):
-        s = "\n".join("x" * l for _, _, l in fs)
-        return -(-len(s) // 4)
-    while tok(files) > limit and files:
-        best = max(range(len(files)), key=lambda i: (files[i][1], -i))
-        dropped.append(files.pop(best)[0])
-    return set(dropped)
-
-
 def test_drop_low_priority(spark):
     rnd = random.Random(2)
-    rows, expect = [], set()
+    rows = []
     for c in range(5):
-        fs = [(f"f{i}", rnd.choice([0, 2, 100, 150, 200]), rnd.randint(0, 500)) for i in range(rnd.randint(1, 60))]
         limit = rnd.randint(0, 4000)
-        expect |= {(f"c{c}", p) for p in model_drop(fs, limit)} if c < 5 else set()
-        rows += [(f"c{c}", p, i + 1, pr, l, limit) for i, (p, pr, l) in enumerate(fs)]
+        rows += [(f"c{c}", f"f{i}", i + 1, rnd.choice([0, 2, 100, 150, 200]), rnd.randint(0, 500), limit) for i in range(rnd.randint(1, 60))]
     df = spark.createDataFrame(rows, "corpus_id string, path string, pos long, priority int, len long, lim long")
-    got = set()
-    for lim in {r[-1] for r in rows}:
-        part = df.where(F.col("lim") == lim)
-        got |= {(r.corpus_id, r.path) for r in drop_low_priority(part, lim).where("dropped").collect()}
-    assert got == expect
+    tokens = lambda lens: -(-(sum(lens) + max(len(lens) - 1, 0)) // 4)
+    for c, limit in sorted({(r[0], r[-1]) for r in rows}):
+        got = drop_low_priority(df.where((F.col("corpus_id") == c)), limit).collect()
+        order = sorted(got, key=lambda r: (-r.priority, r.pos))       # least important first
+        n = sum(r.dropped for r in order)
+        assert [r.dropped for r in order] == [True] * n + [False] * (len(order) - n)
+        lens = [r.len for r in order]
+        assert tokens(lens[n:]) <= limit or n == len(order)           # enough is dropped,
+        assert n == 0 or tokens(lens[n - 1:]) > limit                 # and not a file more
 
 
 def test_split_stats_by_files(spark):
@@ -130,18 +119,13 @@ def test_next_fit_sliced_hot_corpus(spark):
     from quire.operators.nextfit import chunks_by_tokens_sliced
     rnd = random.Random(12)
     for trial in range(4):
-        rows, expect = [], {}
         limit = rnd.choice([1, 10, 100, 1000])
-        for c in range(5):
-            n = 3000 if c == 0 else rnd.randint(1, 200)          # corpus 0 is hot
-            toks = [rnd.choice([0, 0, 1, 3, limit // 3 + 1, limit // 2, limit, limit + 1, 7 * limit]) for _ in range(n)]
-            m = model_next_fit(toks, limit)
-            for i, t in enumerate(toks):
-                rows.append((f"c{c}", i + 1, t))
-                expect[(f"c{c}", i + 1)] = m[i]
+        sizes = [0, 0, 1, 3, limit // 3 + 1, limit // 2, limit, limit + 1, 7 * limit]
+        rows = [(f"c{c}", i + 1, rnd.choice(sizes)) for c in range(5) for i in range(3000 if c == 0 else rnd.randint(1, 200))]
         df = spark.createDataFrame(rows, "corpus_id string, pos long, tokens long")
-        got = {(r.corpus_id, r.pos): r.chunk for r in chunks_by_tokens_sliced(df, limit, num_slices=17).collect()}
-        assert got == expect, trial
+        got = [(r.corpus_id, r.pos, r.tokens, r.chunk) for r in chunks_by_tokens_sliced(df, limit, num_slices=17).collect()]
+        assert sorted(g[:3] for g in got) == sorted(rows)
+        assert_next_fit(got, limit)
 
 
 def test_ordered_scan_null_key(spark):

@@ -48,42 +48,71 @@ def test_tree_matches_recursive_printer(spark):
         assert got.get(c, "") == t, c
 
 
-PACKED_FILES = [("index.js", "console.log('hi');\n", 20), ("utils.js", "module.exports = {};", 22)]
+#: Own sample: no final newline, an end of CDATA, a replacement pattern, a placeholder, astral text, control characters.
+SAMPLE = [("cfg/site.yaml", "a: ']]>'\n", 9), ("notes", "price $& {{path}} 🌍", 24), ("z.rs", "", 0), ("ctl.txt", "t\tb\x0b\x1f\\u001F\n", 13)]
 
 
-def _render(spark, fmt, **kw):
-    files = spark.createDataFrame([("test-project", 1, i + 1, p, c, s) for i, (p, c, s) in enumerate(PACKED_FILES)],
+def _render(spark, fmt, tokens=7, tree="├── cfg/\n└── notes\n", **kw):
+    files = spark.createDataFrame([("acme kit & co", 1, i + 1, p, c, s) for i, (p, c, s) in enumerate(SAMPLE)],
                                   "corpus_id string, chunk long, q long, path string, content string, size long")
-    stats = spark.createDataFrame([("test-project", 1, 2, 42, 10)],
+    stats = spark.createDataFrame([("acme kit & co", 1, 4, 1536, tokens)],
                                   "corpus_id string, chunk long, total_files long, total_size long, tokens long")
-    tree = spark.createDataFrame([("test-project", "├── index.js\n└── utils.js\n")], "corpus_id string, tree string")
-    return render_documents(files, stats, fmt, tree=tree, **kw).first().document
+    trees = spark.createDataFrame([("acme kit & co", tree)], "corpus_id string, tree string")
+    return render_documents(files, stats, fmt, tree=trees, **kw).first().document
 
 
 def test_markdown(spark):
     doc = _render(spark, "md")
-    assert doc == ("# test-project\n\n**Files:** 2 | **Tokens:** ~10 | **Size:** 42 B\n\n## File Structure\n\n```\n"
-                   "├── index.js\n└── utils.js\n```\n\n## Files\n\n### index.js\n\n```javascript\nconsole.log('hi');\n```\n\n"
-                   "### utils.js\n\n```javascript\nmodule.exports = {};\n```")
+    head, body = doc.split("## Files\n\n")
+    assert head == ("# acme kit & co\n\n**Files:** 4 | **Tokens:** ~7 | **Size:** 1.5 KB\n\n## File Structure\n\n```\n├── cfg/\n└── notes\n```\n\n")
+    assert body == ("### cfg/site.yaml\n\n```yaml\na: ']]>'\n```\n\n### notes\n\n```notes\nprice $& {{path}} 🌍\n```\n\n"
+                    "### z.rs\n\n```rust\n\n```\n\n### ctl.txt\n\n```text\nt\tb\x0b\x1f\\u001F\n```")
 
 
-def test_xml_plain_json_template(spark):
+def test_xml_and_plain(spark):
     x = _render(spark, "XML")
-    assert x.startswith('<?xml version="1.0" encoding="UTF-8"?>\n<context directory="test-project">\n  <stats>\n')
-    assert '<file path="utils.js" language="javascript" size="22">\n<![CDATA[\nmodule.exports = {};\n]]>' in x
-    assert x.endswith("  </files>\n</context>")
-    p = _render(spark, "txt")
-    assert p.startswith("Directory: test-project\nFiles: 2 | Size: 42 B\n" + "=" * 60 + "\n\nFILE STRUCTURE:\n")
-    assert p.endswith("--- utils.js ---\n\nmodule.exports = {};")
-    j = json.loads(_render(spark, "json"))
-    assert j["directory"] == "test-project" and j["stats"] == {"totalFiles": 2, "totalSize": 42, "tokens": 10}
-    assert [f["language"] for f in j["files"]] == ["javascript", "javascript"] and j["files"][1]["content"].startswith("module")
-    t = _render(spark, "{{directory}}:{{totalFiles}} {{#files}}<{{path}}|{{size}}>{{/files}}!")
-    assert t == "test-project:2 <index.js|20><utils.js|22>!"
+    assert x.startswith('<?xml version="1.0" encoding="UTF-8"?>\n<context directory="acme kit &amp; co">\n  <stats>\n    <files>4</files>\n')
+    assert '<file path="notes" language="notes" size="24">\n<![CDATA[\nprice $& {{path}} 🌍\n]]>' in x
+    assert x.endswith("    </file>\n  </files>\n</context>")
+    p = _render(spark, "txt", tokens=0)
+    assert p.startswith("Directory: acme kit & co\nFiles: 4 | Size: 1.5 KB\n" + "=" * 60 + "\n\nFILE STRUCTURE:\n├── cfg/\n")
+    assert "--- notes ---\n\nprice $& {{path}} 🌍\n\n--- z.rs ---\n\n\n\n--- ctl.txt ---" in p
+
+
+def test_json(spark):
+    text = _render(spark, "json", tokens=0, tree=None)
+    j = json.loads(text)
+    assert (j["directory"], j["stats"], j["tree"]) == ("acme kit & co", {"totalFiles": 4, "totalSize": 1536, "tokens": None}, None)
+    assert [(f["path"], f["content"]) for f in j["files"]] == [(p, c) for p, c, _ in SAMPLE]
+    assert r"t\tb\u000b\u001f\\u001F\n" in text
+    compact = _render(spark, "json", tokens=0, tree=None, pretty=False)
+    assert json.loads(compact) == j and '"tokens":null' in compact and '"tree":null' in compact
+
+
+def test_template(spark):
+    t = _render(spark, "{{directory}}:{{totalFiles}} {{#files}}<{{directory}}/{{path}}|{{size}}|{{totalSize}}|{{content}}>{{/files}}!")
+    assert t.startswith("acme kit & co:4 <acme kit & co/cfg/site.yaml|9|1.5 KB|a: ']]>'\n><acme kit & co/notes|24|1.5 KB|price $& {{path}} 🌍>")
+    assert t.endswith("!")
     pre, body, post = parse_template("a{{tree}}{{#files}}{{content}}{{/files}}z")
     assert pre == [("lit", "a"), ("col", "tree")] and body == [("col", "content")] and post == [("lit", "z")]
 
 
+def test_an_emptied_corpus_disappears(spark):
+    rows = [("u1", "a", "add", 1, 1, "x"), ("u2", "b", "add", 2, 2, "yy"), ("u1", "a", "unlink", 3, 3, None), ("u1", "a", "change", 2, 4, "late"),
+            ("u2", "c", "add", 4, 5, "z"), ("u3", "d", "add", 5, 6, "w")]
+    ch = spark.createDataFrame(rows, "corpus_id string, path string, op string, s long, seq long, content string").select(
+        "corpus_id", "path", "op", F.timestamp_seconds("s").alias("ts"), "seq", "content", F.octet_length("content").cast("long").alias("size"))
+    d = tempfile.mkdtemp(prefix="quire-stream-")
+    seen = []
+    for i in range(3):
+        ch.where(f"seq > {2 * i} AND seq <= {2 * i + 2}").coalesce(1).write.mode("append").parquet(f"{d}/in")
+        q = W.incremental_repack(spark.readStream.schema(ch.schema).parquet(f"{d}/in"), f"{d}/state", f"{d}/out", f"{d}/ckpt",
+                                 lambda s: s.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")))
+        q.awaitTermination()
+        seen.append({r.corpus_id: (r.files, r.size) for r in W.current_output(spark, f"{d}/out").collect()})
+    assert seen == [{"u1": (1, 1), "u2": (1, 2)}, {"u2": (1, 2)}, {"u2": (2, 3), "u3": (1, 1)}]
+
+
 def test_changes_batch_and_stream(spark):
     rows = [("u1", "src/a.js", "add", "2024-01-01 00:00:00", 1, "x"), ("u1", "src/a.js", "change", "2024-01-01 00:00:00.5", 2, "xy"),
             ("u1", "src/b.js", "add", "2024-01-01 00:00:05", 3, "z"), ("u1", "src/b.js", "unlink", "2024-01-01 00:00:05.2", 4, None),
