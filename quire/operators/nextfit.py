@@ -9,14 +9,16 @@ Next-fit is sequential, but a slice of a corpus only needs its *entry state*
    the first chunk boundary falls and what the segment then hands on (chunk
    starts counted, exit state).  Entry states that lead to the same result form
    runs; the runs are keyed by the free room ``v = limit - open tokens``.
-3. Only corpora that cross a slice boundary need chaining: each slice holds at
-   most two such segments, so at most ``2 * slices`` summaries reach the
-   driver, which walks them in order (cheap) and returns each segment's entry
-   state and the number of chunks started before it.
+3. Only corpora that cross a slice boundary need chaining, and each slice holds
+   at most two segments of such.  Their summaries are streamed in order, one at
+   a time, by a task per corpus, which emits each segment's entry state and the
+   number of chunks started before it: a few scalars per segment, at most
+   ``2 * slices`` rows, which is what bounds the broadcast of that table.
 4. Pass 2, per slice: chunk ids from the entry state, vectorised.
 
-Boundaries inside a segment come from ``searchsorted`` on prefix sums; the
-right-to-left walk that summarises orbits is one loop over the segment.
+Slices hold about ``SLICE_ROWS`` narrow rows however many rows there are.
+Boundaries inside a segment come from ``searchsorted`` on prefix sums; where
+each start leads is found by pointer doubling, without a loop over rows.
 """
 from __future__ import annotations
 
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLK = "_nf_blk"
+SLICE_ROWS = 200_000
 NEG = -1  # free room of a closed chunk: the next file always starts one
 
 
@@ -63,6 +66,34 @@ def _first_boundary(v: int, t: np.ndarray, Q: np.ndarray, limit: int) -> int:
     return min(j, len(t))
 
 
+def _orbits(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start: the last start that follows from it inside the segment,
+    and how many starts there are, itself included (pointer doubling)."""
+    m = len(f)
+    last, cnt, jump = np.arange(m), np.ones(m, dtype=np.int64), f.copy()
+    while True:
+        on = np.flatnonzero(jump < m)
+        if not len(on):
+            return last, cnt
+        to = jump[on]
+        last[on], cnt[on], jump[on] = last[to], cnt[on] + cnt[to], jump[to]
+
+
+def _starts(f: np.ndarray, j: int) -> np.ndarray:
+    """The starts that follow from ``j``, itself included (path doubling)."""
+    m = len(f)
+    step = np.append(f, m)
+    found = np.array([j] if j < m else [], dtype=np.int64)
+    while len(found):
+        ahead = step[found]
+        ahead = ahead[ahead < m]
+        if not len(ahead) or ahead[-1] == found[-1]:
+            break
+        found = np.concatenate([found, ahead])
+        step = step[step]
+    return found
+
+
 def _collect_frames(batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
     frames = [b for b in batches if len(b)]
     return pd.concat(frames, ignore_index=True) if frames else None
@@ -81,32 +112,18 @@ def _summaries(limit: int, key: str):
             Q = np.cumsum(t)
             m = len(t)
             f = _next(t, Q, limit)
-            last = np.empty(m, dtype=np.int64)
-            cnt = np.empty(m, dtype=np.int64)
-            for i in range(m - 1, -1, -1):
-                j = f[i]
-                if j >= m:
-                    last[i], cnt[i] = i, 1
-                else:
-                    last[i], cnt[i] = last[j], cnt[j] + 1
+            last, cnt = _orbits(f)
             over = np.flatnonzero(t > limit)
             first_over = int(over[0]) if len(over) else m
             # candidates: first boundaries reachable from some entry state
-            cand_end = min(int(np.searchsorted(Q, limit, side="right")), first_over)
-            qlo, cnts, eopen, ecur = [], [], [], []
-            prev = None
-            for i in range(0, cand_end + 1):
-                if i >= m:
-                    break
-                L = int(last[i])
-                res = (int(cnt[i]), L)
-                if res != prev:
-                    qlo.append(NEG if i == 0 else int(Q[i - 1]))
-                    cnts.append(int(cnt[i]))
-                    closed = t[L] > limit
-                    eopen.append(not closed)
-                    ecur.append(0 if closed else int(Q[-1] - (Q[L - 1] if L > 0 else 0)))
-                    prev = res
+            cand_end = min(int(np.searchsorted(Q, limit, side="right")), first_over, m - 1) + 1
+            new = np.ones(cand_end, dtype=bool)
+            new[1:] = (cnt[1:cand_end] != cnt[:cand_end - 1]) | (last[1:cand_end] != last[:cand_end - 1])
+            at = np.flatnonzero(new)
+            L = last[at]
+            open_ = t[L] <= limit
+            qlo, cnts, eopen = np.where(at == 0, NEG, Q[at - 1]), cnt[at], open_
+            ecur = np.where(open_, Q[-1] - (Q[L] - t[L]), 0)
             passthrough = first_over == m            # no oversize: a roomy entry crosses the segment
             out.append((k[s], int(pdf[_BLK].iat[s]), int(pdf["pos"].iat[s]), int(Q[-1]), passthrough,
                         qlo, cnts, eopen, ecur))
@@ -120,25 +137,33 @@ SUMMARY_SCHEMA = ("corpus_id string, _nf_blk int, first_pos long, total long, pa
                   "qlo array<long>, cnt array<long>, exit_open array<boolean>, exit_cur array<long>")
 
 
-def _chain(rows, limit: int) -> dict:
-    """Walk the summaries of each spanning corpus in slice order."""
-    entry = {}
-    by_corpus = {}
-    for r in rows:
-        by_corpus.setdefault(r["corpus_id"], []).append(r)
-    for c, segs in by_corpus.items():
-        segs.sort(key=lambda r: r["first_pos"])
-        is_open, cur, started = False, 0, 0
-        for r in segs:
-            entry[(c, r[_BLK])] = (is_open, cur, started)
-            v = (limit - cur) if is_open else NEG
-            if r["passthrough"] and is_open and v >= r["total"]:
-                cur += r["total"]
-                continue
-            i = int(np.searchsorted(np.asarray(r["qlo"], dtype=np.int64), v, side="right")) - 1
-            started += int(r["cnt"][i])
-            is_open, cur = bool(r["exit_open"][i]), int(r["exit_cur"][i])
-    return entry
+ENTRY_SCHEMA = "corpus_id string, _nf_blk int, is_open boolean, cur long, started long"
+
+
+def _chain(limit: int):
+    """Streams summaries ordered by (corpus, position) to entry states."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        corpus, is_open, cur, started, begun = None, False, 0, 0, False
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                c, blk, _, total, through = (b.column(j)[i].as_py() for j in range(5))
+                if not begun or c != corpus:
+                    corpus, is_open, cur, started, begun = c, False, 0, 0, True
+                out.append((c, blk, is_open, cur, started))
+                v = (limit - cur) if is_open else NEG
+                if through and is_open and v >= total:
+                    cur += total
+                    continue
+                qlo, cnt, exit_open, exit_cur = (b.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(5, 9))
+                at = int(np.searchsorted(qlo, v, side="right")) - 1
+                started, is_open, cur = started + int(cnt[at]), bool(exit_open[at]), int(exit_cur[at])
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))],
+                    names=["corpus_id", "_nf_blk", "is_open", "cur", "started"])
+    return run
 
 
 def _assign(limit: int, key: str, entries: dict, out_cols):
@@ -158,9 +183,7 @@ def _assign(limit: int, key: str, entries: dict, out_cols):
             j = _first_boundary(v, t, Q, limit)
             f = _next(t, Q, limit)
             starts = np.zeros(len(t), dtype=np.int64)
-            while j < len(t):
-                starts[j] = 1
-                j = int(f[j])
+            starts[_starts(f, j)] = 1
             chunk[s:e] = started + np.cumsum(starts)
         yield pdf.assign(chunk=chunk)[out_cols]
     return run
@@ -171,16 +194,15 @@ def chunks_by_tokens_sliced(files: DataFrame, limit: int, num_slices: int | None
     ``corpus_id, pos, tokens``; other columns are carried through."""
     from .pack import checkpoint
     spark = files.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // SLICE_ROWS))
     sliced = checkpoint(files.repartitionByRange(n, "corpus_id", "pos")
                         .sortWithinPartitions("corpus_id", "pos")
                         .withColumn(_BLK, F.spark_partition_id()))
-    summ = sliced.mapInPandas(_summaries(int(limit), "corpus_id"), SUMMARY_SCHEMA)
-    spanning = summ.groupBy("corpus_id").count().where("count > 1").select("corpus_id")
-    # At most two segments per slice belong to corpora that cross a slice
-    # boundary, so this collect is bounded by 2 * slices rows.
-    rows = [r.asDict() for r in summ.join(spanning, "corpus_id", "left_semi").collect()]
-    entries = _chain(rows, int(limit))
+    summ = checkpoint(sliced.select("corpus_id", "pos", "tokens", _BLK).mapInPandas(_summaries(int(limit), "corpus_id"), SUMMARY_SCHEMA))
+    spanning = summ.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("corpus_id")
+    chained = (summ.join(spanning, "corpus_id", "left_semi").repartition("corpus_id").sortWithinPartitions("corpus_id", "first_pos")
+               .mapInArrow(_chain(int(limit)), ENTRY_SCHEMA))
+    entries = {(r.corpus_id, r._nf_blk): (r.is_open, r.cur, r.started) for r in chained.collect()}
     out_cols = files.columns + ["chunk"]
     schema = T.StructType(files.schema.fields + [T.StructField("chunk", T.LongType())])
     return sliced.sortWithinPartitions("corpus_id", "pos").mapInPandas(

@@ -134,3 +134,11 @@ def test_ordered_scan_null_key(spark):
     a = {(r.k, r.o): (r.pos, r.cum_v) for r in ordered_scan(df, "k", [F.col("o")], ["v"], num_slices=7).collect()}
     b = {(r.k, r.o): (r.pos, r.cum_v) for r in window_scan(df, "k", [F.col("o")], ["v"]).collect()}
     assert a == b
+
+
+def test_next_fit_equal_one_token_files(spark):
+    """Every entry state leads to other boundaries: the longest summaries."""
+    df = spark.range(60_000).selectExpr("'c' AS corpus_id", "id + 1 AS pos", "1L AS tokens")
+    from quire.operators.nextfit import chunks_by_tokens_sliced
+    got = chunks_by_tokens_sliced(df, 7001, num_slices=9)
+    assert got.where("chunk <> floor((pos - 1) / 7001) + 1").count() == 0 and got.count() == 60_000
