@@ -7,6 +7,7 @@ block rows themselves can be written out instead (see ``quire.sources.sinks``).
 """
 from __future__ import annotations
 
+import json
 import re
 from typing import Sequence
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.paths import language_of
-from ..functions.text import ensure_trailing_newline, format_size, trim_ws, xml_escape
+from ..functions.text import ensure_trailing_newline, format_size, rtrim_ws, trim_ws, xml_escape
 
 FORMATS = ["markdown", "xml", "plain", "json"]
 ALIASES = {"markdown": "markdown", "md": "markdown", "xml": "xml", "plain": "plain", "text": "plain",
@@ -208,43 +209,76 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
 
 def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree_rows: DataFrame | None = None,
                   include_tree: bool = True, include_stats: bool = True, file_headers: bool = True,
-                  group: Sequence[str] = ("corpus_id",), order: str = "pos") -> DataFrame:
-    """Documents as ordered rows ``group + [part, seq, block]`` instead of one
-    string: part 0 is the header up to the tree, part 1 the tree lines (from
+                  include_content: bool = True, group: Sequence[str] = ("corpus_id",), order: str = "pos") -> DataFrame:
+    """Documents as ordered rows ``group + [part, seq, segs, block]`` instead of
+    one string: part 0 is the header up to the tree, part 1 the tree lines (from
     ``tree_lines`` rows, in depth-first order), part 2 the text between tree
     and files, part 3 the file blocks, part 4 the footer.  Concatenating the
-    blocks in ``(part, seq)`` order is the document (before the final trim of
-    markdown/plain).  Nothing is aggregated, so neither a huge corpus nor a huge
-    tree becomes one value; ``sinks.write_blocks`` writes them in order."""
+    blocks in ``(part, segs, seq)`` order is the document, its final trim
+    included.  No document, corpus or tree becomes one value;
+    ``sinks.write_blocks`` writes the rows in order.
+
+    A template may name the tree once before or after its files loop, not
+    inside it (there it would be one value per file)."""
     kind = resolve_format(fmt)
-    if kind not in ("markdown", "xml", "plain"):
-        raise ValueError("block output supports markdown, xml and plain")
     g = list(group)
     st = stats.select(*g, "total_files", "total_size", "tokens").withColumn("directory", F.col("corpus_id"))
-    has_tree = include_tree and tree_rows is not None
-    # header split around the tree: render the header with an empty marker tree
-    marker = "\u0000TREE\u0000"
-    head = header(kind, has_tree, include_stats)
-    st = st.withColumn("tree", F.lit(marker) if has_tree else F.lit(None).cast("string"))
-    parts = st.select(*g, F.split(head, marker, 2).alias("_h"))
-    out = parts.select(*g, F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.col("_h")[0].alias("block"))
+    has_tree = tree_rows is not None and (include_tree or kind in ("json", "template"))
+    marker = "<\u0001tree\u0001>"                  # stands for the tree while header and footer are rendered
     if has_tree:
-        rows = tree_rows.select("corpus_id", "segs", "line")
-        if g != ["corpus_id"]:
-            rows = rows.join(stats.select(*g), "corpus_id")
-        else:                                    # only documents that exist
-            rows = rows.join(stats.select("corpus_id"), "corpus_id", "left_semi")
-        out = out.unionByName(rows.select(*g, F.lit(1).alias("part"),
-                                          F.lit(0).cast("long").alias("seq"), F.col("line").alias("block"),
-                                          "segs"), allowMissingColumns=True)
-        out = out.unionByName(parts.select(*g, F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"),
-                                           F.col("_h")[1].alias("block")), allowMissingColumns=True)
-    blocks = files.select(*g, F.lit(3).alias("part"), F.col(order).cast("long").alias("seq"),
-                          file_block(kind, file_headers).alias("block"))
-    out = out.unionByName(blocks, allowMissingColumns=True)
-    if footer(kind):
-        out = out.unionByName(stats.select(*g, F.lit(4).alias("part"), F.lit(0).cast("long").alias("seq"),
-                                           F.lit(footer(kind)).alias("block")), allowMissingColumns=True)
-    if "segs" not in out.columns:
-        out = out.withColumn("segs", F.lit(None).cast("array<string>"))
-    return out
+        st = st.join(tree_rows.select("corpus_id").distinct().withColumn("tree", F.lit(marker)), "corpus_id", "left")
+    else:
+        st = st.withColumn("tree", F.lit(None).cast("string"))
+    if kind == "template":
+        pre, body, post = parse_template(fmt)
+        if body is not None and ("col", "tree") in body:
+            raise ValueError("block output does not repeat the tree in every file")
+        head, foot = _global_concat(pre), _global_concat(post)
+        if body is not None and any(k == "col" and v in _GLOBAL for k, v in body):
+            files = files.select(*g, order, "path", "content", "size").join(st.drop("tokens", "tree").withColumn("tree", F.lit("")), g)
+        block = file_block("template", template_segments=body) if body is not None else None
+        shown = marker
+    else:
+        head, foot = header(kind, include_tree and has_tree, include_stats), F.lit(footer(kind))
+        block = file_block(kind, file_headers, include_content)
+        shown = json.dumps(marker)[1:-1] if kind == "json" else marker
+    line = F.regexp_extract(json_string("line"), r'^"([\s\S]*)"$', 1) if kind == "json" else F.col("line")
+
+    rows = []
+
+    def add(df, part, text, seq=F.lit(0), segs=None):
+        rows.append(df.select(*g, F.lit(part).alias("part"), seq.cast("long").alias("seq"),
+                              (F.lit(None).cast("array<string>") if segs is None else segs).alias("segs"), text.alias("block")))
+
+    def around_tree(text, part):
+        """``text``, cut where the tree stands, with the tree's lines between."""
+        cut = st.select(*g, F.split(text, re.escape(shown), 2).alias("_h"))
+        add(cut, part, F.get("_h", F.lit(0)))
+        if has_tree:
+            holds = cut.where(F.size("_h") > 1)
+            add(tree_rows.select("corpus_id", "segs", line.alias("line")).join(holds.select(*g), "corpus_id"), part + 1, F.col("line"), segs=F.col("segs"))
+            add(holds, part + 2, F.get("_h", F.lit(1)))
+
+    if kind == "json":
+        head = F.concat(head, F.when(F.col("total_files") == 0, F.lit("]\n}")).otherwise(F.lit("\n")))
+        foot = F.when(F.col("total_files") == 0, F.lit("")).otherwise(F.lit("  ]\n}"))
+    elif kind in ("markdown", "plain"):
+        head = F.when(F.col("total_files") == 0, rtrim_ws(head)).otherwise(head)
+    around_tree(head, 0)
+    if block is not None:
+        text = block
+        if kind in ("json", "markdown", "plain"):
+            # The last block of each document (one key per document) ends differently.
+            last = files.groupBy(*g).agg(F.max(order).alias(order)).withColumn("_end", F.lit(True))
+            files = files.select(*g, order, "path", "content", "size").join(last, [*g, order], "left")
+            end, usual = (F.concat(block, F.lit("\n")), F.concat(block, F.lit(",\n"))) if kind == "json" else (rtrim_ws(block), block)
+            text = F.when(F.col("_end"), end).otherwise(usual)
+        add(files, 3, text, F.col(order))
+    if kind == "template":
+        around_tree(foot, 4)
+    elif kind in ("json", "xml"):
+        add(st, 4, foot)
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.where(F.col("block") != "")

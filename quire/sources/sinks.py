@@ -27,7 +27,11 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "markdown", mode: str
 def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite", group=("corpus_id",)) -> None:
     """Write documents from block rows (``render_blocks``), in order, one
     folder per document.  Rows are range-partitioned on the full order key so
-    a large document is written by many tasks as consecutive part files."""
+    a large document is written by many tasks as consecutive part files.
+
+    Blocks become whole lines, so this is for formats whose blocks end at line
+    ends (markdown, XML, plain, templates made so); JSON keeps its tree inside
+    one string and is not written this way.  The last file ends with one line end."""
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = list(group)
     order = [*g, "part", "segs", "seq"]
