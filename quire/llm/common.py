@@ -10,10 +10,19 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir, ship_package
 
 
+#: Bytes of rows that go to a Python worker at a time; texts have any length,
+#: so a number of rows alone does not bound a worker's memory.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on the workers and the checkpoint folder known."""
+    """Make the package importable on the workers, the checkpoint folder known
+    and the session's batches to Python workers no larger than ``BATCH_BYTES``."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:

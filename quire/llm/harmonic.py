@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections import defaultdict
 from typing import Callable, Iterator
 
@@ -98,18 +99,20 @@ class WordEncoder:
                     for p in find(low)]
         return split
 
-    def _ids(self, new: list[str]) -> list[list[int]]:
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """Ids of each stretch as unsigned 32-bit integers (bytes take a
+        fraction of the memory of lists)."""
         if self.pieces is None:
-            return [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
         out, known, tokenize = [], self.known, self.model.tokenize
         for word in new:
-            ids: list[int] = []
+            ids = []
             for p in self.pieces(word):
                 got = known.get(p)
                 if got is None:
-                    known[p] = got = [t.id for t in tokenize(p)]
-                ids += got
-            out.append(ids)
+                    known[p] = got = array("I", [t.id for t in tokenize(p)]).tobytes()
+                ids.append(got)
+            out.append(b"".join(ids))
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +131,10 @@ class WordEncoder:
         if index.pending:
             ids = self._ids(index.pending)
             index.pending = []
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             at = len(self.flat) + np.cumsum(lengths) - lengths
             self.starts, self.lengths = np.concatenate([self.starts, at]), np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
         if not rows:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         words = np.concatenate(rows)
