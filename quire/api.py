@@ -73,6 +73,10 @@ cost = calculate_cost
 
 
 def optimize(packed: _pack.Packed, **options) -> DataFrame:
+    """Shrink to a token budget.  Cleaning flags that the caller passes hold
+    for the second pass over low-priority files as well."""
+    flags = {k: v for k, v in options.items() if k in ("remove_comments_", "remove_empty_lines_", "minify_")}
+    options.setdefault("reclean", flags or None)
     return _optimize.optimize_context(packed.with_content(), **options)
 
 

@@ -10,7 +10,7 @@ running sum.  Content is rebuilt from the fold's decisions with expressions.
 from __future__ import annotations
 
 import math
-from typing import Any, Iterator, Tuple
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,43 +99,17 @@ def drop_low_priority(files: DataFrame, max_tokens, len_col: str = "len") -> Dat
             .drop("_T", "_n", "cum__dl", "_dl"))
 
 
-def _fold_scalar(L: int, pri, len1s, len2s, lines, max_tokens: float, preserve: int):
-    """Reference loop for one batch: returns (visited, allowance, keep, new_len, L, done)."""
-    m = len(len1s)
-    visited = np.zeros(m, dtype=bool)
-    allow = np.zeros(m, dtype=np.int64)
-    keep = np.full(m, -1, dtype=np.int64)
-    new_len = np.asarray(len2s, dtype=np.int64).copy()
-    for i in range(m):
-        if pri[i] <= preserve or math.ceil(L / 4) <= max_tokens:
-            return visited, allow, keep, new_len, L, True
-        len1, len2 = int(len1s[i]), int(new_len[i])
-        a = math.floor((len1 / L) * max_tokens * 0.5)
-        visited[i], allow[i] = True, a
-        nl = len2
-        tok2 = math.ceil(len2 / 4)
-        if a and tok2 > a:
-            target = math.floor(a * (len2 / tok2) * 0.95)
-            c = np.cumsum(np.asarray(lines[i], dtype=np.int64) + 1)
-            k = int(np.searchsorted(c - 1, target, side="right"))
-            keep[i] = k
-            nl = (int(c[k - 1]) if k > 0 else 0) + MARKER_LEN
-        new_len[i] = nl
-        L = L - len1 + nl
-    return visited, allow, keep, new_len, L, False
-
-
-def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float, max_rounds: int | None = None):
+def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float):
     """Vectorised exact fold over one block of candidate rows: the running
     total ``L_i`` before each row is guessed, every allowance and new length is
     computed at once, ``L_i`` is rebuilt by a cumulative sum, and this repeats
-    until nothing changes.  Row i is exact once rows < i are.  Converges in a
-    few rounds when truncations barely move the allowances; when they keep
-    moving, ``max_rounds`` gives up (None) and the caller uses the loop."""
+    until nothing changes.  Row i is exact once rows < i are, so at most one
+    round per row is needed, and a few where truncations barely move the
+    allowances."""
     m = len(len1)
     Ls = np.full(m, L, dtype=np.int64)
     tok2 = -(-len2 // 4)
-    for _ in range(m + 1 if max_rounds is None else max_rounds):
+    for _ in range(m + 1):
         stop = np.flatnonzero(-(-Ls // 4) <= max_tokens)
         n = int(stop[0]) if len(stop) else m
         a = np.floor((len1[:n] / Ls[:n]) * max_tokens * 0.5).astype(np.int64)
@@ -147,9 +121,7 @@ def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float, max_rounds: in
             target = np.floor(a[idx] * (len2[idx] / tok2[idx]) * 0.95).astype(np.int64)
             # lines of row r are cum[offs[r]:offs[r+1]] (running length incl. newline)
             lo, hi = offs[idx], offs[idx + 1]
-            k = np.array([int(np.searchsorted(cum[l:h] - 1, t, side="right")) for l, h, t in zip(lo, hi, target)],
-                         dtype=np.int64) if len(idx) < 64 else \
-                _segmented_count(cum, lo, hi, target)
+            k = _segmented_count(cum, lo, hi, target)
             kept = np.where(k > 0, cum[np.maximum(lo + k - 1, 0)], 0)
             keep[idx] = k
             nl[idx] = kept + MARKER_LEN
@@ -162,8 +134,6 @@ def _fold_block(L: int, len1, len2, offs, cum, max_tokens: float, max_rounds: in
             Lend = int(Ls[n - 1] - len1[n - 1] + nl[n - 1]) if n > 0 else L
             return n, a, keep, nl, Lend
         Ls = newLs
-    if max_rounds is not None:
-        return None                               # caller falls back to the loop
     raise RuntimeError("fold did not converge")
 
 
@@ -180,56 +150,107 @@ def _segmented_count(cum, lo, hi, target):
     return np.searchsorted(key, q, side="right") - starts
 
 
-def _truncate_fold_fn(max_tokens: float, preserve: int, block: int = 4096):
-    def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        L = None
-        done = False
-        vectorise = True
+_FOLD = "_fold_blk"
+BLOCK = 1024         # rows solved at once
+
+
+def _fold_rows(L: int, pdf: pd.DataFrame, max_tokens: float):
+    """Fold a run of rows of one corpus, entered with the total ``L``: arrays
+    of the decisions, and the total handed on."""
+    m = len(pdf)
+    visited = np.zeros(m, dtype=bool)
+    allow, keep = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
+    new_len = pdf["_len2"].to_numpy(dtype=np.int64).copy()
+    len1, lines = pdf["_len1"].to_numpy(dtype=np.int64), pdf["_lines"].to_numpy()
+    for i in range(0, m, BLOCK):
+        j = min(i + BLOCK, m)
+        ls = [np.asarray(x, dtype=np.int64) for x in lines[i:j]]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in ls])]).astype(np.int64)
+        cum = np.concatenate([np.cumsum(x + 1) for x in ls]) if offs[-1] else np.zeros(0, np.int64)
+        n, a, kp, nl, L = _fold_block(L, len1[i:j], new_len[i:j], offs, cum, max_tokens)
+        visited[i:i + n], allow[i:i + n], keep[i:i + n], new_len[i:i + n] = True, a, kp, nl
+        if n < j - i:
+            break
+    return visited, allow, keep, new_len, L
+
+
+def _runs(pdf: pd.DataFrame):
+    """Runs of one corpus in a batch of a slice, whose order is checked."""
+    k = pdf["corpus_id"].to_numpy(dtype=object)
+    cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+    pri, pos = pdf["priority"].to_numpy(dtype=np.int64), pdf["pos"].to_numpy(dtype=np.int64)
+    same = k[1:] == k[:-1]
+    if np.any(same & ((pri[1:] > pri[:-1]) | ((pri[1:] == pri[:-1]) & (pos[1:] <= pos[:-1])))):
+        raise RuntimeError("rows of a corpus are not in the order of the fold")
+    for a, z in zip([0, *cut], [*cut, len(k)]):
+        yield k[a], pdf.iloc[a:z]
+
+
+def _fold_slices(entries: dict, max_tokens: float, decisions: bool):
+    """Over the batches of a slice: per row its decisions, or per corpus in the
+    slice the change of the total.  ``entries`` has the total with which a
+    corpus enters the slice; a corpus without one starts from its ``_L0``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corpus, begun, L, first, blk = None, False, 0, 0, 0
+        sums = []
         for pdf in batches:
-            m = len(pdf)
-            if m == 0:
+            if not len(pdf):
                 continue
-            if L is None:
-                L = int(pdf["_L0"].iloc[0])
-            visited = np.zeros(m, dtype=bool)
-            allow = np.zeros(m, dtype=np.int64)
-            keep = np.full(m, -1, dtype=np.int64)
-            new_len = pdf["_len2"].to_numpy(dtype=np.int64).copy()
-            pri = pdf["priority"].to_numpy(dtype=np.int64)
-            len1s = pdf["_len1"].to_numpy(dtype=np.int64)
-            lines = pdf["_lines"].to_numpy()
-            i = 0
-            while i < m and not done:
-                j = min(i + block, m)
-                # rows at or below the preserve level end the phase
-                low = np.flatnonzero(pri[i:j] <= preserve)
-                j_eff = i + int(low[0]) if len(low) else j
-                if j_eff > i:
-                    ls = [np.asarray(x, dtype=np.int64) for x in lines[i:j_eff]]
-                    offs = np.concatenate([[0], np.cumsum([len(x) for x in ls])]).astype(np.int64)
-                    cum = np.concatenate([np.cumsum(x + 1) for x in ls]) if offs[-1] else np.zeros(0, np.int64)
-                    res = _fold_block(L, len1s[i:j_eff], new_len[i:j_eff], offs, cum, max_tokens,
-                                      max_rounds=4) if vectorise else None
-                    if res is not None:
-                        n, a, kp, nl, Lend = res
-                        visited[i:i + n], allow[i:i + n], keep[i:i + n], new_len[i:i + n] = True, a, kp, nl
-                        L = Lend
-                        stopped = n < j_eff - i
-                    else:                         # allowances keep moving: plain loop from here on
-                        vectorise = False
-                        v, a, kp, nl, L, stopped = _fold_scalar(L, pri[i:j_eff], len1s[i:j_eff], new_len[i:j_eff],
-                                                                lines[i:j_eff], max_tokens, preserve)
-                        visited[i:j_eff], allow[i:j_eff], keep[i:j_eff], new_len[i:j_eff] = v, a, kp, nl
-                    if stopped:
-                        done = True
-                if j_eff < j:
-                    done = True
-                i = j
-            yield pd.DataFrame({"corpus_id": pdf["corpus_id"], "pos": pdf["pos"], "visited": visited,
-                                "allowance": allow, "keep_lines": keep, "new_len": new_len})
+            blk = int(pdf[_FOLD].iat[0])
+            for k, part in _runs(pdf):
+                if not begun or k != corpus:
+                    if begun:
+                        sums.append((corpus, blk, L - first))
+                    corpus, begun = k, True
+                    L = first = entries.get((k, blk), int(part["_L0"].iat[0]))
+                visited, allow, keep, new_len, L = _fold_rows(L, part, max_tokens)
+                if decisions:
+                    yield pd.DataFrame({"corpus_id": part["corpus_id"].to_numpy(), "pos": part["pos"].to_numpy(), "visited": visited,
+                                        "allowance": allow, "keep_lines": keep, "new_len": new_len})
+        if begun and not decisions:
+            sums.append((corpus, blk, L - first))
+            yield pd.DataFrame(sums, columns=["corpus_id", _FOLD, "delta"])
     return run
 
 
+def truncate_low_priority(cand: DataFrame, max_tokens: float, num_slices: int | None = None) -> DataFrame:
+    """F8 on narrow candidate rows (``corpus_id, pos, priority, _len1, _len2,
+    _lines, _L0``): decisions for the rows that proportional truncation visits.
+
+    What a file may keep depends on the earlier files of its corpus only
+    through their running total.  So candidates are range-partitioned in fold
+    order, a hot corpus into many slices, and every slice is folded from a
+    guess of the total it is entered with.  The slices' changes give better
+    guesses for the slices after them, until no guess changes: then every
+    slice was folded from the exact total.  Only corpora that cross a slice
+    border have guesses (at most two per slice, one number each, which is all
+    that reaches the driver), and at most one round per slice is needed."""
+    from .pack import checkpoint
+    n = num_slices or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("corpus_id"), F.col("priority").desc(), F.col("pos")]
+    sliced = checkpoint(cand.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_FOLD, F.spark_partition_id()))
+    seen = sliced.groupBy("corpus_id", _FOLD).agg(F.first("_L0").alias("_L0"))
+    spanning = seen.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("corpus_id")
+    spread = sorted((r.corpus_id, r[_FOLD], r._L0) for r in seen.join(spanning, "corpus_id", "left_semi").collect())
+    entries: dict = {}
+    if spread:
+        while True:
+            deltas = {(r.corpus_id, r[_FOLD]): r.delta for r in
+                      sliced.mapInPandas(_fold_slices(entries, max_tokens, False), f"corpus_id string, {_FOLD} int, delta long")
+                      .join(spanning, "corpus_id", "left_semi").collect()}
+            guess, at, corpus = {}, 0, None
+            for k, blk, start in spread:
+                at = start if k != corpus else at
+                corpus = k
+                guess[k, blk] = at
+                at += deltas[k, blk]
+            if guess == entries:
+                break
+            entries = guess
+    schema = "corpus_id string, pos long, visited boolean, allowance long, keep_lines long, new_len long"
+    return sliced.mapInPandas(_fold_slices(entries, max_tokens, True), schema).where("visited")
+
+
 def target_tokens_for(model: str | None, target_tokens=None, command: bool = False):
     """Budget: explicit target, else ``floor(0.85 * context)`` (command) or
     ``0.9 * context`` (library), else 100,000 for an unknown model."""
@@ -275,12 +296,9 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
     narrow = checkpoint(narrow)
     tot = narrow.groupBy("corpus_id").agg(
         (F.sum("_len1") + F.greatest(F.count(F.lit(1)) - 1, F.lit(0))).cast("long").alias("_L0"))
-    cand = (narrow.where(F.col("priority") > preserve_priority).join(tot, "corpus_id")
-            .repartition("corpus_id").sortWithinPartitions("corpus_id", F.col("priority").desc(), "pos"))
-    fold = cand.groupBy("corpus_id").applyInPandas(
-        _truncate_fold_fn(float(max_tokens), int(preserve_priority)),
-        "corpus_id string, pos long, visited boolean, allowance long, keep_lines long, new_len long")
-    fold = fold.where("visited")
+    # Corpora within the budget have nothing to truncate.
+    over = tot.where(F.ceil(F.col("_L0") / 4) > F.lit(float(max_tokens)))
+    fold = truncate_low_priority(narrow.where(F.col("priority") > preserve_priority).join(over, "corpus_id"), float(max_tokens))
     # The fold's columns ride through the drop step (its ordered scan keeps
     # every column), so the fold runs once.
     final_len = (narrow.join(fold, ["corpus_id", "pos"], "left")
