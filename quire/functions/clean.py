@@ -40,7 +40,7 @@ def minify(c) -> Column:
     """Per line: keep the indentation, collapse inner whitespace, trim."""
     def one(l):
         indent = F.regexp_extract(l, rf"^({WS}*)", 1)
-        rest = F.substring(l, F.length(indent) + 1, 1 << 30)
+        rest = F.substring(l, F.length(indent) + 1, F.length(l))
         return F.concat(indent, F.regexp_replace(F.regexp_replace(rest, rf"{WS}+", " "), r" \z", ""))
     return F.array_join(F.transform(lines(c), one), "\n")
 

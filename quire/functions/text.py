@@ -77,14 +77,15 @@ def format_number(c) -> Column:
 
 
 def format_money(c) -> Column:
-    """``$`` and two decimals, rounded half-up on the exact binary value: the
-    fraction's first 52 binary digits are an exact integer, and what is cut
-    off lies above it, so the comparison with one half is exact."""
+    """``$`` and two decimals, rounded half-up on the binary value (not on its
+    shortest decimal form): the fraction's first 52 binary digits are an
+    integer, and so is what the digits after them add to a hundredfold of it."""
     x = col(c).cast("double")
     size = F.abs(x)
     whole = F.floor(size)
-    digits = F.floor((size - whole) * F.lit(float(1 << 52))).cast("long")
-    cents = whole * 100 + F.shiftright(digits * 100 + F.lit(1 << 51), 52)
+    scaled = (size - whole) * F.lit(float(1 << 52))
+    digits = F.floor(scaled).cast("long")
+    cents = whole * 100 + F.shiftright(digits * 100 + F.floor((scaled - digits) * 100).cast("long") + F.lit(1 << 51), 52)
     text = F.concat((cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     return F.concat(F.lit("$"), F.when((x < 0) & (cents > 0), F.lit("-")).otherwise(F.lit("")), text)
 
