@@ -37,6 +37,7 @@ RIDGE = 1.0
 BINS = 2048
 GROUPS = 16
 SEED = 11
+ROWS = 1024          # rows whose features are held at a time
 THRESHOLD = 0.3
 
 
@@ -124,7 +125,8 @@ class Model(NamedTuple):
         return np.column_stack([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), z / 10, np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.phi(np.asarray(x, float).reshape(-1, N_STATS)) @ self.weights
+        x = np.asarray(x, float).reshape(-1, N_STATS)
+        return np.concatenate([self.phi(x[i:i + ROWS]) @ self.weights for i in range(0, max(len(x), 1), ROWS)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.curve_x, self.curve_y), 0, 1)
@@ -160,8 +162,9 @@ def _summed(rows: DataFrame, size: int, terms) -> np.ndarray:
         from pyspark import TaskContext
         total = np.zeros(size)
         for b in batches:
-            if b.num_rows:
-                total += terms(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
+            x, y = _matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, len(y), ROWS):
+                total += terms(x[i:i + ROWS], y[i:i + ROWS])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()),
                                           pa.array([total.tobytes()], pa.binary())], names=["g", "s"])
 
