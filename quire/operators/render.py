@@ -3,13 +3,15 @@
 Each file becomes a block string (a column expression); a document is its
 header, its blocks in order, and a footer.  Documents are built per chunk
 (bounded by a context window) or per corpus when asked; for whole corpora the
-block rows themselves can be written out instead (see ``quire.sources.sinks``).
+block rows themselves can be written out instead (see ``quire.sources.sinks``)
+or streamed through a digest (``document_digests``).
 """
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from typing import Sequence
+from typing import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,9 +209,19 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
     return doc.select(*g, text.alias("document"))
 
 
+def with_ends(files: DataFrame, group: Sequence[str] = ("corpus_id",), order: str = "pos") -> DataFrame:
+    """``files`` with ``_end``, which is true for the last of each document (one
+    key per document).  Done on rows without content, it saves ``render_blocks``
+    a shuffle of the contents."""
+    g = list(group)
+    last = files.groupBy(*g).agg(F.max(order).alias(order)).withColumn("_end", F.lit(True))
+    return files.join(last, [*g, order], "left")
+
+
 def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree_rows: DataFrame | None = None,
                   include_tree: bool = True, include_stats: bool = True, file_headers: bool = True,
-                  include_content: bool = True, group: Sequence[str] = ("corpus_id",), order: str = "pos") -> DataFrame:
+                  include_content: bool = True, group: Sequence[str] = ("corpus_id",), order: str = "pos",
+                  tree_group: Sequence[str] | None = None) -> DataFrame:
     """Documents as ordered rows ``group + [part, seq, segs, block]`` instead of
     one string: part 0 is the header up to the tree, part 1 the tree lines (from
     ``tree_lines`` rows, in depth-first order), part 2 the text between tree
@@ -219,9 +231,13 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
     ``sinks.write_blocks`` writes the rows in order.
 
     A template may name the tree once before or after its files loop, not
-    inside it (there it would be one value per file)."""
+    inside it (there it would be one value per file).
+
+    ``tree_group`` (some columns of ``group``) gives the tree's lines once for
+    all documents alike in these columns, the others being null."""
     kind = resolve_format(fmt)
     g = list(group)
+    tg = g if tree_group is None else list(tree_group)
     st = stats.select(*g, "total_files", "total_size", "tokens").withColumn("directory", F.col("corpus_id"))
     has_tree = tree_rows is not None and (include_tree or kind in ("json", "template"))
     marker = "<\u0001tree\u0001>"                  # stands for the tree while header and footer are rendered
@@ -256,7 +272,10 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
         add(cut, part, F.get("_h", F.lit(0)))
         if has_tree:
             holds = cut.where(F.size("_h") > 1)
-            add(tree_rows.select("corpus_id", "segs", line.alias("line")).join(holds.select(*g), "corpus_id"), part + 1, F.col("line"), segs=F.col("segs"))
+            lines = tree_rows.select("corpus_id", "segs", line.alias("line")).join(
+                holds.select(*tg) if tg == g else holds.select(*tg).distinct(), "corpus_id")
+            lines = lines.withColumns({c: F.lit(None).cast(holds.schema[c].dataType) for c in g if c not in tg})
+            add(lines, part + 1, F.col("line"), segs=F.col("segs"))
             add(holds, part + 2, F.get("_h", F.lit(1)))
 
     if kind == "json":
@@ -268,9 +287,9 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
     if block is not None:
         text = block
         if kind in ("json", "markdown", "plain"):
-            # The last block of each document (one key per document) ends differently.
-            last = files.groupBy(*g).agg(F.max(order).alias(order)).withColumn("_end", F.lit(True))
-            files = files.select(*g, order, "path", "content", "size").join(last, [*g, order], "left")
+            # The last block of each document ends differently.
+            if "_end" not in files.columns:
+                files = with_ends(files.select(*g, order, "path", "content", "size"), g, order)
             end, usual = (F.concat(block, F.lit("\n")), F.concat(block, F.lit(",\n"))) if kind == "json" else (rtrim_ws(block), block)
             text = F.when(F.col("_end"), end).otherwise(usual)
         add(files, 3, text, F.col(order))
@@ -282,3 +301,79 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.where(F.col("block") != "")
+
+
+#: Bytes of rows that go to a Python worker at a time (a longer block goes alone).
+BATCH_BYTES = 8 << 20
+#: Chunks of a corpus that one pass over its tree's lines serves.
+CHUNKS_PER_PASS = 256
+
+
+def document_digests(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree_rows: DataFrame | None = None,
+                     order: str = "pos", **options) -> DataFrame:
+    """``corpus_id, chunk, doc_len`` (code points) and ``doc_md5`` of the
+    documents that ``render_documents`` builds, which are never built here.
+
+    Blocks of a document meet in one task, as a digest must see them one after
+    the other, but are streamed in order: only hash states are held.  Chunks of
+    a corpus share passes over its tree, ``CHUNKS_PER_PASS`` to a pass, so a
+    tree is neither one value nor repeated for every chunk.  ``options`` are
+    those of ``render_blocks``."""
+    spark = files.sparkSession
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(conf).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(conf, str(BATCH_BYTES))
+    one_pass = F.floor(F.col("chunk") / CHUNKS_PER_PASS).cast("long")
+    files, stats = files.withColumn("_pass", one_pass), stats.withColumn("_pass", one_pass)
+    blocks = render_blocks(files, stats, fmt, tree_rows=tree_rows, group=("corpus_id", "_pass", "chunk"), order=order,
+                           tree_group=("corpus_id", "_pass"), **options)
+    starts = stats.select("corpus_id", "_pass", "chunk", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("seq"),
+                          F.lit(None).cast("array<string>").alias("segs"), F.lit("").alias("block"))
+    ordered = (blocks.unionByName(starts).repartition("corpus_id", "_pass")
+               .sortWithinPartitions("corpus_id", "_pass", "part", "segs", "seq")
+               .select("corpus_id", "_pass", "part", F.col("chunk").cast("long").alias("chunk"), F.length("block").alias("n"),
+                       F.col("block").cast("binary").alias("block")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        at, states, shared = None, {}, []
+
+        def spread():
+            """Lines of the tree go to every document of the pass."""
+            text, n = b"".join(x for x, _ in shared), sum(x for _, x in shared)
+            shared.clear()
+            for state in states.values():
+                state[0].update(text)
+                state[1] += n
+
+        def close():
+            if shared:
+                spread()
+            # A corpus without a name has no document text.
+            rows = [(at[0], c, n, h.hexdigest()) if at[0] is not None else (None, c, None, None) for c, (h, n) in states.items()]
+            states.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))],
+                                              names=["corpus_id", "chunk", "doc_len", "doc_md5"])
+
+        for b in batches:
+            for corpus, one, part, chunk, n, block in zip(*(c.to_pylist() for c in b.columns)):
+                if (corpus, one) != at:
+                    if states:
+                        yield close()
+                    at = corpus, one
+                if part < 0:
+                    states[chunk] = [hashlib.md5(usedforsecurity=False), 0]
+                elif chunk is None:
+                    shared.append((block, n))
+                else:
+                    if shared:
+                        spread()
+                    if chunk in states:
+                        states[chunk][0].update(block)
+                        states[chunk][1] += n
+            if shared:
+                spread()
+        if states:
+            yield close()
+
+    return ordered.mapInArrow(run, "corpus_id string, chunk long, doc_len long, doc_md5 string")

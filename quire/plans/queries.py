@@ -289,14 +289,18 @@ def q_file_tree(spark, sf):
     return T.tree_lines(_files(spark, sf)).select("corpus_id", "path", "depth", "is_dir", "line")
 
 
-def _render_pack(spark, sf, fmt, **kw):
+def _ended(p, files, group=("corpus_id",), order="pos") -> DataFrame:
+    """Files with their contents, the last of each document marked before these are joined."""
+    narrow = files.select(*group, order, "path", "size")
+    return R.with_ends(narrow, group, order).join(p.source.select("corpus_id", "path", "content"), ["corpus_id", "path"])
+
+
+def _render_pack(spark, sf, fmt):
     p = _packed(spark, sf)
-    files = p.with_content().withColumn("chunk", F.lit(1).cast("long"))
-    stats = p.summary.withColumn("chunk", F.lit(1).cast("long"))
-    tree = T.tree_text(T.tree_lines(_files(spark, sf)))
-    docs = R.render_documents(files, stats, fmt, tree=tree, order="pos", **kw)
-    return docs.select("corpus_id", F.length("document").cast("long").alias("doc_len"),
-                       F.md5("document").alias("doc_md5"))
+    one = F.lit(1).cast("long")
+    docs = R.document_digests(_ended(p, p.files).withColumn("chunk", one), p.summary.withColumn("chunk", one), fmt,
+                              tree_rows=T.tree_lines(_files(spark, sf)))
+    return docs.select("corpus_id", "doc_len", "doc_md5")
 
 
 def q_render_markdown(spark, sf):
@@ -322,24 +326,41 @@ def q_render_json(spark, sf):
     return _render_pack(spark, sf, "json")
 
 
-def q_render_markdown_blocks(spark, sf):
-    """The markdown document of each corpus as ordered block rows (the scale
-    path: no corpus or tree becomes one value)."""
+def _render_pack_blocks(spark, sf, fmt):
     p = _packed(spark, sf)
-    b = R.render_blocks(p.with_content(), p.summary, "markdown", tree_rows=T.tree_lines(_files(spark, sf)))
+    b = R.render_blocks(_ended(p, p.files), p.summary, fmt, tree_rows=T.tree_lines(_files(spark, sf)))
     return b.select("corpus_id", "part", "seq", F.array_join("segs", "/").alias("node"),
                     F.length("block").cast("long").alias("block_len"), F.md5("block").alias("block_md5"))
 
 
+def q_render_markdown_blocks(spark, sf):
+    """The markdown document of each corpus as ordered block rows (the scale
+    path: no corpus or tree becomes one value)."""
+    return _render_pack_blocks(spark, sf, "markdown")
+
+
+def q_render_xml_blocks(spark, sf):
+    return _render_pack_blocks(spark, sf, "xml")
+
+
+def q_render_plain_blocks(spark, sf):
+    return _render_pack_blocks(spark, sf, "plain")
+
+
+def q_render_template_blocks(spark, sf):
+    return _render_pack_blocks(spark, sf, TEMPLATE)
+
+
+def q_render_json_blocks(spark, sf):
+    return _render_pack_blocks(spark, sf, "json")
+
+
 def q_render_chunks(spark, sf):
     p, s = _split(spark, sf, "by_tokens", max_tokens_per_chunk=CHUNK_TOKENS)
-    files = s.join(p.source.select("corpus_id", "path", "content"), ["corpus_id", "path"])
+    files = _ended(p, s, ("corpus_id", "chunk"), "q")
     st = S.chunk_stats(s).select("corpus_id", "chunk", F.col("files").alias("total_files"),
                                  F.col("size").alias("total_size"), "tokens")
-    tree = T.tree_text(T.tree_lines(_files(spark, sf)))
-    docs = R.render_documents(files, st, "markdown", tree=tree, order="q")
-    return docs.select("corpus_id", "chunk", F.length("document").cast("long").alias("doc_len"),
-                       F.md5("document").alias("doc_md5"))
+    return R.document_digests(files, st, "markdown", tree_rows=T.tree_lines(_files(spark, sf)), order="q")
 
 
 def q_pack_conversations(spark, sf):
