@@ -80,15 +80,15 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: last label and last two labels of the host, each label
-    before those, first two path segments, kind of the last segment, names of
-    the query's fields."""
+    before those, every path segment with its place, kind of the last segment,
+    names of the query's fields."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     hosts = F.array(F.concat(F.lit("top:"), F.element_at(labels, -1)),
                     F.concat(F.lit("site:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")))
     subs = F.transform(F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("sub:"), x))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    segments = F.transform(F.slice(parts, 1, 2), lambda p, i: F.concat(F.lit("dir"), i.cast("string"), F.lit(":"), F.translate(p, UPPER, LOWER)))
+    segments = F.transform(parts, lambda p, i: F.concat(F.lit("dir"), i.cast("string"), F.lit(":"), F.translate(p, UPPER, LOWER)))
     kind = F.transform(F.filter(F.array(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)), lambda x: x != ""),
                        lambda x: F.concat(F.lit("ext:"), F.translate(x, UPPER, LOWER)))
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)

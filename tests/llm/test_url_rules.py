@@ -68,3 +68,17 @@ def test_without_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
     assert [r.verdict for r in u.judge(df).collect()] == ["allow", "allow"]
     assert u.judge(df.limit(0)).count() == 0
+
+
+RULES = (u.Rule("block", "net", "/a/b/bad/"), u.Rule("allow", "net", "/a/b/"))
+
+
+def verdicts(spark, urls):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r.url: r.verdict for r in u.judge(df, RULES, min_support=0.1).collect()}
+
+
+def test_a_token_in_a_deep_segment(spark):
+    urls = [f"http://s{i}.net/a/b/{k}/{i}" for i in range(20) for k in ("bad", "good")]
+    got = verdicts(spark, urls + ["http://q.org/a/b/bad/x", "http://q.org/a/b/good/x"])
+    assert got["http://q.org/a/b/bad/x"] == "block" and got["http://q.org/a/b/good/x"] == "allow"
