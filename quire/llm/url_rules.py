@@ -4,7 +4,11 @@ The explicit rules (allow or block a host with its subdomains and a path
 prefix, the longest wins) label the URLs they fit.  The labelled URLs are
 transactions of URL tokens plus their label; FP-growth mines frequent token
 combinations, and those that imply a label with enough confidence become
-association rules.  A rule is kept only if no more general rule (a part of its
+association rules.  Each labelled URL counts once, however often it occurs, and
+frequent tokens that the same labelled URLs have are one item, which a URL has
+if it has any of them (a rule is as confident with any as with all of them).
+So a query layout of many fields does not multiply the combinations; tokens
+that are frequent in many different combinations still do.  A rule is kept only if no more general rule (a part of its
 tokens) is at least as confident, which prunes without changing what fires.
 URLs without an explicit rule are judged by the mined ones: blocked if the most
 confident rule that fires says block (allow wins a tie), else allowed.
@@ -12,10 +16,10 @@ confident rule that fires says block (allow wins a tie), else allowed.
 Rules are matched by an inverted index: each is posted under its rarest token,
 so a token that a third of all URLs have attracts no candidates unless a rule
 has nothing rarer, and a candidate fires if the URL has all its tokens.
-Everything is DataFrame functions and Spark's own FP-growth.  Its items and
-rules are bounded by the support (at most ``tokens / min_support`` items, by
-the transactions' length); the rule table is broadcast up to a counted size
-and joined by shuffle beyond it.  Equal URLs are judged once.
+Everything is DataFrame functions and Spark's own FP-growth.  Its items are
+bounded by the support (at most ``tokens / min_support``, by the transactions'
+length); the tables of items and rules are broadcast up to a counted size and
+joined by shuffle beyond it.  Equal URLs are judged once.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no
 tokens and no rule, and is allowed; empty paths fit no rule with a path; repeated
@@ -96,10 +100,30 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(hosts, subs, segments, kind, names))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules ``(rule_id, tokens, verdict, confidence, support)`` from rows of ``tokens, verdict``."""
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """``table``, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """``(token, item)`` of the frequent tokens of distinct ``url, tokens`` rows:
+    those that the same URLs have share an item, the smallest of them."""
+    least = min_support * labelled.count()
+    # Equal counts and two equal 64-bit sums of hashes stand for equal sets of URLs.
+    sets = (labelled.select(F.explode("tokens").alias("token"), F.xxhash64("url").alias("h"), F.xxhash64(F.lit("2"), "url").alias("k"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("k").alias("k")).where(F.col("n") >= least))
+    sets = cut(sets)
+    return cut(sets.join(sets.groupBy("n", "h", "k").agg(F.min("token").alias("item")), ["n", "h", "k"]).select("token", "item"))
+
+
+def mine(labelled: DataFrame, items: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules ``(rule_id, tokens, verdict, confidence, support)``, whose tokens are
+    items, from distinct ``url, tokens, verdict`` rows."""
     label = "label:"
-    baskets = cut(labelled.select(F.concat("tokens", F.array(F.concat(F.lit(label), F.col("verdict")))).alias("items")))
+    # URLs without a frequent token count, too: the support is a part of all.
+    baskets = (labelled.select("url", "verdict", F.explode_outer("tokens").alias("token")).join(items, "token", "left")
+               .groupBy("url").agg(F.collect_set("item").alias("items"), F.first("verdict").alias("verdict")))
+    baskets = cut(baskets.select(F.concat("items", F.array(F.concat(F.lit(label), F.col("verdict")))).alias("items")))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = cut(found.where(F.element_at("consequent", 1).startswith(label))
                 .where(~F.exists("antecedent", lambda t: t.startswith(label)))
@@ -134,11 +158,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url",
     seen = base.select(url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     seen = seen.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn(
         "tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    mined = mine(seen.where("fit is not null").select("tokens", F.col("fit.verdict").alias("verdict")), min_support, min_confidence)
-    rest = seen.where("fit is null").select("url", "tokens").where(F.size("tokens") > 0).dropDuplicates(["url"])
-    index = _posted(mined, rest)
-    if index.limit(broadcast_rules + 1).count() <= broadcast_rules:
-        index = F.broadcast(index)
+    labelled = cut(seen.where("fit is not null").select("url", "tokens", F.col("fit.verdict").alias("verdict")).dropDuplicates(["url"]))
+    items = _small(items_of(labelled, min_support), broadcast_rules)
+    mined = mine(labelled, items, min_support, min_confidence)
+    rest = (seen.where("fit is null").select("url", "tokens").dropDuplicates(["url"]).select("url", F.explode("tokens").alias("token"))
+            .join(items, "token").groupBy("url").agg(F.collect_set("item").alias("tokens")))
+    index = _small(_posted(mined, rest), broadcast_rules)
     fired = (rest.withColumn("token", F.explode("tokens")).join(index, "token")
              .where(F.size(F.array_except("needs", "tokens")) == 0)
              .groupBy("url").agg(F.max(F.struct("confidence", (F.col("says") == "allow").alias("kind"))).alias("best")))

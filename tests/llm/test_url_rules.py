@@ -82,3 +82,15 @@ def test_a_token_in_a_deep_segment(spark):
     urls = [f"http://s{i}.net/a/b/{k}/{i}" for i in range(20) for k in ("bad", "good")]
     got = verdicts(spark, urls + ["http://q.org/a/b/bad/x", "http://q.org/a/b/good/x"])
     assert got["http://q.org/a/b/bad/x"] == "block" and got["http://q.org/a/b/good/x"] == "allow"
+
+
+def test_a_layout_of_many_fields_is_one_item(spark):
+    fields = "&".join(f"f{i}=1" for i in range(40))          # 2 ** 40 sets of fields
+    urls = [f"http://s{i}.net/a/b/bad/{i}?{fields}" for i in range(20)] + [f"http://s{i}.net/a/b/good/{i}" for i in range(20)]
+    got = verdicts(spark, urls + ["http://q.org/?f7=2", "http://q.org/?g7=2"])
+    assert got["http://q.org/?f7=2"] == "block" and got["http://q.org/?g7=2"] == "allow"
+
+
+def test_a_hot_url_does_not_hide_the_others(spark):
+    urls = [f"http://s{i}.net/a/b/bad/{i}" for i in range(20)] + ["http://hot.net/a/b/good/1"] * 1000
+    assert verdicts(spark, urls + ["http://q.org/a/b/bad/x"])["http://q.org/a/b/bad/x"] == "block"
