@@ -371,10 +371,17 @@ def q_pack_conversations(spark, sf):
 
 
 def q_pack_pages(spark, sf):
+    """Totals under the pack command's cap on a file's size."""
     p = P.pack(fx.files_pages(spark, sf), max_file_size=K.PACK_COMMAND_MAX_FILE_SIZE)
     return p.summary.select("corpus_id", "total_files", "total_size", "tokens", "tokens_joined")
 
 
+def q_pack_pages_whole(spark, sf):
+    """Totals of all pages, of any size."""
+    p = P.pack(fx.files_pages(spark, sf))
+    return p.summary.select("corpus_id", "total_files", "total_size", "tokens", "tokens_joined")
+
+
 def q_count_single_file(spark, sf):
     f = _files(spark, sf)
     ctx = M.model_context(K.DEFAULT_MODEL)
