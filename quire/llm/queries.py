@@ -25,11 +25,13 @@ def vocabulary(name: str) -> str:
 
 def op1_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every section (500 characters, the last one the rest) of all
-    documents; a token over a border counts for the section with most of it."""
+    documents; a token over a border counts for the section with most of it.  A
+    null or empty text is one section without tokens."""
     import public_tokenizers
-    n = F.length("text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    empty = F.array(F.struct(F.lit(0).alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end")))
     sections = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(SECTION_CHARS)), lambda at: F.struct(
-        (at / SECTION_CHARS).cast("int").alias("name"), at.alias("start"), F.least(at + SECTION_CHARS, n).alias("end"))))
+        (at / SECTION_CHARS).cast("int").alias("name"), at.alias("start"), F.least(at + SECTION_CHARS, n).alias("end")))).otherwise(empty)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", sections.alias("sections"))
     return token_attribution.attribute(docs, vocabulary(COUNT_VOCABULARY), public_tokenizers.PATTERN, "sections")
 

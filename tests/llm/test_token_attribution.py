@@ -91,3 +91,11 @@ def test_fields(spark):
     one = {r.section: (r.char_start, r.char_end) for r in out if r.doc_id == 1}
     assert one == {"title": (0, 5), "note": (8, 8), "body": (11, 19), None: (None, None)}
     assert sum(r.tokens for r in out if r.doc_id == 1) == out[0].doc_tokens
+
+
+def test_the_query_counts_empty_documents(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from quire.llm.queries import op1_offset_attribution
+    spark.createDataFrame([(1, None), (2, ""), (3, "a b " * 200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.section, r.char_start, r.char_end, r.tokens > 0) for r in op1_offset_attribution(spark, str(tmp_path)).collect())
+    assert got == [(1, "0", 0, 0, False), (2, "0", 0, 0, False), (3, "0", 0, 500, True), (3, "1", 500, 800, True)]
