@@ -157,13 +157,14 @@ def _shared_counts(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         for b in batches:
             for _, _, h, owner, n, key in _sets(*utf8_buffers(b.column(0)), size):
                 mine = _half(h)
-                held.append((h[mine], key[owner[mine]]))
-                total, classes = total + len(held[-1][0]), classes + len(n)
-                if total >= _HELD or classes + len(n) * 2 >= _NONE:
+                # A block has far fewer rows than there are numbers for classes.
+                if held and (total >= _HELD or classes + len(n) >= _NONE):
                     if total:
                         yield flush()
                     held.clear()
                     total, classes, packs = 0, 0, packs + 1
+                held.append((h[mine], key[owner[mine]]))
+                total, classes = total + len(held[-1][0]), classes + len(n)
         if total:
             yield flush()
 

@@ -118,3 +118,20 @@ def test_components_of_a_long_path_and_a_star(spark):
     label = dict(tuple(r) for r in connected_components(df).collect())
     assert {label[i] for i in range(61)} == {0}
     assert {label[i] for i in [100, *range(200, 260)]} == {100}
+
+
+def test_a_pack_has_no_more_classes_than_numbers(spark):
+    # Texts of some 300 bytes, then a large block of short ones, in one batch of one task; each shares all its shingles with another task's text.
+    texts = [" ".join(f"{i:x}{c}{'x' * 18 if i < 55_500 else ''}" for c in "abcdefghijkl") for i in range(72_000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    try:
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        both = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' more') AS text"))
+        counts = jj._shared_counts(both, jj.SIZE, 1)
+        classes = jj._scan(docs, jj.SIZE).where("half > 0")
+        assert classes.join(counts, "key", "left").where("c IS NULL OR c <> half").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old[0])
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old[1])
