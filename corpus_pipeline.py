@@ -7,8 +7,8 @@ again, which also cuts the lineage.
 
 Nulls, empty texts and repeated rows: a null or empty text is scored, has no
 duplicate and no benchmark words, and packs to its end token.  A document is
-its id: repeated rows of the id that stands for a group stay together, and
-rows without an id are never dropped as duplicates.  Empty tables pass through
+its id and text: equal rows of the one that stands for a group stay together,
+and rows without an id are never dropped as duplicates.  Empty tables pass through
 every stage; extra columns are kept up to packing.
 """
 from __future__ import annotations
@@ -23,7 +23,7 @@ from quire.llm.common import cut, prepare, table
 from quire.llm.queries import PACK_END_ID, PACK_VOCABULARY, vocabulary
 from quire.session import work_path
 
-#: Ids of dropped documents up to which they are broadcast (some 16 bytes each).
+#: Dropped documents up to which their ids and hashes are broadcast (some 24 bytes each).
 BROADCAST_IDS = 500_000
 
 
@@ -36,14 +36,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest
+    id, and of that id's texts in the group the one with the smallest hash."""
     prepare(spark)
-    groups = jaccard_join.jaccard_components(docs)
-    stays = F.max(F.col("doc_id") == F.col("component_id"))
-    dropped = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id"))
+    text = F.xxhash64("text")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), text.alias("text"))
+    groups = jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text"))
+    dropped = cut(groups.where("doc_id.id is not null and doc_id <> component_id")
+                  .select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias("_text")).distinct())
     if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.withColumn("_text", text).join(dropped, ["doc_id", "_text"], "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,10 @@ def test_extra_columns_and_null_ids_pass(spark, tables):
                                  "doc_id long, text string, keep int, extra int")
     assert sorted(r.extra for r in cp.drop_near_duplicates(spark, docs, d).collect()) == [2, 6, 8]
     assert sorted(r.extra for r in cp.drop_contaminated(spark, docs, d).collect()) == [2, 4, 6, 8]
+
+
+def test_an_id_with_two_texts_loses_the_copy(spark, tables):
+    d, _ = tables
+    docs = spark.createDataFrame([(1, "a b c d e f"), (5, "u v w x y z"), (5, "a b c d e f"), (5, "u v w x y z")], "doc_id long, text string")
+    got = sorted(map(tuple, cp.drop_near_duplicates(spark, docs, d).collect()))
+    assert got == [(1, "a b c d e f"), (5, "u v w x y z"), (5, "u v w x y z")]
