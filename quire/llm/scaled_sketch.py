@@ -34,7 +34,6 @@ SIZE = 5
 FRACTION = 0.25
 PARTS_PER_TASK = 3
 BLANKS = " \t\n\x0b\x0c\r"
-DIGITS = 10          # hexadecimal digits kept of a hash in the printed form
 
 
 def _let(value: Column, body) -> Column:
@@ -86,10 +85,9 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def printed(s: Column) -> Column:
-    """A fingerprint as a string."""
-    # Hashes below the bound are negative for fractions up to a half, so they have 16 digits.
+    """A fingerprint as a string; its hashes have 16 hexadecimal digits each."""
     return F.concat_ws("-", s["n"].cast("string"), F.hex(s["digest"]),
-                       F.array_join(F.transform(s["hashes"], lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 1, DIGITS)), ""))
+                       F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def _part(key: Column, bounds: list[int]) -> Column:

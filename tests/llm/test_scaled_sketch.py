@@ -73,3 +73,10 @@ def test_repeated_ids_and_small_tables(spark):
     assert k.fingerprints_of_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+
+
+def test_a_printed_fingerprint_has_whole_hashes(spark):
+    s = k.sketch(F.lit(" ".join(map(str, range(60)))), fraction=0.25)
+    r = spark.range(1).select(s["hashes"].alias("h"), k.printed(s).alias("p")).first()
+    tail = r.p.split("-")[-1]
+    assert r.h and [int(tail[i:i + 16], 16) for i in range(0, len(tail), 16)] == [x % (1 << 64) for x in r.h]
