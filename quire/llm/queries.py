@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, token_attribution, url_rules, warc
+from . import chat, collocation, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, token_attribution, url_rules, warc
 from ..session import work_path
 from .common import cut, table
 
@@ -112,6 +112,11 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase collocations of every language of all documents."""
+    return collocation.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_offset_attribution": op1_offset_attribution,
     "op2_warc_segments": op2_warc_segments,
@@ -123,6 +128,7 @@ QUERIES = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bounded_ring": op10_bounded_ring,
+    "op11_setm_collocations": op11_setm_collocations,
 }
 
 #: Folds A-Z alone, as the contracts ask.
