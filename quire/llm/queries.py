@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocation, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, token_attribution, url_rules, warc
+from . import chat, collocation, decontamination, harmonic, jaccard_join, quality, ring, scaled_sketch, secret_scan, token_attribution, url_rules, warc, whitening
 from ..session import work_path
 from .common import cut, table
 
@@ -117,6 +117,16 @@ def op11_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base patterns and high-entropy windows."""
+    return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_offset_attribution": op1_offset_attribution,
     "op2_warc_segments": op2_warc_segments,
@@ -129,6 +139,8 @@ QUERIES = {
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bounded_ring": op10_bounded_ring,
     "op11_setm_collocations": op11_setm_collocations,
+    "op12_entropy_secrets": op12_entropy_secrets,
+    "op13_qd_whitening": op13_qd_whitening,
 }
 
 #: Folds A-Z alone, as the contracts ask.

@@ -1,0 +1,124 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from quire.llm import queries
+from quire.llm import whitening as k
+
+
+def brute(vectors, components=16):
+    """Kept rows' indices, their numbers and, by dense eigenvectors, the rest."""
+    kept = [i for i, v in enumerate(vectors) if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(64 * c) + 1000000 for c in vectors[i]] for i in kept]
+    fit = sorted(set(map(tuple, x)))
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array([[n * a - s for a, s in zip(v, sums)] for v in fit], float) / n
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-e)[:components]
+    rows = np.array([[n * a - s for a, s in zip(u, sums)] for u in x], float) / n
+    return kept, n, [sum((n * a - s) ** 2 for a, s in zip(u, sums)) for u in x], rows @ v[:, order] / np.sqrt(e[order]), e[order] / e.sum()
+
+
+def table(seed, rows=300, d=20):
+    rnd = np.random.default_rng(seed)
+    v = (rnd.normal(size=(rows, d)) * np.linspace(1, 6, d)).astype(np.float32).tolist()
+    v += v[:40] + [v[0]] * 100
+    v[7], v[9], v[11], v[13] = None, [None, *v[9][1:]], [math.nan, *v[11][1:]], [math.inf, *v[13][1:]]
+    return v
+
+
+def same_up_to_signs(got, want):
+    signs = np.sign((got * want).sum(axis=0))
+    return np.abs(got * signs - want).max()
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 40)])
+def test_as_dense_eigenvectors(spark, seed, parts):
+    vectors = table(seed)
+    df = spark.createDataFrame([(i, v, 1.5, 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, x double, component int").repartition(parts)
+    rows = k.whiten(df).collect()
+    kept, n, deviation, whitened, explained = brute(vectors)
+    assert len(rows) == 16 * len(kept) and {r.vec_id for r in rows} == set(kept)
+    at = {v: i for i, v in enumerate(kept)}
+    got = np.zeros_like(whitened)
+    for r in rows:
+        assert r.n == n and r.deviation == deviation[at[r.vec_id]] and r.identity_error < 1e-9
+        assert abs(r.explained / explained[r.component - 1] - 1) < 1e-9
+        got[at[r.vec_id], r.component - 1] = r.whitened
+    assert same_up_to_signs(got, whitened) < 1e-7
+
+
+def test_dropped_rows_and_small_tables(spark):
+    def run(rows, kind="vec_id long, embedding array<double>"):
+        return k.whiten(spark.createDataFrame(rows, kind)).collect()
+
+    assert run([]) == [] and run([(1, None), (2, [])]) == []
+    assert run([(1, [1.0, 2.0])] * 3) == []                                # no variance
+    rows = run([(None, [0.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0]), (4, [1e300, 0.0]), (5, [1.0, 0.0])])
+    assert sorted(((r.vec_id or 0), r.component, r.n, round(abs(r.whitened), 9)) for r in rows) == [(0, 1, 2, 1.0), (0, 1, 2, 1.0), (5, 1, 2, 1.0)]
+    assert all(r.explained == 1.0 and r.deviation == 64 * 64 for r in rows)
+    assert {r.vec_id for r in run([("a", [0.0]), ("b", [5.0]), (None, [7.0])], "vec_id string, embedding array<double>")} == {"a", "b", None}
+
+
+def test_large_numbers_stay_exact(spark):
+    v = [[float(1 << 50), 0.0], [0.0, 1.0], [-float(1 << 50), 3.0], [0.0, 0.5], [0.0, 1e-9]]
+    rows = k.whiten(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()
+    assert {r.deviation for r in rows if r.vec_id in (0, 2)} == {None}
+    x = [[math.floor(64 * c) + 1000000 for c in row] for row in v]
+    assert len(set(map(tuple, x))) == 5
+    want = [sum((5 * a - sum(c)) ** 2 for a, c in zip(row, zip(*x))) for row in x]
+    assert {r.vec_id: r.deviation for r in rows if r.vec_id in (1, 3, 4)} == {i: want[i] for i in (1, 3, 4)}
+
+
+RND = np.random.default_rng(0)
+ORTH = np.linalg.qr(RND.normal(size=(48, 48)))[0]
+MATRICES = {
+    "plain": RND.normal(size=(300, 48)), "graded": RND.normal(size=(300, 48)) * np.logspace(0, -7, 48),
+    "double": (ORTH * np.repeat(np.linspace(1, 2, 24), 2)) @ ORTH.T, "cluster": (ORTH * (1 + 1e-6 * RND.normal(size=48))) @ ORTH.T,
+    "equal": 3 * ORTH, "diagonal": np.diag(np.arange(1.0, 9)), "low rank": RND.normal(size=(99, 3)) @ RND.normal(size=(3, 30)),
+    "zero columns": np.hstack([RND.normal(size=(50, 3)), np.zeros((50, 2))]), "one": np.array([[2.0]]), "two": RND.normal(size=(9, 2))}
+
+
+@pytest.mark.parametrize("name", MATRICES)
+def test_solver(name):
+    a = MATRICES[name]
+    d = a.shape[1]
+    r = np.zeros((d, d))
+    q = np.linalg.qr(a, mode="r")
+    r[:len(q)] = q
+    every, values, z = k.right_singular(r, min(16, d))
+    want = np.linalg.svd(r, compute_uv=False)
+    assert np.abs(np.sqrt(every) - want).max() < 1e-13 * want[0]
+    keep = values > 1e-20 * values[0]
+    z, values = z[:, keep], values[keep]
+    assert np.abs(z.T @ z - np.eye(len(values))).max() < 1e-11
+    assert np.abs(r.T @ (r @ z) - z * values).max() < 1e-12 * values[0]
+
+
+def test_singular_values_are_relatively_accurate():
+    a, b = np.logspace(0, -12, 13), 0.5 * np.logspace(0, -11, 12)
+    from fractions import Fraction
+    got = np.sqrt(k.squared_singular_values(a, b))
+    det = Fraction(1)
+    for x in a:
+        det *= Fraction(float(x))
+    assert abs(math.prod(got) / float(det) - 1) < 1e-13       # the product is the determinant, to full relative precision
+    assert np.all(np.diff(got) < 0) and np.abs(got / np.linalg.svd(np.diag(a) + np.diag(b, 1), compute_uv=False) - 1)[:4].max() < 1e-12
+
+
+def test_triangles_of_many_tasks_fold_to_one(spark, monkeypatch):
+    monkeypatch.setattr(k, "FAN_IN", 2)
+    vectors = table(4, 60, 5)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(17)
+    got = k.whiten(df, components=3).where("component = 2").orderBy("vec_id").collect()
+    kept, _, _, whitened, _ = brute(vectors, 3)
+    assert same_up_to_signs(np.array([[r.whitened] for r in got]), whitened[:, 1:2]) < 1e-7
+
+
+def test_registered_query(spark, tmp_path):
+    vectors = table(6, 50, 4)
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = queries.op13_qd_whitening(spark, str(tmp_path))
+    assert rows.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert rows.count() == 4 * len(brute(vectors, 4)[0])
