@@ -3,10 +3,11 @@
 Words are maximal runs of word bytes after folding A-Z, so a word class is a
 table of 256 flags: every byte from 0x80 up belongs to a character outside
 ASCII, which both classes used here count as a word character.  A word's hash
-is a polynomial over random values of its bytes, read off a running sum
-(arithmetic modulo 2^64); texts are worked through in pieces of bounded size,
-cut between words, so memory does not depend on a text's length beyond its
-words' hashes.
+mixes eight bytes at a time, each group of bytes with keys of its place, so that
+no relation between two words' bytes makes their hashes equal (polynomials of
+bytes modulo 2^64 have such relations).  Texts are worked through in pieces of
+bounded size, cut between words, so memory does not depend on a text's length
+beyond its words' hashes.
 """
 from __future__ import annotations
 
@@ -17,8 +18,8 @@ import numpy as np
 from .common import row_blocks
 
 PIECE = 1 << 20          # bytes hashed at a time
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
+_SIZE_KEY = _U(0x9E3779B97F4A7C15)
 
 
 def _flags(word) -> np.ndarray:
@@ -40,26 +41,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
-    for b in range(0x41, 0x5B):
-        v[b] = v[b + 0x20]
-    return v
-
-
-_VALUES = _byte_values()
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, PIECE) + 1
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(m, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
+#: Folds A-Z alone.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
+
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_GROUPS = 32             # groups of eight bytes hashed for all words at once; what longer words have besides is hashed word by word
+
+
+def _keys(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each place of a group, the second odd."""
+    g = group.astype(np.uint64)
+    return mix(g * _U(2) + _U(0xA0761D65)), mix(g * _U(2) + _U(0xE7037ED2)) | _U(1)
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes ``data[start[i]:end[i]]`` (none of them empty)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    out = size.astype(np.uint64) * _SIZE_KEY
+    xors, factors = _keys(np.arange(_GROUPS))
+    at = None
+    for k in range(_GROUPS):
+        begin, left = (start, size) if at is None else (start[at] + 8 * k, size[at] - 8 * k)
+        part = mix((eight[begin] & _MASK[np.minimum(left, 8)]) ^ xors[k]) * factors[k]
+        if at is None:
+            out += part
+        else:
+            out[at] += part
+        more = left > 8
+        at = np.flatnonzero(more) if at is None else at[more]
+        if not len(at):
+            break
+    for i in at.tolist():
+        for lo in range(8 * _GROUPS, int(size[i]), PIECE):
+            offset = np.arange(lo, min(lo + PIECE, int(size[i])), 8)
+            x, f = _keys(offset // 8)
+            out[i:i + 1] += np.sum(mix((eight[start[i] + offset] & _MASK[np.minimum(size[i] - offset, 8)]) ^ x) * f, dtype=np.uint64)
+    return mix(out)
 
 
 class Words(NamedTuple):
@@ -83,10 +103,7 @@ def _piece(data: np.ndarray, breaks: np.ndarray, flags: np.ndarray):
     after[:-1] = w[1:]
     after[breaks[breaks > 0] - 1] = False
     end = np.flatnonzero(w & ~after) + 1
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * up[:len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start, end
+    return hash_ranges(FOLD[data], start, end), start, end
 
 
 def words(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> Words:

@@ -135,3 +135,22 @@ def test_a_pack_has_no_more_classes_than_numbers(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old[0])
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old[1])
+
+
+def test_words_that_differ_by_the_thue_morse_rule_do_not_link(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, " ".join([word] * 6)), (2, " ".join([other] * 6)), (3, word), (4, other), (5, word)]
+    assert got(spark, docs) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 3)]
+
+
+def test_long_words_hash_by_all_their_bytes():
+    from quire.llm.words import SPACED, words
+    base = "x" * 700
+    all_words = [base, *[base[:i] + "y" + base[i + 1:] for i in range(700)], base + "x", "x" * 256, "x" * 257, "x" * 8, "x" * 9]
+    raw = " ".join(all_words + [w.upper() for w in all_words]).encode()
+    h = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED).hash
+    n = len(all_words)
+    assert len(set(h[:n].tolist())) == n and np.array_equal(h[:n], h[n:])
