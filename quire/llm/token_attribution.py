@@ -17,7 +17,12 @@ Characters outside every section belong to a gap section (``section`` null), so
 a document's allocations always add up to its tokens.  Rows stay in their
 partition: nothing is shuffled, and a task holds one Arrow batch.
 
-Edge cases: a null text is empty; an empty text with sections gives each of
+A run of blanks of any length is encoded: the splitting pattern's engine ends
+at some hundred thousand of them, so runs over ``RUN`` characters are cut out
+first, where the pattern would cut them: before the last blank if something
+other than a blank follows, else at the end.
+
+Edge cases: a null text is empty; texts of any length are encoded whole; an empty text with sections gives each of
 them 0 tokens, without sections no row; sections must be ascending and
 disjoint, are clipped to the text, and may be empty (0 tokens); a null list of
 sections means the whole text is a gap; a null field is empty; repeated rows
@@ -27,6 +32,7 @@ section columns are read.
 from __future__ import annotations
 
 import base64
+import re
 from typing import Iterator
 
 import numpy as np
@@ -37,6 +43,10 @@ from pyspark.sql import types as T
 from .common import prepare
 
 RULES = ("first", "largest", "share")
+RUN = 10_000
+#: White space as the splitting patterns of public vocabularies read it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_SPACE}]{{{RUN + 1},}}")
 
 
 class Encoder:
@@ -52,7 +62,15 @@ class Encoder:
             self.length[i] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        parts, at = [], 0
+        for m in _LONG_RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            parts += [self.encoding.encode_ordinary(text[at:m.start()]), self.encoding._encode_single_piece(text[m.start():end])]
+            at = end
+        if not parts:
+            return np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        parts.append(self.encoding.encode_ordinary(text[at:]))
+        return np.concatenate([np.array(x, dtype=np.int64) for x in parts])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

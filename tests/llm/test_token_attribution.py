@@ -99,3 +99,14 @@ def test_the_query_counts_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, ""), (3, "a b " * 200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.section, r.char_start, r.char_end, r.tokens > 0) for r in op1_offset_attribution(spark, str(tmp_path)).collect())
     assert got == [(1, "0", 0, 0, False), (2, "0", 0, 0, False), (3, "0", 0, 500, True), (3, "1", 500, 800, True)]
+
+
+def test_very_long_runs_are_encoded(spark):
+    import public_tokenizers
+    e = ta.encoder_for(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in (" " * 5_000_000, "\n" * 5_000_000, "ab" * 2_500_000, "!?" * 2_500_000, "a" + " \t\u3000" * 50_000 + "b", " " * 20_001 + "\nx " + " " * 10_001):
+        ids = e.ids(text)
+        assert e.encoding.decode(ids.tolist()) == text
+    for n in (10_000, 10_001, 10_002, 60_000):       # runs that the pattern itself can read give the same ids
+        for text in ("a" + " " * n + "b c", "a" + "\n" * n + "b", " " * n, "x" + "\u2003" * n + ".", "a" + " " * n + "\n", "\x1c" * n + "z"):
+            assert e.ids(text).tolist() == e.encoding.encode_ordinary(text)
