@@ -15,7 +15,8 @@ assistant's text.  A conversation is its segments in order; they stay rows,
 so no conversation has to fit one value or one task's memory, and reading back
 streams the turns of a conversation in order.
 
-Edge cases: a null text is empty; a null role is written as an empty name;
+Edge cases: a null text is empty; long runs of backslashes, with and without a
+control string after them, come back like any text; a null role is written as an empty name;
 records with an unknown layout or broken JSON give one row with ``layout``
 null and no turn (:func:`unmapped` lists them); equal turn numbers are ordered
 by role and text, null ones first; repeated rows are turns of their own; a null
@@ -152,8 +153,9 @@ def unmapped(turns: DataFrame) -> DataFrame:
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE:", "[/ROLE]", "[ASST]")
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assistant": ("[ASST] ", " </s>")}
 _ANY = "|".join(re.escape(c) for c in CONTROLS)
-_ESCAPE = rf"(\\*(?:{_ANY}))"
-_UNESCAPE = rf"\\(\\*(?:{_ANY}))"
+# A run of backslashes is tried once, from its beginning and whole, so long runs cost in proportion to their length.
+_ESCAPE = rf"(?<!\\)(\\*+(?:{_ANY}))"
+_UNESCAPE = rf"(?<!\\)\\(\\*+(?:{_ANY}))"
 
 
 def escaped(text: Column) -> Column:

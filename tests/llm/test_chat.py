@@ -87,3 +87,14 @@ def test_empty_table(spark):
 def test_random_control_strings(spark, texts):
     rows = [(0, i, ("assistant", "user", "odd")[i % 3], "".join(t)) for i, t in enumerate(texts)]
     assert read_back(spark, rows)[0] == expected(rows)
+
+
+def test_long_runs_of_backslashes(spark):
+    import time
+    texts = ["\\" * 5_000_000, "\\" * 5_000_000 + "</s>", ("\\" * 99 + "[INST]") * 2000, "</s>" * 3 + "\\</s>\\\\</s>"]
+    rows = [(i, 1, "assistant", t) for i, t in enumerate(texts)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digests(chat.formatted(turns)).collect()}
+    assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    assert time.time() - began < 60
