@@ -13,12 +13,15 @@ one shingle: the one that is rarest in the corpus.  Three steps:
    ``p - o`` to ``p - o + length``, which must lie inside the document;
 3. verify the candidate span word for word.
 
-The benchmark side is taken in blocks of at most ``BLOCK_BYTES`` of text, each
-broadcast (that bound is its size); documents are never shuffled or grouped,
-only scanned: one scan for the counts, one for the join (per block).  Nothing
+Equal benchmark texts are one entry with the ids of their items (a list over
+``IDS`` is several entries).  Entries are dealt in running order to blocks of
+at most ``BLOCK_BYTES`` of text and ids (a longer text alone), each broadcast
+(that bound is its size); documents are never shuffled or grouped, only
+scanned: one scan for the counts, one for the join (per block).  Nothing
 depends on how often a word, line or passage repeats.
 
-Edge cases: null and empty texts have no words and are not contaminated; null
+Edge cases: texts of any length are read whole, in pieces of bounded bytes; null
+and empty texts have no words and are not contaminated; null
 or empty items give no window; items with equal ids are one item with all
 their windows (a null id is written as ``null``); repeated documents are judged
 one by one; an empty benchmark marks nothing; input columns with the names of
@@ -34,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, prepare, utf8_buffers, without
+from ..operators.ordered import ordered_scan
+from .common import cut, extended, prepare, utf8_buffers, without
 from .words import ALNUM, blocks, rolling, words
 
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 4 << 20
+IDS = 4096               # item ids of one text in one entry, about
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
           T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
@@ -57,8 +62,9 @@ class Windows(NamedTuple):
 
 
 def item_windows(rows: list[tuple], window: int) -> Windows:
+    """Windows of entries ``(list of item ids, text)``."""
     found: dict[bytes, tuple] = {}
-    for item, text in rows:
+    for items, text in rows:
         raw = (text or "").encode()
         w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
         low = raw.lower()                  # bytes.lower() folds A-Z alone
@@ -68,7 +74,7 @@ def item_windows(rows: list[tuple], window: int) -> Windows:
             key = b" ".join(tokens[i:i + size])
             if key not in found:
                 found[key] = (tokens[i:i + size], w.hash[i:i + size], set())
-            found[key][2].add("null" if item is None else str(item))
+            found[key][2].update(items)
     kept = list(found.values())
     return Windows([k[0] for k in kept], [k[1] for k in kept], [sorted(k[2]) for k in kept])
 
@@ -224,17 +230,26 @@ def _pass(docs: DataFrame, text_col: str, win: Windows, pre: Prefixes, earlier:
     return base.mapInArrow(run, schema)
 
 
-def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of about ``limit`` bytes of text (a longer item alone)."""
-    b = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("t") + F.lit(64)), F.lit(0)).alias("s")).first().s
-    parts = max(1, -(-int(size) // max(1, limit // 2)))
-    if parts == 1:
-        yield [(r.i, r.t) for r in b.collect()]
+def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int, ids: int = IDS) -> Iterator[list[tuple]]:
+    """Entries ``(item ids as strings, text)`` of the benchmark in blocks of
+    about ``limit`` bytes (a longer entry alone)."""
+    item = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
+    b = benchmark.select(item.alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    many = b.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ids)
+    part = F.pmod(F.xxhash64("i"), F.ceil(F.coalesce("n", F.lit(1)) / ids).cast("long"))
+    entries = b.join(many, "t", "left").groupBy("t", part.alias("part")).agg(F.collect_list("i").alias("items"))
+    size = F.octet_length("t") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 8) + 64
+    entries = cut(entries.withColumn("size", size.cast("long")))
+    total = entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
+    if total <= limit:
+        yield [(r.items, r.t) for r in entries.collect()]
         return
-    part = F.pmod(F.xxhash64("t"), F.lit(parts))
-    for k in range(parts):
-        yield [(r.i, r.t) for r in b.where(F.coalesce(part, F.lit(0)) == k).collect()]
+    narrow = entries.select(F.lit(0).alias("all"), F.xxhash64("t", "part").alias("h"), "size")
+    ends = ordered_scan(narrow, "all", [F.col("h"), F.col("size")], sums=["size"])
+    blocks = ends.groupBy("h").agg(F.floor((F.max("cum_size") - 1) / limit).alias("block"))
+    dealt = cut(entries.withColumn("h", F.xxhash64("t", "part")).join(blocks, "h"))
+    for k in range(-(-int(total) // limit)):
+        yield [(r.items, r.t) for r in dealt.where(F.col("block") == k).collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -247,8 +262,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     out, earlier = docs, False
     for rows in _benchmark_blocks(benchmark, item_col, item_text, block_bytes):
         win = item_windows(rows, window)
+        if not win.words:
+            continue
         grams = {size: np.unique(np.concatenate([g for _, g in x])) for size, x in _grams(win, q).items()}
-        counts = shingle_counts(docs, text_col, grams) if grams else {}
-        out = _pass(out, text_col, win, rarest_prefixes(win, q, counts), earlier)
+        out = _pass(out, text_col, win, rarest_prefixes(win, q, shingle_counts(docs, text_col, grams)), earlier)
         earlier = True
-    return out
+    none = Windows([], [], [])
+    return out if earlier else _pass(out, text_col, none, rarest_prefixes(none, q, {}), False)

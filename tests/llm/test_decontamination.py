@@ -75,3 +75,15 @@ def test_clashing_columns_are_replaced(spark):
 def test_random_texts(spark, texts, items):
     docs, bench = list(enumerate(texts)), list(enumerate(items))
     assert got(spark, docs, bench, window=3, q=2) == brute(docs, bench, 3)
+
+
+def test_repeated_items_stay_within_the_block_bound(spark):
+    from quire.llm.decontamination import _benchmark_blocks
+    items = [(i, ITEM) for i in range(2000)] + [(7000, "another text of the benchmark")]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    blocks = list(_benchmark_blocks(b, "item_id", "text", 20_000, 300))
+    sizes = [sum(len(t) + 64 + sum(len(i) + 8 for i in ids) for ids, t in x) for x in blocks]
+    assert len([x for x in blocks if x]) <= 4 and max(sizes) <= 2 * 20_000
+    assert sorted(i for x in blocks for ids, _ in x for i in ids) == sorted(str(i) for i, _ in items)
+    docs = [(1, "pre " + ITEM), (2, "nothing of it"), (3, "another text of the benchmark")]
+    assert got(spark, docs, items, block_bytes=20_000) == brute(docs, items)
