@@ -44,10 +44,12 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select(F.col("row_id").cast("long").alias("page_id"), "record_id", "refers_to",
                        F.col("refers_to_row").cast("long").alias("first"), F.length("payload").cast("long").alias("size"),
                        F.substring_index("digest", ":", -1).alias("payload_digest"), "type", "status"))
+    # Only revisits take their size from another record; responses stay where they are.
     sizes = (rows.where("type = 'response'").groupBy("record_id").agg(F.max("size").alias("first_size"))
              .withColumnRenamed("record_id", "refers_to"))
-    return (rows.join(sizes, "refers_to", "left")
-            .select("page_id", F.coalesce("size", "first_size").alias("payload_bytes"), "payload_digest",
+    again = rows.where("type = 'revisit'").join(sizes, "refers_to", "left").withColumn("size", F.col("first_size"))
+    return (rows.where("type <> 'revisit'").unionByName(again.select(*rows.columns))
+            .select("page_id", F.col("size").alias("payload_bytes"), "payload_digest",
                     F.col("type").alias("record_type"), F.col("first").alias("refers_to"), "status"))
 
 

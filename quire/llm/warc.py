@@ -11,8 +11,8 @@ separator, so files are plain concatenated records, compressed by the sink's
 codec and committed task by task.
 
 Reading.  Files are read whole through Spark and parsed as a stream inside
-the task; every file is at most about ``file_bytes`` of payload (or one record),
-which bounds what a task holds.  Records that were split are grouped by the
+the task; a file has about ``file_bytes`` of payload, or less where a task has less,
+and at most ``WIDEST`` times as much (or one record), which bounds what a task holds.  Records that were split are grouped by the
 identifier of their origin, ordered by segment number and checked against the
 total length; then HTTP headers are taken off and the chunked framing is
 decoded.  Only segments are shuffled, and a group is one payload.
@@ -21,7 +21,8 @@ Only narrow rows (id, digest) are grouped to find equal payloads, by a
 partial aggregate, so a payload that a third of all rows share is no hot
 group.  Rows that get a ``revisit`` record join on the id.
 
-Edge cases: a null payload is empty; a null id counts as the largest and its
+Edge cases: a null payload is empty, one of any length is segmented; other columns
+than id, URL and payload are ignored, also under clashing names; a null id counts as the largest and its
 record has no id of its own; repeated rows with the smallest id of a payload
 are all responses; a missing segment, a wrong total or a broken frame gives a
 row with ``status`` other than ``ok`` and a null payload, never a lost one; an
@@ -44,6 +45,8 @@ from .common import cut, prepare
 SEGMENT_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 13
 FILE_BYTES = 128 << 20
+RECORD_OVERHEAD = 700         # bytes of headers and framing of a record, about
+WIDEST = 8
 REVISITS = 100_000            # rows up to which the list of revisits is broadcast (about 100 bytes each)
 END = "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -169,9 +172,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
+    # Files end by their number of records: as many as make up a file on average, where these are small, but
+    # no more than would make up WIDEST files if all were whole segments.
+    sizes = src.agg(F.avg(F.least(F.length("payload"), F.lit(segment_bytes))).alias("mean")).first().mean or 0
+    least = max(1, file_bytes // segment_bytes)
+    per_file = min(max(least, int(file_bytes // (sizes + RECORD_OVERHEAD))), WIDEST * least)
     records = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.mode("overwrite").option("lineSep", END).option("compression", codec) \
-        .option("maxRecordsPerFile", max(1, file_bytes // segment_bytes)).text(path)
+        .option("maxRecordsPerFile", per_file).text(path)
 
 
 def _stream(raw: bytes) -> Iterator[bytes]:
