@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.models import cost_columns, with_models
+from .joins import null_safe_join
 
 
 def _models(model_table: DataFrame, names: Sequence[str] | None) -> DataFrame:
@@ -49,7 +50,7 @@ def fitting_models(compared: DataFrame, n_fit: int = 5, n_over: int = 3) -> Data
     x = x.where((F.col("fits") & (F.col("group_rank") <= n_fit)) | (~F.col("fits") & (F.col("group_rank") <= n_over)))
     cnt = compared.groupBy("corpus_id").agg(F.count_if("fits").cast("long").alias("n_fitting"),
                                             F.count_if(~F.col("fits")).cast("long").alias("n_exceeding"))
-    return x.join(cnt, "corpus_id").select(
+    return null_safe_join(x, cnt, ["corpus_id"]).select(
         "corpus_id", "fits", "group_rank", "model",
         F.when(F.col("fits"), F.col("remaining")).otherwise(-F.col("remaining")).cast("long").alias("tokens_margin"),
         "n_fitting", "n_exceeding")

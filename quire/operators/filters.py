@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.paths import basename, ext_name, segments
 from ..functions.text import col
+from .joins import null_safe_join
 
 
 def _segment_regex(patterns: Sequence[str], binary: bool) -> str | None:
@@ -90,18 +91,28 @@ def rule_tests(rules: DataFrame) -> DataFrame:
         F.collect_set(F.when(p.endswith("*"), F.substring(p, F.lit(1), F.length(p) - 1))).alias("_begins")))
 
 
-def without_ruled_out(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
-    """``rows(corpus_id, path, ...)`` that their corpus's rules do not ignore.
+def with_rule_tests(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """``rows`` with the tests of their corpus (see :func:`rule_hit`).
     Callers pass narrow rows: beyond the broadcast threshold this join
     shuffles them on ``corpus_id`` (AQE splits a skewed corpus)."""
     if rules is None:
         return rows
-    tests = rule_tests(rules).withColumnRenamed("corpus_id", "_r_corpus")
-    path = F.col("path")
-    hit = (F.exists("_has", lambda x: F.contains(path, x))
-           | F.exists(segments("path"), lambda s: F.exists("_ends", lambda x: F.endswith(s, x)) | F.exists("_begins", lambda x: F.startswith(s, x))))
-    return (rows.join(tests, rows["corpus_id"] == tests["_r_corpus"], "left")
-            .where(~F.coalesce(hit, F.lit(False))).drop("_r_corpus", "_has", "_ends", "_begins"))
+    return null_safe_join(rows, rule_tests(rules), ["corpus_id"], "left")
+
+
+def rule_hit(path) -> Column:
+    """Whether a row's tests ignore ``path`` or a folder above it."""
+    p = col(path)
+    hit = (F.exists("_has", lambda x: F.contains(p, x))
+           | F.exists(segments(p), lambda s: F.exists("_ends", lambda x: F.endswith(s, x)) | F.exists("_begins", lambda x: F.startswith(s, x))))
+    return F.coalesce(hit, F.lit(False))
+
+
+def without_ruled_out(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """``rows(corpus_id, path, ...)`` that their corpus's rules do not ignore."""
+    if rules is None:
+        return rows
+    return with_rule_tests(rows, rules).where(~rule_hit("path")).drop("_has", "_ends", "_begins")
 
 
 def corpus_rules(files: DataFrame, rules: DataFrame | None, use_rule_files: bool) -> DataFrame | None:
@@ -166,4 +177,4 @@ def select_files(files: DataFrame, ignore: Sequence[str] = (), extensions=None,
     found = corpus_rules(files, rules, use_rule_files)
     if found is None:
         return out
-    return out.join(without_ruled_out(out.select("corpus_id", "path"), found).distinct(), ["corpus_id", "path"], "left_semi")
+    return null_safe_join(out, without_ruled_out(out.select("corpus_id", "path"), found).distinct(), ["corpus_id", "path"], "left_semi")

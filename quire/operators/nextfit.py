@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import null_safe_join
+from .ordered import SLICE_ROWS
+
 _BLK = "_nf_blk"
-SLICE_ROWS = 200_000
 NEG = -1  # free room of a closed chunk: the next file always starts one
 
 
@@ -200,7 +202,7 @@ def chunks_by_tokens_sliced(files: DataFrame, limit: int, num_slices: int | None
                         .withColumn(_BLK, F.spark_partition_id()))
     summ = checkpoint(sliced.select("corpus_id", "pos", "tokens", _BLK).mapInPandas(_summaries(int(limit), "corpus_id"), SUMMARY_SCHEMA))
     spanning = summ.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("corpus_id")
-    chained = (summ.join(spanning, "corpus_id", "left_semi").repartition("corpus_id").sortWithinPartitions("corpus_id", "first_pos")
+    chained = (null_safe_join(summ, spanning, ["corpus_id"], "left_semi").repartition("corpus_id").sortWithinPartitions("corpus_id", "first_pos")
                .mapInArrow(_chain(int(limit)), ENTRY_SCHEMA))
     entries = {(r.corpus_id, r._nf_blk): (r.is_open, r.cur, r.started) for r in chained.collect()}
     out_cols = files.columns + ["chunk"]

@@ -23,7 +23,8 @@ from ..functions.models import model_context
 from ..functions.paths import ext_last
 from ..functions.text import col, js_round
 from ..functions.tokens import joined_tokens, len_chars
-from .ordered import ordered_scan
+from .joins import null_safe_join
+from .ordered import ordered_scan, slices_for
 
 MARKER_LEN = len(K.TRUNCATION_MARKER)
 
@@ -83,15 +84,15 @@ def optimize_files(files: DataFrame, *, remove_comments_: bool = True, remove_em
     return df.drop(*[c for c in df.columns if c.startswith("_o_") or c == "_t"])
 
 
-def drop_low_priority(files: DataFrame, max_tokens, len_col: str = "len") -> DataFrame:
+def drop_low_priority(files: DataFrame, max_tokens, len_col: str = "len", num_slices: int | None = None) -> DataFrame:
     """files leave in order (priority desc, pos asc) while the joined token
     count of the files still present exceeds ``max_tokens``.  Removing file r
     (0-based) happens iff ``ceil((T - before_r + n - r - 1) / 4) > max``, where
     ``before_r`` is the length already removed; one ordered running sum."""
     n_t = files.groupBy("corpus_id").agg(F.sum(len_col).cast("long").alias("_T"), F.count(F.lit(1)).alias("_n"))
     ranked = ordered_scan(files.withColumn("_dl", F.col(len_col).cast("long")), "corpus_id",
-                          [F.col("priority").desc(), F.col("pos")], sums=["_dl"], pos_col="drop_rank")
-    out = ranked.join(n_t, "corpus_id")
+                          [F.col("priority").desc(), F.col("pos")], sums=["_dl"], pos_col="drop_rank", num_slices=num_slices)
+    out = null_safe_join(ranked, n_t, ["corpus_id"])
     before = F.col("cum__dl") - F.col("_dl")
     rest = F.col("_T") - before + F.col("_n") - F.col("drop_rank")
     mx = F.lit(float(max_tokens))
@@ -231,14 +232,14 @@ def truncate_low_priority(cand: DataFrame, max_tokens: float, num_slices: int |
     sliced = checkpoint(cand.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_FOLD, F.spark_partition_id()))
     seen = sliced.groupBy("corpus_id", _FOLD).agg(F.first("_L0").alias("_L0"))
     spanning = seen.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("corpus_id")
-    spread = sorted((r.corpus_id, r[_FOLD], r._L0) for r in seen.join(spanning, "corpus_id", "left_semi").collect())
+    spread = sorted(((r.corpus_id, r[_FOLD], r._L0) for r in null_safe_join(seen, spanning, ["corpus_id"], "left_semi").collect()),
+                    key=lambda x: (x[0] is not None, x[0] or "", x[1]))
     entries: dict = {}
     if spread:
         while True:
-            deltas = {(r.corpus_id, r[_FOLD]): r.delta for r in
-                      sliced.mapInPandas(_fold_slices(entries, max_tokens, False), f"corpus_id string, {_FOLD} int, delta long")
-                      .join(spanning, "corpus_id", "left_semi").collect()}
-            guess, at, corpus = {}, 0, None
+            found = sliced.mapInPandas(_fold_slices(entries, max_tokens, False), f"corpus_id string, {_FOLD} int, delta long")
+            deltas = {(r.corpus_id, r[_FOLD]): r.delta for r in null_safe_join(found, spanning, ["corpus_id"], "left_semi").collect()}
+            guess, at, corpus = {}, 0, spread
             for k, blk, start in spread:
                 at = start if k != corpus else at
                 corpus = k
@@ -282,34 +283,33 @@ def optimize_context(files: DataFrame, *, target_tokens=None, model: str = K.DEF
     p1 = clean_steps(files.withColumn("original_size", size0.cast("long")), "content", "_p1",
                      remove_comments_=remove_comments_, remove_empty_lines_=remove_empty_lines_,
                      minify_=minify_, utf16=utf16)
-    base_p1 = p1
-    cand_rows = F.col("priority") > preserve_priority
-    p1 = clean_steps(p1, "_p1_content", "_p2", **rc, utf16=utf16, only_where=cand_rows)
-    # Narrow copy of both passes (lengths, line lengths, priority, pos): the
-    # fold and the drop step read it; content is cleaned once more at the end.
-    narrow = p1.select("corpus_id", "pos", "priority", F.col("_p1_len").alias("_len1"),
-                       F.col("_p2_len").alias("_len2"),
-                       F.when(F.col("priority") > preserve_priority,
-                              F.transform(F.split("_p2_content", "\n", -1), lambda l: len_chars(l, utf16)))
-                       .alias("_lines"))
-    from .pack import checkpoint
-    narrow = checkpoint(narrow)
-    tot = narrow.groupBy("corpus_id").agg(
+    # The cleaned texts are written once: what follows reads the lengths of all
+    # files, the texts of what may be truncated, and at the end those of all.
+    from .pack import checkpoint, stored
+    p1 = stored(p1.drop("content"))
+    lengths = p1.select("corpus_id", "pos", "priority", F.col("_p1_len").alias("_len1"))
+    tot = lengths.groupBy("corpus_id").agg(
         (F.sum("_len1") + F.greatest(F.count(F.lit(1)) - 1, F.lit(0))).cast("long").alias("_L0"))
-    # Corpora within the budget have nothing to truncate.
+    # Corpora within the budget have nothing to truncate, and only the others' lines are looked at.
     over = tot.where(F.ceil(F.col("_L0") / 4) > F.lit(float(max_tokens)))
-    fold = truncate_low_priority(narrow.where(F.col("priority") > preserve_priority).join(over, "corpus_id"), float(max_tokens))
+    cand = null_safe_join(p1.where(F.col("priority") > preserve_priority).select("corpus_id", "path", "pos", "priority", "_p1_content", F.col("_p1_len").alias("_len1")),
+                          over, ["corpus_id"])
+    cand = clean_steps(cand, "_p1_content", "_p2", **rc, utf16=utf16)
+    cand = cand.select("corpus_id", "pos", "priority", "_len1", F.col("_p2_len").alias("_len2"),
+                       F.transform(F.split("_p2_content", "\n", -1), lambda l: len_chars(l, utf16)).alias("_lines"), "_L0")
+    cand = checkpoint(cand)
+    fold = truncate_low_priority(cand, float(max_tokens), slices_for(cand))
     # The fold's columns ride through the drop step (its ordered scan keeps
     # every column), so the fold runs once.
-    final_len = (narrow.join(fold, ["corpus_id", "pos"], "left")
-                 .select("corpus_id", "pos", "priority", "visited", "keep_lines", "new_len",
-                         F.when(F.coalesce("visited", F.lit(False)), F.col("new_len")).otherwise(F.col("_len1"))
-                         .cast("long").alias("len")))
-    decisions = drop_low_priority(final_len, max_tokens, "len").drop("len", "priority")
+    final_len = checkpoint(null_safe_join(lengths, fold, ["corpus_id", "pos"], "left")
+                           .select("corpus_id", "pos", "priority", "visited", "keep_lines", "new_len",
+                                   F.when(F.coalesce("visited", F.lit(False)), F.col("new_len")).otherwise(F.col("_len1"))
+                                   .cast("long").alias("len")))
+    decisions = drop_low_priority(final_len, max_tokens, "len", slices_for(final_len)).drop("len", "priority")
     # Final content: phase 1 for every kept row, the second pass only where
     # the fold visited the file.
     visited = F.coalesce(F.col("visited"), F.lit(False))
-    df = clean_steps(base_p1.join(decisions, ["corpus_id", "pos"]), "_p1_content", "_p2", **rc, utf16=utf16,
+    df = clean_steps(null_safe_join(p1, decisions, ["corpus_id", "pos"]), "_p1_content", "_p2", **rc, utf16=utf16,
                      only_where=visited)
     truncated = F.col("keep_lines") >= 0
     content2 = F.when(truncated, truncate_lines("_p2_content", F.col("keep_lines"))).otherwise(F.col("_p2_content"))
@@ -343,7 +343,7 @@ def optimize_summary(optimized: DataFrame, initial: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~F.col("dropped"), F.col("optimized_size"))), F.lit(0)).cast("long").alias("total_size"),
         F.first("target_tokens").alias("target_tokens"))
     agg = agg.withColumn("final_tokens", joined_tokens("_chars", "files")).drop("_chars")
-    out = initial.select("corpus_id", F.col("tokens").alias("initial_tokens")).join(agg, "corpus_id")
+    out = null_safe_join(initial.select("corpus_id", F.col("tokens").alias("initial_tokens")), agg, ["corpus_id"])
     red = F.col("initial_tokens") - F.col("final_tokens")
     return out.withColumn("reduction", red.cast("long")).withColumn(
         "reduction_pct", F.try_divide(red * 100.0, F.col("initial_tokens")))
@@ -386,4 +386,4 @@ def dropped_preview(optimized: DataFrame, n: int = 5) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), "\n")
         .alias("first_dropped"))
     cnt = d.groupBy("corpus_id").agg(F.count(F.lit(1)).cast("long").alias("dropped_files"))
-    return first.join(cnt, "corpus_id").withColumn("more", F.greatest(F.col("dropped_files") - n, F.lit(0)))
+    return null_safe_join(first, cnt, ["corpus_id"]).withColumn("more", F.greatest(F.col("dropped_files") - n, F.lit(0)))

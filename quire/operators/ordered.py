@@ -30,10 +30,19 @@ from pyspark.sql import types as T
 _BLK = "_q_blk"
 
 
+#: Narrow rows that a slice holds about.
+SLICE_ROWS = 200_000
+
+
 def _num_slices(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices_for(written: DataFrame) -> int:
+    """Slices for the rows of a table that is cheap to count (a written one)."""
+    return max(_num_slices(written), -(-written.count() // SLICE_ROWS))
+
+
 def _key_changes(k) -> np.ndarray:
     """``k[i] != k[i-1]`` for i >= 1 on an Arrow array, NULL equal to NULL."""
     import pyarrow as pa

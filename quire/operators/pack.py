@@ -7,35 +7,44 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.paths import custom_sort_key, file_priority, segments
 from ..functions.tokens import joined_tokens, len_chars, tokens_from_len
-from .ordered import ordered_scan
+from .joins import null_safe_join
+from .ordered import ordered_scan, slices_for
 
-NARROW = ["corpus_id", "path", "size", "len", "tokens", "priority"]
+#: What tells files apart: a table may list a path twice, with one content or several.
+FILE_KEY = ["corpus_id", "path", "size", "content_key"]
+NARROW = ["corpus_id", "path", "size", "len", "tokens", "priority", "content_key"]
+
+
+def content_key() -> Column:
+    return F.xxhash64("content")
 
 
 def annotate(files: DataFrame, tokenizer=None, utf16: bool = False) -> DataFrame:
-    """Add ``len`` (characters), ``tokens`` and ``priority``."""
+    """Add ``len`` (characters), ``tokens``, ``priority`` and ``content_key``."""
     ln = len_chars("content", utf16)
     tok = tokens_from_len(ln) if tokenizer is None else \
         F.when(F.coalesce(ln, F.lit(0)) == 0, F.lit(0)).otherwise(tokenizer(F.col("content"))).cast("long")
     return (files.withColumn("len", F.coalesce(ln, F.lit(0)).cast("long"))
             .withColumn("tokens", tok)
-            .withColumn("priority", file_priority("path")))
+            .withColumn("priority", file_priority("path"))
+            .withColumn("content_key", content_key()))
 
 
 def order_files(files: DataFrame, custom_priority: Sequence[str] | None = None,
-                sums: Sequence[str] = ("size",)) -> DataFrame:
+                sums: Sequence[str] = ("size",), num_slices: int | None = None) -> DataFrame:
     """``pos`` = 1-based rank within the corpus by (custom key, priority,
     path segments).  Path segments stand for a depth-first walk with sorted
-    siblings.  Also adds running sums ``cum_<c>`` for ``sums``."""
+    siblings; rows of one path go by size and content key.  Also adds running
+    sums ``cum_<c>`` for ``sums``."""
     df = files.withColumn("sort_key", custom_sort_key(custom_priority))
-    order = [F.col("sort_key"), F.col("priority"), segments("path")]
-    return ordered_scan(df, "corpus_id", order, sums=list(sums))
+    order = [F.col("sort_key"), F.col("priority"), segments("path"), *[F.col(c) for c in ("size", "content_key") if c in files.columns]]
+    return ordered_scan(df, "corpus_id", order, sums=list(sums), num_slices=num_slices)
 
 
 def limit_flags(ordered: DataFrame, max_files: int | None = None,
@@ -82,7 +91,7 @@ class Packed:
                  ignore: Sequence[str] = (), rules: DataFrame | None = None, use_rule_files: bool = True):
         self._plan, self.summary, self.source, self._materialize = files_plan, summary, source, materialize
         self.ignore, self.rules, self.use_rule_files = list(ignore or ()), rules, use_rule_files
-        self._files = None
+        self._files = self._repeated = None
 
     @property
     def files(self) -> DataFrame:
@@ -94,9 +103,23 @@ class Packed:
         return self._files
 
     def with_content(self, columns: Sequence[str] = ("content",)) -> DataFrame:
-        """Join content back by (corpus_id, path) for the surviving rows."""
-        src = self.source.select("corpus_id", "path", *columns)
-        return self.files.join(src, ["corpus_id", "path"])
+        """The kept rows with their content."""
+        return self.attach(self.files, columns)
+
+    def attach(self, rows: DataFrame, columns: Sequence[str] = ("content",)) -> DataFrame:
+        """``columns`` of the source for ``rows`` of this pack (with
+        ``FILE_KEY``, each as often as they like).  Every row comes out once,
+        also where the source repeats a file or has no corpus name: of files
+        that are equal in all of ``FILE_KEY`` one copy is joined."""
+        src = self.source.withColumn("content_key", content_key()).select(*FILE_KEY, *columns)
+        if self._repeated is None:
+            keys = checkpoint(self.files.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*FILE_KEY))
+            self._repeated = (keys, keys.limit(1).count() > 0)
+        keys, any_repeated = self._repeated
+        if any_repeated:
+            one = null_safe_join(src, keys, FILE_KEY, "left_semi").groupBy(*FILE_KEY).agg(F.any_value(F.struct(*columns)).alias("_c")).select(*FILE_KEY, "_c.*")
+            src = null_safe_join(src, keys, FILE_KEY, "left_anti").unionByName(one)
+        return null_safe_join(rows, src, FILE_KEY)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -106,6 +129,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there (a
+    checkpoint whose readers read only the columns they need)."""
+    import uuid
+
+    from ..session import work_path
+    path = work_path(df.sparkSession, f"rows-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
          max_file_size: int | None = None, rules: DataFrame | None = None,
          use_rule_files: bool = True, custom_priority: Sequence[str] | None = None,
@@ -131,7 +165,7 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
         return written["n"]
 
     if max_files or max_total_size:
-        ordered = order_files(narrow_copy(), custom_priority)
+        ordered = order_files(narrow_copy(), custom_priority, num_slices=slices_for(narrow_copy()))
         limited = limit_flags(ordered, max_files, max_total_size)
         summary = _every_corpus(totals(limited), files)
         kept = limited.where("kept").drop("kept")
@@ -142,7 +176,7 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
         summary = totals(flagged, "kept", "kept")
     else:
         summary = _every_corpus(totals(narrow.withColumn("kept", F.lit(True))), files)
-    return Packed(lambda: order_files(narrow_copy(), custom_priority), summary, files, materialize=materialize,
+    return Packed(lambda: order_files(narrow_copy(), custom_priority, num_slices=slices_for(narrow_copy())), summary, files, materialize=materialize,
                   ignore=ignore, rules=rules, use_rule_files=use_rule_files)
 
 
@@ -150,9 +184,7 @@ def _every_corpus(summary: DataFrame, files: DataFrame) -> DataFrame:
     """``summary`` with a row of zeros for each corpus of ``files`` it lacks (a
     scan of the corpus column alone)."""
     zero = {f.name: (False if f.dataType.typeName() == "boolean" else 0) for f in summary.schema.fields if f.name != "corpus_id"}
-    s = summary.withColumnRenamed("corpus_id", "_c")
-    corpora = files.select("corpus_id").distinct()
-    return corpora.join(s, corpora["corpus_id"].eqNullSafe(s["_c"]), "left").drop("_c").fillna(zero)
+    return null_safe_join(files.select("corpus_id").distinct(), summary, ["corpus_id"], "left").fillna(zero)
 
 
 def count_summary(summary: DataFrame, model_table: DataFrame, model: str) -> DataFrame:
@@ -182,7 +214,7 @@ def top_files_by_tokens(files: DataFrame, summary: DataFrame, k: int = 20) -> Da
     w = Window.partitionBy("corpus_id").orderBy(F.col("tokens").desc(), F.col("pos"))
     top = files.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     s = summary.select("corpus_id", F.col("tokens").alias("_total"), F.col("total_files").alias("_n"))
-    return (top.join(s, "corpus_id")
+    return (null_safe_join(top, s, ["corpus_id"])
             .select("corpus_id", "rank", "path", "tokens",
                     F.try_divide(F.col("tokens") * 100.0, F.col("_total")).alias("pct"),
                     F.greatest(F.col("_n") - k, F.lit(0)).cast("long").alias("more_files")))

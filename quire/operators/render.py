@@ -4,7 +4,8 @@ Each file becomes a block string (a column expression); a document is its
 header, its blocks in order, and a footer.  Documents are built per chunk
 (bounded by a context window) or per corpus when asked; for whole corpora the
 block rows themselves can be written out instead (see ``quire.sources.sinks``)
-or streamed through a digest (``document_digests``).
+or placed in their document (``block_index``) and digested (``index_digests``)
+without ever standing together.
 """
 from __future__ import annotations
 
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.paths import language_of
 from ..functions.text import ensure_trailing_newline, format_size, rtrim_ws, trim_ws, xml_escape
+from .joins import null_safe_join
+from .ordered import ordered_scan, slices_for
+from .pack import checkpoint
 
 FORMATS = ["markdown", "xml", "plain", "json"]
 ALIASES = {"markdown": "markdown", "md": "markdown", "xml": "xml", "plain": "plain", "text": "plain",
@@ -30,6 +34,11 @@ def resolve_format(fmt: str) -> str:
     return ALIASES.get((fmt or "markdown").lower(), "template")
 
 
+def _directory() -> Column:
+    """The name that a document shows; a corpus without one shows none."""
+    return F.coalesce("corpus_id", F.lit(""))
+
+
 def _size_or_len() -> Column:
     return F.when(F.coalesce(F.col("size"), F.lit(0)) != 0, F.col("size")).otherwise(F.length("content"))
 
@@ -179,19 +188,19 @@ def render_documents(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
         blk = file_block(kind, file_headers, include_content)
     st = stats.select(*g, "total_files", "total_size", "tokens")
     if tree is not None and (include_tree or kind in ("json", "template")):
-        st = st.join(tree.select("corpus_id", "tree"), "corpus_id", "left")
+        st = null_safe_join(st, tree.select("corpus_id", "tree"), ["corpus_id"], "left")
     else:
         st = st.withColumn("tree", F.lit(None).cast("string"))
-    st = st.withColumn("directory", F.col("corpus_id"))
+    st = st.withColumn("directory", _directory())
     if kind == "template" and body is not None and any(k == "col" and v in _GLOBAL for k, v in body):
         # The loop's body names values of the document: they are joined to its files.
-        files = files.select(*g, order, "path", "content", "size").join(st.drop("tokens"), g)
+        files = null_safe_join(files.select(*g, order, "path", "content", "size"), st.drop("tokens"), g)
     blocks = files.select(*g, F.col(order).alias("_o"), blk.alias("_b"))
     sep = ",\n" if kind == "json" else ""
     bodies = blocks.groupBy(*g).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_b"))), lambda x: x["_b"]), sep)
         .alias("_body"))
-    doc = st.join(bodies, g, "left").withColumn("_body", F.coalesce("_body", F.lit("")))
+    doc = null_safe_join(st, bodies, g, "left").withColumn("_body", F.coalesce("_body", F.lit("")))
     if kind == "template":
         text = F.concat(_global_concat(pre), F.col("_body") if body is not None else F.lit(""), _global_concat(post))
     elif kind == "json":
@@ -215,7 +224,7 @@ def with_ends(files: DataFrame, group: Sequence[str] = ("corpus_id",), order: st
     a shuffle of the contents."""
     g = list(group)
     last = files.groupBy(*g).agg(F.max(order).alias(order)).withColumn("_end", F.lit(True))
-    return files.join(last, [*g, order], "left")
+    return null_safe_join(files, last, [*g, order], "left")
 
 
 def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *, tree_rows: DataFrame | None = None,
@@ -238,11 +247,11 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
     kind = resolve_format(fmt)
     g = list(group)
     tg = g if tree_group is None else list(tree_group)
-    st = stats.select(*g, "total_files", "total_size", "tokens").withColumn("directory", F.col("corpus_id"))
+    st = stats.select(*g, "total_files", "total_size", "tokens").withColumn("directory", _directory())
     has_tree = tree_rows is not None and (include_tree or kind in ("json", "template"))
     marker = "<\u0001tree\u0001>"                  # stands for the tree while header and footer are rendered
     if has_tree:
-        st = st.join(tree_rows.select("corpus_id").distinct().withColumn("tree", F.lit(marker)), "corpus_id", "left")
+        st = null_safe_join(st, tree_rows.select("corpus_id").distinct().withColumn("tree", F.lit(marker)), ["corpus_id"], "left")
     else:
         st = st.withColumn("tree", F.lit(None).cast("string"))
     if kind == "template":
@@ -251,7 +260,8 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
             raise ValueError("block output does not repeat the tree in every file")
         head, foot = _global_concat(pre), _global_concat(post)
         if body is not None and any(k == "col" and v in _GLOBAL for k, v in body):
-            files = files.select(*g, order, "path", "content", "size").join(st.drop("tokens", "tree").withColumn("tree", F.lit("")), g)
+            kept = [c for c in ("_end",) if c in files.columns]
+            files = null_safe_join(files.select(*g, order, "path", "content", "size", *kept), st.drop("tokens", "tree").withColumn("tree", F.lit("")), g)
         block = file_block("template", template_segments=body) if body is not None else None
         shown = marker
     else:
@@ -272,8 +282,8 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
         add(cut, part, F.get("_h", F.lit(0)))
         if has_tree:
             holds = cut.where(F.size("_h") > 1)
-            lines = tree_rows.select("corpus_id", "segs", line.alias("line")).join(
-                holds.select(*tg) if tg == g else holds.select(*tg).distinct(), "corpus_id")
+            lines = null_safe_join(tree_rows.select("corpus_id", "segs", line.alias("line")),
+                                   holds.select(*tg) if tg == g else holds.select(*tg).distinct(), ["corpus_id"])
             lines = lines.withColumns({c: F.lit(None).cast(holds.schema[c].dataType) for c in g if c not in tg})
             add(lines, part + 1, F.col("line"), segs=F.col("segs"))
             add(holds, part + 2, F.get("_h", F.lit(1)))
@@ -303,6 +313,41 @@ def render_blocks(files: DataFrame, stats: DataFrame, fmt: str = "markdown", *,
     return out.where(F.col("block") != "")
 
 
+#: Blocks that one first-level digest is taken over.
+DIGEST_BLOCKS = 4096
+
+
+def block_index(blocks: DataFrame, group: Sequence[str] = ("corpus_id",)) -> DataFrame:
+    """Where each block of ``render_blocks`` stands in its document: ``group +
+    [part, segs, seq, at, char_start, char_end, byte_start, byte_end, block_md5]``.
+
+    Blocks are measured and hashed where they are; what is ordered are narrow
+    rows, range-partitioned so that one document may hold any part of all."""
+    g = list(group)
+    doc = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"c{i}") for i, c in enumerate(g)]))
+    narrow = checkpoint(blocks.select(*g, "part", "segs", "seq", F.length("block").cast("long").alias("_chars"),
+                                      F.octet_length("block").cast("long").alias("_bytes"), F.md5("block").alias("block_md5"), doc.alias("_doc")))
+    placed = ordered_scan(narrow, "_doc", [F.col("part"), F.col("segs"), F.col("seq")], sums=["_chars", "_bytes"], pos_col="at",
+                          num_slices=slices_for(narrow))
+    return placed.select(*g, "part", "segs", "seq", "at", (F.col("cum__chars") - F.col("_chars")).alias("char_start"), F.col("cum__chars").alias("char_end"),
+                         (F.col("cum__bytes") - F.col("_bytes")).alias("byte_start"), F.col("cum__bytes").alias("byte_end"), "block_md5")
+
+
+def index_digests(index: DataFrame, group: Sequence[str] = ("corpus_id",)) -> DataFrame:
+    """``group + [blocks, doc_len, doc_bytes, doc_digest]`` of whole documents.
+
+    The digest has two levels: the MD5 of each run of ``DIGEST_BLOCKS`` blocks
+    is that of their own MD5s joined, the document's that of its runs' joined.
+    Equal documents have equal ones, and no task sees more than a run, or one
+    entry for each run."""
+    g = list(group)
+    md5s = lambda at, md5: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, md5))), lambda x: x[md5]), ""))
+    runs = index.groupBy(*g, F.floor((F.col("at") - 1) / DIGEST_BLOCKS).alias("_run")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("char_end").alias("_chars"), F.max("byte_end").alias("_bytes"), md5s("at", "block_md5").alias("_md5"))
+    return runs.groupBy(*g).agg(F.sum("_n").alias("blocks"), F.max("_chars").alias("doc_len"), F.max("_bytes").alias("doc_bytes"),
+                                md5s("_run", "_md5").alias("doc_digest"))
+
+
 #: Bytes of rows that go to a Python worker at a time (a longer block goes alone).
 BATCH_BYTES = 8 << 20
 #: Chunks of a corpus that one pass over its tree's lines serves.
@@ -349,8 +394,7 @@ def document_digests(files: DataFrame, stats: DataFrame, fmt: str = "markdown",
         def close():
             if shared:
                 spread()
-            # A corpus without a name has no document text.
-            rows = [(at[0], c, n, h.hexdigest()) if at[0] is not None else (None, c, None, None) for c, (h, n) in states.items()]
+            rows = [(at[0], c, n, h.hexdigest()) for c, (h, n) in states.items()]
             states.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))],
                                               names=["corpus_id", "chunk", "doc_len", "doc_md5"])

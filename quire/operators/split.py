@@ -16,6 +16,7 @@ from ..functions import constants as K
 from ..functions.models import model_context
 from ..functions.paths import top_dir, type_of
 from ..functions.text import js_round
+from .joins import null_safe_join
 from .ordered import ordered_scan
 
 
@@ -46,7 +47,7 @@ def chunks_by_key(files: DataFrame, key_col) -> DataFrame:
     first = df.groupBy("corpus_id", "_key").agg(F.min("pos").alias("_first"))
     first = first.withColumn("chunk", F.row_number().over(
         Window.partitionBy("corpus_id").orderBy("_first")).cast("long"))
-    return df.join(first.select("corpus_id", "_key", "chunk"), ["corpus_id", "_key"]).drop("_key")
+    return null_safe_join(df, first.select("corpus_id", "_key", "chunk"), ["corpus_id", "_key"]).drop("_key")
 
 
 def assign_chunks(files: DataFrame, strategy: str = "by_tokens", model: str | None = None,
@@ -79,7 +80,7 @@ def with_overlap(chunked: DataFrame, overlap_files: int | None = K.DEFAULT_OVERL
     lo = F.lit(1) if k == 0 else F.greatest(F.col("_start") - k, F.lit(1))
     want = starts.select("corpus_id", "chunk", F.explode(F.sequence(lo.cast("long"), F.col("_start") - 1)).alias("q"))
     src = base.drop("chunk", "is_overlap")
-    extra = want.join(src, ["corpus_id", "q"]).withColumn("is_overlap", F.lit(True))
+    extra = null_safe_join(want, src, ["corpus_id", "q"]).withColumn("is_overlap", F.lit(True))
     return base.unionByName(extra)
 
 
@@ -102,7 +103,7 @@ def chunk_listing(chunk_files: DataFrame, n: int = 10) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]),
                      "\n").alias("first_paths"))
     counts = chunk_files.groupBy("corpus_id", "chunk").agg(F.count(F.lit(1)).alias("_n"))
-    return listing.join(counts, ["corpus_id", "chunk"]).select(
+    return null_safe_join(listing, counts, ["corpus_id", "chunk"]).select(
         "corpus_id", "chunk", "first_paths", F.greatest(F.col("_n") - n, F.lit(0)).cast("long").alias("more"))
 
 
@@ -115,8 +116,7 @@ def split_stats(stats: DataFrame, packed_summary: DataFrame) -> DataFrame:
         F.max("tokens").cast("long").alias("max_tokens_in_chunk"),
         F.min("tokens").cast("long").alias("min_tokens_in_chunk"))
     agg = agg.withColumn("avg_tokens_per_chunk", js_round(F.col("total_tokens") / F.col("total_chunks")))
-    return (packed_summary.select("corpus_id", F.col("total_files"))
-            .join(agg, "corpus_id", "left")
+    return (null_safe_join(packed_summary.select("corpus_id", "total_files"), agg, ["corpus_id"], "left")
             .withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0)).cast("long")))
 
 

@@ -103,7 +103,7 @@ def split_command(files: DataFrame, *, strategy: str = "by_tokens", model: str =
     out = {"chunks": chunks, "chunk_stats": stats, "split_stats": S.split_stats(stats, p.summary),
            "listing": S.chunk_listing(chunks)}
     if fmt:
-        with_content = chunks.join(p.source.select("corpus_id", "path", "content"), ["corpus_id", "path"])
+        with_content = p.attach(chunks)
         st = stats.select("corpus_id", "chunk", F.col("files").alias("total_files"), F.col("size").alias("total_size"),
                           "tokens")
         out["documents"] = R.render_documents(with_content, st, fmt, tree=_tree(files, _split_list(ignore)), order="q")

@@ -291,16 +291,17 @@ def q_file_tree(spark, sf):
 
 def _ended(p, files, group=("corpus_id",), order="pos") -> DataFrame:
     """Files with their contents, the last of each document marked before these are joined."""
-    narrow = files.select(*group, order, "path", "size")
-    return R.with_ends(narrow, group, order).join(p.source.select("corpus_id", "path", "content"), ["corpus_id", "path"])
+    return p.attach(R.with_ends(files.select(*{c: 1 for c in [*group, order, *P.FILE_KEY]}), group, order))
 
 
-def _render_pack(spark, sf, fmt):
+def _pack_blocks(spark, sf, fmt):
     p = _packed(spark, sf)
-    one = F.lit(1).cast("long")
-    docs = R.document_digests(_ended(p, p.files).withColumn("chunk", one), p.summary.withColumn("chunk", one), fmt,
-                              tree_rows=T.tree_lines(_files(spark, sf)))
-    return docs.select("corpus_id", "doc_len", "doc_md5")
+    return R.render_blocks(_ended(p, p.files), p.summary, fmt, tree_rows=T.tree_lines(_files(spark, sf)))
+
+
+def _render_pack(spark, sf, fmt):
+    """Whole documents by their blocks: lengths and two-level digests."""
+    return R.index_digests(R.block_index(_pack_blocks(spark, sf, fmt)))
 
 
 def q_render_markdown(spark, sf):
@@ -327,12 +328,17 @@ def q_render_json(spark, sf):
 
 
 def _render_pack_blocks(spark, sf, fmt):
-    p = _packed(spark, sf)
-    b = R.render_blocks(_ended(p, p.files), p.summary, fmt, tree_rows=T.tree_lines(_files(spark, sf)))
+    b = _pack_blocks(spark, sf, fmt)
     return b.select("corpus_id", "part", "seq", F.array_join("segs", "/").alias("node"),
                     F.length("block").cast("long").alias("block_len"), F.md5("block").alias("block_md5"))
 
 
+def q_render_index(spark, sf):
+    """Where each block of a corpus's XML document stands in it."""
+    i = R.block_index(_pack_blocks(spark, sf, "xml"))
+    return i.select("corpus_id", "part", "seq", F.array_join("segs", "/").alias("node"), F.col("at").alias("place"), "char_start", "char_end", "byte_start", "byte_end")
+
+
 def q_render_markdown_blocks(spark, sf):
     """The markdown document of each corpus as ordered block rows (the scale
     path: no corpus or tree becomes one value)."""
@@ -436,6 +442,16 @@ def q_pack_empty_corpora_limited(spark, sf):
         "corpus_id", "total_files", "total_size", "original_size", "truncated")
 
 
+def q_pack_repeated_files(spark, sf):
+    """Kept rows with their content, where rows repeat and corpora lack a name."""
+    c = P.pack(fx.files_docs_repeated(spark, sf)).with_content()
+    return c.select("corpus_id", "path", "pos", "cum_size", F.md5("content").alias("content_md5"))
+
+
+def q_tree_repeated_files(spark, sf):
+    return T.tree_lines(fx.files_docs_repeated(spark, sf)).select("corpus_id", "path", "depth", "is_dir", "line")
+
+
 def q_filter_max_file_size(spark, sf):
     return select_files(_files(spark, sf), max_file_size=SIZE_CAP).select("corpus_id", "path", "size")
 

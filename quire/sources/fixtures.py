@@ -70,6 +70,14 @@ def _rule_file(spark: SparkSession, sf_dir: str, name: str, content_sql: str) ->
                     "content", F.octet_length("content").cast("long").alias("size")))
 
 
+def files_docs_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files_docs`` in which a twentieth of the corpora's rows have no corpus
+    name, a ninth stand twice and a fifteenth a second time with more text."""
+    d = files_docs(spark, sf_dir).withColumn("corpus_id", F.when(F.col("doc_id") % 20 != 3, F.col("corpus_id")))
+    longer = d.where("doc_id % 15 = 1").withColumn("content", F.concat("content", F.lit("\nmore\n"))).withColumn("size", F.octet_length("content").cast("long"))
+    return d.unionByName(d.where("doc_id % 9 = 2")).unionByName(longer)
+
+
 def files_docs_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each top folder of a source as a corpus of its own, so that some
     corpora hold ignored files alone."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..operators.joins import null_safe_join
 
 
 def watch_filter(changes: DataFrame, output_name: str | None = None) -> DataFrame:
@@ -111,8 +112,8 @@ def debounce_batch(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
     start = F.when(F.col("joins"), F.lit(0)).otherwise(F.lit(1))
     split = F.when(F.lag("n").over(w) > 1, F.lit(1)).otherwise(F.lit(0))
     edge = edge.withColumn("chain", F.sum(F.greatest(start, split)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chained = bursts.join(edge.select("corpus_id", "slice", "a", "z", "joins", "n", "chain",
-                                      F.lead("joins").over(w).alias("goes_on")), ["corpus_id", "slice"])
+    chained = null_safe_join(bursts, edge.select("corpus_id", "slice", "a", "z", "joins", "n", "chain",
+                                                 F.lead("joins").over(w).alias("goes_on")), ["corpus_id", "slice"])
     # A burst belongs to the chain before it (its slice's first), after it (the last), or stands alone.
     first, last = F.col("first_us") == F.col("a"), F.col("last_us") == F.col("z")
     group = (F.when(first & F.col("joins"), F.struct(F.col("chain").alias("c"), F.lit(0).cast("long").alias("u")))

@@ -3,6 +3,7 @@ import json
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
@@ -14,38 +15,43 @@ from tests.conftest import files_df
 from tests.test_filters import model_ignored
 
 
-def model_tree(paths, patterns):
-    tree = {}
-    for p in paths:
-        node = tree
-        for s in p.split("/"):
-            node = node.setdefault(s, {})
-
-    def walk(node, prefix, rel):
-        out = ""
-        items = [k for k in sorted(node) if not model_ignored("/".join(rel + [k]), patterns)]
-        for i, k in enumerate(items):
-            last = i == len(items) - 1
-            is_dir = bool(node[k])
-            out += prefix + ("└── " if last else "├── ") + k + ("/" if is_dir else "") + "\n"
-            if is_dir:
-                out += walk(node[k], prefix + ("    " if last else "│   "), rel + [k])
-        return out
-    return walk(tree, "", [])
-
-
-def test_tree_matches_recursive_printer(spark):
-    rnd = random.Random(4)
-    names = ["a", "b", "src", "dist", "x.png", "lib", "a-b", "z.js", "m.py", "node_modules"]
-    rows, expect = [], {}
-    for c in range(4):
-        paths = sorted({"/".join(rnd.choice(names) for _ in range(rnd.randint(1, 4))) + f"{i}.txt"
-                        for i in range(rnd.randint(1, 25))})
-        rows += [(f"c{c}", p, "x") for p in paths]
-        expect[f"c{c}"] = model_tree(paths, K.DEFAULT_IGNORE)
-    got = {r.corpus_id: r.tree for r in tree_text(tree_lines(files_df(spark, rows))).collect()}
-    for c, t in expect.items():
-        assert got.get(c, "") == t, c
+def _checked_tree(text, paths, patterns):
+    """Properties that fix a tree's text: one line per kept node in order of the
+    segments, as deep as its path, and a corner where no kept sibling follows."""
+    nodes = {tuple(p.split("/")[:d + 1]) for p in paths for d in range(p.count("/") + 1)}
+    kept = sorted(n for n in nodes if not any(model_ignored("/".join(n[:d + 1]), patterns) for d in range(len(n))))
+    folders = {n[:d] for n in nodes for d in range(1, len(n))}
+    lines = text.split("\n")[:-1]
+    assert len(lines) == len(kept)
+    for n, line in zip(kept, lines):
+        glyphs, name = line[:4 * len(n)], line[4 * len(n):]
+        assert name == n[-1] + ("/" if n in folders else "")
+        follows = [any(m[:d] == n[:d] and len(m) == d + 1 and m[d] > n[d] for m in kept) for d in range(len(n))]
+        assert [glyphs[4 * d:4 * d + 4] for d in range(len(n) - 1)] == ["│   " if f else "    " for f in follows[:-1]]
+        assert glyphs[-4:] == ("├── " if follows[-1] else "└── ")
+
+
+def _random_projects(seed):
+    rnd = random.Random(seed)
+    names = ["a", "b", "src", "dist", "x.png", "lib", "a-b", "z.js", "m.py", "node_modules", "É"]
+    return {f"c{c}": sorted({"/".join(rnd.choice(names) for _ in range(rnd.randint(1, 4))) + f"{i}.txt" for i in range(rnd.randint(1, 40))}) for c in range(4)}
+
+
+@pytest.mark.parametrize("slices", [1, 3, 29])
+def test_tree_lines_by_their_properties(spark, slices):
+    projects = _random_projects(slices)
+    rows = [(c, p, "x") for c, ps in projects.items() for p in ps] + [("c0", projects["c0"][0], "again")]
+    got = {r.corpus_id: r.tree for r in tree_text(tree_lines(files_df(spark, rows), num_slices=slices)).collect()}
+    for c, paths in projects.items():
+        _checked_tree(got.get(c, ""), paths, K.DEFAULT_IGNORE)
+
+
+def test_literal_trees(spark):
+    rows = [("p", "src/index.js", ""), ("p", "src/lib/a.js", ""), ("p", "README.md", ""), ("p", "src/lib/b.js", ""), ("p", "node_modules/x/y.js", ""), ("p", "z/dist/k.js", ""),
+            ("q", "a", ""), ("q", "a/b", ""), ("q", "a/b", ""), (None, "only", "")]
+    want = {"p": "├── README.md\n├── src/\n│   ├── index.js\n│   └── lib/\n│       ├── a.js\n│       └── b.js\n└── z/\n", "q": "└── a/\n    └── b\n", None: "└── only\n"}
+    for slices in (1, 2, 11):
+        assert {r.corpus_id: r.tree for r in tree_text(tree_lines(files_df(spark, rows), num_slices=slices)).collect()} == want
 
 
 #: Own sample: no final newline, an end of CDATA, a replacement pattern, a placeholder, astral text, control characters.
