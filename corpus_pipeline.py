@@ -5,11 +5,13 @@ before it kept; all but the last return the columns of ``documents``.  Between
 stages the documents are written as Parquet in the shared folder and read
 again, which also cuts the lineage.
 
-Nulls, empty texts and repeated rows: a null or empty text is scored, has no
-duplicate and no benchmark words, and packs to its end token.  A document is
-its id and text: equal rows of the one that stands for a group stay together,
-and rows without an id are never dropped as duplicates.  Empty tables pass through
-every stage; extra columns are kept up to packing.
+Nulls, empty texts, ties and repeated rows: a null or empty text is scored, has
+no duplicate and no benchmark words, and packs to its end token.  Near
+duplicates are told apart by row: of a group the row with the smallest id stays
+(null ids count as the largest), of that id's texts the one with the smallest
+hash, and of equal rows one.  Texts of any length go through every stage whole.
+Empty tables pass through every stage; extra columns are kept up to packing,
+also where their names are those of an operator's results.
 """
 from __future__ import annotations
 
@@ -18,43 +20,66 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, harmonic, jaccard_join, quality
+from quire.llm import decontamination, harmonic, quality
 from quire.llm.common import cut, prepare, table
+from quire.llm.jaccard_join import jaccard_components
 from quire.llm.queries import PACK_END_ID, PACK_VOCABULARY, vocabulary
+from quire.operators.joins import null_safe_join
 from quire.session import work_path
 
-#: Dropped documents up to which their ids and hashes are broadcast (some 24 bytes each).
+#: Marked rows up to which their ids and hashes are broadcast (some 24 bytes each).
 BROADCAST_IDS = 500_000
+#: Private columns; all of a table's own stand in the first.
+EXTRA, HASH, STAYS = "__extra", "__hash", "__stays"
+
+
+def _bare(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all else as one private column, with which no result can clash."""
+    extra = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*extra).alias(EXTRA)] if extra else []))
+
+
+def _whole(bare: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that :func:`_bare` was given."""
+    return bare.select(*[(F.col(c) if c.lower() in ("doc_id", "text") else F.col(EXTRA)[c]).alias(c) for c in columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     prepare(spark)
-    learn = docs.where(~quality.held_out())
-    model = quality.fit(quality.document_statistics(learn), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    bare = _bare(docs)
+    model = quality.fit(quality.document_statistics(bare.select("doc_id", "text").where(~quality.held_out())), table(spark, sf_dir, "labels"))
+    return _whole(quality.score(bare, model).where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest
-    id, and of that id's texts in the group the one with the smallest hash."""
+    """One row of each group of near duplicates: the one with the smallest id,
+    of that id's texts the one with the smallest hash, of equal rows one."""
     prepare(spark)
-    text = F.xxhash64("text")
-    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), text.alias("text"))
-    groups = jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text"))
-    dropped = cut(groups.where("doc_id.id is not null and doc_id <> component_id")
-                  .select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias("_text")).distinct())
-    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.withColumn("_text", text).join(dropped, ["doc_id", "_text"], "left_anti").select(*docs.columns)
+    bare = _bare(docs).withColumn(HASH, F.xxhash64("text"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(HASH).alias("text"))
+    groups = cut(jaccard_components(bare.select(row.alias("doc_id"), "text")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    key = [F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias(HASH)]
+    # Rows that go, and rows of which one stays; both only where a text has words.
+    marks = cut(groups.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+                .where(~kept | (F.col("n") > 1)).select(*key, kept.alias(STAYS)))
+    several = marks.where(STAYS).limit(1).count() > 0
+    if marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        marks = F.broadcast(marks)
+    marked = null_safe_join(bare, marks, ["doc_id", HASH], "left")
+    out = marked.where(F.col(STAYS).isNull()).select(*bare.columns)
+    if several:
+        one = marked.where(STAYS).groupBy("doc_id", HASH).agg(F.any_value(F.struct(*bare.columns)).alias("r")).select("r.*")
+        out = out.unionByName(one)
+    return _whole(out, docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than stray words of the benchmark."""
     prepare(spark)
-    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    kept = [c for c in docs.columns if c.lower() not in {f.name for f in decontamination.RESULT}]
-    return judged.where("not contaminated").select(*kept)
+    judged = decontamination.decontaminate(_bare(docs), table(spark, sf_dir, "benchmark"))
+    return _whole(judged.where("not contaminated"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
