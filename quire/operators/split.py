@@ -93,6 +93,15 @@ def chunk_stats(chunk_files: DataFrame) -> DataFrame:
         F.sum(sz).cast("long").alias("size"))
 
 
+def all_overlap_stats(chunked: DataFrame) -> DataFrame:
+    """E4 for an overlap of whole chunks (``overlap_files = 0``: every chunk
+    repeats all files before it): the chunks' own sums added up, so no file is
+    repeated in a row."""
+    own = chunk_stats(chunked.where(~F.col("is_overlap")) if "is_overlap" in chunked.columns else chunked)
+    summed = ordered_scan(own, "corpus_id", [F.col("chunk")], sums=["files", "tokens", "size"], pos_col="_at")
+    return summed.select("corpus_id", "chunk", *[F.col(f"cum_{c}").alias(c) for c in ("files", "tokens", "size")])
+
+
 def chunk_listing(chunk_files: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` paths of each chunk in chunk order, plus how many
     more there are.  Only ``n`` rows per chunk are collected."""

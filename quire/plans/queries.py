@@ -23,6 +23,8 @@ from ..operators import tree as T
 from ..operators.filters import select_files
 from ..session import work_path
 from ..sources import fixtures as fx
+from ..sources.files import scan_files
+from ..sources.sinks import write_files
 from ..streaming import watch as W
 
 # Fixed query parameters (mirrored in the oracle SQL).
@@ -39,6 +41,7 @@ SUGGEST_MODEL = "codestral"
 DEBOUNCE_MS = 3600 * 1000
 STABILITY_MS = 1800 * 1000
 SIZE_CAP = 2000
+SINGLE_PATH = "src/README.js"
 EXTENSIONS = ["js", "md", "py", "JSON"]
 LISTED_MODELS = ["command-r", "gpt-4o", "mistral-large-3", "nope-1", "gpt-4o"]
 INFO_NAMES = [m[0] for m in K.MODELS] + ["nope-1", "GPT-4O", ""]
@@ -442,6 +445,85 @@ def q_pack_empty_corpora_limited(spark, sf):
         "corpus_id", "total_files", "total_size", "original_size", "truncated")
 
 
+STREAM_FILES = 4
+
+
+def _event_stream(spark, sf, after):
+    folder = work_path(spark, f"events-{uuid.uuid4().hex}")
+    pattern = fx.events_in_order(spark, sf, folder, STREAM_FILES, after)
+    stream = W.stream_changes(spark, pattern, fx.table(spark, sf, "events").schema, max_files_per_trigger=4)
+    return folder, fx.changes_from_events(stream)
+
+
+def q_stream_debounce(spark, sf):
+    """J3 as two streaming queries over several micro-batches of events."""
+    folder, changes = _event_stream(spark, sf, ["12 HOURS", "3 DAYS"])
+    W.debounce_stream(changes, f"{folder}-bursts", DEBOUNCE_MS, watermark="2 hours")
+    out = spark.read.parquet(f"{folder}-bursts/bursts").where("corpus_id <> '-1'")
+    kind = fx.table(spark, sf, "events").schema["ts"].dataType
+    return out.select("corpus_id", *[F.col(c).cast(kind).alias(c) for c in ("first_ts", "last_ts", "repack_at")], "events", "last_op", "last_path")
+
+
+def q_stream_totals(spark, sf):
+    """Totals kept by signed deltas over several micro-batches."""
+    folder, changes = _event_stream(spark, sf, [])
+    W.incremental_totals(changes, f"{folder}-totals").awaitTermination()
+    W.fold_totals(spark, f"{folder}-totals")
+    return W.current_totals(spark, f"{folder}-totals")
+
+
+def q_snapshot_changes(spark, sf):
+    """What changed between two listings of the files."""
+    key = F.xxhash64("content")
+    old, new = fx.files_docs_before(spark, sf).withColumn("content_key", key), _files(spark, sf).withColumn("content_key", key)
+    out = W.changes_between(old, new, "2024-01-01 00:00:00")
+    return out.select("corpus_id", "path", "op", "size", F.md5("content").alias("content_md5"))
+
+
+def q_written_files(spark, sf):
+    """The JSON document of each corpus written as a file and read back by a scan of the folder."""
+    folder = work_path(spark, f"files-{uuid.uuid4().hex}")
+    write_files(_pack_blocks(spark, sf, "json"), folder, "json")
+    return scan_files(spark, folder).select("corpus_id", "path", "size", F.md5("content").alias("content_md5"))
+
+
+def q_written_chunks(spark, sf):
+    """XML documents of chunks as files, read back."""
+    p, s = _split(spark, sf, "by_tokens", max_tokens_per_chunk=CHUNK_TOKENS)
+    st = S.chunk_stats(s).select("corpus_id", "chunk", F.col("files").alias("total_files"), F.col("size").alias("total_size"), "tokens")
+    group = ("corpus_id", "chunk")
+    folder = work_path(spark, f"files-{uuid.uuid4().hex}")
+    write_files(R.render_blocks(_ended(p, s, group, "q"), st, "xml", group=group, order="q"), folder, "xml", group)
+    return scan_files(spark, folder).select("corpus_id", "path", "size", F.md5("content").alias("content_md5"))
+
+
+def q_single_file(spark, sf):
+    """A2: one named file, without any filter."""
+    out = P.single_file(_files(spark, sf), SINGLE_PATH, model_table=M.models(spark))
+    return out.select("corpus_id", "path", "size", "tokens", "lines.*", "context", "usage_pct", "remaining")
+
+
+def q_dropped_preview(spark, sf):
+    _, o = _optimized(spark, sf)
+    return O.dropped_preview(o)
+
+
+def q_max_tokens_per_file(spark, sf):
+    o = O.optimize_files(_files(spark, sf), remove_comments_=False, remove_empty_lines_=False, max_tokens_per_file=TRUNCATE_TOKENS)
+    return o.select("corpus_id", "path", "original_size", "optimized_size", F.array_join("strategies", ",").alias("strategies"), F.md5("content").alias("content_md5"))
+
+
+def q_chunk_stats_all_overlap(spark, sf):
+    """F6 with k = 0: each chunk repeats every file before it."""
+    _, s = _split(spark, sf, "by_files", max_files_per_chunk=FILES_PER_CHUNK)
+    return S.all_overlap_stats(s)
+
+
+def q_split_stats_all_overlap(spark, sf):
+    p, s = _split(spark, sf, "by_files", max_files_per_chunk=FILES_PER_CHUNK)
+    return S.split_stats(S.all_overlap_stats(s), p.summary)
+
+
 def q_pack_repeated_files(spark, sf):
     """Kept rows with their content, where rows repeat and corpora lack a name."""
     c = P.pack(fx.files_docs_repeated(spark, sf)).with_content()

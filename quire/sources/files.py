@@ -5,6 +5,8 @@ relative to its corpus root, ``size`` in bytes.
 """
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +43,7 @@ def _filesystem(uri: str):
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, length)`` of every file under ``root``, relative to it, names
+    """``(path, length, changed)`` of every file under ``root``, relative to it, names
     that begin with a dot or an underscore included.
 
     Spark's own listing leaves those out, so folders are listed here, level by
@@ -64,15 +66,16 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f"{folder}/{x.base_name}" if folder else x.base_name for x in part], pa.string()),
                          pa.array([x.size for x in part], pa.int64()),
+                         pa.array([x.mtime_ns for x in part], pa.int64()),
                          pa.array([x.type == pafs.FileType.Directory for x in part], pa.bool_())],
-                        names=["path", "length", "folder"])
+                        names=["path", "length", "changed", "folder"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = spark.createDataFrame([("",)], "path string")
     files = None
     while True:
-        level = checkpoint(folders.repartition(n, "path").mapInArrow(run, "path string, length long, folder boolean"))
-        here = level.where("not folder").select("path", "length")
+        level = checkpoint(folders.repartition(n, "path").mapInArrow(run, "path string, length long, changed long, folder boolean"))
+        here = level.where("not folder").select("path", "length", "changed")
         files = here if files is None else files.unionByName(here)
         folders = level.where("folder").select("path")
         if not folders.limit(1).count():
@@ -98,37 +101,55 @@ def scan_files(spark: SparkSession, root: str, max_file_size: int | None = None,
         listed = listed.where(F.col("length") <= F.lit(int(max_file_size)))
     if path_glob:
         listed = listed.where(F.substring_index("path", "/", -1).rlike("^" + fnmatch.translate(path_glob).replace(r"\Z", r"\z")))
-    segs = F.split("path", "/", -1)
-    depth = int(corpus_depth)
-    listed = listed.where(F.size(segs) > depth).select(
+    return read_listed(with_corpus(listed, corpus_depth), root)
+
+
+def with_corpus(listed: DataFrame, corpus_depth: int) -> DataFrame:
+    """``corpus_id, path, at`` (and the listing's other columns) of files inside
+    a corpus directory, ``at`` being the place under the root."""
+    segs, depth = F.split("path", "/", -1), int(corpus_depth)
+    return listed.where(F.size(segs) > depth).select(
         F.array_join(F.slice(segs, 1, depth), "/").alias("corpus_id"),
-        F.array_join(F.slice(segs, F.lit(depth + 1), F.size(segs)), "/").alias("path"), F.col("path").alias("at"))
+        F.array_join(F.slice(segs, F.lit(depth + 1), F.size(segs)), "/").alias("path"), F.col("path").alias("at"),
+        *[c for c in listed.columns if c != "path"])
+
+
+def read_listed(listed: DataFrame, root: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``files`` of the places ``at`` under ``root``, with the columns ``keep``."""
+    spark = listed.sparkSession
+    listed = listed.select("corpus_id", "path", "at", *([F.struct(*keep).alias("keep")] if keep else []))
+    fields = list(FILES_SCHEMA.fields) + ([listed.schema["keep"]] if keep else [])
 
     def run(batches):
         import pyarrow as pa
         fsys, base = _filesystem(root)
         base = base.rstrip("/")
+
+        def out(b, rows):
+            at = pa.array([r[0] for r in rows])
+            columns = [b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *[c.take(at) for c in b.columns[3:]]], names=[f.name for f in fields])
+
         for b in batches:
             rows, held = [], 0
-            for corpus, path, at in zip(*(c.to_pylist() for c in b.columns)):
+            for i, at in enumerate(b.column(2).to_pylist()):
                 try:
                     with fsys.open_input_stream(f"{base}/{at}") as f:
                         data = f.read()
                 except FileNotFoundError:
                     continue
-                rows.append((corpus, path, data.decode("utf-8", "replace"), len(data)))
+                rows.append((i, data.decode("utf-8", "replace"), len(data)))
                 held += len(data)
                 if held >= 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(),) * 3 + (pa.int64(),))],
-                                                     names=["corpus_id", "path", "content", "size"])
+                    yield out(b, rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(),) * 3 + (pa.int64(),))],
-                                                 names=["corpus_id", "path", "content", "size"])
+                yield out(b, rows)
 
     # One hot corpus is spread as well: files are dealt by their whole path.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(n, "at").mapInArrow(run, FILES_SCHEMA)
+    out = listed.repartition(n, "at").mapInArrow(run, T.StructType(fields))
+    return out.select("corpus_id", "path", "content", "size", *[F.col("keep")[c].alias(c) for c in keep])
 
 
 def read_ignore_rules(files: DataFrame) -> DataFrame:

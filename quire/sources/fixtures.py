@@ -113,3 +113,36 @@ def changes_from_events(e: DataFrame) -> DataFrame:
         "CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS op",
         "ts", "event_id AS seq", "props AS content")
         .withColumn("size", F.octet_length("content").cast("long")))
+
+
+def events_in_order(spark: SparkSession, sf_dir: str, path: str, files: int, after: list[str]) -> str:
+    """The events as ``files`` folders of rows that follow each other in time,
+    written one after the other, then a marker event each of the intervals
+    ``after`` after the last.  Returns a pattern of the folders for a stream."""
+    import time
+    e = table(spark, sf_dir, "events")
+    cuts = e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / files for i in range(1, files)] or [0.5], 1000)).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.lit(0)
+    for c in (cuts if files > 1 else []):
+        part = part + (at > c).cast("int")
+    for i in range(files):
+        e.where(part == i).write.parquet(f"{path}/{i:03d}")
+        time.sleep(0.02)                   # the stream takes files by their time
+    last = e.agg(F.max("ts").alias("ts"))
+    for i, interval in enumerate(after, files):
+        marker = last.select(*[(F.col("ts") + F.expr(f"INTERVAL {interval}")).cast(f.dataType).alias("ts") if f.name == "ts"
+                               else F.lit(-1).cast(f.dataType).alias(f.name) if f.name in ("user_id", "event_id")
+                               else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema.fields])
+        marker.write.parquet(f"{path}/{i:03d}")
+        time.sleep(0.02)
+    return f"{path}/*"
+
+
+def files_docs_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files_docs`` as it may have been: a tenth of the files are not there
+    yet, another tenth have other text, and each eighth also stands under an old name."""
+    d = files_docs(spark, sf_dir).where("doc_id % 10 <> 4")
+    d = d.withColumn("content", F.when(F.col("doc_id") % 10 == 7, F.concat("content", F.lit("old\n"))).otherwise(F.col("content")))
+    old = d.where("doc_id % 8 = 1").withColumn("path", F.concat(F.lit("old/"), "path"))
+    return d.unionByName(old).withColumn("size", F.octet_length("content").cast("long"))

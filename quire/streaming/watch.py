@@ -130,6 +130,85 @@ def debounce_batch(changes: DataFrame, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS,
                       stamp(F.col("last_us") + F.lit(gap_us)).alias("repack_at"))
 
 
+def burst_cells(changes: DataFrame, gap_ms: int, watermark: str) -> DataFrame:
+    """First stage of the streaming debounce: events of a corpus by cells of
+    time as wide as the gap.  Events of one cell are always of one burst, so a
+    cell is one row of a windowed aggregate: a corpus's events are counted where
+    they arrive, and its state is a row for each open cell."""
+    last = F.struct("ts", "seq")
+    return (changes.where(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+            .groupBy("corpus_id", F.window("ts", _gap(gap_ms)).alias("cell"))
+            .agg(F.count(F.lit(1)).cast("long").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                 F.max_by("op", last).alias("op"), F.max_by("path", last).alias("path"))
+            .select("corpus_id", F.col("cell.end").alias("cell_end"), F.unix_micros("first_ts").alias("first_us"),
+                    F.unix_micros("last_ts").alias("last_us"), "events", "op", "path"))
+
+
+_BURST = "first_us long, last_us long, events long, op string, path string"
+
+
+def bursts_of_cells(cells: DataFrame, gap_ms: int, delay_ms: int) -> DataFrame:
+    """Second stage: neighbouring cells of a corpus whose events are no further
+    apart than the gap are one burst.  What a corpus's state holds is its open
+    burst, five values; event time closes it when no cell that could go on with
+    it can come any more."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    gap_us = int(gap_ms) * 1000
+
+    def merge(key, frames, state):
+        import pandas as pd
+        done = []
+        if state.hasTimedOut:
+            done.append(state.get)
+            state.remove()
+        else:
+            now = list(state.get) if state.exists else None
+            rows = pd.concat(list(frames)).sort_values("first_us")
+            for a, z, n, op, path in zip(*(rows[c].tolist() for c in ("first_us", "last_us", "events", "op", "path"))):
+                if now is not None and a - now[1] <= gap_us:
+                    now = [now[0], z, now[2] + n, op, path]
+                else:
+                    if now is not None:
+                        done.append(tuple(now))
+                    now = [a, z, n, op, path]
+            state.update(tuple(now))
+            # An event within the gap stands in a cell that ends at most two gaps later.
+            state.setTimeoutTimestamp(max(now[1] // 1000 + 2 * int(gap_ms), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([(key[0], *r) for r in done], columns=["corpus_id", "first_us", "last_us", "events", "op", "path"])
+
+    stamp = lambda c: F.timestamp_micros(c)
+    out = (cells.withWatermark("cell_end", _gap(delay_ms)).groupBy("corpus_id")
+           .applyInPandasWithState(merge, f"corpus_id string, {_BURST}", _BURST, "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select("corpus_id", stamp(F.col("first_us")).alias("first_ts"), stamp(F.col("last_us")).alias("last_ts"), "events",
+                      F.col("op").alias("last_op"), F.col("path").alias("last_path"), stamp(F.col("last_us") + gap_us).alias("repack_at"))
+
+
+def debounce_stream(changes: DataFrame, path: str, debounce_ms: int = K.DEFAULT_DEBOUNCE_MS, stability_ms: int = 0,
+                    watermark: str = "10 minutes", available_now: bool = True) -> list:
+    """J3 + J6 as two streaming queries under ``path``: cells of events, and the
+    bursts they make up (``path/bursts``, appended when they are over).  Each
+    stage has its checkpoint and its sink's log, so a restart goes on where it
+    was, each row once.  Events later than the watermark are not counted.  With
+    ``available_now`` both read what is there and end; a burst is over when
+    later events of any corpus say so."""
+    spark = changes.sparkSession
+    gap = int(debounce_ms) + int(stability_ms)
+
+    def start(df: DataFrame, name: str):
+        w = (df.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-checkpoint")
+             .outputMode("append"))
+        q = (w.trigger(availableNow=True) if available_now else w).start()
+        if available_now:
+            q.awaitTermination()
+        return q
+
+    cells = burst_cells(changes, gap, watermark)
+    first = start(cells, "cells")
+    # The sink's log shows whole batches, and all new ones are read at once, so no cell comes after a later batch's.
+    second = start(bursts_of_cells(spark.readStream.schema(cells.schema).parquet(f"{path}/cells"), gap, gap), "bursts")
+    return [first, second]
+
+
 def _last_events(changes: DataFrame) -> DataFrame:
     key = F.struct("ts", "seq")
     last = changes.groupBy("corpus_id", "path").agg(
@@ -212,3 +291,179 @@ def current_output(spark: SparkSession, out_path: str) -> DataFrame:
     cols = [c for c in res.columns if c != "batch_id"]
     last = res.groupBy(F.col("corpus_id").alias("_c")).agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
     return last.select("r.*").where(~F.col("emptied")).drop("emptied")
+
+
+#: What a file adds to its corpus: files there are, files kept and their sums.
+DELTAS = ["present", "total_files", "total_size", "tokens", "total_chars", "large_files"]
+
+
+def contributions(changes: DataFrame, ignore=(), extensions=None, max_file_size: int | None = None) -> DataFrame:
+    """``corpus_id, path, ts, seq`` and what each event's file adds (``DELTAS``):
+    nothing after an unlink, only its presence where the rules ignore it."""
+    from ..functions.tokens import len_chars, tokens_from_len
+    from ..operators.filters import selected
+    there = F.col("op") != "unlink"
+    kept = there & F.coalesce(selected(ignore, extensions, max_file_size), F.lit(True))
+    chars = F.coalesce(len_chars("content"), F.lit(0)).cast("long")
+    values = {"present": there.cast("long"), "total_files": kept.cast("long"), "total_size": F.coalesce("size", F.lit(0)).cast("long"),
+              "tokens": tokens_from_len(chars).cast("long"), "total_chars": chars, "large_files": (F.col("size") > K.LARGE_FILE_BYTES).cast("long")}
+    return changes.select("corpus_id", "path", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("seq").cast("long").alias("seq"),
+                          *[(v if k in ("present", "total_files") else F.when(kept, F.coalesce(v, F.lit(0))).otherwise(F.lit(0))).cast("long").alias(k)
+                            for k, v in values.items()])
+
+
+def signed_deltas(rows: DataFrame) -> DataFrame:
+    """``corpus_id`` and the change of its sums, one row for each file that a
+    batch changed: what its new event adds less what its last one had added.
+    The engine's state has one row for each (corpus, path): its last event's
+    time and contribution, also after an unlink, so that an older event that
+    comes later changes nothing."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    names = ["us", "seq", *DELTAS]
+    kinds = ", ".join(f"{c} long" for c in names)
+
+    def change(key, frames, state):
+        import pandas as pd
+        rows = pd.concat(list(frames))
+        now = max(zip(*(rows[c].tolist() for c in names)))
+        old = state.get if state.exists else None
+        if old is None or now[:2] > tuple(old[:2]):
+            state.update(tuple(int(v) for v in now))
+            yield pd.DataFrame([(key[0], *[int(b) - int(a) for a, b in zip(old[2:] if old else [0] * len(DELTAS), now[2:])])], columns=["corpus_id", *DELTAS])
+
+    return rows.groupBy("corpus_id", "path").applyInPandasWithState(
+        change, "corpus_id string, " + ", ".join(f"{c} long" for c in DELTAS), kinds, "update", GroupStateTimeout.NoTimeout)
+
+
+def incremental_totals(changes: DataFrame, path: str, trigger_once: bool = True, **selection):
+    """J5 by signed deltas: totals of every corpus, kept by a streaming query
+    that costs a batch its own rows and their state.  A batch appends one row
+    for each corpus it touches under ``path/deltas``; a replay overwrites only
+    its own.  ``current_totals`` adds them up, ``fold_totals`` shortens them.
+
+    Rules are those that a row meets on its own (the default list and
+    ``selection``); rule files inside a corpus need :func:`incremental_repack`."""
+    def each(batch: DataFrame, batch_id: int):
+        sums = batch.groupBy("corpus_id").agg(*[F.sum(c).cast("long").alias(c) for c in DELTAS])
+        sums.write.mode("overwrite").parquet(f"{path}/deltas/batch={int(batch_id)}")
+
+    w = (signed_deltas(contributions(changes, **selection)).writeStream.outputMode("update").foreachBatch(each)
+         .option("checkpointLocation", f"{path}/checkpoint"))
+    return (w.trigger(availableNow=True) if trigger_once else w).start()
+
+
+_DELTA_SCHEMA = "corpus_id string, " + ", ".join(f"{c} long" for c in DELTAS) + ", batch int"
+
+
+def _delta_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that still count: the last fold and the batches after it."""
+    rows = spark.read.schema(_DELTA_SCHEMA).option("recursiveFileLookup", "false").parquet(f"{path}/deltas")
+    folded = _folds(path)
+    if not folded:
+        return rows
+    base = spark.read.schema(_DELTA_SCHEMA).parquet(f"{path}/folds/{folded[-1]}").withColumn("batch", F.lit(folded[-1]))
+    return rows.where(F.col("batch") > folded[-1]).unionByName(base)
+
+
+def _folds(path: str) -> list[int]:
+    """Batches up to which folds are whole."""
+    from pyarrow import fs as pafs
+
+    from ..sources.files import _filesystem
+    fsys, base = _filesystem(f"{path}/folds")
+    found = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=True))
+    return sorted(int(f.path.split("/")[-2]) for f in found if f.path.endswith("/_SUCCESS"))
+
+
+def current_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Totals of every corpus that has a file, as a full pack gives them."""
+    from ..functions.tokens import joined_tokens
+    sums = _delta_rows(spark, path).groupBy("corpus_id").agg(*[F.sum(c).cast("long").alias(c) for c in DELTAS])
+    return (sums.where("present > 0").drop("present").withColumn("tokens_joined", joined_tokens("total_chars", "total_files")))
+
+
+def fold_totals(spark: SparkSession, path: str) -> None:
+    """Write the sums of all batches so far as one; readers then take that and
+    the batches after it.  Batches that an older fold has are removed."""
+    from ..sources.files import _filesystem
+    from pyarrow import fs as pafs
+    rows = _delta_rows(spark, path)
+    top = rows.agg(F.max("batch").alias("b")).first().b
+    folded = _folds(path)
+    if top is None or (folded and folded[-1] >= top):
+        return
+    sums = rows.where(F.col("batch") <= top).groupBy("corpus_id").agg(*[F.sum(c).cast("long").alias(c) for c in DELTAS])
+    sums.write.mode("overwrite").parquet(f"{path}/folds/{int(top)}")
+    if folded:
+        # One fold is kept behind, for readers that have begun; what is before it is done with.
+        fsys, base = _filesystem(path)
+        for f in fsys.get_file_info(pafs.FileSelector(f"{base}/deltas", allow_not_found=True)):
+            name = f.path.rsplit("/", 1)[-1]
+            if name.startswith("batch=") and int(name[6:]) <= folded[-1]:
+                fsys.delete_dir(f.path)
+
+
+def changes_between(old: DataFrame, new: DataFrame, ts, key: str = "content_key") -> DataFrame:
+    """J1 from two listings: ``corpus_id, path, op`` of every file that was
+    added, changed (another ``key``) or unlinked, with ``ts`` and the columns
+    of ``new``.  Both have one row a file; nothing is compared but ``key``."""
+    before = old.select("corpus_id", "path", F.col(key).alias("_old"), F.lit(True).alias("_was"))
+    cond = F.col("corpus_id").eqNullSafe(F.col("_c")) & F.col("path").eqNullSafe(F.col("_p"))
+    both = new.withColumn("_is", F.lit(True)).join(before.withColumnsRenamed({"corpus_id": "_c", "path": "_p"}), cond, "full")
+    op = F.when(F.col("_was").isNull(), "add").when(F.col("_is").isNull(), "unlink").when(~F.col(key).eqNullSafe(F.col("_old")), "change")
+    gone = F.col("_is").isNull()
+    return (both.withColumn("op", op).where("op is not null")
+            .withColumn("corpus_id", F.when(gone, F.col("_c")).otherwise(F.col("corpus_id"))).withColumn("path", F.when(gone, F.col("_p")).otherwise(F.col("path")))
+            .withColumn("ts", F.lit(ts).cast("timestamp")).drop("_c", "_p", "_old", "_was", "_is"))
+
+
+class DirectoryFeed:
+    """J1 on a directory tree: each :meth:`poll` lists it by tasks, compares the
+    listing with the last one by name, length and time of change, reads only
+    files that are new or changed, and lands the changes as a batch that
+    :func:`stream_changes` reads.
+
+    Polls are numbered and write under ``path``, in this order: what they
+    listed, the changes, and the listing that ends the poll.  One that was cut
+    short is gone on with by the next, from what it had listed, and changes
+    that were landed are not landed again.  The first poll adds every file."""
+
+    def __init__(self, spark: SparkSession, root: str, path: str, corpus_depth: int = 1):
+        self.spark, self.root, self.path, self.depth = spark, root, path.rstrip("/"), corpus_depth
+
+    def _whole(self, folder: str) -> list[int]:
+        """Numbers under ``folder`` that were written to their end."""
+        from pyarrow import fs as pafs
+
+        from ..sources.files import _filesystem
+        fsys, base = _filesystem(f"{self.path}/{folder}")
+        found = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=True))
+        return sorted(int(f.path.split("/")[-2].split("=")[-1]) for f in found if f.path.endswith("/_SUCCESS"))
+
+    @property
+    def changes(self) -> str:
+        return f"{self.path}/changes"
+
+    def poll(self, now) -> int:
+        """Land the changes since the last poll, stamped ``now``; their number."""
+        from ..sources.files import list_files, read_listed, with_corpus
+        spark, last = self.spark, max(self._whole("listings"), default=0)
+        listed_path, landed = f"{self.path}/listed/{last + 1}", f"{self.changes}/poll={last + 1}"
+        if last + 1 not in self._whole("listed"):
+            listed = with_corpus(list_files(spark, self.root), self.depth)
+            (listed.withColumn("content_key", F.concat_ws("/", F.col("length").cast("string"), F.col("changed").cast("string")))
+             .write.mode("overwrite").parquet(listed_path))
+        listed = spark.read.parquet(listed_path)
+        old = spark.read.parquet(f"{self.path}/listed/{last}") if last else listed.limit(0)
+        if last + 1 not in self._whole("changes"):
+            found = changes_between(old, listed, now)
+            rows = read_listed(found.where("op <> 'unlink'"), self.root, ["op", "ts"])
+            gone = found.where("op = 'unlink'").select("corpus_id", "path", F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("size"), "op", "ts")
+            out = rows.unionByName(gone).withColumn("seq", F.lit(last + 1).cast("long"))
+            out.select("corpus_id", "path", "op", "ts", "seq", "content", "size").write.mode("overwrite").parquet(landed)
+        n = spark.read.schema(CHANGES_SCHEMA).parquet(landed).count()
+        spark.createDataFrame([(n,)], "changes long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/listings/{last + 1}")
+        return n
+
+
+CHANGES_SCHEMA = "corpus_id string, path string, op string, ts timestamp, seq long, content string, size long"

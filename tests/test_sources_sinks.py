@@ -104,3 +104,60 @@ def test_blocks_of_every_format_make_the_document(spark):
             got[r.corpus_id] = got.get(r.corpus_id, "") + r.block
         want = {r.corpus_id: r.document for r in render_documents(*one, fmt, tree=tree_text(lines)).collect()}
         assert got == want, fmt
+
+
+ODD = [("c1", 1, "a.js", "x\n", 2), ("c1", 2, "d/b.py", "y  \n\n", 4), ("a/b c.", 1, "only.md", "# é 🌍\x0b", 9), (".", 1, "p", "", 0), (None, 1, "q", "z", 1)]
+
+
+def _odd(spark):
+    from quire.operators.tree import tree_lines
+    files = spark.createDataFrame(ODD, "corpus_id string, pos long, path string, content string, size long")
+    stats = spark.createDataFrame([("c1", 2, 6, 2), ("a/b c.", 1, 9, 3), (".", 1, 0, 0), (None, 1, 1, 1), ("none", 0, 0, 0)],
+                                  "corpus_id string, total_files long, total_size long, tokens long")
+    return files, stats, tree_lines(files.select("corpus_id", "path", "content", "size"))
+
+
+def test_files_are_the_documents(spark):
+    from quire.operators.tree import tree_text
+    from quire.sources.sinks import write_files
+    files, stats, lines = _odd(spark)
+    names = {"c1": "c1", "a/b c.": "a%2Fb%20c.", ".": "%2E", None: "%00", "none": "none"}
+    for fmt, ext in (("markdown", "md"), ("xml", "xml"), ("plain", "md"), ("json", "json"), ("{{#files}}{{path}}{{/files}}{{tree}}.", "md")):
+        out = tempfile.mkdtemp(prefix="quire-out-")
+        written = {r.file: r.bytes for r in write_files(render_blocks(files, stats, fmt, tree_rows=lines), out, fmt).collect()}
+        docs = render_documents(files.withColumn("chunk", F.lit(1)), stats.withColumn("chunk", F.lit(1)), fmt, tree=tree_text(lines), order="pos").collect()
+        want = {f"{names[r.corpus_id]}/context.{ext}": r.document.encode() for r in docs}
+        found = {os.path.relpath(os.path.join(d, f), out): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(out) for f in fs}
+        assert found == want and written == {k: len(v) for k, v in want.items()}, fmt
+
+
+def test_a_document_of_many_parts_and_chunk_names(spark, monkeypatch):
+    from quire.operators import ordered
+    from quire.sources.sinks import write_files
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 30)
+    rows = [(c, k, i, f"f{i:04d}.txt", f"text {i} é\n" * (i % 4)) for c, k, n in (("hot", 1, 400), ("hot", 7, 3), ("hot", 123, 1), ("cold", 1, 2)) for i in range(1, n + 1)]
+    files = spark.createDataFrame(rows, "corpus_id string, chunk long, q long, path string, content string").withColumn("size", F.octet_length("content").cast("long"))
+    stats = files.groupBy("corpus_id", "chunk").agg(F.count("*").alias("total_files"), F.sum("size").alias("total_size"), F.lit(5).cast("long").alias("tokens"))
+    out = tempfile.mkdtemp(prefix="quire-out-")
+    for _ in range(2):                                  # writing again replaces the files
+        write_files(render_blocks(files, stats, "xml", group=("corpus_id", "chunk"), order="q"), out, "xml", ("corpus_id", "chunk"))
+    docs = {(r.corpus_id, r.chunk): r.document for r in render_documents(files, stats, "xml", include_tree=False).collect()}
+    names = {("hot", 1): "hot/chunk-01.xml", ("hot", 7): "hot/chunk-07.xml", ("hot", 123): "hot/chunk-123.xml", ("cold", 1): "cold/chunk-01.xml"}
+    assert sorted(os.listdir(out)) == ["cold", "hot"]
+    for k, n in names.items():
+        assert open(f"{out}/{n}", encoding="utf-8").read() == docs[k]
+
+
+def test_a_failed_write_leaves_nothing(spark):
+    import pytest
+    from quire.sources.sinks import write_files
+    files, stats, lines = _odd(spark)
+    out = tempfile.mkdtemp(prefix="quire-out-")
+    blocks = render_blocks(files, stats, "plain", tree_rows=lines)
+    write_files(blocks, out, "plain")
+    before = sorted(os.path.join(d, f) for d, _, fs in os.walk(out) for f in fs)
+    os.makedirs(f"{out}/c1/context.json/blocked")       # the name of a file is taken by a folder
+    with pytest.raises(Exception):
+        write_files(render_blocks(files, stats, "json", tree_rows=lines), out, "json")
+    assert not [d for d in os.listdir(out) if d.startswith("_")]
+    assert set(before) <= {os.path.join(d, f) for d, _, fs in os.walk(out) for f in fs}
