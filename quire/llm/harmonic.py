@@ -13,7 +13,8 @@ Every task packs its own rows: no shuffle, no state between workers, and a
 lost task is packed again on its own.  Memory of a task is its Arrow batch,
 a bounded cache of words and at most one open bin per class.
 
-Edge cases: a null or empty text is the end token alone; repeated rows are
+Edge cases: a null or empty text is the end token alone; special strings of the
+tokenizer in a text are their ids, unless ``plain``; repeated rows are
 packed once each; a null id is kept; an empty table gives no piece.  The
 result has its own columns, so none of the input's can clash.
 """
@@ -30,22 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, row_blocks, utf8_buffers
 
 CAPACITY = 4096
 GRAIN = 64
+CACHE = 1_000_000        # stretches, and pieces of them, whose ids a worker remembers
+BLOCK_BYTES = 8 << 20    # bytes of text encoded at a time (a longer text alone)
 
-
-class _Index(dict):
-    """Numbers each word when it is first seen."""
-
-    def __init__(self):
-        self.pending: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = i = len(self)
-        self.pending.append(word)
-        return i
+#: What separates stretches: blanks and line ends of ASCII.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,25 +54,38 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer whose pre-tokenization never joins
     what a blank or line end separates, so each stretch between them is
     encoded once and found again in a cache of at most ``cache`` entries.
+    Stretches of a batch are told apart by Arrow's dictionary encoding, so only
+    its distinct ones are looked up one by one.
 
     For the normalizers and splitting rules read below from the tokenizer's
     own file, stretches are split here and only new pieces go to its model;
     for any other file each new stretch goes to ``encode_batch``.
+
+    The tokenizer's special strings become their ids wherever they stand in a
+    text, as its library has it; ``plain`` reads them as ordinary text instead.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = CACHE, plain: bool = False):
+        import re
+
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        special = [] if plain else spec.get("added_tokens") or []
+        self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in special}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=lambda x: -len(x))))) if special else None
         self.cache = cache
         self.model = self.tokenizer.model
+        simple = all(not re.search(r"\s", t["content"]) and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in special)
+        if special and not simple:
+            raise ValueError("added strings with blanks or rules of their own are not supported")
         self.pieces = self._splitter(spec)
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.known = _Index(), {}
+        self.index, self.known = {}, {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
@@ -93,57 +101,87 @@ class WordEncoder:
         letters = {b: c for b, c in _byte_letters().items()}
         table = str.maketrans({chr(b): c for b, c in letters.items()})
 
-        def split(word: str) -> list[str]:
-            low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        def split(low: str) -> list[str]:
             return [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table)
                     for p in find(low)]
         return split
 
+    @staticmethod
+    def _normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def _ids(self, new: list[str]) -> list[bytes]:
         """Ids of each stretch as unsigned 32-bit integers (bytes take a
         fraction of the memory of lists)."""
         if self.pieces is None:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        out, known, tokenize = [], self.known, self.model.tokenize
-        for word in new:
-            ids = []
-            for p in self.pieces(word):
-                got = known.get(p)
-                if got is None:
-                    known[p] = got = array("I", [t.id for t in tokenize(p)]).tobytes()
-                ids.append(got)
-            out.append(b"".join(ids))
+        known, pieces, tokenize = self.known, self.pieces, self.model.tokenize
+
+        def of(p: str) -> bytes:
+            known[p] = got = array("I", [t.id for t in tokenize(p)]).tobytes()
+            return got
+
+        def plain(low: str) -> bytes:
+            if low.isascii() and low.isalpha():          # letters alone are one piece
+                return known.get(low) or of(low)
+            return b"".join([known.get(p) or of(p) for p in pieces(low)])
+
+        def cut(word: str) -> bytes:
+            at, parts = 0, []
+            for m in self.cut.finditer(word):
+                parts += [plain(self._normal(word[at:m.start()])), self.special[m[0]]]
+                at = m.end()
+            return b"".join([*parts, plain(self._normal(word[at:]))])
+
+        joined = "\n".join(new)                          # no stretch has a line end; all are lower-cased at once
+        out = [plain(low) for low in self._normal(joined).split("\n")]
+        if any(s in joined for s in self.special):
+            out = [cut(w) if self.cut.search(w) else ids for w, ids in zip(new, out)]
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the ``n + 1`` places where texts begin."""
+        """:meth:`encode_bytes` of a list of texts."""
+        raw = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts ``data[offsets[i]:offsets[i + 1]]`` in one array,
+        and the ``n + 1`` places where texts begin."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
         if len(self.index) > self.cache or len(self.known) > self.cache:
             self._clear()
+        word = ~_BLANK[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        start = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+        end = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        stretches = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data[word])).dictionary_encode()
+        # No stretch has a line end, so one string and a split give them all.
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(stretches.dictionary)], pa.int32()), stretches.dictionary), "\n")
+        distinct = joined[0].as_py().split("\n")
         index = self.index
-        number = index.__getitem__
-        rows = []
-        for t in texts:
-            for space in "\n\t\r":
-                if space in t:
-                    t = t.replace(space, " ")
-            stretches = t.split(" ")
-            rows.append(np.fromiter(map(number, stretches), np.int64, len(stretches)))
-        if index.pending:
-            ids = self._ids(index.pending)
-            index.pending = []
+        number = list(map(index.get, distinct))
+        if None in number:
+            at = [i for i, n in enumerate(number) if n is None]
+            new = [distinct[i] for i in at]
+            first = len(index)
+            index.update(zip(new, range(first, first + len(new))))
+            for i, n in zip(at, range(first, first + len(new))):
+                number[i] = n
+            ids = self._ids(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             at = len(self.flat) + np.cumsum(lengths) - lengths
             self.starts, self.lengths = np.concatenate([self.starts, at]), np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-        if not rows:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        words = np.concatenate(rows)
+        words = np.array(number, np.int64)[stretches.indices.to_numpy()]
         lengths = self.lengths[words]
-        end = np.cumsum(lengths)
-        total = int(end[-1])
-        flat = self.flat[np.repeat(self.starts[words] - (end - lengths), lengths) + np.arange(total)]
-        last = np.cumsum([len(r) for r in rows])
-        return flat, np.concatenate([[0], end[last - 1]])
+        last = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.flat[np.repeat(self.starts[words] - last[:-1], lengths) + np.arange(int(last[-1]))]
+        return flat, last[np.searchsorted(start, offsets, "left")]
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
@@ -203,13 +241,14 @@ class _Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, grain: int = GRAIN, cache: int = 400_000) -> DataFrame:
+         capacity: int = CAPACITY, grain: int = GRAIN, cache: int = CACHE, plain: bool = False) -> DataFrame:
     """One row per piece: the document's id, ``start`` (ids of the document
     before the piece), ``length``, ``ids`` (little-endian unsigned 32-bit),
     ``doc_tokens``, ``sequence_id`` and ``offset`` in that sequence.
 
     ``capacity`` and ``grain`` are powers of two.  ``tokenizer`` is the path
-    of a vocabulary file that every worker can read.
+    of a vocabulary file that every worker can read; with ``plain`` its special
+    strings in a text are ordinary text.
     """
     if capacity & (capacity - 1) or grain & (grain - 1) or not 0 < grain <= capacity:
         raise ValueError("capacity and grain must be powers of two, grain at most the capacity")
@@ -227,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        encoder = encoder_for(tokenizer, cache)
+        encoder = encoder_for(tokenizer, cache, plain)
         packer = _Packer(capacity, grain, TaskContext.get().partitionId() << 33)
 
         def out():
@@ -235,17 +274,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
         for batch in batches:
-            lengths = _sizes(batch.column(1))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(lengths[lo:]), 1 << 21, "right")) + lo)
+            data, offsets = utf8_buffers(batch.column(1))
+            for lo, hi in row_blocks(offsets, BLOCK_BYTES):
                 keys = batch.column(0).slice(lo, hi - lo).to_pylist()
-                flat, at = encoder.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+                flat, at = encoder.encode_bytes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 for i, key in enumerate(keys):
                     packer.add(key, np.append(flat[at[i]:at[i + 1]], np.uint32(end_id)).astype("<u4", copy=False))
                 if packer.rows:
                     yield out()
-                lo = hi
         packer.finish()
         if packer.rows:
             yield out()
@@ -253,17 +289,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     return src.mapInArrow(run, schema)
 
 
-def _sizes(col) -> np.ndarray:
-    from .common import utf8_buffers
-    return np.diff(utf8_buffers(col)[1])
-
-
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder_for(path: str, cache: int) -> WordEncoder:
+def encoder_for(path: str, cache: int, plain: bool = False) -> WordEncoder:
     """One encoder per worker process, so later tasks find its cache filled."""
-    if (path, cache) not in _ENCODERS:
+    if (path, cache, plain) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, cache] = WordEncoder(path, cache)
-    return _ENCODERS[path, cache]
+        _ENCODERS[path, cache, plain] = WordEncoder(path, cache, plain)
+    return _ENCODERS[path, cache, plain]

@@ -8,10 +8,10 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(text):
+def encode(text, plain=False):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -82,3 +82,15 @@ def test_cached_encoder_agrees_with_the_tokenizer(spark):
         flat, at = enc.encode(texts[i:i + 20])
         for j, t in enumerate(texts[i:i + 20]):
             assert flat[at[j]:at[j + 1]].tolist() + [2] == encode(t)
+
+
+def test_special_strings(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|><|startoftext|>", "a<|endoftext|>b <|END|> <|endoftext|", "Σ<|startoftext|>é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for plain in (False, True):
+        rows = harmonic.pack(df, PATH, 2, capacity=64, grain=64, plain=plain).collect()
+        got = collections.defaultdict(list)
+        for r in sorted(rows, key=lambda r: r.start):
+            got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert got == {i: encode(t, plain) for i, t in enumerate(texts)}
+    assert encode(texts[0]) == [343, 49407, 344, 2]
