@@ -7,7 +7,7 @@ result; everything else is computed when an action runs.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import constants as K
@@ -49,8 +49,16 @@ def count_files_tokens(files: DataFrame, tokenizer=None) -> DataFrame:
     return files.select("corpus_id", "path", t.alias("tokens"), sz.cast("long").alias("size"))
 
 
-def count(files: DataFrame, tokenizer=None) -> DataFrame:
-    """Per-corpus ``total_tokens`` (sum over files) and the per-file rows' count."""
+def count(files, tokenizer=None):
+    """Tokens of what is given: of a text their number, of a column of texts a
+    column, of ``files`` per-corpus ``total_tokens`` (sum over files) and the
+    per-file rows' count.  ``tokenizer`` (a function of a column) counts exactly."""
+    if isinstance(files, str):
+        if tokenizer is not None:
+            raise ValueError("a single text is estimated; give a tokenizer a column")
+        return -(-len(files) // 4)
+    if isinstance(files, Column):
+        return estimate_tokens(files) if tokenizer is None else count_tokens(files, tokenizer)["tokens"]
     return count_files_tokens(files, tokenizer).groupBy("corpus_id").agg(
         F.sum("tokens").cast("long").alias("total_tokens"), F.count(F.lit(1)).alias("files"))
 
@@ -109,6 +117,13 @@ def format(packed: _pack.Packed, fmt: str = "markdown", *, include_tree: bool =
     return _render.render_documents(files, stats, fmt, tree=tree, include_tree=include_tree, order="pos", **options)
 
 
+def format_blocks(packed: _pack.Packed, fmt: str = "markdown", *, include_tree: bool = True, **options) -> DataFrame:
+    """The same documents as ordered rows (``corpus_id, part, segs, seq, block``),
+    for corpora of any size; ``quire.sources.sinks.write_files`` writes them."""
+    tree = packed.tree if include_tree else None
+    return _render.render_blocks(packed.with_content(), packed.summary, fmt, tree_rows=tree, include_tree=include_tree, **options)
+
+
 def format_markdown(packed, **o):
     return format(packed, "markdown", **o)
 

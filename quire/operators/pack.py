@@ -92,6 +92,20 @@ class Packed:
         self._plan, self.summary, self.source, self._materialize = files_plan, summary, source, materialize
         self.ignore, self.rules, self.use_rule_files = list(ignore or ()), rules, use_rule_files
         self._files = self._repeated = None
+        self.include_tree = self.include_content = True
+
+    @property
+    def tree(self) -> DataFrame | None:
+        """Lines of the directory tree, None for a pack without one."""
+        if not self.include_tree:
+            return None
+        from .tree import tree_lines
+        return tree_lines(self.source, list(K.DEFAULT_IGNORE) + self.ignore, self.rules, self.use_rule_files)
+
+    @property
+    def rows(self) -> DataFrame:
+        """The kept files, with their content unless the pack leaves it out."""
+        return self.with_content() if self.include_content else self.files
 
     @property
     def files(self) -> DataFrame:
@@ -144,13 +158,26 @@ def pack(files: DataFrame, *, ignore: Sequence[str] = (), extensions=None,
          max_file_size: int | None = None, rules: DataFrame | None = None,
          use_rule_files: bool = True, custom_priority: Sequence[str] | None = None,
          max_files: int | None = None, max_total_size: int | None = None,
-         tokenizer=None, utf16: bool = False, materialize: bool = False) -> Packed:
+         tokenizer=None, utf16: bool = False, materialize: bool = False,
+         include_tree: bool = True, include_content: bool = True) -> Packed:
     """Select, rank, order and limit files per corpus.  There is no size cap
     unless ``max_file_size`` gives one.  Every corpus has a summary row, also
     one whose files are all ignored.
 
     Contents are read by one scan that turns them into narrow rows; the
-    per-corpus rules, the ordering and the totals work on those."""
+    per-corpus rules, the ordering and the totals work on those.
+    ``tokens_accurate`` of the summary says whether a ``tokenizer`` counted the
+    tokens.  ``include_tree`` and ``include_content`` say what the pack's
+    ``tree`` and ``rows`` have."""
+    packed = _packed(files, ignore, extensions, max_file_size, rules, use_rule_files, custom_priority, max_files, max_total_size,
+                     tokenizer, utf16, materialize)
+    packed.include_tree, packed.include_content = include_tree, include_content
+    packed.summary = packed.summary.withColumn("tokens_accurate", F.lit(tokenizer is not None))
+    return packed
+
+
+def _packed(files, ignore, extensions, max_file_size, rules, use_rule_files, custom_priority, max_files, max_total_size,
+            tokenizer, utf16, materialize) -> Packed:
     from .filters import corpus_rules, selected, without_ruled_out
     found = corpus_rules(files, rules, use_rule_files)
     flagged = annotate(files, tokenizer, utf16).select(*NARROW, selected(ignore, extensions, max_file_size).alias("kept"))

@@ -22,20 +22,20 @@ def _split_list(v) -> list | None:
     return [x for x in (v.split(",") if isinstance(v, str) else v)]
 
 
-def _tree(files: DataFrame, ignore) -> DataFrame:
-    return T.tree_text(T.tree_lines(files, list(K.DEFAULT_IGNORE) + list(ignore or [])))
-
-
 def pack_command(files: DataFrame, *, fmt: str = "markdown", model: str = K.DEFAULT_MODEL, ext=None, ignore=None,
-                 max_file_size_kb: int = 1000, tree: bool = True, stats: bool = False) -> dict:
-    """Pack: files larger than ``max_file_size_kb`` KiB are skipped (1000 by
-    default here, unlike the library's 100 KiB); tokens summed per file."""
-    p = P.pack(files, extensions=_split_list(ext), ignore=_split_list(ignore) or [],
-               max_file_size=int(max_file_size_kb) * 1024)
+                 max_file_size_kb: int | None = None, tree: bool = True, stats: bool = False, tokenizer=None) -> dict:
+    """Pack: tokens summed per file.  Files of any size are taken unless
+    ``max_file_size_kb`` caps them (the command line's own cap is
+    ``K.PACK_COMMAND_MAX_FILE_SIZE``).  ``blocks`` has the documents as ordered
+    rows, for corpora of any size; ``documents`` as one string each."""
+    p = P.pack(files, extensions=_split_list(ext), ignore=_split_list(ignore) or [], tokenizer=tokenizer,
+               max_file_size=int(max_file_size_kb) * 1024 if max_file_size_kb else None)
+    lines = T.tree_lines(files, list(K.DEFAULT_IGNORE) + (_split_list(ignore) or [])) if tree else None
     docs = R.render_documents(p.with_content().withColumn("chunk", F.lit(1).cast("long")),
                               p.summary.withColumn("chunk", F.lit(1).cast("long")), fmt,
-                              tree=_tree(files, _split_list(ignore)) if tree else None, include_tree=tree, order="pos")
-    out = {"summary": p.summary, "documents": docs, "files": p.files}
+                              tree=T.tree_text(lines) if tree else None, include_tree=tree, order="pos")
+    blocks = R.render_blocks(p.with_content(), p.summary, fmt, tree_rows=lines, include_tree=tree)
+    out = {"summary": p.summary, "blocks": blocks, "documents": docs, "files": p.files}
     if stats:
         out["top_files"] = P.top_files_by_size(p.files)
     return out
@@ -85,8 +85,9 @@ def optimize_command(files: DataFrame, *, tokens: int | None = None, model: str
         kept = opt.where(~F.col("dropped")).withColumn("chunk", F.lit(1).cast("long"))
         stats = out["summary"].select("corpus_id", F.col("files").alias("total_files"), "total_size",
                                       F.col("final_tokens").alias("tokens")).withColumn("chunk", F.lit(1).cast("long"))
-        out["documents"] = R.render_documents(kept, stats, fmt, tree=_tree(files, _split_list(ignore)) if tree else None,
-                                              include_tree=tree, order="pos")
+        lines = T.tree_lines(files, list(K.DEFAULT_IGNORE) + (_split_list(ignore) or [])) if tree else None
+        out["blocks"] = R.render_blocks(kept, stats, fmt, tree_rows=lines, include_tree=tree)
+        out["documents"] = R.render_documents(kept, stats, fmt, tree=T.tree_text(lines) if tree else None, include_tree=tree, order="pos")
     return out
 
 
@@ -106,7 +107,9 @@ def split_command(files: DataFrame, *, strategy: str = "by_tokens", model: str =
         with_content = p.attach(chunks)
         st = stats.select("corpus_id", "chunk", F.col("files").alias("total_files"), F.col("size").alias("total_size"),
                           "tokens")
-        out["documents"] = R.render_documents(with_content, st, fmt, tree=_tree(files, _split_list(ignore)), order="q")
+        lines = T.tree_lines(files, list(K.DEFAULT_IGNORE) + (_split_list(ignore) or []))
+        out["blocks"] = R.render_blocks(with_content, st, fmt, tree_rows=lines, group=("corpus_id", "chunk"), order="q")
+        out["documents"] = R.render_documents(with_content, st, fmt, tree=T.tree_text(lines), order="q")
     return out
 
 

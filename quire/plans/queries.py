@@ -41,6 +41,7 @@ SUGGEST_MODEL = "codestral"
 DEBOUNCE_MS = 3600 * 1000
 STABILITY_MS = 1800 * 1000
 SIZE_CAP = 2000
+PAGES_CAP = 2500
 SINGLE_PATH = "src/README.js"
 EXTENSIONS = ["js", "md", "py", "JSON"]
 LISTED_MODELS = ["command-r", "gpt-4o", "mistral-large-3", "nope-1", "gpt-4o"]
@@ -380,8 +381,14 @@ def q_pack_conversations(spark, sf):
 
 
 def q_pack_pages(spark, sf):
-    """Totals under the pack command's cap on a file's size."""
-    p = P.pack(fx.files_pages(spark, sf), max_file_size=K.PACK_COMMAND_MAX_FILE_SIZE)
+    """Totals of all pages, of any size."""
+    p = P.pack(fx.files_pages(spark, sf))
+    return p.summary.select("corpus_id", "total_files", "total_size", "tokens", "tokens_joined")
+
+
+def q_pack_pages_capped(spark, sf):
+    """The option to leave out large files: pages over ``PAGES_CAP`` bytes."""
+    p = P.pack(fx.files_pages(spark, sf), max_file_size=PAGES_CAP)
     return p.summary.select("corpus_id", "total_files", "total_size", "tokens", "tokens_joined")
 
 

@@ -23,3 +23,31 @@ def test_api_end_to_end(spark):
     from quire.functions.models import models
     s = single_file(files, "node_modules/dep/index.js", model_table=models(spark)).first()
     assert s.tokens == 1 and s.lines.total_lines == 2 and s.remaining == 399999
+
+
+def test_packs_say_what_they_hold(spark):
+    from pyspark.sql import functions as F
+    files = files_df(spark, [("a.js", "xxxxx"), ("d/b.md", "é" * 8)])
+    p = api.pack(files)
+    assert "content" in p.rows.columns and p.tree.count() == 3 and not p.summary.first().tokens_accurate
+    q = api.pack(files, include_tree=False, include_content=False, tokenizer=lambda c: F.size(F.split(c, "")))
+    assert q.tree is None and "content" not in q.rows.columns
+    assert (q.summary.first().tokens_accurate, q.summary.first().tokens) == (True, 13)
+    text = "".join(r.block for r in api.format_blocks(p, "xml").orderBy("part", "segs", "seq").collect())
+    assert text == api.format_xml(p).first().document
+
+
+def test_counts_of_texts(spark):
+    from pyspark.sql import functions as F
+    assert api.count("") == 0 and api.count("Hello World") == 3 and api.count("a" * 1000) == 250
+    df = spark.createDataFrame([("Hello World",), (None,)], "t string")
+    assert [r[0] for r in df.select(api.count(F.col("t"))).collect()] == [3, 0]
+    assert [r[0] for r in df.select(api.count(F.col("t"), lambda c: F.size(F.split(c, " ")))).collect()] == [2, 0]
+
+
+def test_the_pack_command_has_no_cap_of_its_own(spark):
+    from quire.plans.commands import pack_command
+    files = files_df(spark, [("big.txt", "x" * 1_500_000), ("a.txt", "y")])
+    assert pack_command(files)["summary"].first().total_files == 2
+    assert pack_command(files, max_file_size_kb=1000)["summary"].first().total_files == 1
+    assert pack_command(files, max_file_size_kb=None)["blocks"].where("part = 3").count() == 2
