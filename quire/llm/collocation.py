@@ -14,14 +14,15 @@ score needs are counts of frequent phrases.
 The relations are written as Parquet in the shared folder, in blocks of
 bounded bytes (one row a block, places and items as compressed arrays).  A
 text longer than a block is cut between words; a block then looks ahead by
-three words that it doesn't count.  Tasks count their blocks' groups before
-anything is shuffled, so a frequent group is at most one row a block.  Frequent
-groups return to the blocks that hold them by a co-group on the block, whose
-size is bounded by the block; nothing is broadcast or collected.
+three words that it doesn't count.
 
-A group is numbered by the smallest (block, local number) that names it, which
-is exact: words are compared as strings and longer phrases by their parts'
-numbers, never by a hash alone.
+A block counts its groups, deals them to buckets by hash and sends each bucket
+one packed row.  A bucket (of about ``BUCKET_GROUPS`` groups) sums what the
+blocks sent, so a frequent group is at most one entry a block.  It answers each
+block with the places of the frequent ones in the row it was sent, and the
+block drops the rest.  What a task holds is bounded by the block and by the
+bucket; nothing is broadcast or collected.  Groups are equal only if their
+strings, or the numbers of their two parts, are: hashes do no more than deal.
 
 Scores are whole numbers, computed with decimals of 38 digits.
 
@@ -40,8 +41,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordered_scan
 from ..session import work_path
 from .common import prepare, row_blocks, utf8_buffers
+from .words import FOLD, hash_ranges, mix
 
 SUPPORT = 30
 LONGEST = 4
@@ -50,29 +53,37 @@ SCALE = 2_000_000
 #: A phrase goes if a longer one has this percentage of its occurrences.
 CONTAINED_PERCENT = 80
 BLOCK = 8 << 20          # bytes of text in a block
-_LOCAL_BITS = 23         # a block has fewer words than this many bits count
+BUCKET_GROUPS = 2 << 20  # groups, counted once a block, that a bucket sums about
 _SEQUENCE_BITS = 20
+_RANK_BITS = 32          # a group's number: its bucket and its rank there
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _BREAK
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 0x20
 
-BLOCKS = "block long, own long, n int, place binary, item binary, words array<struct<lang: string, word: string, count: long>>"
-RELATION = "block long, own long, n int, place binary, item binary, ids binary"
-GROUPS = "block long, local int, l long, r long, count long"
+RELATION = "block long, own long, n int, place binary, item binary, m int, ids binary"
+#: Words of a block by language: how many, how many occurrences, and the packed lengths, bytes and counts of all.
+BLOCKS = ("block long, own long, n int, place binary, item binary, "
+          "langs array<struct<lang: string, words: int, occurrences: long>>, lengths binary, strings binary, counts binary")
+SENT = "bucket int, block long, lang string, n int, a binary, b binary, counts binary"
+FOUND = "block long, bucket int, lang string, n int, at binary, ids binary, groups array<struct<id: long, lang: string, word: string, l: long, r: long, f: long>>"
 
 
-def _packed(a: np.ndarray) -> bytes:
+def _packed(a: np.ndarray, kind: str) -> bytes:
+    """Numbers of ``kind``, their lowest bytes first, then the next: small
+    numbers' upper bytes then take next to nothing."""
     import pyarrow as pa
-    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    planes = np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, width).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(b: bytes, n: int, kind: str) -> np.ndarray:
     import pyarrow as pa
-    return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
 def _cuts(data: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
@@ -119,24 +130,22 @@ def _block(number: int, data: np.ndarray, offsets: np.ndarray, own_bytes: int, l
     piece = np.cumsum(kind == _BREAK, dtype=np.int64)[start] + text
     place = np.arange(len(start)) + np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
     ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-    strings = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(_FOLD[data[word]])).dictionary_encode()
-    key = lang[text] * np.int64(len(strings.dictionary)) + strings.indices.to_numpy()
+    strings = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(FOLD[data[word]])).dictionary_encode()
+    m = len(strings.dictionary)
+    groups, item = np.unique(lang[text] * np.int64(m) + strings.indices.to_numpy(), return_inverse=True)
     own = int(np.searchsorted(start, own_bytes, "left"))
-    groups, item = np.unique(key, return_inverse=True)
-    order = np.argsort(-np.bincount(item, minlength=len(groups)), kind="stable")     # frequent items get small numbers
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    item, groups = rank[item], groups[order]
     count = np.bincount(item[:own], minlength=len(groups))
-    m = len(strings.dictionary)
-    words = pa.StructArray.from_arrays([pa.array([names[i] for i in groups // m], pa.string()), strings.dictionary.take(pa.array(groups % m)),
-                                        pa.array(count, pa.int64())], names=["lang", "word", "count"])
+    of = groups // m                                            # ascending: words stand by language
+    langs = [{"lang": names[i], "words": int(np.count_nonzero(of == i)), "occurrences": int(count[of == i].sum())} for i in np.unique(of)]
+    taken = strings.dictionary.take(pa.array(groups % m))
+    data, lengths = utf8_buffers(taken)
     bound = int(place[own]) if own < len(place) else int(place[-1]) + 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([bound], pa.int64()), pa.array([len(place)], pa.int32()),
-         pa.array([_packed(np.diff(place, prepend=0).astype("<i4"))], pa.binary()), pa.array([_packed(item.astype("<i4"))], pa.binary()),
-         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-        names=["block", "own", "n", "place", "item", "words"])
+    values = [number, bound, len(place), _packed(np.diff(place, prepend=0), "<i4"), _packed(item, "<i4"), langs,
+              _packed(np.diff(lengths), "<i4"), _packed(data, "u1"), _packed(count, "<i4")]
+    struct = pa.struct([("lang", pa.string()), ("words", pa.int32()), ("occurrences", pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(struct), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
+                                      names=["block", "own", "n", "place", "item", "langs", "lengths", "strings", "counts"])
 
 
 def _blocks_of(limit: int):
@@ -158,8 +167,13 @@ def _blocks_of(limit: int):
     return run
 
 
-def _read(place: bytes, item: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_unpacked(place, n, "<i4"), dtype=np.int64), _unpacked(item, n, "<i4").astype(np.int64)
+def _ids(r: dict) -> np.ndarray:
+    """Numbers of a relation's groups, ascending."""
+    return np.cumsum(_unpacked(r["ids"], r["m"], "<i8"), dtype=np.int64)
+
+
+def _read(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(r["place"], r["n"], "<i4"), dtype=np.int64), _unpacked(r["item"], r["n"], "<i4").astype(np.int64)
 
 
 def _merge_join(place: np.ndarray, item: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,71 +184,220 @@ def _merge_join(place: np.ndarray, item: np.ndarray, m: int) -> tuple[np.ndarray
     return place[at], number, pairs
 
 
-def _relation(block: int, own: int, place: np.ndarray, item: np.ndarray, local: np.ndarray, ids: np.ndarray, total: int):
-    """Semi-join of occurrences with the frequent groups (their local numbers
-    and ids): a table of at most one row of ``RELATION``."""
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``(bucket, positions)``, positions ascending."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cut):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
+def _words_of(r: dict) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(language, first word, bytes, offsets, counts)`` of a block's words."""
+    total = sum(x["words"] for x in r["langs"])
+    ends = np.concatenate([[0], np.cumsum(_unpacked(r["lengths"], total, "<i4"), dtype=np.int64)])
+    data, counts, at = _unpacked(r["strings"], int(ends[-1]), "u1"), _unpacked(r["counts"], total, "<i4"), 0
+    for x in r["langs"]:
+        n = x["words"]
+        yield x["lang"], at, data[ends[at]:ends[at + n]], ends[at:at + n + 1] - ends[at], counts[at:at + n]
+        at += n
+
+
+def _word_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> np.ndarray:
+    return (hash_ranges(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pair_buckets(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    key = mix(left.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    return (mix(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def _sent(rows: list) -> "pa.RecordBatch":
     import pyarrow as pa
-    new = np.full(total, -1, np.int64)
-    new[local] = np.arange(len(local))
-    item = new[item]
-    kept = item >= 0
-    place, item = place[kept], item[kept]
-    n = int(len(place) > 0)
-    return pa.table({
-        "block": pa.array([block] * n, pa.int64()), "own": pa.array([own] * n, pa.int64()), "n": pa.array([len(place)] * n, pa.int32()),
-        "place": pa.array([_packed(np.diff(place, prepend=0).astype("<i4"))] * n, pa.binary()),
-        "item": pa.array([_packed(item.astype("<i4"))] * n, pa.binary()), "ids": pa.array([ids.astype("<i8").tobytes()] * n, pa.binary())})
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "block", "lang", "n", "a", "b", "counts"])
 
 
-def _frequent_groups(table) -> tuple[np.ndarray, np.ndarray]:
-    local, ids = table.column("local").to_numpy(), table.column("id").to_numpy()
-    order = np.argsort(local)
-    return local[order], ids[order]
+def _send_words(buckets: int):
+    """A block's words: ``a`` has their lengths, ``b`` their bytes."""
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            for r in b.to_pylist():
+                rows = []
+                for lang, _, data, offsets, counts in _words_of(r):
+                    words = _strings(data, offsets)
+                    for bucket, at in _dealt(_word_buckets(data, offsets, buckets)):
+                        own, ends = utf8_buffers(words.take(_indices(at)))
+                        rows.append((bucket, r["block"], lang, len(at), _packed(np.diff(ends), "<i4"), _packed(own, "u1"), _packed(counts[at], "<i4")))
+                yield _sent(rows)
 
+    return run
 
-def _first_relation(left, right):
-    """Co-group of a block of words with its frequent words."""
-    if not (left.num_rows and right.num_rows):
-        return _relation(0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    r = left.to_pylist()[0]
-    place, item = _read(r["place"], r["item"], r["n"])
-    return _relation(r["block"], r["own"], place, item, *_frequent_groups(right), int(item.max()) + 1)
 
+def _strings(data: np.ndarray, offsets: np.ndarray):
+    import pyarrow as pa
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
 
-def _next_relation(left, right):
-    """Co-group of a block of k-word phrases with its frequent ones of k + 1 words."""
-    if not (left.num_rows and right.num_rows):
-        return _relation(0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    r = left.to_pylist()[0]
-    place, number, pairs = _merge_join(*_read(r["place"], r["item"], r["n"]), len(r["ids"]) // 8)
-    return _relation(r["block"], r["own"], place, number, *_frequent_groups(right), len(pairs))
 
+def _indices(at: np.ndarray):
+    import pyarrow as pa
+    return pa.array(at, pa.int64())
+
+
+def _send_pairs(buckets: int):
+    """Groups of a block's self-join, with the occurrences that are its own:
+    ``a`` has the left numbers' differences, ``b`` the right ones' halves."""
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            for r in b.to_pylist():
+                ids = _ids(r)
+                place, number, pairs = _merge_join(*_read(r), len(ids))
+                if not len(pairs):
+                    continue
+                count = np.bincount(number[place < r["own"]], minlength=len(pairs))
+                left, right = ids[pairs // len(ids)], ids[pairs % len(ids)]
+                yield _sent([(bucket, r["block"], None, len(at), _packed(np.diff(left[at], prepend=0), "<i8"),
+                              _packed(np.concatenate([right[at] >> _RANK_BITS, right[at] & 0xFFFFFFFF]), "<u4"), _packed(count[at], "<u4"))
+                             for bucket, at in _dealt(_pair_buckets(left, right, buckets))])
 
-def _group_counts(batches: Iterator) -> Iterator:
-    """Groups of each block's self-join, with the occurrences that are its own."""
+    return run
+
+
+def _answers(rows: list, group: np.ndarray, f: np.ndarray, support: int) -> tuple[np.ndarray, list]:
+    """Numbers of the frequent groups (-1 for others), and for each row sent the
+    positions and numbers of its frequent ones."""
+    bucket = rows[0]["bucket"]
+    ids = np.full(len(f), -1, np.int64)
+    often = np.flatnonzero(f >= support)
+    ids[often] = (np.int64(bucket) << _RANK_BITS) + np.arange(len(often))
+    out, lo = [], 0
+    for r in rows:
+        own = ids[group[lo:lo + r["n"]]]
+        lo += r["n"]
+        at = np.flatnonzero(own >= 0)
+        if len(at):
+            out.append((r["block"], bucket, r["lang"], len(at), _packed(np.diff(at, prepend=0), "<u4"), _packed(own[at] & 0xFFFFFFFF, "<u4"), None))
+    return ids, out
+
+
+def _found(rows: list, groups: list, bucket: int):
+    import pyarrow as pa
+    struct = pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("l", pa.int64()), ("r", pa.int64()), ("f", pa.int64())])
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(struct)]
+    rows = rows + [(None, bucket, None, 0, None, None, groups)] if groups else rows
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "bucket", "lang", "n", "at", "ids", "groups"])
+
+
+def _sum_words(support: int):
+    """A bucket's words: counts over all blocks, the frequent ones, and the answers."""
+    def run(table):
+        import pyarrow as pa
+        rows = sorted(table.to_pylist(), key=lambda r: (r["lang"], r["block"]))
+        langs = sorted({r["lang"] for r in rows})
+        number = {x: i for i, x in enumerate(langs)}
+        parts = []
+        for r in rows:
+            ends = np.concatenate([[0], np.cumsum(_unpacked(r["a"], r["n"], "<i4"), dtype=np.int64)])
+            parts.append(_strings(_unpacked(r["b"], int(ends[-1]), "u1"), ends))
+        words = pa.concat_arrays(parts).dictionary_encode()
+        m = len(words.dictionary)
+        lang = np.repeat([number[r["lang"]] for r in rows], [r["n"] for r in rows])
+        keys, group = np.unique(lang * np.int64(m) + words.indices.to_numpy(), return_inverse=True)
+        f = np.zeros(len(keys), np.int64)
+        np.add.at(f, group, np.concatenate([_unpacked(r["counts"], r["n"], "<i4") for r in rows]))
+        ids, out = _answers(rows, group, f, support)
+        often = np.flatnonzero(ids >= 0)
+        names = words.dictionary.take(_indices(keys[often] % m)).to_pylist()
+        groups = [{"id": i, "lang": langs[x], "word": w, "f": n} for i, x, w, n in
+                  zip(ids[often].tolist(), (keys[often] // m).tolist(), names, f[often].tolist())]
+        return _found(out, groups, rows[0]["bucket"])
+
+    return run
+
+
+def _sum_pairs(support: int):
+    """The same for a bucket's groups of two overlapping phrases."""
+    def run(table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        left = np.concatenate([np.cumsum(_unpacked(r["a"], r["n"], "<i8")) for r in rows])
+        halves = [_unpacked(r["b"], 2 * r["n"], "<u4").astype(np.int64) for r in rows]
+        right = np.concatenate([(h[:len(h) // 2] << _RANK_BITS) + h[len(h) // 2:] for h in halves])
+        count = np.concatenate([_unpacked(r["counts"], r["n"], "<u4") for r in rows]).astype(np.int64)
+        order = np.lexsort((right, left))
+        l, r = left[order], right[order]
+        first = np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        f = np.add.reduceat(count[order], np.flatnonzero(first))
+        ids, out = _answers(rows, group, f, support)
+        often = np.flatnonzero(ids >= 0)
+        l, r = l[first][often], r[first][often]
+        groups = [{"id": i, "l": x, "r": y, "f": n} for i, x, y, n in zip(ids[often].tolist(), l.tolist(), r.tolist(), f[often].tolist())]
+        return _found(out, groups, rows[0]["bucket"])
+
+    return run
+
+
+def _relation(r: dict | None, place: np.ndarray, item: np.ndarray, local: list, ids: list, total: int):
+    """Semi-join of occurrences with the frequent groups (their local numbers
+    and numbers): a table of at most one row of ``RELATION``."""
     import pyarrow as pa
-    for b in batches:
-        for r in b.to_pylist():
-            ids = np.frombuffer(r["ids"], "<i8")
-            place, number, pairs = _merge_join(*_read(r["place"], r["item"], r["n"]), len(ids))
-            count = np.bincount(number[place < r["own"]], minlength=len(pairs))
-            for lo in range(0, len(pairs), 1 << 16):
-                p = pairs[lo:lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), r["block"]), pa.int64()), pa.array(np.arange(lo, lo + len(p)), pa.int32()),
-                     pa.array(ids[p // len(ids)], pa.int64()), pa.array(ids[p % len(ids)], pa.int64()), pa.array(count[lo:lo + len(p)], pa.int64())],
-                    names=["block", "local", "l", "r", "count"])
-
-
-def _frequent(groups: DataFrame, by: list[str], support: int) -> DataFrame:
-    """Rows of the groups with at least ``support`` occurrences, with the
-    group's number and, in the row that names it, all that describes it."""
-    own = F.shiftleft("block", _LOCAL_BITS) + F.col("local")
-    same = Window.partitionBy(*by)
-    rows = groups.select("block", "local", *by, own.alias("own"), F.sum("count").over(same).alias("f"), F.min(own).over(same).alias("id"))
-    names_it = F.col("own") == F.col("id")
-    return rows.where(F.col("f") >= support).select(
-        "block", "local", "id", *[F.when(names_it, F.col(c)).alias(c) for c in [*by, "f"]], names_it.alias("names_it"))
+    n = 0
+    if local:
+        local, ids = np.concatenate(local), np.concatenate(ids)
+        order = np.argsort(ids)                    # pairs of items then stand in the order of their numbers
+        new = np.full(total, -1, np.int64)
+        new[local[order]] = np.arange(len(order))
+        item = new[item]
+        kept = item >= 0
+        place, item, ids = place[kept], item[kept], ids[order]
+        n = int(len(place) > 0)
+    values = [r["block"], r["own"], len(place), _packed(np.diff(place, prepend=0), "<i4"), _packed(item, "<i4"),
+              len(ids), _packed(np.diff(ids, prepend=0), "<i8")] if n else []
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(values[i:i + 1], k) for i, k in enumerate(kinds)], names=["block", "own", "n", "place", "item", "m", "ids"])
+
+
+def _answered(answers, at_of) -> tuple[list, list]:
+    """Local numbers and numbers of the groups in a block's answers; ``at_of``
+    gives the local numbers of the row sent to a bucket."""
+    local, ids = [], []
+    for a in answers.to_pylist():
+        local.append(at_of[a["bucket"], a["lang"]][np.cumsum(_unpacked(a["at"], a["n"], "<u4"), dtype=np.int64)])
+        ids.append((np.int64(a["bucket"]) << _RANK_BITS) + _unpacked(a["ids"], a["n"], "<u4").astype(np.int64))
+    return local, ids
+
+
+_NOTHING = np.zeros(0, np.int64)
+
+
+def _first_relation(buckets: int):
+    """Co-group of a block of words with its frequent words."""
+    def run(left, right):
+        if not (left.num_rows and right.num_rows):
+            return _relation(None, _NOTHING, _NOTHING, [], [], 0)
+        r = left.to_pylist()[0]
+        sent = {(bucket, lang): first + at for lang, first, data, offsets, _ in _words_of(r)
+                for bucket, at in _dealt(_word_buckets(data, offsets, buckets))}
+        place, item = _read(r)
+        return _relation(r, place, item, *_answered(right, sent), sum(x["words"] for x in r["langs"]))
+
+    return run
+
+
+def _next_relation(buckets: int):
+    """Co-group of a block of k-word phrases with its frequent ones of k + 1 words."""
+    def run(left, right):
+        if not (left.num_rows and right.num_rows):
+            return _relation(None, _NOTHING, _NOTHING, [], [], 0)
+        r = left.to_pylist()[0]
+        ids = _ids(r)
+        place, number, pairs = _merge_join(*_read(r), len(ids))
+        sent = {(bucket, None): at for bucket, at in _dealt(_pair_buckets(ids[pairs // len(ids)], ids[pairs % len(ids)], buckets))}
+        return _relation(r, place, number, *_answered(right, sent), len(pairs))
+
+    return run
 
 
 def _sum(a: Column, b: Column) -> Column:
@@ -252,7 +415,8 @@ def _scored(phrases: DataFrame, words: int) -> DataFrame:
     return phrases.withColumn("cut", F.array_min(F.array(*cuts)))
 
 
-def mine(docs: DataFrame, support: int = SUPPORT, top: int = TOP, block: int = BLOCK) -> DataFrame:
+def mine(docs: DataFrame, support: int = SUPPORT, top: int = TOP, block: int = BLOCK,
+         bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's ``top``
     phrases of 2 to 4 words, from ``docs(text, lang)``."""
     spark = docs.sparkSession
@@ -263,21 +427,35 @@ def mine(docs: DataFrame, support: int = SUPPORT, top: int = TOP, block: int = B
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def buckets_for(relation: DataFrame) -> int:
+        """Enough buckets for all occurrences, of which a block's equal ones are sent as one."""
+        total = relation.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_groups))
+
+    def counted(sent: DataFrame, summing, name: str) -> DataFrame:
+        return stored(sent.groupBy("bucket").applyInArrow(summing, FOUND), name)
+
+    def groups_of(found: DataFrame) -> DataFrame:
+        return found.where("groups is not null").select(F.inline("groups"))
+
+    def related(blocks: DataFrame, found: DataFrame, joining, name: str) -> DataFrame:
+        answers = found.where("block is not null").select("block", "bucket", "lang", "n", "at", "ids")
+        return stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joining, RELATION), name)
+
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     blocks = stored(texts.mapInArrow(_blocks_of(block), BLOCKS), "blocks")
-    listed = blocks.select("block", F.posexplode("words").alias("local", "w")).select("block", "local", "w.lang", "w.word", "w.count")
-    frequent = stored(_frequent(listed, ["lang", "word"], support), "frequent1")
-    left, step = blocks.select("block", "own", "n", "place", "item"), _first_relation
-    phrases = [frequent.where("names_it").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                                 F.array("f").alias("heads"), F.array("f").alias("tails"))]
-    found = []
+    buckets = buckets_for(blocks)
+    found = counted(blocks.mapInArrow(_send_words(buckets), SENT), _sum_words(support), "frequent1")
+    phrases = [groups_of(found).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
+                                       F.array("f").alias("heads"), F.array("f").alias("tails"))]
+    relation = related(blocks, found, _first_relation(buckets), "relation1")
+    kept = []
     for k in range(2, LONGEST + 1):
-        relation = stored(left.groupBy("block").cogroup(frequent.select("block", "local", "id").groupBy("block"))
-                          .applyInArrow(step, RELATION), f"relation{k - 1}")
-        groups = relation.mapInArrow(_group_counts, GROUPS)
-        frequent = stored(_frequent(groups, ["l", "r"], support), f"frequent{k}")
-        left, step = relation, _next_relation
-        named = frequent.where("names_it").select("id", "l", "r", "f")
+        buckets = buckets_for(relation)
+        found = counted(relation.mapInArrow(_send_pairs(buckets), SENT), _sum_pairs(support), f"frequent{k}")
+        if k < LONGEST:
+            relation = related(relation, found, _next_relation(buckets), f"relation{k}")
+        named = groups_of(found).select("id", "l", "r", "f")
         a = phrases[-1].select(F.col("id").alias("l"), "lang", "phrase", "heads")
         b = phrases[-1].select(F.col("id").alias("r"), "last", "tails")
         phrases.append(stored(named.join(a, "l").join(b, "r").select(
@@ -286,18 +464,17 @@ def mine(docs: DataFrame, support: int = SUPPORT, top: int = TOP, block: int = B
         if k > 2:                      # the phrases one word shorter that these contain
             longer = named.select(F.col("l").alias("id"), "f").unionByName(named.select(F.col("r").alias("id"), "f"))
             longer = longer.groupBy("id").agg(F.max("f").alias("longer"))
-            found[-1] = (phrases[-2].join(longer, "id", "left")
-                         .where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("f").cast("decimal(20,0)") * CONTAINED_PERCENT))
-                         .select(*phrases[-2].columns))
-        found.append(phrases[-1])
-    scored = [_scored(p, k).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score") for k, p in enumerate(found, 2)]
+            kept[-1] = (phrases[-2].join(longer, "id", "left")
+                        .where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("f").cast("decimal(20,0)") * CONTAINED_PERCENT))
+                        .select(*phrases[-2].columns))
+        kept.append(phrases[-1])
+    scored = [_scored(p, k).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score") for k, p in enumerate(kept, 2)]
     rows = scored[0].unionByName(scored[1]).unionByName(scored[2])
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # At most ``top`` rows of each salt reach a language's ranking.
     salt = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = (rows.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best)))
             .where(F.col("rank") <= top).drop("salt", "rank"))
-    ranked = (rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long"))
-              .where(F.col("rank") <= top))
-    n = blocks.select(F.explode("words").alias("w")).groupBy(F.col("w.lang").alias("lang")).agg(F.sum("w.count").alias("n"))
+    ranked = ordered_scan(rows, "lang", best, pos_col="rank").where(F.col("rank") <= top)
+    n = blocks.select(F.inline("langs")).groupBy("lang").agg(F.sum("occurrences").alias("n"))
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

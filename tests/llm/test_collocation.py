@@ -97,3 +97,8 @@ def test_registered_query(spark, tmp_path):
     spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     out = queries.op11_setm_collocations(spark, str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == brute(rows, 30, 2000)
+
+
+def test_many_small_buckets(spark):
+    rows = texts(8)
+    assert got(spark, rows, support=2, block=200, bucket_groups=50) == brute(rows, 2, 2000)
