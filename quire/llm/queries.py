@@ -170,4 +170,20 @@ l AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE
 r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.seen)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
+    "op11_setm_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS a FROM g GROUP BY lang, m, phrase),
+c AS (SELECT * FROM f WHERE m >= 2 AND a >= 30),
+cuts AS (SELECT lang, phrase, a, array_to_string(g[1:k], ' ') AS head, array_to_string(g[k + 1:], ' ') AS tail, k FROM
+ (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score, k
+ FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT p.lang, p.phrase FROM c p JOIN c q ON q.lang = p.lang AND q.m > p.m AND 100 * CAST(q.a AS HUGEINT) >= 80 * CAST(p.a AS HUGEINT)
+ AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b JOIN n USING (lang) WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.lang = b.lang AND x.phrase = b.phrase)
+QUALIFY rank <= 2000""",
 }
