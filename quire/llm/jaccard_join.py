@@ -16,7 +16,8 @@ of a set's shingles and probes its long ones by binary search.
    shingles in that order.  The lists of these are reduced to stars around one
    member; components of the stars are search groups: linked sets are always
    in one group.
-3. Groups are cut into parts of at most ``part`` shingles.  Each task streams
+3. Groups are cut into parts of at most ``part`` shingles and ``WORK`` entries
+   to merge, so a large group of near copies is not one long task.  Each task streams
    its parts, builds the inverted lists of one part at a time and searches
    every set in it.  Sets already connected need no further test, and what
    leaves a part is a forest of links, never all pairs.
@@ -51,6 +52,7 @@ SIZE = 5
 PERCENT = 75
 MU = 0.01            # weight of a probe against a merge when the long lists are chosen
 PART = 1 << 20       # shingles in one part
+WORK = 1 << 27       # entries of inverted lists that the search of one part merges, at most about
 OFTEN = 64           # frequencies from here on count as equal in the order
 _HELD = 1 << 21      # shingles a task holds before it packs them
 _BUCKET = 1 << 21    # shingles in a bucket of the packed exchange, on average
@@ -524,8 +526,13 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _parts(sets: DataFrame, part: int) -> DataFrame:
-    """``sets`` with ``parts``, the number of parts of its group, and ``part``."""
-    total = sets.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(part)).cast("int").alias("parts"))
+    """``sets`` with ``parts``, the number of parts of its group, and ``part``.
+    A part is bounded by its shingles and by the work of its search: every
+    shingle may stand in the lists of all its sets, so ``k`` parts of a group
+    have the ``k * k``-th of the group's work each."""
+    merged = F.count(F.lit(1)) * F.sum("n")
+    parts = F.greatest(F.ceil(F.sum("n") / F.lit(part)), F.ceil(F.sqrt(merged / F.lit(WORK))))
+    total = sets.groupBy("grp").agg(parts.cast("int").alias("parts"))
     return (sets.join(total, "grp")
             .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
 

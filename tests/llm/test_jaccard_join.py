@@ -154,3 +154,29 @@ def test_long_words_hash_by_all_their_bytes():
     h = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED).hash
     n = len(all_words)
     assert len(set(h[:n].tolist())) == n and np.array_equal(h[:n], h[n:])
+
+
+@pytest.mark.parametrize("work", [1, 4000])
+def test_parts_bounded_by_work_find_the_same(spark, monkeypatch, work):
+    monkeypatch.setattr(jj, "WORK", work)
+    docs = family_docs(5)
+    assert got(spark, docs) == brute(docs)
+
+
+def test_components_of_more_edges_than_a_task_contracts(spark, monkeypatch):
+    from quire.llm import graph
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 20)
+    rnd = random.Random(4)
+    edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    least = {}
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        least[b] = a
+    rows = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
+    assert {r.node: r.component for r in rows} == {x: find(x) for u, v in edges if u != v for x in (u, v)}
