@@ -34,6 +34,7 @@ LIMIT_TOTAL_SIZE = 30000
 TRUNCATE_TOKENS = 200
 DROP_MAX_TOKENS = 10000
 OPTIMIZE_TARGET = 15000
+TIGHT_TARGET = 1500
 CHUNK_TOKENS = 20000
 FILES_PER_CHUNK = 20
 OVERLAP = 2
@@ -511,8 +512,8 @@ def q_single_file(spark, sf):
 
 
 def q_dropped_preview(spark, sf):
-    _, o = _optimized(spark, sf)
-    return O.dropped_preview(o)
+    """The first files that a budget far too small drops."""
+    return O.dropped_preview(O.optimize_context(_packed(spark, sf).with_content(), target_tokens=TIGHT_TARGET, command=True))
 
 
 def q_max_tokens_per_file(spark, sf):
