@@ -35,8 +35,8 @@ from .common import prepare, row_blocks, utf8_buffers
 
 CAPACITY = 4096
 GRAIN = 64
-CACHE = 1_000_000        # stretches, and pieces of them, whose ids a worker remembers
-BLOCK_BYTES = 8 << 20    # bytes of text encoded at a time (a longer text alone)
+CACHE = 300_000          # stretches, and pieces of them, whose ids a worker remembers
+BLOCK_BYTES = 4 << 20    # bytes of text encoded at a time (a longer text alone)
 
 #: What separates stretches: blanks and line ends of ASCII.
 _BLANK = np.zeros(256, bool)
