@@ -16,7 +16,11 @@ quantiles of the id (a binary search over an array literal), and the smallest
 row of each part is also sent to the part before it.  So whole texts are
 shuffled once and every part is ordered alone; there is no global window.
 
-Edge cases: a null text is empty; an empty text has no shingle, and two of them
+Ids may be of any type that can be ordered: parts are cut by a whole number that
+never falls as the id rises (of strings the seven bytes after what all ids
+begin with), and rows of one part are ordered by the id itself.
+
+Edge cases: a null text is empty, one of any length is sketched whole; an empty text has no shingle, and two of them
 are alike (1); null ids come first; repeated ids are ordered by their texts'
 hashes and lengths; a single document is its own next one; an empty table gives
 an empty result; columns that clash with result columns are replaced.
@@ -24,9 +28,11 @@ an empty result; columns that clash with result columns are replaced.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 
@@ -100,6 +106,26 @@ def _part(key: Column, bounds: list[int]) -> Column:
     return F.reduce(jumps, F.lit(0), lambda at, jump: F.when(F.get(full, at + jump - 1) < key, at + jump).otherwise(at))
 
 
+def _rising(ids: DataFrame) -> Column:
+    """A long that does not fall as ``doc_id`` rises (null for null ids)."""
+    kind, c = ids.schema["doc_id"].dataType, F.col("doc_id")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        top = float(1 << 62)
+        d = c.cast("double")
+        whole = F.floor(F.greatest(F.least(d, F.lit(top)), F.lit(-top))).cast("long")
+        return F.when(F.isnan(d), F.lit(1 << 62)).when(c.isNotNull(), whole)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.StringType):
+        ends = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
+        raw, begins = c.cast("binary"), len(os.path.commonprefix([(ends.a or "").encode(), (ends.z or "").encode()]))
+        digits = F.rpad(F.hex(F.substring(raw, begins + 1, 7)), 14, "0")
+        return F.conv(digits, 16, 10).cast("long")
+    return F.when(c.isNotNull(), F.lit(0).cast("long"))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None,
               columns: dict | None = None) -> DataFrame:
     """``doc_id, text``, the ``columns`` computed from those, and ``next``: a
@@ -108,7 +134,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     prepare(spark)
     columns = columns or {}
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(_rising(docs.select(F.col(id_col).alias("doc_id"))), F.lit(-(1 << 63)))
     ids = docs.select(F.col(id_col).alias("doc_id")).select(key.alias("k"))
     parts = parts or PARTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0]
@@ -123,7 +149,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             .select("doc_id", "k", "text", F.inline("copies")))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(n, "part").withColumns(columns)
-    order = Window.partitionBy("part").orderBy("wrap", "k", F.xxhash64("text"), F.length("text"))
+    order = Window.partitionBy("part").orderBy("wrap", "k", "doc_id", F.xxhash64("text"), F.length("text"))
     own = F.struct("text", *columns)
     return rows.withColumn("next", F.lead(own).over(order)).where("not guard").select("doc_id", "text", *columns, "next")
 

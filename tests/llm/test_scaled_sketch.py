@@ -80,3 +80,15 @@ def test_a_printed_fingerprint_has_whole_hashes(spark):
     r = spark.range(1).select(s["hashes"].alias("h"), k.printed(s).alias("p")).first()
     tail = r.p.split("-")[-1]
     assert r.h and [int(tail[i:i + 16], 16) for i in range(0, len(tail), 16)] == [x % (1 << 64) for x in r.h]
+
+
+@pytest.mark.parametrize("kind,ids", [
+    ("string", ["doc-0007", "doc-0010", "doc-01", "doc-0100", "doc-é", "doc-", None]), ("double", [-2.5, -2.25, 0.0, 1e300, 7.0, None]),
+    ("decimal(30,2)", ["-1.50", "2.25", "2.50", "99999999999999999999.10"]), ("date", ["2024-01-02", "2023-12-31", "2024-01-01"])])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_ids_of_other_types(spark, kind, ids, parts):
+    rows = [(None if i is None else str(i), f"text of {i}") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+    order = [r.text for r in df.orderBy("doc_id").collect()]
+    got = {r.text: r.next.text for r in k.with_next(df, parts=parts).collect()}
+    assert got == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
