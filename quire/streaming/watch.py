@@ -312,43 +312,78 @@ def contributions(changes: DataFrame, ignore=(), extensions=None, max_file_size:
                             for k, v in values.items()])
 
 
-def signed_deltas(rows: DataFrame) -> DataFrame:
-    """``corpus_id`` and the change of its sums, one row for each file that a
-    batch changed: what its new event adds less what its last one had added.
-    The engine's state has one row for each (corpus, path): its last event's
-    time and contribution, also after an unlink, so that an older event that
-    comes later changes nothing."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    names = ["us", "seq", *DELTAS]
-    kinds = ", ".join(f"{c} long" for c in names)
+#: The last event of a (corpus, path): its time and what it adds.
+_LAST = ["us", "seq", *DELTAS]
 
-    def change(key, frames, state):
-        import pandas as pd
-        rows = pd.concat(list(frames))
-        now = max(zip(*(rows[c].tolist() for c in names)))
-        old = state.get if state.exists else None
-        if old is None or now[:2] > tuple(old[:2]):
-            state.update(tuple(int(v) for v in now))
-            yield pd.DataFrame([(key[0], *[int(b) - int(a) for a, b in zip(old[2:] if old else [0] * len(DELTAS), now[2:])])], columns=["corpus_id", *DELTAS])
 
-    return rows.groupBy("corpus_id", "path").applyInPandasWithState(
-        change, "corpus_id string, " + ", ".join(f"{c} long" for c in DELTAS), kinds, "update", GroupStateTimeout.NoTimeout)
+def _newest_versions(state_path: str, batch_id: int) -> dict[int, str]:
+    """Folder of each bucket's newest version before ``batch_id``.  Older ones are
+    removed: the batch before has ended, so nothing reads them again."""
+    from pyarrow import fs as pafs
+
+    from ..sources.files import _filesystem
+    fsys, base = _filesystem(state_path)
+    found = {f.path.rstrip("/") for f in fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=True)) if f.path.rsplit("/", 1)[-1].startswith("bucket=")}
+    versions = sorted((int(f.split("/")[-1][7:]), int(f.split("/")[-2]), f) for f in found)
+    newest = {k: v for k, v, _ in versions if v < batch_id}
+    for k, v, f in versions:
+        if v < newest.get(k, 0):
+            fsys.delete_dir(f)
+    return {k: f"{state_path}/{v}/bucket={k}" for k, v in newest.items()}
 
 
-def incremental_totals(changes: DataFrame, path: str, trigger_once: bool = True, **selection):
+def signed_deltas(rows: DataFrame, state_path: str, batch_id: int, buckets: int = 64) -> DataFrame:
+    """``corpus_id`` and the change of its sums, one row for each file that a
+    batch changed: what its new event adds less what its last one had added.
+    The state has one row for each (corpus, path): its last event's time and
+    contribution, also after an unlink, so that an older event that comes later
+    changes nothing.
+
+    ``rows`` are a batch's ``contributions``.  The state lies in hash buckets of
+    (corpus, path); a batch reads the buckets it touches and writes them anew
+    under its own number, so a replay reads what the first attempt read and
+    overwrites only its own folder."""
+    spark = rows.sparkSession
+    kinds = [f"{c} long" for c in _LAST]
+    last = f"struct<{', '.join(k.replace(' ', ': ') for k in kinds)}>"
+    bucket = F.pmod(F.xxhash64("corpus_id", "path"), F.lit(int(buckets))).cast("int")
+    events = (rows.groupBy("corpus_id", "path").agg(F.max(F.struct(*_LAST)).alias("now"))
+              .select("corpus_id", "path", "now", F.lit(None).cast(last).alias("was"), bucket.alias("bucket"))).persist()
+    try:
+        touched = [r.bucket for r in events.select("bucket").distinct().collect()]              # at most `buckets`
+        newest = _newest_versions(state_path, int(batch_id))
+        both = events
+        if old := [newest[k] for k in touched if k in newest]:
+            state = spark.read.schema(", ".join(["corpus_id string", "path string", *kinds])).parquet(*old)
+            both = events.unionByName(state.select("corpus_id", "path", F.lit(None).cast(last).alias("now"), F.struct(*_LAST).alias("was"), bucket.alias("bucket")))
+        both = both.repartition("bucket").groupBy("bucket", "corpus_id", "path").agg(F.max("now").alias("now"), F.max("was").alias("was"))
+        newer = F.col("was").isNull() | (F.struct("now.us", "now.seq") > F.struct("was.us", "was.seq"))
+        changed = F.col("now").isNotNull() & newer
+        kept = F.when(changed, F.col("now")).otherwise(F.col("was"))
+        (both.select("bucket", "corpus_id", "path", *[kept[c].alias(c) for c in _LAST], changed.alias("changed"),
+                     *[(F.col("now")[c] - F.coalesce(F.col("was")[c], F.lit(0))).alias(f"{c}_delta") for c in DELTAS])
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{state_path}/{int(batch_id)}"))
+    finally:
+        events.unpersist()
+    written = spark.read.schema(", ".join(["corpus_id string", "changed boolean", *[f"{c}_delta long" for c in DELTAS]])).parquet(f"{state_path}/{int(batch_id)}")
+    return written.where("changed").select("corpus_id", *[F.col(f"{c}_delta").alias(c) for c in DELTAS])
+
+
+def incremental_totals(changes: DataFrame, path: str, trigger_once: bool = True, buckets: int = 64, **selection):
     """J5 by signed deltas: totals of every corpus, kept by a streaming query
-    that costs a batch its own rows and their state.  A batch appends one row
+    that costs a batch its own rows and the buckets of the state they touch
+    (``signed_deltas``, under ``path/state``).  A batch appends one row
     for each corpus it touches under ``path/deltas``; a replay overwrites only
     its own.  ``current_totals`` adds them up, ``fold_totals`` shortens them.
 
     Rules are those that a row meets on its own (the default list and
     ``selection``); rule files inside a corpus need :func:`incremental_repack`."""
     def each(batch: DataFrame, batch_id: int):
-        sums = batch.groupBy("corpus_id").agg(*[F.sum(c).cast("long").alias(c) for c in DELTAS])
+        deltas = signed_deltas(batch, f"{path}/state", batch_id, buckets)
+        sums = deltas.groupBy("corpus_id").agg(*[F.sum(c).cast("long").alias(c) for c in DELTAS])
         sums.write.mode("overwrite").parquet(f"{path}/deltas/batch={int(batch_id)}")
 
-    w = (signed_deltas(contributions(changes, **selection)).writeStream.outputMode("update").foreachBatch(each)
-         .option("checkpointLocation", f"{path}/checkpoint"))
+    w = contributions(changes, **selection).writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 

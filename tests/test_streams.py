@@ -105,6 +105,26 @@ def test_a_batch_sends_deltas_of_its_own_files_alone(spark):
     assert [(r.total_files, r.total_size) for r in rows] == [(50, 200), (-1, 5 - 4)]
 
 
+def test_deltas_need_no_call_for_each_file_and_a_replay_changes_nothing(spark):
+    state = tempfile.mkdtemp(prefix="quire-state-")
+
+    def batch(n, rows):
+        df = spark.createDataFrame([(c, p, op, BASE + dt.timedelta(seconds=s), q, t, None if t is None else len(t)) for c, p, op, s, q, t in rows], SCHEMA)
+        return W.signed_deltas(W.contributions(df), state, n, buckets=4)
+
+    first = [(c, f"f{i}.txt", "add", i, i, "four") for c in ("A", None) for i in range(30)]
+    assert batch(0, first).count() == 60
+    second = [("A", "f1.txt", "unlink", 100, 100, None), ("A", "f1.txt", "change", 99, 99, "longer"), (None, None, "add", 1, 1, "x"), (None, "f2.txt", "add", 0, 0, "older")]
+    for _ in range(2):                        # the second time as a replay
+        deltas = batch(1, second)
+        assert sorted(((r.corpus_id or "", r.present, r.total_files, r.total_size) for r in deltas.collect())) == [("", 1, 1, 1), ("A", -1, -1, -4)]
+    assert "InPandas" not in deltas._jdf.queryExecution().executedPlan().toString()
+    for n in range(2, 6):
+        assert batch(n, first).count() == 0
+    kept = [f for d, _, fs in os.walk(state) for f in fs if f.endswith(".parquet")]
+    assert len(kept) <= 2 * 4                 # a bucket's old versions are removed
+
+
 def _put(root, rel, data):
     p = os.path.join(root, rel)
     os.makedirs(os.path.dirname(p), exist_ok=True)
