@@ -144,41 +144,51 @@ def burst_cells(changes: DataFrame, gap_ms: int, watermark: str) -> DataFrame:
                     F.unix_micros("last_ts").alias("last_us"), "events", "op", "path"))
 
 
-_BURST = "first_us long, last_us long, events long, op string, path string"
+_BURST = {"corpus_id": "string", "first_us": "long", "last_us": "long", "events": "long", "op": "string", "path": "string"}
+#: Hash buckets of corpora whose open bursts are one state each.
+BURST_BUCKETS = 1024
 
 
 def bursts_of_cells(cells: DataFrame, gap_ms: int, delay_ms: int) -> DataFrame:
     """Second stage: neighbouring cells of a corpus whose events are no further
-    apart than the gap are one burst.  What a corpus's state holds is its open
-    burst, five values; event time closes it when no cell that could go on with
-    it can come any more."""
+    apart than the gap are one burst.  Corpora share ``BURST_BUCKETS`` states, so
+    that a batch costs a call for each bucket, not for each corpus; what the
+    state holds of a corpus is its open burst, five values; event time closes it
+    when no cell that could go on with it can come any more."""
     from pyspark.sql.streaming.state import GroupStateTimeout
-    gap_us = int(gap_ms) * 1000
+    gap_us, names = int(gap_ms) * 1000, list(_BURST)
 
     def merge(key, frames, state):
+        import numpy as np
         import pandas as pd
-        done = []
-        if state.hasTimedOut:
-            done.append(state.get)
+        held = [pd.DataFrame(dict(zip(names, state.get)))] if state.exists else []
+        rows = pd.concat([*held, *([] if state.hasTimedOut else frames)], ignore_index=True)[names]
+        corpus = pd.factorize(rows["corpus_id"])[0]
+        order = np.lexsort((rows["first_us"].to_numpy(), corpus))
+        rows, corpus = rows.iloc[order], corpus[order]
+        first_us, last_us = rows["first_us"].to_numpy(np.int64), rows["last_us"].to_numpy(np.int64)
+        first = np.ones(len(rows), dtype=bool)
+        first[1:] = (corpus[1:] != corpus[:-1]) | (first_us[1:] - last_us[:-1] > gap_us)
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(rows)) - 1
+        bursts = rows.iloc[end].assign(first_us=first_us[start], events=np.add.reduceat(rows["events"].to_numpy(np.int64), start))
+        # A corpus's last burst may go on: an event within the gap stands in a cell that ends at most two gaps later.
+        now, over = state.getCurrentWatermarkMs(), last_us[end] // 1000 + 2 * int(gap_ms) + 1
+        is_open = (np.append(corpus[end][1:] != corpus[end][:-1], True)) & (over >= now)
+        left = bursts[is_open]
+        if len(left):
+            state.update(tuple(left[c].tolist() for c in names))
+            state.setTimeoutTimestamp(max(int(over[is_open].min()), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            now = list(state.get) if state.exists else None
-            rows = pd.concat(list(frames)).sort_values("first_us")
-            for a, z, n, op, path in zip(*(rows[c].tolist() for c in ("first_us", "last_us", "events", "op", "path"))):
-                if now is not None and a - now[1] <= gap_us:
-                    now = [now[0], z, now[2] + n, op, path]
-                else:
-                    if now is not None:
-                        done.append(tuple(now))
-                    now = [a, z, n, op, path]
-            state.update(tuple(now))
-            # An event within the gap stands in a cell that ends at most two gaps later.
-            state.setTimeoutTimestamp(max(now[1] // 1000 + 2 * int(gap_ms), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame([(key[0], *r) for r in done], columns=["corpus_id", "first_us", "last_us", "events", "op", "path"])
+        yield bursts[~is_open]
 
+    schema = ", ".join(f"{c} {k}" for c, k in _BURST.items())
+    kept = ", ".join(f"{c} array<{k}>" for c, k in _BURST.items())
     stamp = lambda c: F.timestamp_micros(c)
-    out = (cells.withWatermark("cell_end", _gap(delay_ms)).groupBy("corpus_id")
-           .applyInPandasWithState(merge, f"corpus_id string, {_BURST}", _BURST, "append", GroupStateTimeout.EventTimeTimeout))
+    bucket = F.pmod(F.xxhash64("corpus_id"), F.lit(BURST_BUCKETS))
+    out = (cells.withWatermark("cell_end", _gap(delay_ms)).withColumn("bucket", bucket).groupBy("bucket")
+           .applyInPandasWithState(merge, schema, kept, "append", GroupStateTimeout.EventTimeTimeout))
     return out.select("corpus_id", stamp(F.col("first_us")).alias("first_ts"), stamp(F.col("last_us")).alias("last_ts"), "events",
                       F.col("op").alias("last_op"), F.col("path").alias("last_path"), stamp(F.col("last_us") + gap_us).alias("repack_at"))
 

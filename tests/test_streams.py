@@ -53,6 +53,27 @@ def test_debounce_over_batches_late_rows_and_a_restart(spark):
     assert got == _bursts(W.debounce_batch(batch, 10_000)) and 0 < early < len(got)
 
 
+def test_corpora_share_the_states_of_their_open_bursts(spark, monkeypatch):
+    monkeypatch.setattr(W, "BURST_BUCKETS", 2)
+    rnd = random.Random(9)
+    rows, t = [], 0.0
+    for n in range(240):
+        t += rnd.choice([0.1, 0.5, 1, 3])
+        rows.append((rnd.choice([None, *[f"c{i}" for i in range(25)]]), rnd.choice([None, "p"]), rnd.choice([None, "add", "unlink"]), round(t, 3), n, None))
+    folder, out = tempfile.mkdtemp(prefix="quire-ev-"), tempfile.mkdtemp(prefix="quire-bursts-")
+    stream = W.stream_changes(spark, folder, spark.createDataFrame([], SCHEMA).schema)
+    _land(spark, folder, rows[:200])
+    second = W.debounce_stream(stream, out, 10_000, watermark="5 seconds")[1]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in second.recentProgress) <= 2
+    early = spark.read.parquet(f"{out}/bursts").count()
+    _land(spark, folder, rows[200:] + [("zz", "m", "end", int(t) + s, 900 + s, None) for s in (200, 2000)])
+    W.debounce_stream(stream, out, 10_000, watermark="5 seconds")
+    batch = spark.createDataFrame([(c, p, op, BASE + dt.timedelta(seconds=s), n, None, None) for c, p, op, s, n, _ in rows], SCHEMA)
+    key = lambda df: sorted(map(tuple, df.where("corpus_id is null or corpus_id <> 'zz'").collect()), key=repr)
+    got = key(spark.read.parquet(f"{out}/bursts"))
+    assert got == key(W.debounce_batch(batch, 10_000)) and 0 < early < len(got)
+
+
 def _packed(spark, rows):
     """A full pack of what the events leave."""
     last = {}
