@@ -91,3 +91,30 @@ def test_contents_are_not_dealt_by_corpus(spark, name):
     plan = Q._pack_blocks(spark, SF, name.split("_")[1])._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(corpus_id" in line or "Exchange hashpartitioning(coalesce(corpus_id" in line]
     assert all("content_key" in line or "content" not in line for line in dealt)
+
+
+def test_whole_digests_over_slices_and_pieces(spark, monkeypatch):
+    """The MD5 is that of a document's text, wherever slices and pieces end."""
+    from quire.operators import ordered
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 40)
+    monkeypatch.setattr(R, "PIECE_BYTES", 100)
+    rows = [("hot", f"d{i % 7}/é{i:04d}.md", "text 🌍 \n" * (i % 25)) for i in range(300)] + [("cold", "a.py", "x"), (None, "b.py", "y\n"), ("", "c", "")]
+    files = spark.createDataFrame(rows, "corpus_id string, path string, content string").withColumn("size", F.octet_length("content").cast("long"))
+    from quire.operators import pack as P
+    p = P.pack(files)
+    for fmt in ("markdown", "json"):
+        blocks = P.stored(R.render_blocks(p.with_content(), p.summary, fmt, tree_rows=tree_lines(files)))
+        docs = R.render_documents(p.with_content().withColumn("chunk", F.lit(1)), p.summary.withColumn("chunk", F.lit(1)), fmt,
+                                  tree=tree_text(tree_lines(files)), order="pos").collect()
+        got = R.whole_digests(blocks).collect()
+        assert {r.corpus_id: r.doc_md5 for r in got} == {r.corpus_id: hashlib.md5(r.document.encode()).hexdigest() for r in docs} and len(got) == 4
+
+
+@pytest.mark.parametrize("kind", ["json"])
+def test_queries_hash_whole_documents(spark, kind):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    got, sql = Q.QUERIES[f"render_{kind}"](spark, SF), con.execute(oracle.oracle_sql()[f"render_{kind}"])
+    assert "doc_md5" in got.columns and got.columns == [c[0] for c in sql.description]
+    assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall())
